@@ -114,7 +114,7 @@ def hot_words(docs: DataFrame, text: str, pattern: str, ranks: str) -> str:
     counted = counted.where(F.octet_length("w") <= HOT_BYTES).orderBy(F.desc("n"), "w").limit(HOT_WORDS)
     counted = materialise(counted, "bpe-hot").repartition(64, "w")
     rows = counted.select("w", fold(F.col("w"), F.expr(ranks)).alias("ids")).toPandas()
-    return _table({w: ids.tolist() for w, ids in zip(rows.w, rows.ids, strict=True)}, "array<int>")
+    return _table({w: [int(i) for i in ids] for w, ids in zip(rows.w, rows.ids, strict=True)}, "array<int>")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:

@@ -84,7 +84,7 @@ class Model:
             starts.append(base + 1)
             self.bits.append(np.log2(max(2, len(symbols))))
         # Rows count in steps of SYMBOLS, so that adding a symbol gives the place of the next row.
-        self.next = np.concatenate(rows).ravel() * np.int32(SYMBOLS)
+        self.next = np.concatenate(rows or [np.zeros((0, SYMBOLS), np.int32)]).ravel() * np.int32(SYMBOLS)
         self.start = np.asarray(starts, np.int32) * SYMBOLS
         self.dead = self.start - SYMBOLS
 

@@ -61,7 +61,7 @@ RULES = (
     Rule("few_words", "n_words < 50"),
     Rule("repeated_words", "100 * n_repeat_words > 50 * n_words"),
     Rule("symbols", "10 * n_symbols > 2 * n_words"),
-    Rule("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("duplicate_lines", "10 * n_dup_lines > 5 * n_lines"),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
     Rule("shouting", "10 * n_upper > 3 * n_words"),
     Rule("bangs", "10 * n_bangs > 2 * n_words"),
