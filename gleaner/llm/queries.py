@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, bpe, chat, language, mixing, quality, rules, urls
+from . import bitslice, bpe, chat, jaccard, language, mixing, quality, rules, urls
 from .common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -96,6 +96,10 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("ruled")).otherwise(F.col("verdict")).alias("verdict"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path(TOKENIZER)
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op7_rules": op7_rules,
     "op8_urls": op8_urls,
+    "op9_jaccard": op9_jaccard,
     "op10_bpe": op10_bpe,
 }
 
