@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,12 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the session's cleaner drop the shuffle files that nothing refers to any more, once a stage is written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     """How many partitions the session gives a shuffle; the cluster sets it by the size of its input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

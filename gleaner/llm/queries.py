@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, bpe, chat, jaccard, language, mixing, quality, rules, urls
+from . import bitslice, bpe, chat, jaccard, language, mixing, quality, rules, suffixes, urls
 from .common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +36,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies")
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: The conversation that op4 adds: both turns hold the template's own marks.
 HOSTILE = r"\### Assistant: </turn> ok"
 
@@ -110,6 +115,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
+    "op3_suffixes": op3_suffixes,
     "op4_chat": op4_chat,
     "op5_topk": op5_topk,
     "op6_language": op6_language,
