@@ -402,7 +402,16 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return first.join(spans.withColumnRenamed("doc_id", "first"), ["text_id", "first"], "left")
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def _inner(raw: bytes, a: int, b: int) -> tuple[int, int]:
+    """The whole characters within [a, b)."""
+    while a < b and raw[a] & 0xC0 == 0x80:
+        a += 1
+    while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
+        b -= 1
+    return a, b
+
+
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, whole_characters: bool = False) -> DataFrame:
     """Remove every byte that a string of LENGTH bytes covers which also starts in a document with a smaller key.
 
     Adds n_bytes, n_spans, n_removed and kept (the bytes that stay, concatenated) to every row of docs; carry: the
@@ -410,6 +419,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list
     counts as empty. Strings are judged on the input; matches never cross documents; spans that touch are one. Of
     equal texts the one with the smallest key stays; the others go whole, if they have LENGTH bytes. Rows that repeat
     key and text are treated alike and do not remove each other; rows of one key with different texts do not either.
+    whole_characters keeps characters that a span covers in part, so that kept is UTF-8 again.
     An empty table gives an empty result. Texts and windows are told apart by hashes of 64 bits or more.
     """
     added = ("n_bytes", "n_spans", "n_removed", "kept")
@@ -427,6 +437,8 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list
             for t, copy, spans in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist(), batch.column(k + 2).to_pylist(), strict=True):
                 raw = t.encode()
                 cuts = [(0, len(raw))] if copy and len(raw) >= LENGTH else np.frombuffer(spans, np.int32).reshape(-1, 2).tolist() if spans and not copy else []
+                if whole_characters:
+                    cuts = [_inner(raw, a, b) for a, b in cuts]
                 left, at = [], 0
                 for a, b in cuts:
                     left.append(raw[at:a])
