@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bitslice, bpe, chat, jaccard, language, mixing, quality, rules, suffixes, urls
 from .common import table
+from .oracle import ORACLE_SQL  # noqa: F401
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -49,8 +50,6 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", HOSTILE), (-7, 1, "assistant", HOSTILE)], "conv_id long, turn long, role string, text string")
     rows = rows.unionByName(more)
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text"))
     messages = rows.select(F.col("conv_id").alias("tree"), place.alias("node"), (place - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
     formatted = chat.format_paths(messages, chat.paths(messages, keep=1))
@@ -124,5 +123,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard": op9_jaccard,
     "op10_bpe": op10_bpe,
 }
-
-ORACLE_SQL: dict[str, str] = {}
