@@ -41,47 +41,54 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 
 
 def paths(messages: DataFrame, keep: int | None = 1) -> DataFrame:
-    """Root-to-leaf paths of reply trees: tree, leaf, score, branch (rank in its tree, from 1), nodes (root first).
+    """Nodes of root-to-leaf paths of reply trees: tree, leaf, score, branch (rank in its tree, from 1), node, back.
 
-    messages: tree, node, parent, score. A parent that is null or not in the tree makes a root. Rows that repeat a
-    node count once (the smallest parent and score). Null scores are 0; a path's score is the sum over its nodes,
-    and ties go to the smaller leaf. Nodes on a cycle have no root: they are on no path. keep: best branches a tree;
-    None keeps all. Every round joins the paths so far with themselves and doubles their length, so that the number
-    of rounds is the logarithm of the depth.
+    messages: tree, node, parent, score. back counts from the leaf (0) up to the root. A parent that is null, the node
+    itself or not in the tree makes a root. Rows that repeat a node count once (the smallest parent and score). Null
+    scores are 0; a path's score is the sum over its nodes, and ties go to the smaller leaf. Nodes on a cycle have no
+    root: they are on no path. keep: best branches a tree; None keeps all.
+
+    Round j joins the nodes that have an ancestor 2^j steps up with that ancestor, so the rounds are as many as the
+    depth has bits and nodes leave once they see their root. The chosen leaves then walk up through the same jumps,
+    longest first: every node of a path is reached once, and no array of a path is carried along.
     """
     nodes = messages.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.min(F.coalesce("score", F.lit(0.0))).alias("score"))
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
-    nodes = nodes.join(known, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("n")), "left")
-    nodes = nodes.select("tree", "node", F.when(F.col("n").isNotNull() & (F.col("n") != F.col("node")), F.col("n")).alias("up"), F.array("node").alias("nodes"), "score", (F.col("n") == F.col("node")).alias("loop"))
-    nodes = materialise(nodes.where("loop is null or not loop").drop("loop"), "chat-nodes")
-    parents = nodes.select("tree", F.col("up").alias("node")).where("node is not null").distinct()
-    leaves = nodes.select("tree", "node").join(parents, ["tree", "node"], "left_anti")
+    above = (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("n")) & (F.col("parent") != F.col("node"))
+    nodes = materialise(nodes.join(known, above, "left").select("tree", "node", F.col("n").alias("up"), "score"), "chat-nodes")
+    leaves = nodes.select("tree", "node").join(nodes.where("up is not null").select("tree", F.col("up").alias("node")).distinct(), ["tree", "node"], "left_anti")
     deepest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    length = 1
-    while length < deepest and not nodes.where("up is not null").isEmpty():
-        above = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("nodes").alias("above"), F.col("score").alias("more"))
-        on = (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n"))
-        joined = nodes.join(above, on, "left")
-        nodes = joined.select("tree", "node", F.col("up2").alias("up"), F.when(F.col("n").isNull(), F.col("nodes")).otherwise(F.concat("above", "nodes")).alias("nodes"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
-        nodes = materialise(nodes, "chat-paths")
-        length *= 2
-    whole = nodes.where("up is null").join(leaves, ["tree", "node"], "left_semi")
+    jumps, state = [], nodes
+    while 1 << len(jumps) < deepest:
+        going = state.where("up is not null")
+        if going.isEmpty():
+            break
+        jumps.append(going.select("tree", "node", "up"))
+        far = state.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("far"), F.col("score").alias("more"))
+        step = going.join(far, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")))
+        step = step.select("tree", "node", F.col("far").alias("up"), (F.col("score") + F.col("more")).alias("score"))
+        state = materialise(state.where("up is null").unionByName(step), "chat-jumps")
+    whole = state.where("up is null").join(leaves, ["tree", "node"], "left_semi")
     branch = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))
-    whole = whole.select("tree", F.col("node").alias("leaf"), "score", branch.alias("branch"), "nodes")
-    return whole if keep is None else whole.where(F.col("branch") <= keep)
+    whole = whole.select("tree", F.col("node").alias("leaf"), "score", branch.alias("branch"))
+    chosen = materialise(whole if keep is None else whole.where(F.col("branch") <= keep), "chat-leaves")
+    walked = chosen.withColumn("node", F.col("leaf")).withColumn("back", F.lit(0))
+    for j in range(len(jumps) - 1, -1, -1):
+        on = walked.join(jumps[j], ["tree", "node"]).select("tree", "leaf", "score", "branch", F.col("up").alias("node"), (F.col("back") + (1 << j)).alias("back"))
+        walked = materialise(walked.unionByName(on), "chat-paths")
+    return walked
 
 
-def format_paths(messages: DataFrame, chosen: DataFrame) -> DataFrame:
-    """One conversation for each chosen path: tree, leaf, branch, n_turns, formatted, loss_spans.
+def format_paths(messages: DataFrame, steps: DataFrame) -> DataFrame:
+    """One conversation for each path in steps (tree, leaf, branch, node, back): tree, leaf, branch, n_turns, formatted, loss_spans.
 
     messages: tree, node, role, text; null role or text is empty. loss_spans are [start, end) in code points of
     formatted, one for each text of LEARNED_ROLE, still escaped. Rows that repeat a node count once (the smallest
     role and text).
     """
     said = messages.groupBy("tree", "node").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("m"))
-    steps = chosen.select("tree", "leaf", "branch", F.posexplode("nodes").alias("place", "node"))
     role = escape(F.col("m.role"), ":\n")
-    turn = F.struct("place", (F.col("m.role") == LEARNED_ROLE).alias("learned"), F.concat(F.lit(OPEN), role, F.lit(AFTER_ROLE)).alias("head"), escape(F.col("m.text")).alias("body"))
+    turn = F.struct((-F.col("back")).alias("place"), (F.col("m.role") == LEARNED_ROLE).alias("learned"), F.concat(F.lit(OPEN), role, F.lit(AFTER_ROLE)).alias("head"), escape(F.col("m.text")).alias("body"))
     turns = steps.join(said, ["tree", "node"]).select("tree", "leaf", "branch", turn.alias("turn"))
     rows = turns.groupBy("tree", "leaf", "branch").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "")

@@ -129,8 +129,8 @@ def test_chat_trees(spark):
                 n = parent[n]
             want[tree, leaf] = (path[::-1], sum(score[x] for x in path))
     m = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
-    got = chat.paths(m, keep=None).collect()
-    assert {(r.tree, r.leaf): (r.nodes, r.score) for r in got} == want
+    got = chat.paths(m, keep=None).groupBy("tree", "leaf", "score").agg(F.sort_array(F.collect_list(F.struct(-F.col("back"), "node"))).alias("p")).collect()
+    assert {(r.tree, r.leaf): ([x.node for x in r.p], r.score) for r in got} == want
     best = {r.tree: r.leaf for r in chat.paths(m.unionByName(m), keep=1).collect()}
     assert best == {t: min((-want[k][1], k[1]) for k in want if k[0] == t)[1] for t in range(12)}
     assert chat.paths(m.limit(0)).count() == 0
