@@ -34,8 +34,18 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialise() has written for df, once what was made of it is written itself; then release()."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.written)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    release(df.sparkSession)
 
 
 def release(spark: SparkSession) -> None:

@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import materialise, mix, powers, release, shuffle_parts, slices, text_buffers
+from .common import discard, materialise, mix, powers, release, shuffle_parts, slices, text_buffers
 
 #: Length of the strings that count as repeats, and of the anchors: every window of LENGTH bytes holds one.
 LENGTH, K = 50, 24
@@ -41,6 +42,22 @@ QUEUE_BYTES = 96 << 20
 TUPLE = np.dtype([("anchor", "<u8"), ("ctx", "u1", CONTEXT), ("lo", "u1"), ("hi", "u1"), ("doc", "<i8"), ("run", "<i8"), ("id", "<u4")])
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Tuples field by field, compressed."""
+    return zstandard.compress(b"".join(x[n].tobytes() for n in TUPLE.names), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    raw = zstandard.decompress(data)
+    x = np.zeros(len(raw) // TUPLE.itemsize, TUPLE)
+    at = 0
+    for name in TUPLE.names:
+        size = len(x) * TUPLE[name].itemsize
+        x[name] = np.frombuffer(raw, TUPLE[name].base, size // TUPLE[name].base.itemsize, at).reshape(x[name].shape)
+        at += size
+    return x
+
+
 def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, place, hash, lo, hi) of all anchors: they own the windows that start hi to lo bytes before them.
 
@@ -305,9 +322,9 @@ def _contexts(parts: int):
                 x["anchor"], x["ctx"], x["lo"], x["hi"], x["doc"], x["run"], x["id"] = hashes[one], ctx[one], lo[one], hi[one], low, serial, np.arange(len(one))
                 to = (x["anchor"] % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
-                rows = [(p, 0, serial, t.tobytes(), b"", b"", b"") for p, t in _grouped(to[order], x[order])]
+                rows = [(p, 0, serial, pack(t), b"", b"", b"") for p, t in _grouped(to[order], x[order])]
                 held = np.stack((doc, place - at[doc], same, lo, hi)).astype(np.int32)
-                rows.append((-1, 1, serial, held.tobytes(), docs[first:last].tobytes(), ids[first:last].astype(np.int64).tobytes(), low.tobytes()))
+                rows.append((-1, 1, serial, zstandard.compress(held.tobytes(), 1), docs[first:last].tobytes(), ids[first:last].astype(np.int64).tobytes(), low.tobytes()))
                 kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["part", "kind", "run", "data", "docs", "ids", "low"])
 
@@ -318,8 +335,8 @@ def _sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """part, data -> run, hits: what each run needs to know of its tuples."""
     queue = TupleQueue()
     for batch in batches:
-        for data in batch.column(1):
-            queue.push(np.frombuffer(data.as_buffer(), TUPLE))
+        for data in batch.column(1).to_pylist():
+            queue.push(unpack(data))
     kind = np.dtype([("id", "<u4"), ("o", "u1"), ("doc", "<i8")])
     for x in queue.pop():
         t, o, doc = induce(x)
@@ -337,7 +354,7 @@ def _spans(held: pa.Table, hits: pa.Table) -> pa.Table:
     out: list[tuple[int, int, bytes]] = []
     kind = np.dtype([("id", "<u4"), ("o", "u1"), ("doc", "<i8")])
     for row in held.select(["data", "docs", "ids", "low"]).to_pylist():
-        doc, place, same, lo, hi = np.frombuffer(row["data"], np.int32).reshape(5, -1).astype(np.int64)
+        doc, place, same, lo, hi = np.frombuffer(zstandard.decompress(row["data"]), np.int32).reshape(5, -1).astype(np.int64)
         docs, ids, low = (np.frombuffer(row[c], np.int64) for c in ("docs", "ids", "low"))
         best = np.repeat(low[:, None], WINDOW, axis=1)  # of each tuple and window
         got = [np.frombuffer(h, kind) for h in hits.column("hits").to_pylist()]
@@ -393,12 +410,12 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     flagged = rows.join(shared, ["doc_id", "text_id", "text_id2"])
     tuples = flagged.select("doc_id", "text_id", "text", "codes").mapInArrow(_contexts(parts), "part int, kind int, run long, data binary, docs binary, ids binary, low binary")
     tuples = materialise(tuples, "suffix-tuples")
-    release(spark)
+    discard(shared)
     hits = tuples.where("kind = 0").select("part", "data").repartition(parts, "part").mapInArrow(_sort_shard, "run long, hits binary")
     held = tuples.where("kind = 1").select("run", "data", "docs", "ids", "low")
     spans = held.groupBy("run").cogroup(hits.groupBy("run")).applyInArrow(_spans, "doc_id long, text_id long, spans binary")
     spans = materialise(spans.dropDuplicates(["text_id", "doc_id"]), "suffix-spans")
-    release(spark)
+    discard(tuples)
     return first.join(spans.withColumnRenamed("doc_id", "first"), ["text_id", "first"], "left")
 
 
