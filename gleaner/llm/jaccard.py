@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, shuffle_parts, slices, text_buffers, word_hashes
+from .common import discard, materialise, mix, release, shuffle_parts, slices, text_buffers, word_hashes
 
 #: Words of a shingle, and the link condition 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 75
@@ -145,42 +145,77 @@ def _emit(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["part", "kind", "keys", "names", "sizes", "counts"])
 
 
-def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From blocks: point, n, local (shared within its run) and found (shared across runs)."""
+#: What is known of a point: its shingles, those shared within its run, and those found shared across runs.
+_COUNT = np.dtype([("point", "<i8"), ("n", "<u4"), ("local", "<u4"), ("found", "<u4")])
+_NONE = np.uint32(0xFFFFFFFF)
 
-    def out(name, n, local, found):
-        k = len(name)
-        nothing = np.zeros(k, np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(name, pa.int64()), pa.array(nothing if n is None else n.astype(np.int64), mask=np.full(k, n is None)), pa.array(nothing if local is None else local.astype(np.int64), mask=np.full(k, local is None)), pa.array(nothing if found is None else found.astype(np.int64))],
-            ["point", "n", "local", "found"],
-        )
 
-    held: dict[int, list[tuple]] = {}
-    for batch in batches:
-        for part, kind, keys, names, sizes, counts in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if kind == 1:
-                yield out(np.frombuffer(names, np.int64), np.frombuffer(sizes, np.uint32), np.frombuffer(counts, np.uint32), None)
-            else:
-                held.setdefault(part, []).append((kind, keys, names, counts))
-    for part in sorted(held):
-        blocks = held.pop(part)
-        key = np.concatenate([np.frombuffer(b[1], np.uint32) for b in blocks])
-        name = np.concatenate([np.repeat(np.frombuffer(b[2], np.int64), np.frombuffer(b[3], np.uint32)) for b in blocks])
-        counted = np.concatenate([np.full(len(b[1]) // 4, b[0] == 2) for b in blocks])
-        del blocks
-        order = np.lexsort((counted, name, key))  # an uncounted row comes first among its equals
-        key, name, counted = key[order], name[order], counted[order]
-        first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-        key, name, counted = key[first], name[first], counted[first]
-        twin = np.zeros(len(key), bool)
-        same = key[1:] == key[:-1]
-        twin[1:] |= same
-        twin[:-1] |= same
-        who, n = np.unique(name[twin & ~counted], return_counts=True)
-        if len(who):
-            yield out(who, None, None, n)
+def _merged(counts: list[np.ndarray]) -> np.ndarray:
+    """One row a point: largest n, smallest local, all found."""
+    x = np.concatenate(counts) if counts else np.zeros(0, _COUNT)
+    if not len(x):
+        return x
+    x = x[np.argsort(x["point"], kind="stable")]
+    first = np.flatnonzero(np.append(True, x["point"][1:] != x["point"][:-1]))
+    out = np.zeros(len(first), _COUNT)
+    out["point"], out["n"], out["local"] = x["point"][first], np.maximum.reduceat(x["n"], first), np.minimum.reduceat(x["local"], first)
+    out["found"] = np.add.reduceat(x["found"].astype(np.int64), first)
+    return out
+
+
+def _shared_in(blocks: list[tuple]) -> np.ndarray:
+    """Points of one part with the number of their keys that another point has, if no run has counted them."""
+    key = np.concatenate([np.frombuffer(b[1], np.uint32) for b in blocks])
+    name = np.concatenate([np.repeat(np.frombuffer(b[2], np.int64), np.frombuffer(b[3], np.uint32)) for b in blocks])
+    counted = np.concatenate([np.full(len(b[1]) // 4, b[0] == 2) for b in blocks])
+    order = np.lexsort((counted, name, key))  # an uncounted row comes first among its equals
+    key, name, counted = key[order], name[order], counted[order]
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+    key, name, counted = key[first], name[first], counted[first]
+    twin = np.zeros(len(key), bool)
+    same = key[1:] == key[:-1]
+    twin[1:] |= same
+    twin[:-1] |= same
+    who, n = np.unique(name[twin & ~counted], return_counts=True)
+    out = np.zeros(len(who), _COUNT)
+    out["point"], out["local"], out["found"] = who, _NONE, n
+    return out
+
+
+def _count_shared(buckets: int):
+    """From blocks, one packed block of counts for each bucket of points and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        counts: list[np.ndarray] = []
+        for batch in batches:
+            for part, kind, keys, names, sizes, local in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if kind == 1:
+                    one = np.zeros(len(names) // 8, _COUNT)
+                    one["point"], one["n"], one["local"] = np.frombuffer(names, np.int64), np.frombuffer(sizes, np.uint32), np.frombuffer(local, np.uint32)
+                    counts.append(one)
+                else:
+                    held.setdefault(part, []).append((kind, keys, names, local))
+        for part in sorted(held):
+            counts.append(_shared_in(held.pop(part)))
+        merged = _merged(counts)
+        to = merged["point"] % buckets
+        order = np.argsort(to, kind="stable")
+        to, merged = to[order], merged[order]
+        first = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
+        ends = np.append(first[1:], len(to))[: len(first)]
+        yield pa.RecordBatch.from_arrays([pa.array(to[first].astype(np.int32)), pa.array([merged[i:j].tobytes() for i, j in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())], ["bucket", "counts"])
+
+    return run
+
+
+def _pick_survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    x = _merged([np.frombuffer(c, _COUNT) for batch in batches for c in batch.column(1).to_pylist()])
+    shared = np.where(x["local"] == _NONE, 0, x["local"]).astype(np.int64) + x["found"]
+    keep = shared * 100 >= x["n"].astype(np.int64) * PERCENT
+    x, shared = x[keep], shared[keep]
+    yield pa.RecordBatch.from_arrays([pa.array(x["point"]), pa.array(x["n"].astype(np.int64)), pa.array(np.minimum(shared, x["n"]) / np.maximum(x["n"], 1))], ["point", "n", "central"])
 
 
 def _survivors(blocks: DataFrame) -> DataFrame:
@@ -189,9 +224,9 @@ def _survivors(blocks: DataFrame) -> DataFrame:
     The count never falls short: of the runs that hold a point each gives local + found at least.
     """
     parts = shuffle_parts(blocks.sparkSession)
-    found = blocks.repartition(parts, "part").mapInArrow(_count_shared, "point long, n long, local long, found long")
-    rows = found.groupBy("point").agg(F.max("n").alias("n"), (F.min("local") + F.sum("found")).alias("shared"))
-    return rows.where(F.col("shared") * 100 >= F.col("n") * PERCENT).select("point", "n", (F.least("shared", "n") / F.col("n")).alias("central"))
+    buckets = max(1, parts // 8)  # of points: a block of counts is some hundred rows at any size
+    found = blocks.repartition(parts, "part").mapInArrow(_count_shared(buckets), "bucket int, counts binary")
+    return found.repartition(buckets, "bucket").mapInArrow(_pick_survivors, "point long, n long, central double")
 
 
 def _text_blocks(docs: DataFrame, text: str) -> DataFrame:
@@ -326,20 +361,28 @@ def links(sets: DataFrame) -> DataFrame:
     union = F.col("n_pivot") + F.col("n_point") - F.col("common")
     near = near.select("pivot", "point", (F.col("common") * 100 >= union * PERCENT).alias("core"), (1 - F.col("common") / union).alias("d"))
     near = materialise(near, "jaccard-regions")
+    discard(cells)
     stars = near.where("core").select(F.col("pivot").alias("a"), F.col("point").alias("b"))
-    # What is left: pairs with a point outside the radius, within the window of distances to the pivot.
+    # What is left: pairs of different components with a point outside the radius, within the window of distances.
+    roots = components(stars).select("point", F.col("root").alias("r"))
     outer = near.where("not core").groupBy("pivot").agg(F.min("d").alias("from_d"), F.max("d").alias("to_d"))
     slack = RADIUS + 1e-9
     active = near.join(outer, "pivot").where((~F.col("core")) | ((F.col("d") >= F.col("from_d") - slack) & (F.col("d") <= F.col("to_d") + slack)))
-    active = active.select("pivot", "point", "core", F.floor(F.col("d") / STEP).cast("int").alias("ring"))
-    rings = active.groupBy("pivot", "core", "ring").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("salts"))
-    active = active.join(rings, ["pivot", "core", "ring"]).select("pivot", "point", F.struct("core", "ring", F.pmod(F.xxhash64("point"), "salts").cast("int").alias("salt")).alias("sub"))
+    active = active.join(roots, "point", "left").select("pivot", "point", "core", F.floor(F.col("d") / STEP).cast("int").alias("ring"), F.coalesce("r", "point").alias("root"))
     active = materialise(active, "jaccard-active")
-    subs = active.groupBy("pivot", "sub").agg(F.count("*").alias("n"))
-    other = subs.select(F.col("pivot").alias("p2"), F.col("sub").alias("sub2"), F.col("n").alias("n2"))
+    several = active.groupBy("pivot").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("pivot")
+    rings = active.groupBy("pivot", "core", "ring").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("salts"))
+    # Points of one component keep together, unless they are too many for one sub-region.
+    salt = F.pmod(F.xxhash64("root") + F.pmod(F.xxhash64("point"), F.ceil(F.col("same") / LEAF)), F.col("salts")).cast("int")
+    alike = active.groupBy("pivot", "core", "ring", "root").agg(F.count("*").alias("same"))
+    active = active.join(several, "pivot").join(rings, ["pivot", "core", "ring"]).join(alike, ["pivot", "core", "ring", "root"])
+    active = materialise(active.select("pivot", "point", "root", F.struct("core", "ring", salt.alias("salt")).alias("sub")), "jaccard-subs")
+    subs = active.groupBy("pivot", "sub").agg(F.count("*").alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+    other = subs.select(F.col("pivot").alias("p2"), F.col("sub").alias("sub2"), F.col("r1").alias("s1"), F.col("r2").alias("s2"))
     window = F.abs(F.col("sub.ring") - F.col("sub2.ring")) <= int(np.ceil(RADIUS / STEP)) + 1
     pairs = subs.join(other, (F.col("pivot") == F.col("p2")) & (F.col("sub") <= F.col("sub2")) & window)
-    pairs = pairs.where(~(F.col("sub.core") & F.col("sub2.core")) & ((F.col("sub") != F.col("sub2")) | (F.col("n") > 1))).select("pivot", "sub", "sub2")
+    joined = (F.least("r1", "s1") == F.greatest("r2", "s2")) | (F.col("sub.core") & F.col("sub2.core"))
+    pairs = pairs.where(~joined).select("pivot", "sub", "sub2")
     sides = pairs.select("pivot", "sub", F.xxhash64("pivot", "sub", "sub2").alias("pair"), F.lit(0).alias("side"))
     sides = sides.unionByName(pairs.where(F.col("sub") != F.col("sub2")).select("pivot", F.col("sub2").alias("sub"), F.xxhash64("pivot", "sub", "sub2").alias("pair"), F.lit(1).alias("side")))
     met = sides.join(active, ["pivot", "sub"]).select("pair", "side", "point").join(own, "point")
@@ -377,6 +420,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = materialise(measure(docs, key, text), "jaccard-rows")
     first = rows.where("point is not null").groupBy("point").agg(F.min("key").alias("key"))
     kept = materialise(_survivors(_text_blocks(docs, text)), "jaccard-kept")
+    release(docs.sparkSession)
     wanted = materialise(kept.join(first, "point").select("key", "point"), "jaccard-wanted")
     few = wanted.count() <= BROADCAST_ROWS
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(F.broadcast(wanted) if few else wanted, "key")

@@ -93,12 +93,9 @@ def test_shared_count_never_short():
         each = [sets[i] for i in run]
         b = np.concatenate(([0], np.cumsum([len(s) for s in each])))
         rows += list(jaccard._pack(np.concatenate(each), b, names[list(run)], 3))
-    local, found = {}, {}
-    for batch in jaccard._count_shared(iter([jaccard._emit(rows)])):
-        for r in batch.to_pylist():
-            found[r["point"]] = found.get(r["point"], 0) + r["found"]
-            if r["local"] is not None:
-                local[r["point"]] = min(local.get(r["point"], 10**9), r["local"])
+    blocks = [jaccard._emit(rows)]
+    counts = [c for batch in jaccard._count_shared(4)(iter(blocks)) for c in batch.column(1).to_pylist()]
+    got = {r["point"]: r for r in jaccard._merged([np.frombuffer(c, jaccard._COUNT) for c in counts])}
     for i, s in enumerate(sets):
         true = sum(any(v in t for j, t in enumerate(sets) if names[j] != names[i]) for v in s)
-        assert local[names[i]] + found.get(names[i], 0) >= true
+        assert got[names[i]]["local"] + got[names[i]]["found"] >= true and got[names[i]]["n"] == len(s)
