@@ -370,12 +370,15 @@ def links(sets: DataFrame) -> DataFrame:
     active = near.join(outer, "pivot").where((~F.col("core")) | ((F.col("d") >= F.col("from_d") - slack) & (F.col("d") <= F.col("to_d") + slack)))
     active = active.join(roots, "point", "left").select("pivot", "point", "core", F.floor(F.col("d") / STEP).cast("int").alias("ring"), F.coalesce("r", "point").alias("root"))
     active = materialise(active, "jaccard-active")
-    several = active.groupBy("pivot").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("pivot")
+    several = active.groupBy("pivot").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("members")).where("r1 <> r2").select("pivot", "members")
+    # A region that fits into one sub-region is joined whole, so that each of its points is sent once.
+    large = F.col("members") > LEAF
+    active = active.join(several, "pivot").withColumn("core", F.col("core") & large).withColumn("ring", F.when(large, F.col("ring")).otherwise(0))
     rings = active.groupBy("pivot", "core", "ring").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("salts"))
     # Points of one component keep together, unless they are too many for one sub-region.
     salt = F.pmod(F.xxhash64("root") + F.pmod(F.xxhash64("point"), F.ceil(F.col("same") / LEAF)), F.col("salts")).cast("int")
     alike = active.groupBy("pivot", "core", "ring", "root").agg(F.count("*").alias("same"))
-    active = active.join(several, "pivot").join(rings, ["pivot", "core", "ring"]).join(alike, ["pivot", "core", "ring", "root"])
+    active = active.join(rings, ["pivot", "core", "ring"]).join(alike, ["pivot", "core", "ring", "root"])
     active = materialise(active.select("pivot", "point", "root", F.struct("core", "ring", salt.alias("salt")).alias("sub")), "jaccard-subs")
     subs = active.groupBy("pivot", "sub").agg(F.count("*").alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2"))
     other = subs.select(F.col("pivot").alias("p2"), F.col("sub").alias("sub2"), F.col("r1").alias("s1"), F.col("r2").alias("s2"))
