@@ -42,19 +42,27 @@ QUEUE_BYTES = 96 << 20
 TUPLE = np.dtype([("anchor", "<u8"), ("ctx", "u1", CONTEXT), ("lo", "u1"), ("hi", "u1"), ("doc", "<i8"), ("run", "<i8"), ("id", "<u4")])
 
 
+#: Fields that are sent; the anchor follows from the bytes.
+_SENT = tuple(n for n in TUPLE.names if n != "anchor")
+
+
 def pack(x: np.ndarray) -> bytes:
     """Tuples field by field, compressed."""
-    return zstandard.compress(b"".join(x[n].tobytes() for n in TUPLE.names), 1)
+    return zstandard.compress(b"".join(x[n].tobytes() for n in _SENT), 3)
 
 
 def unpack(data: bytes) -> np.ndarray:
     raw = zstandard.decompress(data)
-    x = np.zeros(len(raw) // TUPLE.itemsize, TUPLE)
+    x = np.zeros(len(raw) // (TUPLE.itemsize - 8), TUPLE)
     at = 0
-    for name in TUPLE.names:
+    for name in _SENT:
         size = len(x) * TUPLE[name].itemsize
         x[name] = np.frombuffer(raw, TUPLE[name].base, size // TUPLE[name].base.itemsize, at).reshape(x[name].shape)
         at += size
+    with np.errstate(over="ignore"):
+        for i, power in enumerate(powers(K)[0]):
+            x["anchor"] += (x["ctx"][:, WINDOW - 1 + i].astype(np.uint64) + np.uint64(1)) * power
+    x["anchor"] = mix(x["anchor"])
     return x
 
 
@@ -128,7 +136,7 @@ def _pack(doc: np.ndarray, code: np.ndarray, names: np.ndarray, parts: int) -> l
     rows = []
     local = np.argsort(doc[shared], kind="stable")
     for d, codes in _grouped(doc[shared][local], code[shared][local]):
-        rows.append((int(names[d] % parts), 1, codes.tobytes(), names[d : d + 1].tobytes(), b""))
+        rows.append((int(names[d] % parts), 1, _MIXED + codes.tobytes(), names[d : d + 1].tobytes(), b""))
     send = ~shared | (np.arange(len(code)) - first[run] < 2) if len(code) else shared
     doc, code, shared = doc[send], code[send], shared[send]
     part = (code % np.uint64(parts)).astype(np.int64)
@@ -178,13 +186,28 @@ def _shared_codes(parts: int):
             twin[:-1] |= same
             key, name = key[twin & ~known], name[twin & ~known]
             order = np.argsort(name, kind="stable")
-            codes = key[order].astype(np.uint64) * np.uint64(parts) + np.uint64(part)
-            if len(codes):
-                yield out([(n, c.tobytes()) for n, c in _grouped(name[order], codes)])
+            head = np.uint32(part).tobytes()
+            if len(key):
+                yield out([(n, head + c.tobytes()) for n, c in _grouped(name[order], key[order])])
 
     return run
 
 
+#: Before codes of any part; keys of one part have that part before them.
+_MIXED = b"\xff\xff\xff\xff"
+
+
+def _read_codes(blocks: list[bytes], parts: int) -> np.ndarray:
+    """The codes of packed blocks."""
+    out = [np.zeros(0, np.uint64)]
+    for b in blocks:
+        if b[:4] == _MIXED:
+            out.append(np.frombuffer(b, np.uint64, offset=4))
+        else:
+            out.append(np.frombuffer(b, np.uint32, offset=4).astype(np.uint64) * np.uint64(parts) + np.uint64(int.from_bytes(b[:4], "little")))
+    return np.concatenate(out)
+
+
 def _codes(hashes: np.ndarray, parts: int) -> np.ndarray:
     """Part and 32-bit key of a hash as one number."""
     return hashes % np.uint64(parts << 32)
@@ -303,7 +326,7 @@ def _contexts(parts: int):
                 edges = np.searchsorted(doc, np.arange(last - first + 1))
                 for d in range(last - first):
                     if wanted[first + d] and edges[d] < edges[d + 1]:
-                        keep[edges[d] : edges[d + 1]] = np.isin(code[edges[d] : edges[d + 1]], np.frombuffer(b"".join(wanted[first + d]), np.uint64))
+                        keep[edges[d] : edges[d + 1]] = np.isin(code[edges[d] : edges[d + 1]], _read_codes(wanted[first + d], parts))
                 doc, place, hashes, lo, hi = doc[keep], place[keep], hashes[keep], lo[keep], hi[keep]
                 if not len(doc):
                     continue
