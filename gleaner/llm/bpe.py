@@ -15,7 +15,7 @@ from .common import materialise
 #: Buckets of the literal tables; a lookup hashes to a bucket and scans its few entries.
 BUCKETS = 1 << 16
 #: So many of the most frequent distinct words are folded once and become a literal; all others are folded in place.
-HOT_WORDS = 150_000
+HOT_WORDS = 50_000
 #: Words beyond so many bytes are never in the literal of hot words, which bounds its size.
 HOT_BYTES = 32
 
@@ -27,21 +27,24 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def _literal(value: object, kind: str) -> str:
-    """SQL of a constant, which the optimiser folds once."""
-    text = json.dumps(value, separators=(",", ":")).replace("\\", "\\\\").replace("'", "\\'")
-    return f"from_json('{text}', '{kind}')"
+def _constant(text: str, kind: str) -> Column:
+    """A constant of JSON, which the optimiser folds once; as a literal, it costs the SQL parser nothing."""
+    return F.from_json(F.lit(text), kind)
+
+
+def _json(value: object) -> str:
+    return json.dumps(value, separators=(",", ":"))
 
 
 def _bucket(key: Column) -> Column:
     return (F.crc32(key.cast("binary")).bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int")
 
 
-def _table(entries: dict[str, object], kind: str) -> str:
+def _table(entries: dict[str, object]) -> str:
     buckets: list[dict[str, object]] = [{} for _ in range(BUCKETS)]
     for key, value in entries.items():
         buckets[zlib.crc32(key.encode()) & (BUCKETS - 1)][key] = value
-    return _literal(buckets, f"array<map<string,{kind}>>")
+    return _json(buckets)
 
 
 def _lookup(table: Column, key: Column) -> Column:
@@ -49,19 +52,27 @@ def _lookup(table: Column, key: Column) -> Column:
 
 
 @cache
-def rank_table(path: str) -> str:
+def _rank_json(path: str) -> str:
+    return _table({piece.hex().upper(): rank for piece, rank in load_ranks(path).items()})
+
+
+def rank_table(path: str) -> Column:
     """Bucket of a piece (in hexadecimal) to its rank."""
-    return _table({piece.hex().upper(): rank for piece, rank in load_ranks(path).items()}, "int")
+    return _constant(_rank_json(path), "array<map<string,int>>")
 
 
 @cache
-def piece_table(path: str) -> str:
-    """The piece of each rank, in hexadecimal; ranks without piece are empty."""
+def _piece_json(path: str) -> str:
     ranks = load_ranks(path)
     pieces = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece.hex().upper()
-    return _literal(pieces, "array<string>")
+    return _json(pieces)
+
+
+def piece_table(path: str) -> Column:
+    """The piece of each rank, in hexadecimal; ranks without piece are empty."""
+    return _constant(_piece_json(path), "array<string>")
 
 
 def words(text: Column, pattern: str) -> Column:
@@ -77,44 +88,51 @@ def _bound(value: Column, use) -> Column:
 def fold(word: Column, ranks: Column) -> Column:
     """Token ids of one word: its own rank if it has one, else ranked merges folded over its bytes.
 
-    Each step of the fold merges the adjacent pair of lowest rank, the first of equals, until no pair has a rank.
+    Each step of the fold merges the adjacent pair of lowest rank, the first of equals, until no pair has a rank. The
+    state keeps the ranks of all pairs, so a merge looks up its two neighbours only.
     """
+    none = F.array().cast("array<int>")
     pieces = F.regexp_extract_all(F.hex(word.cast("binary")), F.lit(".."), F.lit(0))
 
-    def step(parts: Column, _: Column) -> Column:
-        pairs = F.transform(
-            F.slice(parts, 2, F.size(parts)),
-            lambda right, i: F.shiftleft(_lookup(ranks, F.concat(F.get(parts, i), right)).cast("bigint"), 32) + i,
-        )
+    def state(parts: Column, pairs: Column) -> Column:
+        return F.struct(parts.alias("parts"), pairs.alias("pairs"))
+
+    def merge(s: Column, i: Column) -> Column:
+        parts, pairs = s["parts"], s["pairs"]
+        n = F.size(parts)
+
+        def around(merged: Column) -> Column:
+            left = F.when(i > 0, F.array(_lookup(ranks, F.concat(F.get(parts, i - 1), merged)))).otherwise(none)
+            right = F.when(i + 2 < n, F.array(_lookup(ranks, F.concat(merged, F.get(parts, i + 2))))).otherwise(none)
+            return state(
+                F.concat(F.slice(parts, 1, i), F.array(merged), F.slice(parts, i + 3, n)),
+                F.concat(F.slice(pairs, 1, F.greatest(i - 1, F.lit(0))), left, right, F.slice(pairs, i + 3, n)),
+            )
+
+        return _bound(F.concat(F.get(parts, i), F.get(parts, i + 1)), around)
+
+    def step(s: Column, _: Column) -> Column:
         return _bound(
-            F.array_min(pairs),
-            lambda best: F.when(best.isNull(), parts).otherwise(
-                _bound(
-                    best.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"),
-                    lambda i: F.concat(
-                        F.slice(parts, 1, i),
-                        F.array(F.concat(F.get(parts, i), F.get(parts, i + 1))),
-                        F.slice(parts, i + 3, F.size(parts)),
-                    ),
-                )
-            ),
+            F.array_min(s["pairs"]),
+            lambda best: F.when(best.isNull(), s).otherwise(_bound((F.array_position(s["pairs"], best) - 1).cast("int"), lambda i: merge(s, i))),
         )
 
     def merged(parts: Column) -> Column:
-        folded = F.aggregate(F.slice(parts, 2, F.size(parts)), parts, step)
+        pairs = F.transform(F.slice(parts, 2, F.size(parts)), lambda right, i: _lookup(ranks, F.concat(F.get(parts, i), right)))
+        folded = F.aggregate(F.slice(parts, 2, F.size(parts)), state(parts, pairs), step, lambda s: s["parts"])
         return F.transform(folded, lambda p: _lookup(ranks, p))
 
     whole = _lookup(ranks, F.hex(word.cast("binary")))
     return F.when(whole.isNotNull(), F.array(whole)).otherwise(_bound(pieces, merged))
 
 
-def hot_words(docs: DataFrame, text: str, pattern: str, ranks: str) -> str:
-    """Literal of the HOT_WORDS most frequent distinct words of all documents, each folded once, to their ids."""
+def hot_words(docs: DataFrame, text: str, pattern: str, ranks: Column) -> Column:
+    """Constant of the HOT_WORDS most frequent distinct words of all documents, each folded once, to their ids."""
     counted = docs.select(F.explode(words(F.col(text), pattern)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     counted = counted.where(F.octet_length("w") <= HOT_BYTES).orderBy(F.desc("n"), "w").limit(HOT_WORDS)
-    counted = materialise(counted, "bpe-hot").repartition(64, "w")
-    rows = counted.select("w", fold(F.col("w"), F.expr(ranks)).alias("ids")).toPandas()
-    return _table({w: [int(i) for i in ids] for w, ids in zip(rows.w, rows.ids, strict=True)}, "array<int>")
+    counted = materialise(counted, "bpe-hot").repartition(8, "w")
+    rows = counted.select("w", _bound(ranks, lambda table: fold(F.col("w"), table)).alias("ids")).toLocalIterator()
+    return _constant(_table({r.w: r.ids for r in rows}), "array<map<string,array<int>>>")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -126,19 +144,20 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     once and looked up, all others are folded where they stand, so no words are shuffled beyond that count.
     """
     ranks = rank_table(path)
-    hot = F.expr(hot_words(docs, text, pattern, ranks))
-    table = F.expr(ranks)
-    ids = F.flatten(F.transform(words(F.col(text), pattern), lambda w: F.coalesce(_lookup(hot, w), fold(w, table))))
+    hot = hot_words(docs, text, pattern, ranks)
+    found = words(F.col(text), pattern)
+    # Every mention of a constant is a copy in each task, so each is mentioned once and bound to a name.
+    ids = _bound(ranks, lambda all_: _bound(hot, lambda often: F.flatten(F.transform(found, lambda w: F.coalesce(_lookup(often, w), fold(w, all_))))))
     return docs.withColumn("ids", ids)
 
 
 def decode(ids: Column, path: str) -> Column:
     """The bytes of an array of token ids: the pieces, concatenated. Null stays null."""
-    pieces = F.expr(piece_table(path))
+    pieces = piece_table(path)
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
 
 
-def little_endian(ids: Column) -> Column:
-    """The ids as little-endian unsigned 32-bit integers."""
-    swapped = lambda i: F.lpad(F.hex(F.shiftleft(i.bitwiseAND(F.lit(255)), 24).bitwiseOR(F.shiftleft(i.bitwiseAND(F.lit(0xFF00)), 8)).bitwiseOR(F.shiftright(i, 8).bitwiseAND(F.lit(0xFF00))).bitwiseOR(F.shiftrightunsigned(i, 24)).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
-    return F.unhex(F.array_join(F.transform(ids, swapped), ""))
+def little_endian(ids: Column, path: str) -> Column:
+    """The ids as little-endian unsigned 32-bit integers, through a constant of all of them in hexadecimal."""
+    coded = _constant(_json([i.to_bytes(4, "little").hex() for i in range(max(load_ranks(path).values()) + 1)]), "array<string>")
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(coded, i)), ""))

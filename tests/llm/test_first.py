@@ -252,7 +252,7 @@ def test_bpe(spark, sf_dir):
     texts = [*ODD, "don't I'LL 123  x\u2003y\u0085z \n\n a", "\U0001f600\U0001f468\u200d\U0001f469 ﷽ ½ ", "<|endoftext|>"] + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect()]
     docs = docs_of(spark, texts).withColumn("ids", F.lit(1))
     got = bpe.encode(docs, path, public_tokenizers.PATTERN)
-    for r in got.select("doc_id", "ids", bpe.decode(F.col("ids"), path).alias("back"), bpe.little_endian(F.col("ids")).alias("le")).collect():
+    for r in got.select("doc_id", "ids", bpe.decode(F.col("ids"), path).alias("back"), bpe.little_endian(F.col("ids"), path).alias("le")).collect():
         want = enc.encode_ordinary(texts[r.doc_id] or "")
         assert r.ids == want
         assert bytes(r.back) == (texts[r.doc_id] or "").encode() and bytes(r.le) == np.asarray(want, "<u4").tobytes()
