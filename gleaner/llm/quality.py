@@ -103,7 +103,10 @@ class Machine:
 
 
 def fit(x: np.ndarray, stats: np.ndarray, y: np.ndarray, seed: int = 7) -> Machine:
-    """Fit by Adam on the logistic loss, both labels weighing the same up to a factor of 3. x: dense word values."""
+    """Fit by Adam on the logistic loss, both labels weighing the same up to a factor of 3.
+
+    x: dense word values, with N_STATS columns at the end that this fills in.
+    """
     n = len(y)
     mean, scale = (stats.mean(0), stats.std(0) + 1e-6) if n else (np.zeros(N_STATS), np.ones(N_STATS))
     rng = np.random.default_rng(seed)
@@ -114,14 +117,15 @@ def fit(x: np.ndarray, stats: np.ndarray, y: np.ndarray, seed: int = 7) -> Machi
         return machine
     share = y.mean()
     weight = np.where(y == 1, min(1.0, 3 * (1 - share) / share), min(1.0, 3 * share / (1 - share))).astype(np.float32)
-    both = np.concatenate((x, machine.standard(stats).astype(np.float32)), axis=1)
+    x[:, BUCKETS:] = machine.standard(stats)
     params = [np.zeros(1, np.float32), machine.weights, machine.factors]
     first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(EPOCHS):
         order = rng.permutation(n)
         for i in range(0, n, BATCH):
             rows = order[i : i + BATCH]
-            xb, x2 = both[rows], both[rows] ** 2
+            xb = x[rows]
+            x2 = xb**2
             s = xb @ params[2]
             z = params[0] + xb @ params[1] + 0.5 * ((s * s).sum(1) - x2 @ (params[2] ** 2).sum(1))
             g = ((1 / (1 + np.exp(-z)) - y[rows]) * weight[rows] / len(rows)).astype(np.float32)
@@ -159,7 +163,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     got = rows.mapInArrow(run, "h long, y int, b binary, v binary, s binary").collect()
     got.sort(key=lambda r: (r.h, bytes(r.s)))
     got = got[:SAMPLE_ROWS]
-    x = np.zeros((len(got), BUCKETS), np.float32)
+    x = np.zeros((len(got), BUCKETS + N_STATS), np.float32)
     for i, r in enumerate(got):
         x[i, np.frombuffer(r.b, np.int16)] = np.frombuffer(r.v, np.float32)
     stats = np.array([np.frombuffer(r.s, np.float32) for r in got], np.float32).reshape(-1, N_STATS)
