@@ -66,9 +66,9 @@ def character_error_rate(reference: Column, hypothesis: Column) -> Column:
 
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance of token arrays over the reference's length: each distinct token becomes one private character."""
+    """Edit distance of token arrays over the reference's length: each distinct token becomes one character beyond the surrogates, of which there are a million."""
     words = F.array_distinct(F.concat(reference, hypothesis))
-    narrow = lambda a: F.array_join(F.transform(a, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x4E00) + F.array_position(words, t)), 4, "0")), "UTF-16BE")), "")
+    narrow = lambda a: F.array_join(F.transform(a, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x10000) + F.array_position(words, t)), 8, "0")), "UTF-32")), "")
     return F.levenshtein(narrow(reference), narrow(hypothesis)) / F.greatest(F.lit(1), F.size(reference))
 
 

@@ -127,10 +127,14 @@ def edit_operations(reference: list[str], hypothesis: list[str]) -> tuple[int, i
     """(substitutions, deletions, insertions) of one shortest edit; of equals the one with most substitutions."""
     n, m = len(reference), len(hypothesis)
     d = np.zeros((n + 1, m + 1), int)
-    d[:, 0], d[0, :] = np.arange(n + 1), np.arange(m + 1)
+    codes: dict[str, int] = {}
+    r, h = (np.array([codes.setdefault(t, len(codes)) for t in side], int) for side in (reference, hypothesis))
+    place = np.arange(m + 1)
+    d[:, 0], d[0, :] = np.arange(n + 1), place
     for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            d[i, j] = min(d[i - 1, j - 1] + (reference[i - 1] != hypothesis[j - 1]), d[i - 1, j] + 1, d[i, j - 1] + 1)
+        # A row at a time: insertions carry the least of what stands to the left, plus the distance.
+        d[i, 1:] = np.minimum(d[i - 1, :-1] + (h != r[i - 1]), d[i - 1, 1:] + 1)
+        d[i] = np.minimum.accumulate(d[i] - place) + place
     i, j, s, x, y = n, m, 0, 0, 0
     while i or j:
         if i and j and d[i, j] == d[i - 1, j - 1] + (reference[i - 1] != hypothesis[j - 1]):

@@ -192,6 +192,7 @@ j AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.n, 0) AS x, c
 
 
 def bags(spark: SparkSession, sf: str) -> DataFrame:
+    """The first two turns only, as the SQL says; bags_whole pairs every turn with the next."""
     rows = table(spark, sf, "conversations").where("turn in (0, 1)").select("conv_id", "turn", F.explode(tx.tokens(F.col("text"))).alias("t"))
     return rows.groupBy("conv_id", "t").agg(F.count_if(F.col("turn") == 0).alias("x"), F.count_if(F.col("turn") == 1).alias("y"))
 
@@ -208,6 +209,27 @@ def duplicate_content_rate(spark: SparkSession, sf: str) -> DataFrame:
     return bags(spark, sf).groupBy("conv_id").agg(F.round(F.coalesce(F.sum(extra) / F.nullif(F.sum("y"), F.lit(0)), F.lit(0.0)), 6).alias("rate"))
 
 
+def bags_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Each turn's bag against the next one's: conv_id, turn, t, x, y; a pair without tokens has one row of nulls."""
+    from .text_queries import turn_pairs
+
+    side = lambda c, x, y: F.transform(tx.tokens(F.col(c)), lambda t: F.struct(t.alias("t"), F.lit(x).alias("x"), F.lit(y).alias("y")))
+    rows = turn_pairs(spark, sf).na.fill("", ["reference"]).select("conv_id", "turn", F.explode_outer(F.concat(side("reference", 1, 0), side("hypothesis", 0, 1))).alias("s"))
+    return rows.groupBy("conv_id", "turn", "s.t").agg(F.coalesce(F.sum("s.x"), F.lit(0)).alias("x"), F.coalesce(F.sum("s.y"), F.lit(0)).alias("y"))
+
+
+@query()
+def bag_f1_whole(spark: SparkSession, sf: str) -> DataFrame:
+    sums = bags_whole(spark, sf).groupBy("conv_id", "turn").agg(F.sum(F.least("x", "y")).alias("c"), F.sum("y").alias("p"), F.sum("x").alias("e"))
+    return sums.select("conv_id", "turn", F.round(tx.bag_f1(F.col("c"), F.col("p"), F.col("e")), 6).alias("f1"))
+
+
+@query()
+def duplicate_content_rate_whole(spark: SparkSession, sf: str) -> DataFrame:
+    extra = F.when(F.col("y") > 1, F.greatest(F.lit(0), F.col("y") - F.col("x"))).otherwise(0)
+    return bags_whole(spark, sf).groupBy("conv_id", "turn").agg(F.round(F.coalesce(F.sum(extra) / F.nullif(F.sum("y"), F.lit(0)), F.lit(0.0)), 6).alias("rate"))
+
+
 @query("SELECT source, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM (SELECT source, count(*) FILTER (n_chars > 900 AND quality = 1) AS tp, count(*) FILTER (n_chars > 900 AND quality = 0) AS fp, count(*) FILTER (n_chars <= 900 AND quality = 1) AS fn FROM documents JOIN labels USING (doc_id) GROUP BY source)")
 def prf_by_source(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select("doc_id", "source", (F.col("n_chars") > 900).alias("said")).join(table(spark, sf, "labels"), "doc_id")
