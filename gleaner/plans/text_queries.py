@@ -189,6 +189,17 @@ def sentence_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.explode_spans(docs, chunking.sentence_windows).select("doc_id", "chunk_index", "start", "end")
 
 
+@query()
+def sentence_spans_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents; sentence_spans has the plain ones, as its SQL says."""
+    return chunking.explode_spans(table(spark, sf, "documents"), chunking.sentence_spans).select("doc_id", "chunk_index", "start", "end")
+
+
+@query()
+def sentence_chunks_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.explode_spans(table(spark, sf, "documents"), chunking.sentence_windows).select("doc_id", "chunk_index", "start", "end")
+
+
 def line_spans(spark: SparkSession, sf: str) -> DataFrame:
     start = F.col("l_linenumber") * 7 + F.col("l_suppkey") % 5
     return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), start.cast("int").alias("start"), F.round(start + F.col("l_quantity") / 4).cast("int").alias("end"))

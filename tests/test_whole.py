@@ -70,3 +70,44 @@ def test_bags_of_all_turns(spark, sf_dir):
         total = x.total() + y.total()
         assert f1[k].f1 == pytest.approx(2 * (x & y).total() / total if total else 1, abs=1e-6)
         assert rate[k].rate == pytest.approx(sum(max(0, n - x[t]) for t, n in y.items() if n > 1) / max(1, y.total()), abs=1e-6)
+
+
+def sentences(text):
+    """Sentence bounds by a scan of characters."""
+    out, at, n = [], 0, len(text)
+    while at < n:
+        if text[at] in ".!?\n":
+            at += 1
+            continue
+        end = at
+        while end < n and text[end] not in ".!?\n":
+            end += 1
+        if end < n and text[end] == "\n":
+            end += 1
+        else:
+            while end < n and text[end] in ".!?":
+                end += 1
+        out.append([at, end])
+        at = end
+    if out:
+        out[0][0], out[-1][1] = 0, n
+    return [tuple(x) for x in out]
+
+
+def test_sentences_of_all_documents(spark, sf_dir):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    want = {(d, i, *s) for d, t in texts.items() for i, s in enumerate(sentences(t))}
+    assert {tuple(r) for r in base.QUERIES["sentence_spans_whole"](spark, sf_dir).collect()} == want
+    chunks = set()
+    for d, t in texts.items():
+        s = sentences(t)
+        for i, first in enumerate(range(0, max(1, len(s) - 2), 6) if s else ()):
+            chunks.add((d, i, s[first][0], s[min(len(s), first + 8) - 1][1]))
+    assert {tuple(r) for r in base.QUERIES["sentence_chunks_whole"](spark, sf_dir).collect()} == chunks
+
+
+def test_missing_slots_of_all_hours(spark, sf_dir):
+    seen = {(f"g{r.user_id % 20}", int((r.ts - r.ts.replace(year=1970, month=1, day=1, hour=0, minute=0, second=0, microsecond=0)).total_seconds() // 3600)) for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts").collect()}
+    want = {(g, w) for g in {g for g, _ in seen} for w in {w for _, w in seen}} - seen
+    got = [tuple(r) for r in base.QUERIES["missing_slots_whole"](spark, sf_dir).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {w % 24 for _, w in want} != {0}
