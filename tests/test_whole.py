@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from gleaner.functions import text as tx
+from gleaner.llm import queries
 from gleaner.operators import matching
 from gleaner.plans import base
 
@@ -111,3 +112,20 @@ def test_missing_slots_of_all_hours(spark, sf_dir):
     want = {(g, w) for g in {g for g, _ in seen} for w in {w for _, w in seen}} - seen
     got = [tuple(r) for r in base.QUERIES["missing_slots_whole"](spark, sf_dir).collect()]
     assert len(got) == len(set(got)) and set(got) == want and {w % 24 for _, w in want} != {0}
+
+
+def test_all_spam_hosts(spark, sf_dir, tmp_path):
+    made = [f"http://{sub}{f}.{d}{tail}" for sub in ("", "m.") for f in ("casino-win", "free-bets", "cheap-pills", "adult-x", "ads-track", "spam-farm") for d in ("example.com", "example.net", "example.org") for tail in ("", "?x", "/", "/a")]
+    given = [r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("url").collect()]
+    urls = made + given + ["http://not-ads-track.example.com/a", "http://ads-track.example.edu/", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in queries.op8_urls_whole(spark, str(tmp_path)).collect()}
+    assert len(got) == len(urls)
+    spam = re.compile(r"^([^.]+\.)*(casino-win|free-bets|cheap-pills|adult-x|ads-track|spam-farm)\.example\.(com|net|org)$")
+    for i, u in enumerate(urls):
+        rest = re.match(r".*?://(.*)", u or "", re.S)
+        host = re.split("[/?#]", rest[1] if rest else "", maxsplit=1)[0].lower()
+        assert got[i].host == host
+        if got[i].rule is None:
+            assert got[i].verdict == ("block" if spam.match(host) else "allow"), u
+    assert sum(got[i].verdict == "block" for i in range(len(made)) if got[i].rule is None) > 40
