@@ -53,8 +53,8 @@ def earliest_matching(allowed: list[list[tuple[int, Fraction]]], columns: int) -
             scale = scale * d.denominator // np.gcd(scale, d.denominator)
     rows = len(allowed)
     top = 1 + sum(int(max((d for _, d in row), default=Fraction(0)) * scale) for row in allowed)
-    tie = (columns + 1) ** min(rows, 12)
-    cost = {(i, j): int(d * scale) * tie + (j * (columns + 1) ** max(0, min(rows, 12) - 1 - i)) for i, row in enumerate(allowed) for j, d in row}
+    tie = (columns + 1) ** rows
+    cost = {(i, j): int(d * scale) * tie + j * (columns + 1) ** (rows - 1 - i) for i, row in enumerate(allowed) for j, d in row}
     bonus = top * tie * 4
     match: dict[int, int] = {}
     # Successive cheapest augmenting paths (Bellman-Ford): after each, the matching is cheapest for its size.

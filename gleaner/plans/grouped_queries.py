@@ -8,7 +8,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -70,9 +70,13 @@ def occurrence_matching(spark: SparkSession, sf: str) -> DataFrame:
         pairs = matching.earliest_matching(allowed, len(b))
         return pd.DataFrame({"user_id": rows.user_id.iloc[0], "occurrence": [int(a.event_id.iloc[i]) for i, _ in pairs], "detection": [int(b.event_id.iloc[j]) for _, j in pairs]}, columns=["user_id", "occurrence", "detection"])
 
-    rows = table(spark, sf, "events").where("event_type in ('purchase', 'click')").select("user_id", "event_id", "event_type", micros("ts").alias("micros"), F.floor(micros("ts") / 86_400_000_000).alias("day"))
-    # A day of a user is a group, so no group grows with the length of the ledger.
-    return rows.groupBy("user_id", "day").applyInPandas(run, "user_id long, occurrence long, detection long")
+    rows = table(spark, sf, "events").where("event_type in ('purchase', 'click')").select("user_id", "event_id", "event_type", micros("ts").alias("micros"))
+    # A session ends where the last purchase is an hour or more ago, so no pair lies in two; sessions of one row match nothing.
+    before = Window.partitionBy("user_id").orderBy("micros", F.col("event_type") == "click", "event_id")
+    since = F.max(F.when(F.col("event_type") == "purchase", F.col("micros"))).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("away", F.coalesce(F.col("micros") - since >= 3_600_000_000, F.lit(True)))
+    rows = rows.withColumn("session", F.count_if("away").over(before.rowsBetween(Window.unboundedPreceding, 0))).withColumn("alone", F.col("away") & F.lead("away", 1, True).over(before)).where("not alone")
+    return rows.groupBy("user_id", "session").applyInPandas(run, "user_id long, occurrence long, detection long")
 
 
 def _turn_lists(spark: SparkSession, sf: str) -> DataFrame:

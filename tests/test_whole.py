@@ -1,11 +1,15 @@
 """Queries over whole inputs, against brute force on the same tables."""
 
 import re
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+import __spark_entry__  # noqa: F401
 from gleaner.functions import text as tx
 from gleaner.llm import queries
 from gleaner.operators import matching, retrieval
@@ -148,3 +152,22 @@ def test_ties_beyond_the_first_ranks(spark):
     assert retrieval.tie_recall(retrieval.cosine_top(small, asked, 10), ref).first().recall == 1
     by_label = retrieval.tie_reference(vectors, vectors.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label"), 10)
     assert [(r.strict, r.boundary) for r in by_label.collect()] == [(3, 50)]
+
+
+def test_matches_after_midnight(spark, tmp_path):
+    from datetime import datetime
+
+    at = lambda d, h, m, s=0: datetime(2024, 1, d, h, m, s)
+    rows = [(1, 7, "purchase", at(1, 23, 50)), (2, 7, "click", at(2, 0, 10)), (3, 7, "purchase", at(2, 0, 5)), (4, 7, "click", at(2, 1, 0)), (5, 7, "click", at(2, 9, 0)), (6, 8, "click", at(1, 5, 0)), (7, 8, "purchase", at(1, 5, 0)), (8, 9, "purchase", at(1, 5, 0)), (9, 9, "click", at(1, 6, 0))]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in base.QUERIES["occurrence_matching"](spark, str(tmp_path)).collect())
+    assert got == [(7, 1, 2), (7, 3, 4), (8, 7, 6)]
+
+
+def test_ties_in_large_groups():
+    from fractions import Fraction
+
+    # All delays equal: the smaller column for the smaller row, in every row; the last row has a choice of many.
+    n = 20
+    allowed = [[(j, Fraction(1)) for j in range(n, -1, -1)] for _ in range(n)]
+    assert matching.earliest_matching(allowed, n + 1) == [(i, i) for i in range(n)]
