@@ -150,7 +150,7 @@ def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def bootstrap_interval(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.bootstrap_mean(ledger(spark, sf), "latency", "source_group", ["event_type"], resamples=200)
+    return stats.bootstrap_mean(ledger(spark, sf), "latency", "source_group", ["event_type"], resamples=10_000)
 
 
 @query(f"WITH {RESULT_SQL} SELECT sample, max(value) FILTER (candidate = 'AF') AS af, max(value) FILTER (candidate = 'NO') AS no, max(value) FILTER (candidate = 'RF') AS rf FROM res GROUP BY 1".replace("max(value)", "round(max(value), 6)").replace("round(max(value), 6) FILTER (candidate = 'AF')", "round(max(value) FILTER (candidate = 'AF'), 6)").replace("round(max(value), 6) FILTER (candidate = 'NO')", "round(max(value) FILTER (candidate = 'NO'), 6)").replace("round(max(value), 6) FILTER (candidate = 'RF')", "round(max(value) FILTER (candidate = 'RF'), 6)"))
@@ -247,10 +247,11 @@ def metric_dimensions(spark: SparkSession, sf: str) -> DataFrame:
 def completion_problems(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates whose set of samples is not the first one's."""
     res = results(spark, sf)
-    # Sets of ids are compared by count and sum of ids, which tell them apart among subsets of one schedule.
-    c = res.groupBy("candidate").agg(F.count("*").alias("n"), F.sum("sample").alias("s"))
-    first = c.where("candidate = 'NO'").select(F.col("n").alias("n0"), F.col("s").alias("s0"))
-    return c.join(F.broadcast(first)).where("n <> n0 or s <> s0").select("candidate")  # one row
+    first = res.where("candidate = 'NO'").select("sample").distinct()
+    others = res.select("candidate").distinct()  # a row a candidate
+    extra = res.select("candidate", "sample").join(first, "sample", "left_anti").select("candidate")
+    lacking = others.join(first).join(res.select("candidate", "sample"), ["candidate", "sample"], "left_anti").select("candidate")
+    return extra.unionByName(lacking).distinct()
 
 
 @query("SELECT l_orderkey AS question, round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END), 6) AS faithfulness, count(*) FILTER (l_linestatus = 'O') AS supported, round(2.0 * count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F') / nullif(count(*) FILTER (l_returnflag = 'R') + count(*) FILTER (l_linestatus = 'F'), 0), 6) AS f1 FROM lineitem GROUP BY 1")

@@ -171,3 +171,19 @@ def test_ties_in_large_groups():
     n = 20
     allowed = [[(j, Fraction(1)) for j in range(n, -1, -1)] for _ in range(n)]
     assert matching.earliest_matching(allowed, n + 1) == [(i, i) for i in range(n)]
+
+
+def test_sample_sets_of_equal_sum(spark, tmp_path):
+    sets = {"NO": (1, 4), "AF": (2, 3), "RF": (1, 4), "NF": (1, 4, 5), "RO": (1,)}
+    rows = [(c[0], c[1], s, 0.1) for c, ids in sets.items() for s in ids]
+    spark.createDataFrame(rows, "l_returnflag string, l_linestatus string, l_orderkey long, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(r.candidate for r in base.QUERIES["completion_problems"](spark, str(tmp_path)).collect()) == ["AF", "NF", "RO"]
+
+
+def test_bootstrap_resamples(spark, sf_dir, monkeypatch):
+    from gleaner.plans import ledger_queries
+
+    asked = {}
+    monkeypatch.setattr(ledger_queries.stats, "bootstrap_mean", lambda *a, **k: asked.update(k))
+    base.QUERIES["bootstrap_interval"](spark, sf_dir)
+    assert asked["resamples"] == 10_000
