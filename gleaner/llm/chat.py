@@ -40,19 +40,24 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
+def _held(tree: str) -> Column:
+    """A tree's key in a struct, which is never null and equals another one where both keys are null."""
+    return F.struct(F.col(tree).alias("key")).alias("tree")
+
+
 def paths(messages: DataFrame, keep: int | None = 1) -> DataFrame:
     """Nodes of root-to-leaf paths of reply trees: tree, leaf, score, branch (rank in its tree, from 1), node, back.
 
     messages: tree, node, parent, score. back counts from the leaf (0) up to the root. A parent that is null, the node
     itself or not in the tree makes a root. Rows that repeat a node count once (the smallest parent and score). Null
-    scores are 0; a path's score is the sum over its nodes, and ties go to the smaller leaf. Nodes on a cycle have no
+    scores are 0; nodes whose tree is null make up one tree; a path's score is the sum over its nodes, and ties go to the smaller leaf. Nodes on a cycle have no
     root: they are on no path. keep: best branches a tree; None keeps all.
 
     Round j joins the nodes that have an ancestor 2^j steps up with that ancestor, so the rounds are as many as the
     depth has bits and nodes leave once they see their root. The chosen leaves then walk up through the same jumps,
     longest first: every node of a path is reached once, and no array of a path is carried along.
     """
-    nodes = messages.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.min(F.coalesce("score", F.lit(0.0))).alias("score"))
+    nodes = messages.groupBy(_held("tree"), "node").agg(F.min("parent").alias("parent"), F.min(F.coalesce("score", F.lit(0.0))).alias("score"))
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     above = (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("n")) & (F.col("parent") != F.col("node"))
     nodes = materialise(nodes.join(known, above, "left").select("tree", "node", F.col("n").alias("up"), "score"), "chat-nodes")
@@ -76,7 +81,7 @@ def paths(messages: DataFrame, keep: int | None = 1) -> DataFrame:
     for j in range(len(jumps) - 1, -1, -1):
         on = walked.join(jumps[j], ["tree", "node"]).select("tree", "leaf", "score", "branch", F.col("up").alias("node"), (F.col("back") + (1 << j)).alias("back"))
         walked = materialise(walked.unionByName(on), "chat-paths")
-    return walked
+    return walked.withColumn("tree", F.col("tree.key"))
 
 
 def format_paths(messages: DataFrame, steps: DataFrame) -> DataFrame:
@@ -84,12 +89,12 @@ def format_paths(messages: DataFrame, steps: DataFrame) -> DataFrame:
 
     messages: tree, node, role, text; null role or text is empty. loss_spans are [start, end) in code points of
     formatted, one for each text of LEARNED_ROLE, still escaped. Rows that repeat a node count once (the smallest
-    role and text).
+    role and text). Nodes whose tree is null make up one tree.
     """
-    said = messages.groupBy("tree", "node").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("m"))
+    said = messages.groupBy(_held("tree"), "node").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("m"))
     role = escape(F.col("m.role"), ":\n")
     turn = F.struct((-F.col("back")).alias("place"), (F.col("m.role") == LEARNED_ROLE).alias("learned"), F.concat(F.lit(OPEN), role, F.lit(AFTER_ROLE)).alias("head"), escape(F.col("m.text")).alias("body"))
-    turns = steps.join(said, ["tree", "node"]).select("tree", "leaf", "branch", turn.alias("turn"))
+    turns = steps.withColumn("tree", _held("tree")).join(said, ["tree", "node"]).select("tree", "leaf", "branch", turn.alias("turn"))
     rows = turns.groupBy("tree", "leaf", "branch").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "")
     spans = F.aggregate(
@@ -104,4 +109,4 @@ def format_paths(messages: DataFrame, steps: DataFrame) -> DataFrame:
         ),
         lambda s: s["spans"],
     )
-    return rows.select("tree", "leaf", "branch", F.size("turns").alias("n_turns"), whole.alias("formatted"), spans.alias("loss_spans"))
+    return rows.select(F.col("tree.key").alias("tree"), "leaf", "branch", F.size("turns").alias("n_turns"), whole.alias("formatted"), spans.alias("loss_spans"))

@@ -187,3 +187,10 @@ def test_bootstrap_resamples(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(ledger_queries.stats, "bootstrap_mean", lambda *a, **k: asked.update(k))
     base.QUERIES["bootstrap_interval"](spark, sf_dir)
     assert asked["resamples"] == 10_000
+
+
+def test_chat_of_a_null_conversation(spark, tmp_path):
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", "a"), (None, 2, "user", "r"), (3, 0, "user", "x"), (3, 1, "assistant", "yy")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in queries.op4_chat(spark, str(tmp_path)).collect()}
+    assert set(got) == {None, 3, -7} and got[None] == (3, 1) and got[3] == (2, 2)
