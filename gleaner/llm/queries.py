@@ -119,7 +119,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path(TOKENIZER)
-    coded = bpe.encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids")
+    coded = bpe.encode(docs, path, public_tokenizers.PATTERN, carry=["doc_id"])
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.little_endian(F.col("ids"), path), 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
 
 

@@ -259,6 +259,39 @@ def test_bpe(spark, sf_dir):
     assert bpe.encode(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_long_words(spark):
+    """A word of 100,000 letters, repeated letters, code points of all lengths, and the same by the column fold."""
+    import random
+
+    import tiktoken
+
+    path = public_tokenizers.path(queries.TOKENIZER)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABC", k=n)) for n in (255, 256, 257, 2000, 100_000)]
+    texts += ["a" * 5000, "日本語" * 400, "\U0001f600\U0001f468\u200d" * 300, " " * 3000, "é" * 257]
+    for r in bpe.encode(docs_of(spark, texts), path, public_tokenizers.PATTERN).select("doc_id", "ids").collect():
+        assert r.ids == enc.encode_ordinary(texts[r.doc_id])
+    short = ["".join(rng.choices("abcdeé日\U0001f600 ", k=n)).strip() or "a" for n in range(1, 40)]
+    fold = docs_of(spark, short).select("doc_id", bpe.fold(F.col("text"), bpe.merge_table(path)).alias("ids"))
+    for r in fold.collect():
+        assert r.ids == enc._encode_single_piece(short[r.doc_id])
+
+
+def test_bpe_query(spark, sf_dir):
+    import tiktoken
+
+    path = public_tokenizers.path(queries.TOKENIZER)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    got = {r.doc_id: r for r in queries.op10_bpe(spark, sf_dir).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        ids, r = enc.encode_ordinary(d.text or ""), got[d.doc_id]
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
+
+
 def test_contract_digests(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").orderBy("conv_id", "turn").collect()
     convs = {-7: [("user", queries.HOSTILE), ("assistant", queries.HOSTILE)]}
