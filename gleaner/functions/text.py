@@ -87,9 +87,9 @@ def citations(answer: Column) -> Column:
 
 
 def citations_valid(answer: Column, contexts: Column, refusal: str) -> Column:
-    """Whether all citations, of which there is one at least, are within 1..contexts, or the answer is the refusal."""
+    """Whether all citations, of which there is one at least, are within 1..contexts, or the answer contains the refusal."""
     cited = citations(answer)
-    return (F.lower(F.btrim(answer)) == refusal.lower()) | ((F.size(cited) > 0) & F.forall(cited, lambda n: (n >= 1) & (n <= contexts)))
+    return F.contains(F.lower(answer), F.lit(refusal.lower())) | ((F.size(cited) > 0) & F.forall(cited, lambda n: (n >= 1) & (n <= contexts)))
 
 
 #: Factors of human-readable byte units, fixed values.

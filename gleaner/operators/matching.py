@@ -191,19 +191,21 @@ def keyframes(times: list[float], changes: list[float], interval: float, thresho
     return out
 
 
-def visible_answer(text: str) -> str:
-    """What is outside <think> sections, nested ones too; text before a lone </think> counts as inside."""
-    parts = re.split(r"(</?think>)", text)
-    depth, out = 0, []
-    for p in parts:
-        if p == "<think>":
-            depth += 1
-        elif p == "</think>":
-            out = out if depth else []
-            depth = max(0, depth - 1)
-        elif not depth:
-            out.append(p)
-    return "".join(out).strip()
+_THINK, _THINK_END = re.compile(r"<(/?)think>", re.I), re.compile(r"<think>\s*\Z", re.I)
+
+
+def visible_answer(text: str, prompt: str = "") -> tuple[str, str]:
+    """What an answer shows and what it thinks: text outside and inside <think> sections, nested ones too, in any case.
+
+    A section is open from the start if the prompt ends with its tag, or if the text only closes sections.
+    """
+    tags = [(m.start(), m.end(), 1 if m[1] == "" else -1) for m in _THINK.finditer(text)]
+    opens = bool(_THINK_END.search(prompt)) or any(t < 0 for *_, t in tags) and not any(t > 0 for *_, t in tags)
+    depth, at, parts = int(opens), 0, ([], [])
+    for start, end, turn in [*tags, (len(text), len(text), 0)]:
+        parts[depth > 0].append(text[at:start])
+        depth, at = max(0, depth + turn), end
+    return "".join(parts[0]).strip(), "".join(parts[1]).strip()
 
 
 class TableParser(HTMLParser):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,21 +55,32 @@ def rebuild_offsets(parts: DataFrame, by: str, order: str, text: str, separator:
     return parts.withColumn("start", start).withColumn("end", F.col("start") + F.length(text))
 
 
-def nearest_kept_ancestor(items: DataFrame, rounds: int = 32) -> DataFrame:
-    """item and the nearest kept ancestor (null if none): each round climbs past one item that is not kept.
+def nearest_kept_ancestor(items: DataFrame, rounds: int = 40) -> DataFrame:
+    """item and the nearest kept ancestor (null if none): pointers of items that are not kept double their reach.
 
-    items: item, parent, kept. A cycle without a kept item ends with null after `rounds`.
+    items: item, parent, kept; items are distinct. After r rounds a pointer has climbed past 2^r items or stands at a
+    kept one or above the root. What still moves after as many rounds as there are bits in the number of items goes
+    around a cycle without a kept item, and gets null.
     """
-    above = items.select(F.col("item").alias("p"), F.col("parent").alias("p_parent"), F.col("kept").alias("p_kept"))
-    state = items.select("item", F.col("parent").alias("at"))
-    done = F.col("p").isNull() | F.col("p_kept")
-    for _ in range(rounds):
-        joined = state.join(above, state["at"] == above["p"], "left")
-        if joined.where(~done).isEmpty():
+    above = items.select("item", F.when(F.col("kept"), F.col("item")).otherwise(F.col("parent")).alias("to"), F.col("kept").alias("home"))
+    known = items.select(F.col("item").alias("x"))
+    above = cut(above.join(known, above["to"] == known["x"], "left").select("item", F.col("x").alias("to"), (F.col("home") | F.col("x").isNull()).alias("done")))
+    for _ in range(min(rounds, items.count().bit_length() + 1)):
+        if above.where(~F.col("done")).isEmpty():
             break
-        state = joined.select("item", F.when(done, F.when(F.col("p").isNotNull(), F.col("at"))).otherwise(F.col("p_parent")).alias("at"))
-    joined = state.join(above, state["at"] == above["p"], "left")
-    return joined.select("item", F.when(F.col("p_kept"), F.col("at")).alias("ancestor"))
+        further = above.select(F.col("item").alias("via"), F.col("to").alias("next"), F.col("done").alias("end"))
+        step = above.join(further, above["to"] == further["via"], "left")
+        above = cut(step.select("item", F.when(F.col("done"), F.col("to")).otherwise(F.col("next")).alias("to"), (F.col("done") | F.coalesce("end", F.lit(True))).alias("done")))
+    ends = above.select(F.col("item").alias("p"), F.when(F.col("done"), F.col("to")).alias("ancestor"))
+    return items.join(ends, items["parent"] == ends["p"], "left").select("item", "ancestor")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the folder that the session names; one of our own where none is set."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner-"))
+    return df.checkpoint()
 
 
 def windows(length: int, step: int, duration: Column) -> Column:

@@ -19,7 +19,7 @@ from .retrieval_queries import cover_frame, ranking_frame
 
 @query()
 def recursive_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.explode_spans(table(spark, sf, "documents"), lambda t: chunking.recursive_windows(t, 400, 50))
+    return chunking.explode_spans(table(spark, sf, "documents"), lambda t: [(a, b, n) for a, b in chunking.recursive_windows(t, 400, 50) if (n := len(chunking.token_spans(t[a:b])))])
 
 
 @query()

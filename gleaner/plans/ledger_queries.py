@@ -186,7 +186,8 @@ def near_duplicate_leakage(spark: SparkSession, sf: str) -> DataFrame:
     sets = table(spark, sf, "documents").select("doc_id", tokens(F.col("text")).alias("t")).where(F.size("t") >= 5)
     grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("t") - 5)), lambda i: F.xxhash64(F.array_join(F.slice("t", i + 1, 5), " "))))
     sets = sets.select("doc_id", grams.alias("s")).withColumn("n", F.size("s"))
-    each = sets.select("doc_id", "n", F.explode("s").alias("g"))
+    # explode() would make the optimiser filter by the size of s, with all of the tokeniser inside that filter.
+    each = sets.select("doc_id", "n", F.explode_outer("s").alias("g"))
     often = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     # Shingles of one document only cannot be shared: they need no row, only their place at the front of the order.
     shared = each.join(often, "g")
@@ -243,7 +244,7 @@ def metric_dimensions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("metric", F.split_part("metric", F.lit("."), F.lit(2)).alias("slice"), F.regexp_extract("metric", "_at_([0-9]+)$", 1).try_cast("int").alias("cutoff"))
 
 
-@query(f"WITH {RESULT_SQL}, c AS (SELECT candidate, count(*) AS n, sum(sample) AS s FROM res GROUP BY 1) SELECT candidate FROM c WHERE n <> (SELECT n FROM c WHERE candidate = 'NO') OR s <> (SELECT s FROM c WHERE candidate = 'NO')")
+@query(f"WITH {RESULT_SQL}, o AS (SELECT sample FROM res WHERE candidate = 'NO') SELECT DISTINCT candidate FROM res r WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.sample = r.sample) UNION SELECT c.candidate FROM (SELECT DISTINCT candidate FROM res) c, o WHERE NOT EXISTS (SELECT 1 FROM res r WHERE r.candidate = c.candidate AND r.sample = o.sample)")
 def completion_problems(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates whose set of samples is not the first one's."""
     res = results(spark, sf)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -178,9 +181,17 @@ def reading_order(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def visible_answers(spark: SparkSession, sf: str) -> DataFrame:
-    visible = F.pandas_udf(lambda s: s.map(lambda t: matching.visible_answer(t or "")), "string")
-    rows = table(spark, sf, "conversations").where("role = 'assistant'")
-    return rows.select("conv_id", "turn", visible(F.concat(F.lit("<think>plan</think>"), "text")).alias("answer"))
+    """Odd turns open the section in the prompt, every fifth in capitals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = [matching.visible_answer(t or "", p) for t, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([s[i] for s in split], pa.string()) for i in (0, 1))], ["conv_id", "turn", "answer", "reasoning"])
+
+    odd, tag = F.col("turn") % 2 == 1, F.when(F.col("turn") % 5 == 0, "THINK").otherwise("think")
+    answer = F.concat(F.when(odd, F.lit("plan</")).otherwise(F.concat(F.lit("<"), tag, F.lit(">plan</"))), tag, F.lit("> "), "text")
+    rows = table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", answer.alias("said"), F.when(odd, F.lit("assistant: <think>\n")).otherwise(F.lit("")).alias("prompt"))
+    return rows.mapInArrow(run, "conv_id long, turn long, answer string, reasoning string")
 
 
 @query()

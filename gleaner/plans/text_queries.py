@@ -247,7 +247,7 @@ def sliding_media_windows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("k", F.explode(spans.windows(30, 28, F.col("d"))).alias("start"))
 
 
-@query("WITH RECURSIVE item AS (SELECT p_partkey AS item, p_partkey // 3 AS parent, p_size % 3 = 0 AS kept FROM part), up AS (SELECT item, parent AS place, 1 AS d FROM item UNION ALL SELECT u.item, i.parent, d + 1 FROM up u JOIN item i ON i.item = u.place WHERE NOT i.kept AND d < 32) SELECT item, max(CASE WHEN a.kept THEN place END) AS ancestor FROM up LEFT JOIN (SELECT item AS x, kept FROM item) a ON a.x = place GROUP BY item")
+@query("WITH RECURSIVE item AS (SELECT p_partkey AS item, p_partkey // 3 AS parent, p_size % 3 = 0 AS kept FROM part), up AS (SELECT item, parent AS place FROM item UNION SELECT u.item, i.parent FROM up u JOIN item i ON i.item = u.place WHERE NOT i.kept) SELECT item, max(CASE WHEN a.kept THEN place END) AS ancestor FROM up LEFT JOIN (SELECT item AS x, kept FROM item) a ON a.x = place GROUP BY item")
 def nearest_ancestor(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "part").select(F.col("p_partkey").alias("item"), F.floor(F.col("p_partkey") / 3).alias("parent"), (F.col("p_size") % 3 == 0).alias("kept"))
     return spans.nearest_kept_ancestor(items)

@@ -51,7 +51,9 @@ def test_greedy_ideal_and_frames():
     assert matching.keyframes([0, 1, 2, 3, 4], [0, 0, 9, 0, 0], 3, 5, "hybrid") == [0, 2]
     assert matching.keyframes([0, 1, 2, 3, 4], [0, 0, 9, 0, 0], 3, 5, "fixed") == [0, 3]
     assert matching.keyframes([0, 1, 2], [0, 0, 9], 3, 5, "scene") == [0, 2]
-    assert matching.visible_answer("a<think>b<think>c</think>d</think> e") == "a e" and matching.visible_answer("x</think>y") == "y"
+    assert matching.visible_answer("a<think>b<think>c</think>d</think> e") == ("a e", "bcd") and matching.visible_answer("x</think>y") == ("y", "x")
+    assert matching.visible_answer("a<THINK>b</Think>c</think>d") == ("acd", "b") and matching.visible_answer("b</think>c", "go: <Think> \n") == ("c", "b")
+    assert matching.visible_answer("") == ("", "") and matching.visible_answer("x", "<think>") == ("", "x")
 
 
 def test_html_cells():
