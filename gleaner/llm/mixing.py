@@ -9,8 +9,8 @@ from .common import SPACES, materialise
 
 #: No document is taken more than so often.
 MOST_COPIES = 2
-#: Groups of equal source and size above this many documents are dealt into salted parts of about so many.
-SALT_ROWS = 2048
+#: The documents of one source and size are dealt into so many parts by a hash of the key, so none holds them all.
+SALTS = 1024
 
 
 def word_count(text):
@@ -49,14 +49,14 @@ def balance(groups: DataFrame, targets: DataFrame, rounds: int = 60, tolerance:
     Minimises the entropy of the rates within [0, MOST_COPIES] under one token constraint a source. The dual is
     convex with the solution rate = 2 / (1 + exp(-lambda * size / mean size)): an exponential tilt that saturates.
     Each round is one Newton step for every source at once on logit(words taken / words possible), kept in the
-    bracket of earlier steps; the state has one row a source and is written after every round. The sums are over
+    bracket of earlier steps; a miss of over a millionth after the last is an error; the state has one row a source and is written after every round. The sums are over
     groups, that is over counts of documents of equal source and size, not over documents.
     """
     cap = float(MOST_COPIES)
     live = (F.col("target") > 0) & (F.col("target") < F.col("source_size") * cap * (1 - 1e-12))
     groups = groups.join(F.broadcast(targets) if targets.count() <= 10_000 else targets, groups.source.eqNullSafe(targets.source)).select(
         groups.source, "size", "n", "target", "source_size",
-        (F.col("size") * F.col("n_docs") / F.col("source_size")).alias("x"),
+        F.coalesce(F.col("size") * F.col("n_docs") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)).alias("x"),
     )
     groups = materialise(groups, "mix-groups")
     inf = float("inf")
@@ -70,7 +70,8 @@ def balance(groups: DataFrame, targets: DataFrame, rounds: int = 60, tolerance:
         most = F.col("source_size") * cap
         part, goal = F.col("f") / most, F.col("target") / most
         low, high = F.when(F.col("f") <= F.col("target"), F.col("tilt")).otherwise(F.col("lo")), F.when(F.col("f") >= F.col("target"), F.col("tilt")).otherwise(F.col("hi"))
-        step = (F.ln(goal / (1 - goal)) - F.ln(part / (1 - part))) * F.col("f") * (1 - part) / F.col("slope")
+        odds = lambda share: F.ln(F.try_divide(share, 1 - share))
+        step = F.try_divide((odds(goal) - odds(part)) * F.col("f") * (1 - part), F.col("slope"))
         guess = F.col("tilt") + F.coalesce(step, F.lit(0.0))
         inside = F.when((guess > F.col("low")) & (guess < F.col("high")), guess).when(
             (F.col("low") > -inf) & (F.col("high") < inf), (F.col("low") + F.col("high")) / 2
@@ -82,6 +83,9 @@ def balance(groups: DataFrame, targets: DataFrame, rounds: int = 60, tolerance:
         worst = state.agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance:
             break
+    else:
+        if worst > 1e-6:
+            raise RuntimeError(f"the rates miss a target by {worst:.2g} of it after {rounds} rounds")
     found = state.select(F.col("source").alias("s"), "tilt")
     z = F.least(F.greatest(F.col("tilt") * F.col("x"), F.lit(-700.0)), F.lit(700.0))
     rate = F.when(F.col("tilt").isNotNull(), cap / (1 + F.exp(-z))).when(F.col("target") > 0, F.lit(cap)).otherwise(F.lit(0.0))
@@ -98,15 +102,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
     Rounding: documents of equal source and size form a group of one rate. Over groups by falling size, a running
     sum of the rates' fractions tells how many documents of each group get the extra copy, so that a source misses
-    its target by at most half its largest document; within a group the extra copies go by hash of the key. Large
-    groups are dealt into salted parts first, so that copies of one text never meet in one task.
+    its target by at most half its largest document; within a group the extra copies go by hash of the key. The
+    documents of a group are dealt into SALTS parts by that hash, each with its share of the group's extra copies, so
+    that neither a window nor a join has a group in one task. A source without words has the target 0 and no copies.
     """
     added = ("size", "source_size", "target", "rate", "copies")
     docs = docs.drop(*[c for c in added if c in docs.columns])
-    sized = docs.withColumn("size", word_count(F.col(text)))
-    groups = sized.groupBy(F.col(source).alias("source"), "size").agg(F.count("*").alias("n"))
-    groups = materialise(groups, "mix-sizes")
-    sources = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
+    draw = F.xxhash64(F.lit("mix"), F.col(key))
+    sized = docs.withColumn("size", word_count(F.col(text))).withColumn("__draw", draw).withColumn("__salt", F.pmod(draw, F.lit(SALTS)))
+    salted = sized.groupBy(F.col(source).alias("source"), "size", F.col("__salt").alias("salt")).agg(F.count("*").alias("n"))
+    salted = materialise(salted, "mix-sizes")
+    groups = salted.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    sources = materialise(groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs")), "mix-sources")
     targets = materialise(source_targets(sources.drop("n_docs"), weights, share), "mix-targets")
     counted = groups.join(sources.select(F.col("source").alias("s"), "n_docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rates = balance(counted, targets)
@@ -114,18 +121,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     by_size = Window.partitionBy("source").orderBy(F.desc("size"))
     rates = rates.withColumn("run", F.sum(frac * F.col("n")).over(by_size))
     extra = F.floor(F.col("run") + 0.5) - F.floor(F.col("run") - frac * F.col("n") + 0.5)
-    rates = rates.select(
-        F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("source_size").alias("__total"), F.col("target").alias("__target"),
-        F.col("rate").alias("__rate"), extra.alias("__extra"), F.ceil(F.col("n") / SALT_ROWS).alias("__parts"),
+    rates = rates.withColumn("extra", F.least(extra, F.col("n"))).withColumnsRenamed({"source": "s", "size": "z", "n": "all"})
+    # The extra copies of a group go to its salts by their share of its documents, rounded on the running sum.
+    each = salted.join(rates, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
+    up_to = F.sum("n").over(Window.partitionBy("source", "size").orderBy("salt"))
+    share_to = lambda count: F.floor(F.col("extra") * count / F.col("all"))
+    each = each.withColumn("upto", up_to).withColumn("quota", share_to(F.col("upto")) - share_to(F.col("upto") - F.col("n")))
+    each = each.select(
+        F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("salt").alias("__s"), F.col("source_size").alias("__total"),
+        F.col("target").alias("__target"), F.col("rate").alias("__rate"), F.col("quota").alias("__quota"),
     )
-    rates = materialise(rates, "mix-rates")
-    rated = sized.join(rates, F.col(source).eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")))
-    rated = rated.withColumn("__draw", F.xxhash64(F.lit("mix"), F.col(key))).withColumn("__salt", F.pmod("__draw", "__parts"))
-    part = Window.partitionBy("__source", "__size", "__salt")
-    rated = rated.withColumn("__place", F.row_number().over(part.orderBy("__draw", F.col(key))))
-    shift = F.pmod(F.xxhash64("__source", "__size", "__salt"), F.lit(1 << 20)) / float(1 << 20)
-    share_of_part = F.floor((F.col("__rate") - F.floor("__rate")) * F.count("*").over(part) + shift)
-    quota = F.when(F.col("__parts") <= 1, F.col("__extra")).otherwise(share_of_part)
-    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.floor("__rate") + (F.col("__place") <= quota).cast("int")).cast("int")
-    out = rated.select(*docs.columns, "size", F.col("__total").alias("source_size"), F.col("__target").alias("target"), F.col("__rate").alias("rate"), copies.alias("copies"))
-    return out
+    each = materialise(each, "mix-rates")
+    rated = sized.join(each, F.col(source).eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")) & (F.col("__salt") == F.col("__s")))
+    part = Window.partitionBy("__source", "__size", "__s").orderBy("__draw", F.col(key))
+    rated = rated.withColumn("__place", F.row_number().over(part))
+    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.floor("__rate") + (F.col("__place") <= F.col("__quota")).cast("int")).cast("int")
+    return rated.select(*docs.columns, "size", F.col("__total").alias("source_size"), F.col("__target").alias("target"), F.col("__rate").alias("rate"), copies.alias("copies"))
