@@ -28,7 +28,7 @@ from .common import discard, materialise, mix, release, shuffle_parts, slices, t
 WORDS, PERCENT = 5, 75
 RADIUS = 1 - PERCENT / 100
 #: Sub-regions: about so many points at most, and steps of the distance to the pivot.
-LEAF, STEP = 256, 1 / 16
+LEAF, STEP = 1024, 1 / 16
 #: Survivors up to this many are broadcast as (key, point) rows to pick their texts; beyond, the texts are shuffled.
 BROADCAST_ROWS = 300_000
 
@@ -306,17 +306,21 @@ def forest(left: int, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     value, owner = value[order], owner[order]
     start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
     times = np.diff(np.append(start, len(value)))
-    common = np.zeros((k, k), np.int32)
-    for t in np.unique(times[times > 1]).tolist():
-        at = start[times == t]
-        rows = owner[at[:, None] + np.arange(t)]
-        if t <= 6:
-            for i in range(t):
-                for j in range(i + 1, t):
-                    np.add.at(common, (rows[:, i], rows[:, j]), 1)
-        else:
-            for r in rows:
-                common[np.ix_(r, r)] += 1
+    common = np.zeros((k, k), np.float32)  # counts below 2^24 are exact
+    for t in range(2, 7):
+        rows = owner[start[times == t][:, None] + np.arange(t)]
+        for i in range(t):
+            for j in range(i + 1, t):
+                np.add.at(common, (rows[:, i], rows[:, j]), 1)
+    # Shingles of many sets: products of 0/1 matrices, some thousand shingles at a time.
+    many = np.flatnonzero(times > 6)
+    for at in range(0, len(many), 2048):
+        some = many[at : at + 2048]
+        n = times[some]
+        place = np.repeat(start[some] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        held = np.zeros((k, len(some)), np.float32)
+        held[owner[place], np.repeat(np.arange(len(some)), n)] = 1
+        common += held @ held.T
     common = np.triu(common, 1)
     i, j = np.nonzero(common * 100 >= PERCENT * (size[:, None] + size[None, :] - common))
     meet = (i < j) if left == k else (i < left) & (j >= left)
