@@ -149,7 +149,8 @@ def _batch_features(batch: pa.RecordBatch, text: int, chars: int):
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", chars: str = "n_chars") -> Machine:
     """Fit on at most SAMPLE_ROWS labelled rows: those of the smallest hash of the key. Null labels are left out.
 
-    Tasks make the features; the driver gets them as sparse rows, of a size bounded by the sample.
+    Tasks make the features, sparse rows; one task fits on those of the sample, whose size is bounded. Rows of equal
+    key are cut by their statistics. The driver gets the weights only.
     """
     rows = labelled.where(F.col(label).isNotNull()).withColumn("h", F.xxhash64(F.lit("quality"), F.col(key)))
     rows = rows.select("h", F.col(label).cast("int").alias("y"), F.col(text).alias("text"), F.col(chars).cast("double").alias("c") if chars in labelled.columns else F.lit(0.0).alias("c"))
@@ -160,14 +161,21 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
             cut = lambda x, kind: [x[a:b].astype(kind).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut(buckets, np.int16), pa.binary()), pa.array(cut(values, np.float32), pa.binary()), pa.array([s.tobytes() for s in stats], pa.binary())], ["h", "y", "b", "v", "s"])
 
-    got = rows.mapInArrow(run, "h long, y int, b binary, v binary, s binary").collect()
-    got.sort(key=lambda r: (r.h, bytes(r.s)))
-    got = got[:SAMPLE_ROWS]
-    x = np.zeros((len(got), BUCKETS + N_STATS), np.float32)
-    for i, r in enumerate(got):
-        x[i, np.frombuffer(r.b, np.int16)] = np.frombuffer(r.v, np.float32)
-    stats = np.array([np.frombuffer(r.s, np.float32) for r in got], np.float32).reshape(-1, N_STATS)
-    return fit(x, stats, np.array([r.y for r in got], np.float32))
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)), key=lambda r: (r[0], r[4], r[1], r[2]))
+        x = np.zeros((len(got), BUCKETS + N_STATS), np.float32)
+        for i, (_, _, buckets, values, _) in enumerate(got):
+            x[i, np.frombuffer(buckets, np.int16)] = np.frombuffer(values, np.float32)
+        stats = np.array([np.frombuffer(r[4], np.float32) for r in got], np.float32).reshape(-1, N_STATS)
+        found = fit(x, stats, np.array([r[1] for r in got], np.float32))
+        yield pa.RecordBatch.from_arrays([pa.array([found.bias]), *(pa.array([p.astype(np.float32).tobytes()]) for p in (found.weights, found.factors, found.mean, found.scale))], ["bias", "weights", "factors", "mean", "scale"])
+
+    sample = rows.mapInArrow(run, "h long, y int, b binary, v binary, s binary").orderBy("h", "s", "y", "b").limit(SAMPLE_ROWS)
+    learnt = sample.repartition(1).mapInArrow(learn, "bias double, weights binary, factors binary, mean binary, scale binary").first()
+    if learnt is None:
+        return fit(np.zeros((0, BUCKETS + N_STATS), np.float32), np.zeros((0, N_STATS), np.float32), np.zeros(0, np.float32))
+    array = lambda b: np.frombuffer(b, np.float32)
+    return Machine(learnt.bias, array(learnt.weights), array(learnt.factors).reshape(-1, RANK), array(learnt.mean), array(learnt.scale))
 
 
 def sample_keys(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
