@@ -23,7 +23,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The document with the smallest doc_id of each group of near duplicates; equal rows count once."""
     found = materialise(jaccard.join(docs), "pipeline-groups")
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").dropDuplicates(["doc_id", "text"])
+    one = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").withColumn("__print", F.sha2("text", 256))
+    return one.dropDuplicates(["doc_id", "__print"]).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +44,9 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to it."""
     path = public_tokenizers.path(TOKENIZER)
-    coded = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    same = bpe.decode(F.col("ids"), path) == F.coalesce("text", F.lit("")).cast("binary")
+    printed = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("print"))
+    coded = bpe.encode(printed, path, public_tokenizers.PATTERN, carry=["doc_id", "print"])
+    same = F.sha2(bpe.decode(F.col("ids"), path), 256) == F.col("print")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("decodes"))
 
 
