@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import metrics, retrieval, spans
 from .base import CHUNKS_SQL, DEPTH, GOLD_SQL, chunk_frame, gold_frame, micros, query, table
+from .text_queries import PAIRS_SQL, turn_pairs
 
 # Dense retrieval: every 25th vector asks.
 
@@ -185,50 +186,31 @@ def document_macro(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.macro_mean(rows, "ndcg", "doc_id", ["metric"]).select("metric", F.round("macro", 6).alias("macro"), F.col("groups").alias("documents"))
 
 
-# Bags of tokens: each conversation's first turn against its second.
+# Bags of tokens: each turn against the next one of its conversation.
 
-BAG_SQL = r"""bag AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS t FROM conversations WHERE turn IN (0, 1)),
-a AS (SELECT conv_id, t, count(*) AS n FROM bag WHERE turn = 0 GROUP BY ALL), b AS (SELECT conv_id, t, count(*) AS n FROM bag WHERE turn = 1 GROUP BY ALL),
-j AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.n, 0) AS x, coalesce(b.n, 0) AS y FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.t = b.t)"""
+BAG_SQL = rf"""{PAIRS_SQL}, side AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(coalesce(reference, '')), '[\p{{L}}\p{{N}}_]+')) AS t, 1 AS x, 0 AS y FROM pairs
+  UNION ALL SELECT conv_id, turn, unnest(regexp_extract_all(lower(hypothesis), '[\p{{L}}\p{{N}}_]+')), 0, 1 FROM pairs),
+n AS (SELECT conv_id, turn, t, sum(x) AS x, sum(y) AS y FROM side GROUP BY ALL),
+j AS (SELECT p.conv_id, p.turn, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM pairs p LEFT JOIN n ON n.conv_id = p.conv_id AND n.turn = p.turn)"""
 
 
 def bags(spark: SparkSession, sf: str) -> DataFrame:
-    """The first two turns only, as the SQL says; bags_whole pairs every turn with the next."""
-    rows = table(spark, sf, "conversations").where("turn in (0, 1)").select("conv_id", "turn", F.explode(tx.tokens(F.col("text"))).alias("t"))
-    return rows.groupBy("conv_id", "t").agg(F.count_if(F.col("turn") == 0).alias("x"), F.count_if(F.col("turn") == 1).alias("y"))
-
-
-@query(f"WITH {BAG_SQL} SELECT conv_id, round(2.0 * sum(least(x, y)) / (sum(x) + sum(y)), 6) AS f1 FROM j GROUP BY 1")
-def bag_f1(spark: SparkSession, sf: str) -> DataFrame:
-    sums = bags(spark, sf).groupBy("conv_id").agg(F.sum(F.least("x", "y")).alias("c"), F.sum("y").alias("p"), F.sum("x").alias("e"))
-    return sums.select("conv_id", F.round(tx.bag_f1(F.col("c"), F.col("p"), F.col("e")), 6).alias("f1"))
-
-
-@query(f"WITH {BAG_SQL} SELECT conv_id, round(coalesce(sum(CASE WHEN y > 1 THEN greatest(0, y - x) ELSE 0 END) / nullif(sum(y), 0), 0), 6) AS rate FROM j GROUP BY 1")
-def duplicate_content_rate(spark: SparkSession, sf: str) -> DataFrame:
-    extra = F.when(F.col("y") > 1, F.greatest(F.lit(0), F.col("y") - F.col("x"))).otherwise(0)
-    return bags(spark, sf).groupBy("conv_id").agg(F.round(F.coalesce(F.sum(extra) / F.nullif(F.sum("y"), F.lit(0)), F.lit(0.0)), 6).alias("rate"))
-
-
-def bags_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Each turn's bag against the next one's: conv_id, turn, t, x, y; a pair without tokens has one row of nulls."""
-    from .text_queries import turn_pairs
-
     side = lambda c, x, y: F.transform(tx.tokens(F.col(c)), lambda t: F.struct(t.alias("t"), F.lit(x).alias("x"), F.lit(y).alias("y")))
     rows = turn_pairs(spark, sf).na.fill("", ["reference"]).select("conv_id", "turn", F.explode_outer(F.concat(side("reference", 1, 0), side("hypothesis", 0, 1))).alias("s"))
     return rows.groupBy("conv_id", "turn", "s.t").agg(F.coalesce(F.sum("s.x"), F.lit(0)).alias("x"), F.coalesce(F.sum("s.y"), F.lit(0)).alias("y"))
 
 
-@query()
-def bag_f1_whole(spark: SparkSession, sf: str) -> DataFrame:
-    sums = bags_whole(spark, sf).groupBy("conv_id", "turn").agg(F.sum(F.least("x", "y")).alias("c"), F.sum("y").alias("p"), F.sum("x").alias("e"))
+@query(f"WITH {BAG_SQL} SELECT conv_id, turn, round(coalesce(2.0 * sum(least(x, y)) / nullif(sum(x) + sum(y), 0), 1), 6) AS f1 FROM j GROUP BY ALL")
+def bag_f1(spark: SparkSession, sf: str) -> DataFrame:
+    sums = bags(spark, sf).groupBy("conv_id", "turn").agg(F.sum(F.least("x", "y")).alias("c"), F.sum("y").alias("p"), F.sum("x").alias("e"))
     return sums.select("conv_id", "turn", F.round(tx.bag_f1(F.col("c"), F.col("p"), F.col("e")), 6).alias("f1"))
 
 
-@query()
-def duplicate_content_rate_whole(spark: SparkSession, sf: str) -> DataFrame:
+@query(f"WITH {BAG_SQL} SELECT conv_id, turn, round(coalesce(sum(CASE WHEN y > 1 THEN greatest(0, y - x) ELSE 0 END) / nullif(sum(y), 0), 0), 6) AS rate FROM j GROUP BY ALL")
+def duplicate_content_rate(spark: SparkSession, sf: str) -> DataFrame:
     extra = F.when(F.col("y") > 1, F.greatest(F.lit(0), F.col("y") - F.col("x"))).otherwise(0)
-    return bags_whole(spark, sf).groupBy("conv_id", "turn").agg(F.round(F.coalesce(F.sum(extra) / F.nullif(F.sum("y"), F.lit(0)), F.lit(0.0)), 6).alias("rate"))
+    return bags(spark, sf).groupBy("conv_id", "turn").agg(F.round(F.coalesce(F.sum(extra) / F.nullif(F.sum("y"), F.lit(0)), F.lit(0.0)), 6).alias("rate"))
 
 
 @query("SELECT source, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM (SELECT source, count(*) FILTER (n_chars > 900 AND quality = 1) AS tp, count(*) FILTER (n_chars > 900 AND quality = 0) AS fp, count(*) FILTER (n_chars <= 900 AND quality = 1) AS fn FROM documents JOIN labels USING (doc_id) GROUP BY source)")

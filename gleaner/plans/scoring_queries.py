@@ -93,22 +93,11 @@ def condition_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupingSets([["event_type", "source_group"], ["event_type"], []], "event_type", "source_group").agg(*aggregates).select("event_type", "source_group", "requests", "mean", "failed", "windows")
 
 
-@query(f"WITH {LEDGER_SQL}, s AS (SELECT DISTINCT source_group, w.win FROM (SELECT DISTINCT source_group FROM ledger), (SELECT DISTINCT win FROM ledger WHERE win % 24 = 0) w) SELECT s.source_group, s.win FROM s LEFT JOIN ledger l ON l.source_group = s.source_group AND l.win = s.win WHERE l.win IS NULL")
+@query(f"WITH {LEDGER_SQL}, s AS (SELECT DISTINCT source_group, w.win FROM (SELECT DISTINCT source_group FROM ledger), (SELECT DISTINCT win FROM ledger) w) SELECT s.source_group, s.win FROM s LEFT JOIN ledger l ON l.source_group = s.source_group AND l.win = s.win WHERE l.win IS NULL")
 def missing_slots(spark: SparkSession, sf: str) -> DataFrame:
-    """One window of 24, as the SQL says; missing_slots_whole has them all."""
-    rows = ledger(spark, sf)
-    return _missing(rows, rows.where("win % 24 = 0"))
-
-
-@query()
-def missing_slots_whole(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ledger(spark, sf)
-    return _missing(rows, rows)
-
-
-def _missing(rows: DataFrame, scheduled: DataFrame) -> DataFrame:
     """Scheduled (group, window) slots without a request: windows are a list in each group's row, one entry an hour."""
-    wins = scheduled.select("win").distinct()
+    rows = ledger(spark, sf)
+    wins = rows.select("win").distinct()
     plan = rows.select("source_group").distinct().join(F.broadcast(wins.agg(F.collect_list("win").alias("wins")))).select("source_group", F.explode("wins").alias("win"))
     return plan.join(rows.select("source_group", "win"), ["source_group", "win"], "left_anti")
 

@@ -98,27 +98,14 @@ def turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("conv_id", "turn", F.col("text").alias("reference"), "hypothesis")
 
 
-PAIRS_SQL = "pairs AS (SELECT conv_id, turn, substr(text, 1, 200) AS reference, substr(h, 1, 200) AS hypothesis FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS h FROM conversations) WHERE h IS NOT NULL)"
+PAIRS_SQL = "pairs AS (SELECT conv_id, turn, text AS reference, h AS hypothesis FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS h FROM conversations) WHERE h IS NOT NULL)"
 
 
 @query(f"WITH {PAIRS_SQL} SELECT conv_id, turn, round(levenshtein(r, h) / greatest(1, length(r)), 6) AS cer FROM (SELECT *, regexp_replace(reference, '[^ -~]', '', 'g') AS r, regexp_replace(hypothesis, '[^ -~]', '', 'g') AS h FROM pairs)")
 def cer_by_pair(spark: SparkSession, sf: str) -> DataFrame:
-    """The first 200 characters of each text only, as its SQL says; cer_by_pair_whole scores the texts."""
-    pairs = turn_pairs(spark, sf)
-    for c in ("reference", "hypothesis"):
-        pairs = pairs.withColumn(c, F.substring(c, 1, 200))
-    return _cer(pairs)
-
-
-def _cer(pairs: DataFrame) -> DataFrame:
     ascii_ = lambda c: F.regexp_replace(c, "[^ -~]", "")
     cer = tx.character_error_rate(ascii_("reference"), ascii_("hypothesis"))
-    return pairs.select("conv_id", "turn", F.round(cer, 6).alias("cer"))
-
-
-@query()
-def cer_by_pair_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return _cer(turn_pairs(spark, sf))
+    return turn_pairs(spark, sf).select("conv_id", "turn", F.round(cer, 6).alias("cer"))
 
 
 @query()
@@ -171,32 +158,21 @@ def token_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_frame(spark, sf).select("doc_id", "chunk_index", "start", "end", "tokens", "total_chunks", "chunk_id")
 
 
-SENTENCES_SQL = r"""sent AS (SELECT doc_id, i, n, sum(l) OVER (PARTITION BY doc_id ORDER BY i) AS e0, l FROM (
-  SELECT doc_id, len(p) AS n, unnest(range(1, len(p) + 1)) AS i, length(unnest(p)) AS l FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+(?:[.!?]+|\n|$)') AS p FROM docs)))"""
-#: Plain documents: the sentences cover the text, so that running lengths are offsets.
-PLAIN = r"^[^.!?\n]+(?:(?:[.!?]+|\n)[^.!?\n]+)*[.!?]*$"
+# Sentences, and runs of marks and line ends between them, cover a text, so that running lengths are offsets.
+SENTENCES_SQL = r"""piece AS (SELECT doc_id, i, p, size, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS e0 FROM (
+  SELECT doc_id, size, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS p FROM (
+    SELECT doc_id, length(text) AS size, regexp_extract_all(text, '[^.!?\n]+(?:[.!?]+|\n|$)|[.!?\n]+') AS ps FROM documents))),
+body AS (SELECT doc_id, size, e0 - length(p) AS s0, e0, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM piece WHERE NOT regexp_matches(p, '^[.!?\n]')),
+sent AS (SELECT doc_id, i, n, CAST(CASE WHEN i = 1 THEN 0 ELSE s0 END AS INT) AS s, CAST(CASE WHEN i = n THEN size ELSE e0 END AS INT) AS e FROM body)"""
 
 
-@query(rf"WITH docs AS (SELECT * FROM documents WHERE regexp_matches(text, '{PLAIN}')), {SENTENCES_SQL} SELECT doc_id, i - 1 AS chunk_index, CAST(e0 - l AS INT) AS start, CAST(e0 AS INT) AS \"end\" FROM sent".replace('\\"', '"'))
+@query(f'WITH {SENTENCES_SQL} SELECT doc_id, i - 1 AS chunk_index, s AS start, e AS "end" FROM sent')
 def sentence_spans(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where(F.col("text").rlike(PLAIN.removesuffix("$") + r"\z"))
-    return chunking.explode_spans(docs, chunking.sentence_spans).select("doc_id", "chunk_index", "start", "end")
-
-
-@query(rf"WITH docs AS (SELECT * FROM documents WHERE regexp_matches(text, '{PLAIN}')), {SENTENCES_SQL}, w AS (SELECT doc_id, n, unnest(range(0, CAST(1 + ceil(greatest(0, n - 8) / 6.0) AS BIGINT))) AS c FROM (SELECT DISTINCT doc_id, n FROM sent)) SELECT w.doc_id, c AS chunk_index, CAST(a.e0 - a.l AS INT) AS start, CAST(b.e0 AS INT) AS \"end\" FROM w JOIN sent a ON a.doc_id = w.doc_id AND a.i = 6 * c + 1 JOIN sent b ON b.doc_id = w.doc_id AND b.i = least(w.n, 6 * c + 8)".replace('\\"', '"'))
-def sentence_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where(F.col("text").rlike(PLAIN.removesuffix("$") + r"\z"))
-    return chunking.explode_spans(docs, chunking.sentence_windows).select("doc_id", "chunk_index", "start", "end")
-
-
-@query()
-def sentence_spans_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """All documents; sentence_spans has the plain ones, as its SQL says."""
     return chunking.explode_spans(table(spark, sf, "documents"), chunking.sentence_spans).select("doc_id", "chunk_index", "start", "end")
 
 
-@query()
-def sentence_chunks_whole(spark: SparkSession, sf: str) -> DataFrame:
+@query(f'WITH {SENTENCES_SQL}, w AS (SELECT doc_id, n, unnest(range(0, CAST(1 + ceil(greatest(0, n - 8) / 6.0) AS BIGINT))) AS c FROM (SELECT DISTINCT doc_id, n FROM sent)) SELECT w.doc_id, c AS chunk_index, a.s AS start, b.e AS "end" FROM w JOIN sent a ON a.doc_id = w.doc_id AND a.i = 6 * c + 1 JOIN sent b ON b.doc_id = w.doc_id AND b.i = least(w.n, 6 * c + 8)')
+def sentence_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.explode_spans(table(spark, sf, "documents"), chunking.sentence_windows).select("doc_id", "chunk_index", "start", "end")
 
 
