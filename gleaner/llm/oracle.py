@@ -32,8 +32,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 OP8 = r"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
 p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
-e AS (SELECT * FROM (VALUES ('net', '/', 'block', true), ('example.net', '/en/', 'allow', true), ('example.com', '/de/', 'block', true), ('org', '/fr/', 'allow', true),
-  ('casino-win.example.com', '/', 'block', false), ('free-bets.example.com', '/', 'block', false), ('cheap-pills.example.com', '/', 'block', false)) v(e_host, e_path, verdict, is_rule)),
+e AS (SELECT * FROM (VALUES ('net', '/', 'block', true), ('example.net', '/en/', 'allow', true), ('example.com', '/de/', 'block', true), ('org', '/fr/', 'allow', true)) v(e_host, e_path, verdict, is_rule)
+  UNION ALL SELECT f || '.' || d, '', 'block', false FROM (SELECT unnest(['casino-win', 'free-bets', 'cheap-pills', 'adult-x', 'ads-track', 'spam-farm']) AS f), (SELECT unnest(['example.com', 'example.net', 'example.org']) AS d)),
 f AS (SELECT page_id, is_rule, e_host || e_path AS entry, verdict, row_number() OVER (PARTITION BY page_id, is_rule ORDER BY length(e_host || e_path) DESC, e_host || e_path) AS r
   FROM p JOIN e ON (host = e_host OR ends_with(host, '.' || e_host)) AND starts_with(path, e_path))
 SELECT p.page_id, host, path, a.entry AS rule, coalesce(a.verdict, b.verdict, 'allow') AS verdict

@@ -86,29 +86,20 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~rules.passes("base")).alias("base_failed"), rules.passes("2").alias("kept"), "failures")
 
 
-#: The rules of op8, by host and path, and hosts whose names alone mark them as spam. Fixed values.
+#: The rules of op8, by host and path. Fixed values.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-SPAM_HOSTS = ("casino-win.example.com", "free-bets.example.com", "cheap-pills.example.com")
-#: All families of spam hosts that the tables' pages hold, and the domains they occur under; an empty path fits bare hosts.
+#: The list by which pages that no rule fits are judged: families of spam hosts and the domains they occur under.
 SPAM_FAMILIES = ("casino-win", "free-bets", "cheap-pills", "adult-x", "ads-track", "spam-farm")
 SPAM_DOMAINS = ("example.com", "example.net", "example.org")
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three spam hosts, as the SQL says; op8_urls_whole lists all families."""
-    return _judged(spark, sf_dir, [(h, "/") for h in SPAM_HOSTS])
-
-
-def op8_urls_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _judged(spark, sf_dir, [(f"{family}.{domain}", "") for family in SPAM_FAMILIES for domain in SPAM_DOMAINS])
-
-
-def _judged(spark: SparkSession, sf_dir: str, spam: list[tuple[str, str]]) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     ruled = urls.filter_urls(pages, spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string"))
     ruled = ruled.select("page_id", "host", "path", F.col("entry").alias("rule"), F.col("verdict").alias("ruled"), "url")
-    listed = spark.createDataFrame([(h, p, "block") for h, p in spam], "host string, path string, verdict string")
-    both = urls.filter_urls(ruled, listed)
+    # An empty path fits bare hosts too.
+    spam = [(f"{family}.{domain}", "", "block") for family in SPAM_FAMILIES for domain in SPAM_DOMAINS]
+    both = urls.filter_urls(ruled, spark.createDataFrame(spam, "host string, path string, verdict string"))
     return both.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("ruled")).otherwise(F.col("verdict")).alias("verdict"))
 
 
@@ -132,7 +123,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op7_rules": op7_rules,
     "op8_urls": op8_urls,
-    "op8_urls_whole": op8_urls_whole,
     "op9_jaccard": op9_jaccard,
     "op10_bpe": op10_bpe,
 }
