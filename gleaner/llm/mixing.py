@@ -11,6 +11,8 @@ from .common import SPACES, materialise
 MOST_COPIES = 2
 #: The documents of one source and size are dealt into so many parts by a hash of the key, so none holds them all.
 SALTS = 1024
+#: Up to so many (source, size) groups the documents meet their rates by a broadcast; beyond, by a salted join.
+BROADCAST_GROUPS = 100_000
 
 
 def word_count(text):
@@ -49,8 +51,8 @@ def balance(groups: DataFrame, targets: DataFrame, rounds: int = 60, tolerance:
     Minimises the entropy of the rates within [0, MOST_COPIES] under one token constraint a source. The dual is
     convex with the solution rate = 2 / (1 + exp(-lambda * size / mean size)): an exponential tilt that saturates.
     Each round is one Newton step for every source at once on logit(words taken / words possible), kept in the
-    bracket of earlier steps; a miss of over a millionth after the last is an error; the state has one row a source and is written after every round. The sums are over
-    groups, that is over counts of documents of equal source and size, not over documents.
+    bracket of earlier steps; a miss of over a millionth after the last is an error. The state has one row a source and
+    is written after every round. The sums are over groups, that is over counts of documents of equal source and size, not over documents.
     """
     cap = float(MOST_COPIES)
     live = (F.col("target") > 0) & (F.col("target") < F.col("source_size") * cap * (1 - 1e-12))
@@ -102,16 +104,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
     Rounding: documents of equal source and size form a group of one rate. Over groups by falling size, a running
     sum of the rates' fractions tells how many documents of each group get the extra copy, so that a source misses
-    its target by at most half its largest document; within a group the extra copies go by hash of the key. The
-    documents of a group are dealt into SALTS parts by that hash, each with its share of the group's extra copies, so
-    that neither a window nor a join has a group in one task. A source without words has the target 0 and no copies.
+    its target by at most half its largest document; within a group these are the documents with the smallest hashes
+    of their key. Each group's hash at the cut is found on rows of (source, size, hash) alone: counts of SALTS ranges
+    of hashes tell the range of the cut, and only that range is ordered. Texts are not exchanged, unless there are more
+    than BROADCAST_GROUPS groups. A source without words has the target 0 and no copies.
     """
     added = ("size", "source_size", "target", "rate", "copies")
     docs = docs.drop(*[c for c in added if c in docs.columns])
-    draw = F.xxhash64(F.lit("mix"), F.col(key))
-    sized = docs.withColumn("size", word_count(F.col(text))).withColumn("__draw", draw).withColumn("__salt", F.pmod(draw, F.lit(SALTS)))
-    salted = sized.groupBy(F.col(source).alias("source"), "size", F.col("__salt").alias("salt")).agg(F.count("*").alias("n"))
-    salted = materialise(salted, "mix-sizes")
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col(key)), 1)
+    sized = docs.withColumn("size", word_count(F.col(text))).withColumn("__draw", draw)
+    salt = F.floor(F.col("__draw") / F.lit((1 << 63) // SALTS)).cast("int")
+    drawn = materialise(sized.select(F.col(source).alias("source"), "size", "__draw").withColumn("salt", salt), "mix-draws")
+    salted = materialise(drawn.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "mix-sizes")
     groups = salted.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sources = materialise(groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs")), "mix-sources")
     targets = materialise(source_targets(sources.drop("n_docs"), weights, share), "mix-targets")
@@ -121,19 +125,35 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     by_size = Window.partitionBy("source").orderBy(F.desc("size"))
     rates = rates.withColumn("run", F.sum(frac * F.col("n")).over(by_size))
     extra = F.floor(F.col("run") + 0.5) - F.floor(F.col("run") - frac * F.col("n") + 0.5)
-    rates = rates.withColumn("extra", F.least(extra, F.col("n"))).withColumnsRenamed({"source": "s", "size": "z", "n": "all"})
-    # The extra copies of a group go to its salts by their share of its documents, rounded on the running sum.
-    each = salted.join(rates, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
-    up_to = F.sum("n").over(Window.partitionBy("source", "size").orderBy("salt"))
-    share_to = lambda count: F.floor(F.col("extra") * count / F.col("all"))
-    each = each.withColumn("upto", up_to).withColumn("quota", share_to(F.col("upto")) - share_to(F.col("upto") - F.col("n")))
-    each = each.select(
-        F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("salt").alias("__s"), F.col("source_size").alias("__total"),
-        F.col("target").alias("__target"), F.col("rate").alias("__rate"), F.col("quota").alias("__quota"),
-    )
-    each = materialise(each, "mix-rates")
-    rated = sized.join(each, F.col(source).eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")) & (F.col("__salt") == F.col("__s")))
-    part = Window.partitionBy("__source", "__size", "__s").orderBy("__draw", F.col(key))
-    rated = rated.withColumn("__place", F.row_number().over(part))
-    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.floor("__rate") + (F.col("__place") <= F.col("__quota")).cast("int")).cast("int")
-    return rated.select(*docs.columns, "size", F.col("__total").alias("source_size"), F.col("__target").alias("target"), F.col("__rate").alias("rate"), copies.alias("copies"))
+    rates = rates.withColumn("extra", F.least(extra, F.col("n"))).drop("n", "run").withColumnsRenamed({"source": "s", "size": "z"})
+    rates = materialise(rates, "mix-rates")
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
+    # The range of hashes in which a group's cut lies, and how many documents of that range get the extra copy.
+    upto = F.sum("n").over(Window.partitionBy("source", "size").orderBy("salt"))
+    ranges = salted.join(rates.where("extra > 0").select("s", "z", "extra"), same).withColumn("upto", upto)
+    need = (F.col("extra") - (F.col("upto") - F.col("n"))).alias("need")
+    ranges = ranges.where("upto >= extra and upto - n < extra").select("s", "z", F.col("salt").alias("at"), need)
+    near = drawn.join(ranges, same & (F.col("salt") == F.col("at"))).groupBy("s", "z", "need", "__draw").agg(F.count("*").alias("ties"))
+    near = near.withColumn("run", F.sum("ties").over(Window.partitionBy("s", "z").orderBy("__draw")))
+    cuts = near.where("run >= need and run - ties < need").select(F.col("s").alias("c_s"), F.col("z").alias("c_z"), F.col("__draw").alias("cut"), "ties", (F.col("need") - F.col("run") + F.col("ties")).alias("take"))
+    rated = rates.join(cuts, F.col("s").eqNullSafe(F.col("c_s")) & (F.col("z") == F.col("c_z")), "left")
+    names = ["source_size", "target", "rate", "cut", "ties", "take"]
+    rated = materialise(rated.select(F.col("s").alias("__source"), F.col("z").alias("__size"), *[F.col(c).alias(f"__{c}") for c in names]), "mix-cuts")
+    mine = F.col(source).eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size"))
+    if rated.count() <= BROADCAST_GROUPS:
+        found = sized.join(F.broadcast(rated), mine)
+    else:
+        spread = salted.join(rated, F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size"))).select(*rated.columns, F.col("salt").alias("__at"))
+        found = sized.withColumn("__salt", salt).join(spread, mine & (F.col("__salt") == F.col("__at")))
+    below, tied = F.col("__draw") < F.col("__cut"), F.col("__draw") == F.col("__cut")
+    more = F.when(F.col("__cut").isNull(), F.lit(0)).when(below | tied, F.lit(1)).otherwise(F.lit(0))
+    if rated.where("__ties > __take").limit(1).count():
+        # Rows of one key at a cut, of which only some get the copy: the first by a hash of their text.
+        part = tied & (F.col("__ties") > F.col("__take"))
+        place = F.row_number().over(Window.partitionBy("__source", "__size").orderBy(F.xxhash64(F.col(text))))
+        some = found.where(part).withColumn("__more", (place <= F.col("__take")).cast("int"))
+        found = found.where(~F.coalesce(part, F.lit(False))).withColumn("__more", more).unionByName(some)
+    else:
+        found = found.withColumn("__more", more)
+    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.floor("__rate") + F.col("__more")).cast("int")
+    return found.select(*docs.columns, "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__rate").alias("rate"), copies.alias("copies"))
