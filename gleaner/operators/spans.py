@@ -87,3 +87,14 @@ def windows(length: int, step: int, duration: Column) -> Column:
     """Starts of windows of `length` over [0, duration), `step` apart; the first that reaches the end is the last."""
     count = F.greatest(F.lit(0), F.ceil((duration - length) / step)).cast("int")
     return F.when(duration > 0, F.transform(F.sequence(F.lit(0), count), lambda i: i * step)).otherwise(F.array().cast("array<int>"))
+
+
+def best_match(pairs: DataFrame, detection: list[str], similarity: str, least: float, ties: list[str]) -> DataFrame:
+    """Of each detection's pairs with a similarity of at least `least`, the most similar one; ties by `ties`, in order.
+
+    One aggregation by detection with a partial minimum, so a detection with many pairs is reduced before the exchange.
+    Null similarities are left out. Returns detection..., similarity and ties... of the pair.
+    """
+    best = F.min(F.struct((-F.col(similarity)).alias("s"), *ties)).alias("m")
+    found = pairs.where(F.col(similarity) >= least).groupBy(*detection).agg(best)
+    return found.select(*detection, (-F.col("m.s")).alias(similarity), *[F.col(f"m.{t}").alias(t) for t in ties])

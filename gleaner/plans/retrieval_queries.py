@@ -242,3 +242,16 @@ def occurrence_detections(spark: SparkSession, sf: str) -> DataFrame:
     counts = found.groupBy("event_id").agg(F.count("*").alias("detections"), F.min(F.col("t") - F.col("at")).alias("first_delay"))
     out = occurrences.join(counts, "event_id", "left")
     return out.select("user_id", "event_id", F.coalesce("detections", F.lit(0)).alias("detections"), "first_delay")
+
+
+@query("WITH p AS (SELECT d.event_id, o.event_id AS occurrence, o.ts AS start, round(1 / (1 + abs(d.value - o.value)), 6) AS similarity FROM events d JOIN events o ON o.user_id = d.user_id AND o.event_type = 'purchase' AND d.event_type = 'click' AND epoch(d.ts) >= epoch(o.ts) AND epoch(d.ts) < epoch(o.ts) + 86400) SELECT event_id, occurrence, similarity FROM p WHERE similarity >= 0.02 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY similarity DESC, start, occurrence) = 1")
+def best_occurrences(spark: SparkSession, sf: str) -> DataFrame:
+    """Each click with the purchase of the day before that is closest in value, the earlier one of equals."""
+    day = 86_400
+    rows = table(spark, sf, "events").select("event_id", "user_id", "event_type", (micros("ts") / 1_000_000.0).alias("t"), "value")
+    asked = rows.where("event_type = 'click'").withColumn("bucket", F.floor(F.col("t") / day)).select("event_id", "user_id", "t", "value", "bucket")
+    held = rows.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("occurrence"), F.col("t").alias("start"), F.col("value").alias("v"))
+    held = held.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / day), F.floor((F.col("start") + day) / day))))
+    pairs = asked.join(held, ["user_id", "bucket"]).where((F.col("t") >= F.col("start")) & (F.col("t") < F.col("start") + day))
+    pairs = pairs.withColumn("similarity", F.round(1 / (1 + F.abs(F.col("value") - F.col("v"))), 6))
+    return spans.best_match(pairs, ["event_id"], "similarity", 0.02, ["start", "occurrence"]).select("event_id", "occurrence", "similarity")

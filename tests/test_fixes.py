@@ -66,3 +66,13 @@ def test_near_duplicates_tokenise_each_text_once(spark, sf_dir):
     plan = near_duplicate_leakage(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     lines = [x for x in plan.splitlines() if "Filter" in x]
     assert lines and not any("xxhash64" in x or "array_distinct" in x for x in lines)
+
+
+def test_best_match_ties_and_nulls(spark):
+    from gleaner.operators import spans
+
+    rows = [(1, 0.9, 5, "b"), (1, 0.9, 5, "a"), (1, 0.9, 6, "c"), (1, 0.5, 0, "d"), (2, 0.4, 0, "a"), (3, None, 0, "a"), (4, 0.5, 1, "x"), (4, 0.5, 1, "x")]
+    pairs = spark.createDataFrame(rows, "d long, sim double, start long, id string")
+    got = spans.best_match(pairs, ["d"], "sim", 0.5, ["start", "id"])
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 0.9, 5, "a"), (4, 0.5, 1, "x")]
+    assert spans.best_match(pairs.limit(0), ["d"], "sim", 0.5, ["start", "id"]).count() == 0
