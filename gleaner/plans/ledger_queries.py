@@ -153,6 +153,14 @@ def bootstrap_interval(spark: SparkSession, sf: str) -> DataFrame:
     return stats.bootstrap_mean(ledger(spark, sf), "latency", "source_group", ["event_type"], resamples=10_000)
 
 
+@query()
+def paired_delta_interval(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates' differences by sample, with an interval from drawing customers, each counted by its samples."""
+    customers = table(spark, sf, "orders").select(F.col("o_orderkey").alias("sample"), F.col("o_custkey").alias("customer"))
+    rows = results(spark, sf).join(customers, "sample")
+    return stats.paired_interval(rows, "candidate", "sample", "value", "customer")
+
+
 @query(f"WITH {RESULT_SQL} SELECT sample, max(value) FILTER (candidate = 'AF') AS af, max(value) FILTER (candidate = 'NO') AS no, max(value) FILTER (candidate = 'RF') AS rf FROM res GROUP BY 1".replace("max(value)", "round(max(value), 6)").replace("round(max(value), 6) FILTER (candidate = 'AF')", "round(max(value) FILTER (candidate = 'AF'), 6)").replace("round(max(value), 6) FILTER (candidate = 'NO')", "round(max(value) FILTER (candidate = 'NO'), 6)").replace("round(max(value), 6) FILTER (candidate = 'RF')", "round(max(value) FILTER (candidate = 'RF'), 6)"))
 def sample_pivot(spark: SparkSession, sf: str) -> DataFrame:
     wide = results(spark, sf).groupBy("sample").pivot("candidate", ["AF", "NO", "RF"]).agg(F.max("value"))

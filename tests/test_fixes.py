@@ -76,3 +76,16 @@ def test_best_match_ties_and_nulls(spark):
     got = spans.best_match(pairs, ["d"], "sim", 0.5, ["start", "id"])
     assert sorted(tuple(r) for r in got.collect()) == [(1, 0.9, 5, "a"), (4, 0.5, 1, "x")]
     assert spans.best_match(pairs.limit(0), ["d"], "sim", 0.5, ["start", "id"]).count() == 0
+
+
+def test_paired_interval_counts_groups_by_size(spark):
+    from gleaner.operators import stats
+
+    # Group 0 has 9 paired samples of difference 1, group 1 one of difference 0; sample 99 is not paired.
+    rows = [(c, i, 0 if i < 9 else 1, (1.0 if i < 9 else 0.0) if c == "a" else 0.0) for c in "ab" for i in range(10)] + [("a", 99, 2, 50.0), ("b", 98, 2, None)]
+    df = spark.createDataFrame(rows, "c string, s long, g long, v double")
+    got = stats.paired_interval(df, "c", "s", "v", "g", resamples=200).first()
+    assert (got.left, got.right, got.groups, got.reason) == ("a", "b", 2, None) and abs(got.estimate - 0.9) < 1e-12
+    assert got.low == 0 and got.high == 1 and got == stats.paired_interval(df.repartition(3), "c", "s", "v", "g", resamples=200).first()
+    alone = stats.paired_interval(df.where("g = 0"), "c", "s", "v", "g", resamples=50).first()
+    assert (alone.low, alone.high, alone.reason) == (None, None, "too few groups")
