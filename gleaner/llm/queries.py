@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bitslice, bpe, chat, jaccard, language, mixing, quality, rules, suffixes, urls, whitening
+from . import bitslice, bpe, chat, jaccard, language, lines, mixing, quality, rules, suffixes, urls, whitening
 from .common import table
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -119,6 +119,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), chars=20, documents=3, carry=["doc_id"])
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
@@ -131,4 +136,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard": op9_jaccard,
     "op10_bpe": op10_bpe,
     "op12_whitening": op12_whitening,
+    "op13_lines": op13_lines,
 }
