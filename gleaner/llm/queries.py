@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bitslice, bpe, chat, jaccard, language, lines, mixing, quality, rules, suffixes, urls, whitening
+from . import bitslice, bpe, chat, jaccard, language, lines, mixing, quality, rules, spelling, suffixes, urls, whitening
 from .common import table
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -114,6 +114,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.little_endian(F.col("ids"), path), 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents").select("doc_id", "text"), every=199, least_chars=6, least=5, ratio=5)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=32, scale=64, offset=1_000_000)
     return found.withColumn("deviation", F.col("deviation").try_cast("long"))
@@ -135,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_jaccard": op9_jaccard,
     "op10_bpe": op10_bpe,
+    "op11_spelling": op11_spelling,
     "op12_whitening": op12_whitening,
     "op13_lines": op13_lines,
 }
