@@ -274,7 +274,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: int =
     discard(index)
     release(spark)
     sent = docs.select(*keep, text_bytes(text).alias("__body"), doc.alias("__doc"), F.xxhash64(text).alias("__text"))
-    sent = sent.join(gone, ["__doc", "__text"], "left").select(*keep, "__body", "__gone")
+    # Texts meet what they lose in an exchange at every size: a broadcast of it would grow with the documents.
+    sent = sent.hint("merge").join(gone, ["__doc", "__text"], "left").select(*keep, "__body", "__gone")
     k = len(keep)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
