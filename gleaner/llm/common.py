@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -20,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the session names in spark.checkpoint.dir; where it is unset, one of our own, in local mode only."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
     if not found:
         found = tempfile.mkdtemp(prefix="gleaner-")
         spark.sparkContext.setCheckpointDir(found)
@@ -80,6 +83,9 @@ def slices(offsets: np.ndarray, most: int = 1 << 21):
         first = last
 
 
+#: Bytes of text of which a task holds the arrays of 64-bit numbers at a time; a longer document is held whole.
+STRIP_BYTES = 1 << 18
+
 _POWERS: dict[str, np.ndarray] = {}
 _BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -87,7 +93,7 @@ _BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C1
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2^64."""
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 18)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             x = np.full(size, base, np.uint64)
             x[0] = 1

@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import discard, materialise, mix, powers, release, shuffle_parts, slices, text_buffers
+from .common import STRIP_BYTES, discard, materialise, mix, powers, release, shuffle_parts, slices, text_buffers
 
 #: Length of the strings that count as repeats, and of the anchors: every window of LENGTH bytes holds one.
 LENGTH, K = 50, 24
 WINDOW = LENGTH - K + 1
 CONTEXT = WINDOW - 1 + LENGTH
 #: Bytes of suffix tuples that a queue holds before it writes a sorted run to the task's own disk.
-QUEUE_BYTES = 96 << 20
+QUEUE_BYTES = 32 << 20
 
 # Suffix tuple: anchor, bytes of its windows (zeros elsewhere), first and last window (bytes before the anchor),
 # smallest document, and the run and place it came from.
@@ -69,8 +69,17 @@ def unpack(data: bytes) -> np.ndarray:
 def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, place, hash, lo, hi) of all anchors: they own the windows that start hi to lo bytes before them.
 
-    The anchor of a window is its first K bytes of smallest hash (33 bits of it), the leftmost of equals.
+    The anchor of a window is its first K bytes of smallest hash (33 bits of it), the leftmost of equals. Some documents
+    at a time, as this takes up to 100 bytes a byte of text.
     """
+    found = []
+    for a, b in slices(offsets, STRIP_BYTES):
+        doc, place, *more = _anchors(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        found.append((doc + a, place + offsets[a], *more))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else _anchors(raw[:0], offsets[:1])
+
+
+def _anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(raw)
     nothing = np.zeros(0, np.int64)
     if n < LENGTH:
@@ -154,27 +163,15 @@ def _pack(doc: np.ndarray, code: np.ndarray, names: np.ndarray, parts: int) -> l
 
 def _shared_codes(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From blocks: text, codes of its anchors that another text holds as well."""
+        """From blocks sorted by part: text, codes of its anchors that another text holds as well. One part is held at a time."""
 
         def out(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["text_id", "codes"])
 
-        held: dict[int, list[tuple]] = {}
-        for batch in batches:
-            passed = []
-            for part, kind, codes, names, counts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if kind == 1:
-                    passed.append((int(np.frombuffer(names, np.int64)[0]), codes))
-                else:
-                    held.setdefault(part, []).append((kind, codes, names, counts))
-            if passed:
-                yield out(passed)
-        for part in sorted(held):
-            blocks = held.pop(part)
+        def flush(part: int, blocks: list[tuple]) -> Iterator[pa.RecordBatch]:
             key = np.concatenate([np.frombuffer(b[1], np.uint32) for b in blocks])
             name = np.concatenate([np.repeat(np.frombuffer(b[2], np.int64), np.frombuffer(b[3], np.uint32)) for b in blocks])
             known = np.concatenate([np.full(len(b[1]) // 4, b[0] == 2) for b in blocks])
-            del blocks
             order = np.lexsort((known, name, key))
             key, name, known = key[order], name[order], known[order]
             first = np.ones(len(key), bool)
@@ -190,6 +187,23 @@ def _shared_codes(parts: int):
             if len(key):
                 yield out([(n, head + c.tobytes()) for n, c in _grouped(name[order], key[order])])
 
+        current, held = -1, []
+        for batch in batches:
+            passed = []
+            for part, kind, codes, names, counts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if part != current and held:
+                    yield from flush(current, held)
+                    held = []
+                current = part
+                if kind == 1:
+                    passed.append((int(np.frombuffer(names, np.int64)[0]), codes))
+                else:
+                    held.append((kind, codes, names, counts))
+            if passed:
+                yield out(passed)
+        if held:
+            yield from flush(current, held)
+
     return run
 
 
@@ -331,8 +345,11 @@ def _contexts(parts: int):
                 if not len(doc):
                     continue
                 reach = np.arange(-(WINDOW - 1), LENGTH)
-                inside = (reach >= -hi[:, None]) & (reach < LENGTH - lo[:, None])
-                ctx = np.where(inside, part_raw[np.clip(place[:, None] + reach, 0, len(part_raw) - 1)], 0).astype(np.uint8)
+                ctx = np.zeros((len(doc), CONTEXT), np.uint8)
+                for a in range(0, len(doc), 8192):
+                    some = slice(a, a + 8192)
+                    inside = (reach >= -hi[some, None]) & (reach < LENGTH - lo[some, None])
+                    ctx[some] = np.where(inside, part_raw[np.clip(place[some, None] + reach, 0, len(part_raw) - 1)], 0)
                 wide = np.zeros((len(doc), 80), np.uint8)
                 wide[:, :CONTEXT], wide[:, CONTEXT], wide[:, CONTEXT + 1] = ctx, lo, hi
                 print_ = hashes.copy()
@@ -424,7 +441,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                 kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], k) for i, k in enumerate(kinds)], ["part", "kind", "codes", "names", "counts"])
 
-    blocks = rows.select("text_id", "text").mapInArrow(find, _BLOCK).repartition(parts, "part")
+    blocks = rows.select("text_id", "text").mapInArrow(find, _BLOCK).repartition(parts, "part").sortWithinPartitions("part")
     shared = blocks.mapInArrow(_shared_codes(parts), "text_id long, codes binary")
     shared = shared.groupBy("text_id").agg(F.collect_list("codes").alias("codes"))
     shared = materialise(shared.join(first, "text_id").select("text_id", "text_id2", F.col("first").alias("doc_id"), "codes"), "suffix-anchors")

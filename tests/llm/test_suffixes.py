@@ -1,13 +1,14 @@
+import hashlib
 import random
 
 import numpy as np
 import pytest
 
-from gleaner.llm import suffixes
+from gleaner.llm import queries, suffixes
 
 
-def brute(rows):
-    """(key, text) -> (n_bytes, n_removed, n_spans, kept) by a table of all strings of LENGTH bytes."""
+def spans(rows):
+    """((key, text), maximal runs of bytes to remove) by a table of all strings of LENGTH bytes."""
     n = suffixes.LENGTH
     first = {}
     for k, t in rows:
@@ -15,15 +16,24 @@ def brute(rows):
         for i in range(len(b) - n + 1):
             w = b[i : i + n]
             first[w] = min(first.get(w, k), k)
-    out = []
     for k, t in rows:
         b = (t or "").encode()
-        gone = np.zeros(len(b) + 1, bool)
+        out = []
         for i in range(len(b) - n + 1):
             if first[b[i : i + n]] < k:
-                gone[i : i + n] = True
-        spans = int((gone[:-1] & ~np.concatenate(([False], gone[:-2]))).sum()) if len(b) else 0
-        out.append((k, len(b), int(gone.sum()), spans, bytes(x for x, g in zip(b, gone, strict=False) if not g)))
+                if out and i <= out[-1][1]:
+                    out[-1][1] = i + n
+                else:
+                    out.append([i, i + n])
+        yield (k, t), out
+
+
+def brute(rows):
+    out = []
+    for (k, t), gone in spans(rows):
+        b = (t or "").encode()
+        left = b"".join(b[a:e] for a, e in zip([0, *(g[1] for g in gone)], [*(g[0] for g in gone), len(b)], strict=True))
+        out.append((k, len(b), len(b) - len(left), len(gone), left))
     return sorted(out)
 
 
@@ -72,3 +82,11 @@ def test_odd_tables(spark):
     assert got == [(1, 60, 0, 0), (1, 60, 0, 0), (1, 61, 0, 0), (2, 62, 60, 1), (3, 60, 60, 1)]
     assert suffixes.remove(df.limit(0)).count() == 0
     assert suffixes.remove(df.where("doc_id = 9").unionByName(df.limit(1))).count() == 1
+
+
+def test_query(spark, sf_dir):
+    """The registered query, digests and all, on whole tables."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    want = [(k, n, gone, s, hashlib.sha256(left).hexdigest()) for k, n, gone, s, left in brute(rows)]
+    got = queries.QUERIES["op3_suffixes"](spark, sf_dir)
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == want
