@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import discard, materialise, mix, release, shuffle_parts, slices, text_buffers, word_hashes
+from .common import STRIP_BYTES, discard, materialise, mix, release, shuffle_parts, slices, text_buffers, word_hashes
 
 #: Words of a shingle, and the link condition 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 75
@@ -38,8 +39,17 @@ _ODD = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each document, concatenated, and their len + 1 bounds.
 
-    Fewer words than a shingle: the whole sequence is one shingle. No words: none.
+    Fewer words than a shingle: the whole sequence is one shingle. No words: none. Some documents at a time.
     """
+    values, bounds = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for a, b in slices(offsets, STRIP_BYTES):
+        v, at = _shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        values.append(v)
+        bounds.append(at[1:] + bounds[-1][-1])
+    return np.concatenate(values), np.concatenate(bounds)
+
+
+def _shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hashes, starts = word_hashes(raw, offsets)
     n_docs, n = len(offsets) - 1, np.diff(starts)
     many = np.maximum(0, n - WORDS + 1)
@@ -82,19 +92,21 @@ def _sets_of(batch: pa.RecordBatch, column: int):
         yield first, last, values, bounds, points(values, bounds)
 
 
-def measure(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, n_shingles, point (null where the set is empty) of every row."""
+def measure(docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, carry..., n_shingles, point (null where the set is empty) of every row."""
+    k = len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for _, _, _, bounds, name in _sets_of(batch, 1):
+            for _, _, _, bounds, name in _sets_of(batch, k + 1):
                 sizes.append(np.diff(bounds))
                 names.append(name)
             size, name = np.concatenate(sizes), np.concatenate(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(name, mask=size == 0)], ["key", "n_shingles", "point"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: k + 1], pa.array(size), pa.array(name, mask=size == 0)], ["key", *carry, "n_shingles", "point"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, n_shingles long, point long")
+    sent = docs.select(F.col(key).cast("long").alias("key"), *carry, F.col(text).alias("text"))
+    return sent.mapInArrow(run, StructType([*sent.schema.fields[: k + 1], StructField("n_shingles", LongType()), StructField("point", LongType())]))
 
 
 _BLOCK = "part int, kind int, keys binary, names binary, sizes binary, counts binary"
@@ -184,21 +196,25 @@ def _shared_in(blocks: list[tuple]) -> np.ndarray:
 
 
 def _count_shared(buckets: int):
-    """From blocks, one packed block of counts for each bucket of points and task."""
+    """From blocks sorted by part, one packed block of counts for each bucket of points and task. One part is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
         counts: list[np.ndarray] = []
+        current, held = -1, []
         for batch in batches:
             for part, kind, keys, names, sizes, local in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if part != current and held:
+                    counts.append(_shared_in(held))
+                    held = []
+                current = part
                 if kind == 1:
                     one = np.zeros(len(names) // 8, _COUNT)
                     one["point"], one["n"], one["local"] = np.frombuffer(names, np.int64), np.frombuffer(sizes, np.uint32), np.frombuffer(local, np.uint32)
                     counts.append(one)
                 else:
-                    held.setdefault(part, []).append((kind, keys, names, local))
-        for part in sorted(held):
-            counts.append(_shared_in(held.pop(part)))
+                    held.append((kind, keys, names, local))
+        if held:
+            counts.append(_shared_in(held))
         merged = _merged(counts)
         to = merged["point"] % buckets
         order = np.argsort(to, kind="stable")
@@ -225,7 +241,7 @@ def _survivors(blocks: DataFrame) -> DataFrame:
     """
     parts = shuffle_parts(blocks.sparkSession)
     buckets = max(1, parts // 8)  # of points: a block of counts is some hundred rows at any size
-    found = blocks.repartition(parts, "part").mapInArrow(_count_shared(buckets), "bucket int, counts binary")
+    found = blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_count_shared(buckets), "bucket int, counts binary")
     return found.repartition(buckets, "bucket").mapInArrow(_pick_survivors, "point long, n long, central double")
 
 
@@ -368,7 +384,8 @@ def links(sets: DataFrame) -> DataFrame:
     discard(cells)
     stars = near.where("core").select(F.col("pivot").alias("a"), F.col("point").alias("b"))
     # What is left: pairs of different components with a point outside the radius, within the window of distances.
-    roots = components(stars).select("point", F.col("root").alias("r"))
+    labels = components(stars)
+    roots = labels.select("point", F.col("root").alias("r"))
     outer = near.where("not core").groupBy("pivot").agg(F.min("d").alias("from_d"), F.max("d").alias("to_d"))
     slack = RADIUS + 1e-9
     active = near.join(outer, "pivot").where((~F.col("core")) | ((F.col("d") >= F.col("from_d") - slack) & (F.col("d") <= F.col("to_d") + slack)))
@@ -377,14 +394,14 @@ def links(sets: DataFrame) -> DataFrame:
     several = active.groupBy("pivot").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("members")).where("r1 <> r2").select("pivot", "members")
     # A region that fits into one sub-region is joined whole, so that each of its points is sent once.
     large = F.col("members") > LEAF
-    active = active.join(several, "pivot").withColumn("core", F.col("core") & large).withColumn("ring", F.when(large, F.col("ring")).otherwise(0))
-    rings = active.groupBy("pivot", "core", "ring").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("salts"))
+    parted = active.join(several, "pivot").withColumn("core", F.col("core") & large).withColumn("ring", F.when(large, F.col("ring")).otherwise(0))
+    rings = parted.groupBy("pivot", "core", "ring").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("salts"))
     # Points of one component keep together, unless they are too many for one sub-region.
     salt = F.pmod(F.xxhash64("root") + F.pmod(F.xxhash64("point"), F.ceil(F.col("same") / LEAF)), F.col("salts")).cast("int")
-    alike = active.groupBy("pivot", "core", "ring", "root").agg(F.count("*").alias("same"))
-    active = active.join(rings, ["pivot", "core", "ring"]).join(alike, ["pivot", "core", "ring", "root"])
-    active = materialise(active.select("pivot", "point", "root", F.struct("core", "ring", salt.alias("salt")).alias("sub")), "jaccard-subs")
-    subs = active.groupBy("pivot", "sub").agg(F.count("*").alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+    alike = parted.groupBy("pivot", "core", "ring", "root").agg(F.count("*").alias("same"))
+    parted = parted.join(rings, ["pivot", "core", "ring"]).join(alike, ["pivot", "core", "ring", "root"])
+    parted = materialise(parted.select("pivot", "point", "root", F.struct("core", "ring", salt.alias("salt")).alias("sub")), "jaccard-subs")
+    subs = parted.groupBy("pivot", "sub").agg(F.count("*").alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2"))
     other = subs.select(F.col("pivot").alias("p2"), F.col("sub").alias("sub2"), F.col("r1").alias("s1"), F.col("r2").alias("s2"))
     window = F.abs(F.col("sub.ring") - F.col("sub2.ring")) <= int(np.ceil(RADIUS / STEP)) + 1
     pairs = subs.join(other, (F.col("pivot") == F.col("p2")) & (F.col("sub") <= F.col("sub2")) & window)
@@ -392,9 +409,12 @@ def links(sets: DataFrame) -> DataFrame:
     pairs = pairs.where(~joined).select("pivot", "sub", "sub2")
     sides = pairs.select("pivot", "sub", F.xxhash64("pivot", "sub", "sub2").alias("pair"), F.lit(0).alias("side"))
     sides = sides.unionByName(pairs.where(F.col("sub") != F.col("sub2")).select("pivot", F.col("sub2").alias("sub"), F.xxhash64("pivot", "sub", "sub2").alias("pair"), F.lit(1).alias("side")))
-    met = sides.join(active, ["pivot", "sub"]).select("pair", "side", "point").join(own, "point")
+    met = sides.join(parted, ["pivot", "sub"]).select("pair", "side", "point").join(own, "point")
     rest = met.groupBy("pair").applyInArrow(_join_leaves, "a long, b long")
-    return stars.unionByName(rest).distinct()
+    found = materialise(stars.unionByName(rest).distinct(), "jaccard-links")
+    for spent in (near, active, labels, parted):
+        discard(spent)
+    return found
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -409,33 +429,47 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         jump = step.select(F.col("point").alias("via"), F.col("root").alias("up"))
         step = step.join(jump, step.root == jump.via, "left").select("point", "old", F.least("root", F.coalesce("up", "root")).alias("root"))
         step = materialise(step, "jaccard-labels")
+        discard(labels)
         labels = step.select("point", "root")
+        labels.written = step.written
         if step.where("old <> root").isEmpty():
+            discard(both)
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """n_shingles and component of every row of docs: key (long), n_shingles, component_id.
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """n_shingles and component of every row of docs: key (long), carry..., n_shingles, component_id, group_id.
 
     A-Z count as a-z; words are runs of anything but ASCII white space; a set holds the distinct shingles of WORDS
     words, with fewer words the whole sequence. Rows link when 100 * intersection >= PERCENT * union; component_id is
-    the smallest key reachable. Null or blank text has no shingles and is its own component; equal texts link.
-    Repeated rows stay, one result row each. Other columns are not looked at. Shingles are told apart by 64-bit
-    hashes. The links between different sets that make up each component are found exactly, whatever its size.
+    the smallest key reachable. group_id tells components apart even where rows of one key have different texts; it is
+    null where there are no shingles. Null or blank text has no shingles and is its own component; equal texts link.
+    A null key counts as larger than all others: it is a component_id only where all keys of a component are null.
+    Repeated rows stay, one result row each. Only the columns in carry (none of them named key, text, point or
+    n_shingles) are kept. Shingles are told apart by 64-bit hashes. The links between different sets that make up each
+    component are found exactly, whatever its size.
     """
-    rows = materialise(measure(docs, key, text), "jaccard-rows")
+    rows = materialise(measure(docs, key, text, carry), "jaccard-rows")
     first = rows.where("point is not null").groupBy("point").agg(F.min("key").alias("key"))
     kept = materialise(_survivors(_text_blocks(docs, text)), "jaccard-kept")
     release(docs.sparkSession)
     wanted = materialise(kept.join(first, "point").select("key", "point"), "jaccard-wanted")
+    discard(kept)
     few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(F.broadcast(wanted) if few else wanted, "key")
-    sets = materialise(_members(texts, "text").dropDuplicates(["point"]), "jaccard-sets")
-    again = _survivors(_set_blocks(sets))
-    sets = materialise(sets.join(again, "point").select("point", "members", "central"), "jaccard-sets")
-    roots = components(links(sets))
-    groups = first.join(roots, "point", "left").select("point", "key", F.coalesce("root", "point").alias("root"))
-    smallest = groups.groupBy("root").agg(F.min("key").alias("component_id"))
-    of = groups.join(smallest, "root").select("point", "component_id")
-    return rows.join(of, "point", "left").select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
+    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    wanted_keys = wanted.select(F.col("key").alias("first"), "point")
+    texts = texts.join(F.broadcast(wanted_keys) if few else wanted_keys, F.col("key").eqNullSafe(F.col("first")))
+    met = materialise(_members(texts, "text").dropDuplicates(["point"]), "jaccard-sets")
+    discard(wanted)
+    again = _survivors(_set_blocks(met))
+    sets = materialise(met.join(again, "point").select("point", "members", "central"), "jaccard-sets")
+    discard(met)
+    found = links(sets)
+    discard(sets)
+    roots = components(found)
+    discard(found)
+    groups = first.join(roots, "point", "left").select("point", "key", F.coalesce("root", "point").alias("group_id"))
+    smallest = groups.groupBy("group_id").agg(F.min("key").alias("component_id"))
+    of = groups.join(smallest, "group_id").select("point", "component_id", "group_id")
+    return rows.join(of, "point", "left").select(F.col("key").alias(key), *carry, "n_shingles", F.coalesce("component_id", "key").alias("component_id"), "group_id")

@@ -104,7 +104,7 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("group_id")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,18 @@ def test_odd_tables(spark):
     assert jaccard.join(docs.where("text is null")).count() == 1
 
 
+def test_null_keys_and_groups(spark):
+    """Rows without key link like any others; rows of one key with different texts are in groups of their own."""
+    text = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    near = [t + " z" for t in text]
+    rows = [(None, text[0], "p"), (4, near[0], "q"), (None, text[1], "r"), (None, near[1], "s"), (5, text[2], "t"), (5, near[0], "u"), (5, "", "v"), (None, None, "w")]
+    got = {r.name: r for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string, name string").repartition(3), carry=("name",)).collect()}
+    assert list(got["p"].asDict()) == ["doc_id", "name", "n_shingles", "component_id", "group_id"]
+    assert {n: r.component_id for n, r in got.items()} == {"p": 4, "q": 4, "r": None, "s": None, "t": 5, "u": 4, "v": 5, "w": None}
+    assert got["p"].group_id == got["q"].group_id == got["u"].group_id != got["t"].group_id
+    assert got["r"].group_id == got["s"].group_id and got["v"].group_id is got["w"].group_id is None
+
+
 def test_shared_count_never_short():
     """Blocks of runs that hold copies of the same points count at least the shared shingles of each."""
     rng = np.random.default_rng(4)
@@ -93,7 +105,7 @@ def test_shared_count_never_short():
         each = [sets[i] for i in run]
         b = np.concatenate(([0], np.cumsum([len(s) for s in each])))
         rows += list(jaccard._pack(np.concatenate(each), b, names[list(run)], 3))
-    blocks = [jaccard._emit(rows)]
+    blocks = [jaccard._emit(sorted(rows, key=lambda r: r[0]))]
     counts = [c for batch in jaccard._count_shared(4)(iter(blocks)) for c in batch.column(1).to_pylist()]
     got = {r["point"]: r for r in jaccard._merged([np.frombuffer(c, jaccard._COUNT) for c in counts])}
     for i, s in enumerate(sets):
