@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import bpe, jaccard, mixing, quality, suffixes
@@ -20,14 +20,23 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates; equal rows count once."""
-    found = materialise(jaccard.join(docs), "pipeline-groups")
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    one = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
-    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        return one  # no doc_id twice, so no row twice: texts need not meet again
-    one = one.withColumn("__print", F.sha2("text", 256))
-    return one.dropDuplicates(["doc_id", "__print"]).select(*docs.columns)
+    """Of each group of near duplicates the row with the smallest doc_id (null last), then the smallest print of its text.
+
+    Rows are told apart by doc_id and print, so a doc_id with several texts is several documents. Texts without words are
+    in no group and stay; rows equal in doc_id and text count once, and the one whose other columns come first stays.
+    """
+    printed = docs.withColumn("__print", F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = materialise(jaccard.join(printed.select("doc_id", "text", "__print"), carry=("__print",)), "pipeline-groups")
+    named = found.select(F.col("doc_id").alias("__doc"), "__print", F.coalesce(F.col("group_id").cast("string"), F.concat_ws(":", F.lit("alone"), "doc_id", "__print")).alias("__group"))
+    first = named.groupBy("__group").agg(F.min(F.struct(F.col("__doc").isNull().alias("none"), "__doc", "__print")).alias("f"))
+    stay = materialise(first.select("f.__doc", F.col("f.__print").alias("__print2")).distinct(), "pipeline-stay")
+    one = printed.join(stay, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__print") == F.col("__print2")), "left_semi")
+    repeated = found.groupBy("doc_id", "__print").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return one.select(*docs.columns)  # no row twice, so texts need not meet again
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    place = F.row_number().over(Window.partitionBy("doc_id", "__print").orderBy(F.col("text").isNull(), *others))
+    return one.withColumn("__place", place).where("__place = 1").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
