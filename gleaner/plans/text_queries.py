@@ -158,12 +158,14 @@ def token_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_frame(spark, sf).select("doc_id", "chunk_index", "start", "end", "tokens", "total_chunks", "chunk_id")
 
 
-# Sentences, and runs of marks and line ends between them, cover a text, so that running lengths are offsets.
+# Sentence bodies, and runs of marks and line ends that belong to none, cover a text, so that running lengths are offsets. A
+# sentence runs from the end of the body before it to the end of its own.
 SENTENCES_SQL = r"""piece AS (SELECT doc_id, i, p, size, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS e0 FROM (
   SELECT doc_id, size, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS p FROM (
     SELECT doc_id, length(text) AS size, regexp_extract_all(text, '[^.!?\n]+(?:[.!?]+|\n|$)|[.!?\n]+') AS ps FROM documents))),
-body AS (SELECT doc_id, size, e0 - length(p) AS s0, e0, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM piece WHERE NOT regexp_matches(p, '^[.!?\n]')),
-sent AS (SELECT doc_id, i, n, CAST(CASE WHEN i = 1 THEN 0 ELSE s0 END AS INT) AS s, CAST(CASE WHEN i = n THEN size ELSE e0 END AS INT) AS e FROM body)"""
+body AS (SELECT doc_id, size, e0, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM piece WHERE NOT regexp_matches(p, '^[.!?\n]')),
+sent AS (SELECT doc_id, i, n, CAST(coalesce(lag(e0) OVER (PARTITION BY doc_id ORDER BY i), 0) AS INT) AS s, CAST(CASE WHEN i = n THEN size ELSE e0 END AS INT) AS e FROM body
+  UNION ALL SELECT doc_id, 1, 1, 0, CAST(length(text) AS INT) FROM documents WHERE regexp_full_match(text, '[.!?\n]*[.!?][.!?\n]*'))"""
 
 
 @query(f'WITH {SENTENCES_SQL} SELECT doc_id, i - 1 AS chunk_index, s AS start, e AS "end" FROM sent')

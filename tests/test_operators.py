@@ -68,8 +68,9 @@ def test_chunkers_cover_their_text():
         text = "".join(rng.choice(["word ", "One two. ", "\n", "\n\n", "# Head line\n", "$$x + y$$", table, "<table><tr><td>q</td></tr></table>", "é日 ", "! "]) for _ in range(rng.randrange(0, 60)))
         for a, b, n in [*chunking.token_windows(text, 7, 2), *chunking.section_windows(text, 7, 2), *chunking.structure_windows(text, 12, 2)]:
             assert 0 <= a < b <= len(text) and n == len(chunking.token_spans(text[a:b]))
+        assert all(n <= 12 for _, _, n in chunking.structure_windows(text, 12, 2))
         sentences = chunking.sentence_spans(text)
-        assert not sentences or (sentences[0][0] == 0 and sentences[-1][1] == len(text))
+        assert [a for a, _ in sentences] + [len(text)] * bool(sentences) == [0] * bool(sentences) + [b for _, b in sentences]
         windows = chunking.recursive_windows(text, 30, 5)
         covered = set(itertools.chain.from_iterable(range(a, b) for a, b in windows))
         assert covered == set(range(len(text))) and all(b - a <= 30 for a, b in windows)
@@ -78,6 +79,42 @@ def test_chunkers_cover_their_text():
     assert chunking.structured_spans("x\n" + table) == [(2, 2 + len(table))]
 
 
+def test_structured_spans():
+    for table in ("a | b\n---|---\n1 | 2\n", "|a|b|\n|:---|---:|\n|1|2|", "x | y\nz | w\n--- | ---"):
+        assert chunking.structured_spans(table) == [(0, len(table))]
+        assert chunking.structured_spans("text\n" + table + "\n\nmore")[0][0] == 5
+    for no in ("a | b\n1 | 2\n", "a | b\n--|--\n", "---|---\n", "a | b\n\n---|---\n", "x | y\nz | w\nq | r\n---|---\n"):
+        assert chunking.structured_spans(no) == []
+    assert chunking.structured_spans("a $$x\ny$$$$z$$ \\[u\\] <TABLE x>|</table>") == [(2, 14), (15, 20), (21, 39)]
+
+
+def test_sentences():
+    assert chunking.sentence_spans("a.\n\nb.") == [(0, 2), (2, 6)] and chunking.sentence_spans("...") == [(0, 3)]
+    assert chunking.sentence_spans("") == chunking.sentence_spans("\n\n") == [] and chunking.sentence_spans(" ?!a") == [(0, 3), (3, 4)]
+
+
+def test_structure_ceiling():
+    """No chunk is above the ceiling, whatever the units; what fits together is together."""
+    row = "| " + " | ".join(f"c{i}" for i in range(300)) + " |\n"
+    table = "| h | i |\n|---|---|\n" + "| a b | c |\n" * 40 + row
+    for text in (table, "# One\n" + table + "# Two\n" + "w " * 500, "$$ " + "x " * 300 + "$$", "<table>" + "<td>q" * 200 + "</table>"):
+        for size, overlap in ((64, 16), (5, 0), (1, 0)):
+            got = chunking.structure_windows(text, size, overlap)
+            assert all(0 <= n <= size and n == len(chunking.token_spans(text[a:b])) for a, b, n in got)
+            covered = set(itertools.chain.from_iterable(range(a, b) for a, b, _ in got))
+            assert covered >= {i for a, b in chunking.token_spans(text) for i in range(a, b)}
+    # Rows of a table hold together until one is above the ceiling by itself.
+    got = chunking.structure_windows(table, 64, 16)
+    assert text_rows(table, got[0]) and got[0] == (0, 20 + 12 * 20, 62) and got[-1][2] <= 64
+    # Sections merge up to the ceiling; a heading inside a formula is none.
+    text = "# A\none two\n# B\nthree\n$$\n# C\n$$\n# D\nfour five six"
+    assert [n for *_, n in chunking.structure_windows(text, 6, 0)] == [6, 4] and [n for *_, n in chunking.structure_windows(text, 3, 0)] == [3, 3, 3, 1]
+
+
+def text_rows(text, chunk):
+    return text[: chunk[1]].endswith("\n") and text[chunk[0]] == "|"
+
+
 def test_text_functions(spark):
     rows = spark.createDataFrame([("áb\r\nco-\nop \t x­\n\n\n\nend  ", ["a", "b", "c"], ["a", "x", "c", "d"])], "t string, r array<string>, h array<string>")
     got = rows.select(tx.normalize(F.col("t")).alias("c"), tx.normalize(F.col("t"), "none").alias("n"), tx.word_error_rate(F.col("r"), F.col("h")).alias("w")).first()

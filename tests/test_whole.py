@@ -92,11 +92,10 @@ def sentences(text):
         else:
             while end < n and text[end] in ".!?":
                 end += 1
-        out.append([at, end])
+        out.append(end)
         at = end
-    if out:
-        out[0][0], out[-1][1] = 0, n
-    return [tuple(x) for x in out]
+    out = out or [n] * bool(text.strip())
+    return list(zip([0, *out[:-1]], [*out[:-1], n], strict=True)) if out else []
 
 
 def test_sentences_of_all_documents(spark, sf_dir):
