@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -10,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import shuffle_parts
+
 #: Low bits of a component that the index leaves out; boundary rows are resolved with all bits.
 DROPPED_BITS = 5
-#: Rows of a block of the index, and queries that one pass broadcasts at most.
-BLOCK_ROWS, QUERY_ROWS = 32_768, 4_096
+#: Rows of a block of the index (about, and at least where there is work for all), and queries of a block.
+BLOCK_ROWS, SMALL_ROWS, QUERY_ROWS = 32_768, 2_048, 4_096
 
 
 class Block:
@@ -132,69 +135,110 @@ class Block:
         return self._repeats
 
 
-def quantised(rows: DataFrame, vector: str, scale: int) -> DataFrame:
-    """vec_id and q: each component x as floor(scale * x). Drops vectors that are null, empty or hold null or non-finite."""
-    x = F.col(vector)
+def usable(rows: DataFrame, vector: str) -> DataFrame:
+    """vec_id and x: vectors as doubles. Drops those that are null, empty or hold null or non-finite components."""
+    x = F.col(vector).cast("array<double>")
     good = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return rows.where(good & F.col("vec_id").isNotNull()).select("vec_id", F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("bigint")).alias("q"))
+    return rows.where(good & F.col("vec_id").isNotNull()).select("vec_id", x.alias("x"))
+
+
+def whole(x: float, scale: int) -> int:
+    """floor(scale * x), of any size."""
+    product = x * scale
+    return math.floor(product) if math.isfinite(product) else math.floor(Fraction(x) * scale)
+
+
+class Vectors:
+    """The vectors of one length of a table: those whose products fit 64 bits as longs, the others as Python integers."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, scale: int):
+        # Below this in both factors, no sum of products reaches 2^62.
+        most = math.isqrt((1 << 62) // x.shape[1])
+        with np.errstate(over="ignore"):
+            q = np.floor(x * scale)
+        small = (np.abs(q) < most).all(axis=1)
+        self.ids, self.values = ids[small], q[small].astype(np.int64)
+        self.wide_ids = ids[~small]
+        self.wide = np.array([[whole(v, scale) for v in row] for row in x[~small].tolist()], object).reshape(-1, x.shape[1])
+
+    @staticmethod
+    def of(table: pa.Table, scale: int) -> dict[int, Vectors]:
+        """By length, from columns cell, vec_id, x."""
+        ids, lists = table.column("vec_id").to_numpy(), table.column("x").combine_chunks()
+        at, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+        sizes, first = np.diff(at), at[:-1] - at[0]
+        return {d: Vectors(ids[mine], flat[first[mine][:, None] + np.arange(d)], scale) for d in np.unique(sizes).tolist() if len(mine := np.flatnonzero(sizes == d))}
+
+
+_FOUND = "query_id long, vec_id long, beyond int, score long, digits string"
+
+
+def _search(scale: int, k: int):
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        """The k best rows of a block for each query of a block; sums beyond 64 bits as sign and sortable digits."""
+        asked, given, out = Vectors.of(queries, scale), Vectors.of(rows, scale), []
+        for d in asked.keys() & given.keys():
+            a, b = asked[d], given[d]
+            block = Block(b.ids, b.values) if len(b.ids) and len(a.ids) else None
+            for query_id, q, fits in [*((i, q, True) for i, q in zip(a.ids.tolist(), a.values, strict=True)), *((i, q, False) for i, q in zip(a.wide_ids.tolist(), a.wide, strict=True))]:
+                best: dict[int, int] = {}
+                if fits and block:
+                    best = dict(zip(*(x.tolist() for x in block.top(query_id, q, k)), strict=True))
+                elif not fits and len(b.ids):
+                    _exact(best, b.ids, b.values.astype(object) @ q)
+                if len(b.wide_ids):
+                    _exact(best, b.wide_ids, b.wide @ q.astype(object))
+                best.pop(query_id, None)
+                for vec_id in sorted(best, key=lambda i: (-best[i], i))[:k]:
+                    v = best[vec_id]
+                    beyond = (v >= 1 << 63) - (v < -(1 << 63))
+                    out.append((query_id, vec_id, beyond, None if beyond else v, sortable(v) if beyond else None))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
+        return pa.table([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["query_id", "vec_id", "beyond", "score", "digits"])
+
+    return run
+
+
+def _exact(best: dict[int, int], ids: np.ndarray, scores: np.ndarray) -> None:
+    for i, v in zip(ids.tolist(), scores.tolist(), strict=True):
+        best[i] = max(v, best.get(i, v))
+
+
+def sortable(v: int) -> str:
+    """Digits that sort as text like the numbers they stand for, among numbers of one sign."""
+    d = str(abs(v))
+    return f"{len(d):06d}{d}" if v >= 0 else f"{999_999 - len(d):06d}{d.translate(str.maketrans('0123456789', '9876543210'))}"
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, vector: str = "embedding") -> DataFrame:
     """The k rows of highest integer inner product for each query: query_id, rank, vec_id, score.
 
-    vectors: vec_id and an array of floats; is_query marks the query rows. Components count as floor(scale * x); the
-    score is exact. Candidates are all rows but those of the query's own vec_id; ties go to the smaller vec_id; fewer
-    than k candidates give fewer rows. Vectors that are null, empty or hold null or non-finite components take no
-    part, nor do rows without vec_id. Rows that repeat a vec_id count once, with their highest score; a repeated
-    query likewise. Vectors of different lengths never meet: a query sees those of its own length. Other columns are
-    not looked at.
+    vectors: vec_id and an array of numbers; is_query marks the query rows. Components count as floor(scale * x); ranks are
+    exact for components of any size. Sums that 64 bits cannot hold are ranked as well and have a null score. Candidates
+    are all rows but those of the query's own vec_id; ties go to the smaller vec_id; fewer than k candidates give fewer
+    rows. Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without vec_id.
+    Rows that repeat a vec_id count once, with their highest score; a repeated query likewise. Vectors of different
+    lengths never meet: a query sees those of its own length. Other columns are not looked at.
 
-    A stated query set against all rows in blocks: each pass broadcasts at most about QUERY_ROWS queries; each task
-    indexes its rows block by block and keeps k rows a query and block, which one small shuffle merges.
+    A stated query set against all rows, in a grid: blocks of queries meet blocks of rows, each pair in a task of its own
+    that indexes its rows and keeps k of them a query; one shuffle merges. Nothing of either side reaches the driver.
     """
     spark = vectors.sparkSession
-    rows = quantised(vectors, vector, scale)
+    rows = usable(vectors, vector)
     queries = rows.where(is_query(F.col("vec_id")))
-    n_queries = queries.count()
-    passes = max(1, -(-n_queries // QUERY_ROWS))
-    found = None
-    for i in range(passes):
-        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i) if passes > 1 else queries
-        own = part.toPandas()
-        sent = spark.sparkContext.broadcast((own.vec_id.to_numpy(np.int64), [np.asarray(q, np.int64) for q in own.q]))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            query_ids, queries = sent.value
-
-            def flush(held: list[tuple[np.ndarray, np.ndarray]]):
-                block = Block(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-                out = [(qid, *block.top(qid, q, k)) for qid, q in zip(query_ids.tolist(), queries, strict=True) if len(q) == block.values.shape[1]]
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64)), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))],
-                        ["query_id", "vec_id", "score"],
-                    )
-
-            held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-            for batch in batches:
-                ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-                sizes = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                ends = np.cumsum(sizes)
-                for dims in np.unique(sizes).tolist():
-                    mine = np.flatnonzero(sizes == dims)
-                    values = flat.reshape(-1, dims) if len(mine) == len(sizes) else np.stack([flat[ends[r] - dims : ends[r]] for r in mine])
-                    held.setdefault(dims, []).append((ids[mine].astype(np.int64), values.astype(np.int64)))
-                    if sum(len(h[0]) for h in held[dims]) >= BLOCK_ROWS:
-                        yield from flush(held.pop(dims))
-            for rest in held.values():
-                yield from flush(rest)
-
-        local = rows.mapInArrow(search, "query_id long, vec_id long, score long")
-        found = local if found is None else found.unionByName(local)
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    n_rows, n_queries = rows.agg(F.count("*"), F.count_if(is_query(F.col("vec_id")))).first()
+    # Small tables are cut finer, so that every executor has a block.
+    down = max(1, -(-n_rows // BLOCK_ROWS), min(shuffle_parts(spark), -(-n_rows // SMALL_ROWS)))
+    across = max(1, -(-n_queries // QUERY_ROWS))
+    block = lambda n: F.pmod(F.xxhash64("vec_id", "x"), F.lit(n)).cast("int")
+    cell = lambda q, r: (q * down + r).alias("cell")
+    sent = rows.withColumn("r", block(down)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).select(cell(F.col("q"), F.col("r")), "vec_id", "x")
+    asked = queries.withColumn("q", block(across)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).select(cell(F.col("q"), F.col("r")), "vec_id", "x")
+    found = asked.groupBy("cell").cogroup(sent.groupBy("cell")).applyInArrow(_search(scale, k), _FOUND)
+    best = found.groupBy("query_id", "vec_id").agg(F.max(F.struct("beyond", "score", "digits")).alias("s"))
+    order = [F.desc("s.beyond"), F.desc("s.score"), F.desc("s.digits"), "vec_id"]
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("s.score").alias("score"))
 
 
 def brute_force(ids: np.ndarray, values: np.ndarray, queries: list[int], k: int) -> pd.DataFrame:
