@@ -2,36 +2,25 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .resampling import bootstrap_ratios
 
-def bootstrap_mean(rows: DataFrame, value: str, group: str, by: list[str], resamples: int = 1000, seed: int = 42, confidence: float = 0.95, least_groups: int = 2, size: str | None = None) -> DataFrame:
+
+def bootstrap_mean(rows: DataFrame, value: str, group: str, by: list[str], resamples: int = 10_000, seed: int = 42, confidence: float = 0.95, least_groups: int = 2, size: str | None = None) -> DataFrame:
     """by..., estimate, low, high, groups, reason: interval of the macro mean by drawing groups with replacement.
 
-    Groups are reduced to their mean first. Each draw is a Poisson(1) weight of a group that a hash of (seed, group,
-    resample) gives: draws of one resample agree between tasks and reruns, no draw table is shipped, and one
-    aggregation holds `resamples` sums a row of `by`. Fewer than least_groups groups: no interval, with a reason.
-    size: groups count by the sum of this column over their rows with a value, instead of equally.
+    Groups are reduced to their mean first; see resampling.bootstrap_ratios for the draws and the reasons to withhold an
+    interval. size: groups count by the sum of this column over their rows with a value, instead of equally.
     """
     counted = F.sum(F.when(F.col(value).isNotNull(), F.col(size))) if size else F.lit(1.0)
     inner = rows.groupBy(*by, group).agg(F.avg(value).alias("m"), counted.alias("z")).where("m is not null")
-    # Poisson(1) by inversion of its distribution function, to 8 draws.
-    steps = np.cumsum([1 / (np.e * float(np.prod(range(1, i + 1)) if i else 1)) for i in range(8)]).tolist()
-    draw = lambda b: F.pmod(F.xxhash64(F.lit(seed), F.col(group), b), F.lit(1 << 30)) / float(1 << 30)
-    drawn = inner.select(*by, group, "m", "z", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-    weight = sum((F.when(draw(F.col("b")) >= s, 1).otherwise(0) for s in steps), F.lit(0)) * F.col("z")
-    sums = drawn.withColumn("w", weight).groupBy(*by, "b").agg((F.sum(F.col("w") * F.col("m")) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
-    tail = (1 - confidence) / 2
-    bounds = sums.groupBy(*by).agg(F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high"))
-    whole = inner.groupBy(*by).agg((F.sum(F.col("m") * F.col("z")) / F.nullif(F.sum("z"), F.lit(0))).alias("estimate"), F.count("*").alias("groups"))
-    out = whole.join(bounds, by)
-    enough = F.col("groups") >= least_groups
-    return out.select(*by, "estimate", F.when(enough, F.col("low")).alias("low"), F.when(enough, F.col("high")).alias("high"), "groups", F.when(~enough, F.lit("too few groups")).alias("reason"))
-
-
-def paired_interval(rows: DataFrame, candidate: str, sample: str, value: str, group: str, resamples: int = 1000, seed: int = 42, confidence: float = 0.95, least_groups: int = 2) -> DataFrame:
+    found = bootstrap_ratios(inner, group, {"mean": (F.col("m") * F.col("z"), F.col("z"))}, by, None, resamples, seed, confidence, least_groups)
+    return found.select(*by, "estimate", "low", "high", F.col("sources").alias("groups"), "reason")
+
+
+def paired_interval(rows: DataFrame, candidate: str, sample: str, value: str, group: str, resamples: int = 10_000, seed: int = 42, confidence: float = 0.95, least_groups: int = 2) -> DataFrame:
     """left, right, estimate, low, high, groups, reason: interval of the mean difference over samples of both, left < right.
 
     Groups of samples are drawn with replacement and count by their number of paired samples. A sample belongs to the

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import metrics, stats
+from ..operators import metrics, resampling, stats
 from .base import micros, query, table
 
 #: An error event is a failed request; a login was not executed; the others succeeded with a latency in `value`.
@@ -161,6 +161,31 @@ def paired_delta_interval(spark: SparkSession, sf: str) -> DataFrame:
     return stats.paired_interval(rows, "candidate", "sample", "value", "customer")
 
 
+@query()
+def latency_percentile_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Median and 95th percentile of latency by kind of event, with intervals from drawing users with all their events."""
+    return resampling.bootstrap_percentiles(ledger(spark, sf), "user_id", "latency", ["event_type"], (0.5, 0.95))
+
+
+@query()
+def paired_percentile_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles of the second attempts' latency less the first ones', over users and hours that have either."""
+    rows = ledger(spark, sf).where("status = 'success'").groupBy("user_id", "win").agg(F.avg(F.when(F.col("attempt") == 0, F.col("latency"))).alias("first"), F.avg(F.when(F.col("attempt") == 1, F.col("latency"))).alias("second"))
+    return resampling.paired_percentiles(rows, "user_id", "first", "second", [], (0.5, 0.95))
+
+
+@query()
+def stratified_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Error rate, share not executed and mean latency by attempt, under one draw of users within their groups."""
+    one = lambda c: F.when(c, 1.0).otherwise(0.0)
+    metrics_ = {
+        "error_rate": (one(F.col("status") == "failed"), one(F.col("status") != "not_executed")),
+        "not_executed": (one(F.col("status") == "not_executed"), F.lit(1.0)),
+        "latency": (F.col("latency"), one(F.col("latency").isNotNull())),
+    }
+    return resampling.bootstrap_ratios(ledger(spark, sf), "user_id", metrics_, ["attempt"], "source_group", least={"error_rate": 20, "not_executed": None, "latency": 20})
+
+
 @query(f"WITH {RESULT_SQL} SELECT sample, max(value) FILTER (candidate = 'AF') AS af, max(value) FILTER (candidate = 'NO') AS no, max(value) FILTER (candidate = 'RF') AS rf FROM res GROUP BY 1".replace("max(value)", "round(max(value), 6)").replace("round(max(value), 6) FILTER (candidate = 'AF')", "round(max(value) FILTER (candidate = 'AF'), 6)").replace("round(max(value), 6) FILTER (candidate = 'NO')", "round(max(value) FILTER (candidate = 'NO'), 6)").replace("round(max(value), 6) FILTER (candidate = 'RF')", "round(max(value) FILTER (candidate = 'RF'), 6)"))
 def sample_pivot(spark: SparkSession, sf: str) -> DataFrame:
     wide = results(spark, sf).groupBy("sample").pivot("candidate", ["AF", "NO", "RF"]).agg(F.max("value"))

@@ -88,4 +88,4 @@ def test_paired_interval_counts_groups_by_size(spark):
     assert (got.left, got.right, got.groups, got.reason) == ("a", "b", 2, None) and abs(got.estimate - 0.9) < 1e-12
     assert got.low == 0 and got.high == 1 and got == stats.paired_interval(df.repartition(3), "c", "s", "v", "g", resamples=200).first()
     alone = stats.paired_interval(df.where("g = 0"), "c", "s", "v", "g", resamples=50).first()
-    assert (alone.low, alone.high, alone.reason) == (None, None, "too few groups")
+    assert (alone.low, alone.high, alone.reason) == (None, None, "insufficient_independent_sources")

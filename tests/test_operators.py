@@ -137,7 +137,7 @@ def test_bootstrap(spark):
     df = spark.createDataFrame(rows, "metric string, g int, v double")
     got = {r.metric: r for r in stats.bootstrap_mean(df, "v", "g", ["metric"], resamples=400).collect()}
     assert got["m"].low < got["m"].estimate < got["m"].high and got["m"].high - got["m"].low < 1.5
-    assert got["few"].low is None and got["few"].reason == "too few groups"
+    assert got["few"].low is None and got["few"].reason == "insufficient_independent_sources"
     again = stats.bootstrap_mean(df.repartition(5), "v", "g", ["metric"], resamples=400).where("metric = 'm'").first()
     assert again.low == pytest.approx(got["m"].low)
 
