@@ -33,9 +33,14 @@ def normalize(text: Column, profile: str = "conservative") -> Column:
     hyphenated over a line end, collapses blanks to one and empty lines to one."""
     if profile == "none":
         return text
+    return normalize_steps(nfc(text), profile)
+
+
+def normalize_steps(text: Column, profile: str) -> Column:
+    """What normalize does to text in normal form C, in built-in functions alone."""
     if profile not in ("minimal", "conservative"):
         raise ValueError(f"unknown profile {profile!r}")
-    out = F.translate(unify_newlines(nfc(text)), "\u0000­", "")
+    out = F.translate(unify_newlines(text), "\u0000­", "")
     if profile == "conservative":
         out = F.regexp_replace(out, r"(?U)(?<=\w)-\n(?=\w)", "")
         out = F.regexp_replace(F.regexp_replace(out, r"[\t\f\x0B]+", " "), " {2,}", " ")
