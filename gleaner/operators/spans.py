@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def union_spans(spans: DataFrame, by: list[str]) -> DataFrame:
     """Merge spans that overlap or touch: by..., start, end."""
@@ -76,11 +76,8 @@ def nearest_kept_ancestor(items: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the folder that the session names; one of our own where none is set."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner-"))
-    return df.checkpoint()
+    """df with its lineage cut by a table in the shared folder."""
+    return written(df, "spans")
 
 
 def windows(length: int, step: int, duration: Column) -> Column:

@@ -3,25 +3,59 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.chunking import chunks
+from ..functions.text import tokens
+from ..operators.chunking import chunks, first_places
+from ..sources.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+#: Frames of the query that is being built.
+_FRAMES: ContextVar[dict[tuple, DataFrame] | None] = ContextVar("frames", default=None)
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query by its function's name, with the SQL that says the same if there is any."""
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def build(spark: SparkSession, sf: str) -> DataFrame:
+            token = _FRAMES.set({})
+            try:
+                return f(spark, sf)
+            finally:
+                _FRAMES.reset(token)
+
+        QUERIES[f.__name__] = build
         if sql is not None:
             SQL[f.__name__] = sql
-        return f
+        return build
+
+    return add
+
+
+def once(tag: str | None = None) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """Build a frame once within a query, however often it is asked for; with a tag it is written and read again."""
+
+    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(f)
+        def frame(spark: SparkSession, sf: str, *more: object, **named: object) -> DataFrame:
+            made, key = _FRAMES.get(), (f.__name__, sf, more, tuple(sorted(named.items())))
+            if made is None:
+                return f(spark, sf, *more, **named)
+            if key not in made:
+                made[key] = written(f(spark, sf, *more, **named), tag) if tag else f(spark, sf, *more, **named)
+            return made[key]
+
+        return frame
 
     return add
 
@@ -34,11 +68,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SIZE, OVERLAP, DEPTH = 64, 16, 20
 
 
+def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token chunks with a position that orders them: doc_id, chunk_index, start, end, tokens, chunk, position, ...
+
+    The position holds the document in its upper and the index in its lower 32 bits; a doc_id beyond 31 bits is an error.
+    """
+    found = chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), SIZE, OVERLAP)
+    return found.withColumn("position", F.col("doc_id") * (1 << 32) + F.col("chunk_index"))
+
+
+@once("chunks")
 def chunk_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token chunks with a position that orders them: doc_id, chunk_index, start, end, tokens, chunk, position."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    found = chunks(docs, SIZE, OVERLAP)
-    return found.withColumn("position", F.col("doc_id") * 100_000 + F.col("chunk_index"))
+    """chunk_rows with their terms, written once for a query that looks at them several times."""
+    return chunk_rows(spark, sf_dir).withColumn("terms", tokens(F.col("chunk")))
 
 
 CHUNKS_SQL = rf"""
@@ -47,7 +89,7 @@ tok AS (SELECT doc_id, tk, gp, unnest(range(1, len(tk) + 1)) AS i FROM (
 pos AS (SELECT doc_id, i, len(tk) AS n, sum(length(gp[i]) + length(tk[i])) OVER (PARTITION BY doc_id ORDER BY i) AS e, length(tk[i]) AS l FROM tok),
 cut AS (SELECT doc_id, n, unnest(range(0, CAST(1 + ceil(greatest(0, n - {SIZE}) / {SIZE - OVERLAP}.0) AS BIGINT))) AS c FROM (SELECT DISTINCT doc_id, n FROM pos)),
 chunk AS (SELECT cut.doc_id, cut.c AS chunk_index, a.e - a.l AS s, b.e AS e, b.i - a.i + 1 AS tokens,
-  substr(d.text, CAST(a.e - a.l + 1 AS BIGINT), CAST(b.e - a.e + a.l AS BIGINT)) AS chunk, cut.doc_id * 100000 + cut.c AS position
+  substr(d.text, CAST(a.e - a.l + 1 AS BIGINT), CAST(b.e - a.e + a.l AS BIGINT)) AS chunk, cut.doc_id * 4294967296 + cut.c AS position
   FROM cut JOIN pos a ON a.doc_id = cut.doc_id AND a.i = {SIZE - OVERLAP} * cut.c + 1
   JOIN pos b ON b.doc_id = cut.doc_id AND b.i = least(cut.n, {SIZE - OVERLAP} * cut.c + {SIZE}) JOIN documents d ON d.doc_id = cut.doc_id)"""
 
@@ -59,23 +101,14 @@ def micros(ts: str) -> Column:
     return whole.cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), since) * 1_000_000).cast("long")
 
 
+@once("gold")
 def gold_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence: the first place of each benchmark item in each document that holds it, found through exact text.
-
-    The second and third token of an item are whole in any document that holds it, so items meet documents through
-    that key and not as all pairs: question, doc_id, unit, u_start, u_end.
-    """
+    """Evidence: the first place of each benchmark item in each document that holds it: question, doc_id, unit, u_start, u_end."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), F.col("text").alias("item"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    keyed = items.withColumn("w", words(F.col("item"))).where(F.size("w") >= 4)
-    keyed = keyed.withColumn("key", F.array_join(F.slice("w", 2, 2), " "))
-    grams = docs.withColumn("w", words(F.col("text"))).select("doc_id", F.explode(F.array_distinct(F.transform(F.slice("w", 2, F.size("w")), lambda x, i: F.concat_ws(" ", F.get("w", i), x)))).alias("key"))
-    pairs = grams.join(keyed.select("question", "item", "key"), "key").select("doc_id", "question", "item")
-    found = pairs.join(docs, "doc_id").withColumn("at", F.expr("locate(item, text)"))
-    return found.where("at > 0").select("question", "doc_id", F.concat("question", F.lit(":"), "doc_id").alias("unit"), (F.col("at") - 1).alias("u_start"), (F.col("at") - 1 + F.length("item")).alias("u_end"))
+    found = first_places(table(spark, sf_dir, "documents"), items, "question", "item")
+    return found.select("question", "doc_id", F.concat("question", F.lit(":"), "doc_id").alias("unit"), "u_start", "u_end")
 
 
 GOLD_SQL = r"""
 gold AS (SELECT b.item_id AS question, d.doc_id, b.item_id || ':' || d.doc_id AS unit, instr(d.text, b.text) - 1 AS u_start, instr(d.text, b.text) - 1 + length(b.text) AS u_end
-  FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(list_filter(string_split_regex(b.text, '[^\p{L}\p{N}_]+'), lambda x: x <> '')) >= 4)"""
+  FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> '')"""

@@ -239,10 +239,11 @@ def sample_id_uniqueness(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").groupBy(F.col("text").alias("id")).agg(F.count("*").alias("n")).where((F.col("n") > 1) | (F.btrim("id") == ""))
 
 
-@query("WITH s AS (SELECT conv_id, unnest(range(0, 4)) AS turn FROM (SELECT DISTINCT conv_id FROM conversations)) SELECT s.conv_id, s.turn, coalesce(c.role, 'missing_outcome') AS outcome FROM s LEFT JOIN conversations c ON c.conv_id = s.conv_id AND c.turn = s.turn")
+@query("WITH s AS (SELECT conv_id, unnest(range(0, (SELECT max(turn) + 1 FROM conversations))) AS turn FROM (SELECT DISTINCT conv_id FROM conversations)) SELECT s.conv_id, s.turn, coalesce(c.role, 'missing_outcome') AS outcome FROM s LEFT JOIN conversations c ON c.conv_id = s.conv_id AND c.turn = s.turn")
 def schedule_completion(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role")
-    plan = rows.select("conv_id").distinct().select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("turn"))
+    longest = rows.agg(F.max("turn").cast("long").alias("last"))  # one row
+    plan = rows.select("conv_id").distinct().join(F.broadcast(longest)).select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("turn"))
     return plan.join(rows, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("role", F.lit("missing_outcome")).alias("outcome"))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import metrics, retrieval, spans
-from .base import CHUNKS_SQL, DEPTH, GOLD_SQL, chunk_frame, gold_frame, micros, query, table
+from ..sources.scratch import written
+from .base import CHUNKS_SQL, DEPTH, GOLD_SQL, chunk_frame, gold_frame, micros, once, query, table
 from .text_queries import PAIRS_SQL, turn_pairs
 
 # Dense retrieval: every 25th vector asks.
@@ -37,9 +38,8 @@ def dense_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return dense(spark, sf, filtered=True, limit=5).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {DENSE_SQL}, c AS (SELECT query_id, score AS cut FROM dense WHERE rank = 10) SELECT query_id, count(*) FILTER (score > cut) AS strict, count(*) FILTER (score = cut) AS boundary, 10 - count(*) FILTER (score > cut) AS slots FROM dense JOIN c USING (query_id) WHERE rank <= 60 GROUP BY query_id")
+@query(f"WITH {DENSE_SQL}, c AS (SELECT query_id, score AS cut FROM dense WHERE rank = 10) SELECT query_id, count(*) FILTER (score > cut) AS strict, count(*) FILTER (score = cut) AS boundary, 10 - count(*) FILTER (score > cut) AS slots FROM dense JOIN c USING (query_id) GROUP BY query_id")
 def tie_reference(spark: SparkSession, sf: str) -> DataFrame:
-    """Ties are counted over all vectors; the SQL looks at 60 ranks, which hold all ties of the given tables."""
     return retrieval.tie_reference(*asked_vectors(spark, sf), 10).select("query_id", "strict", "boundary", "slots")
 
 
@@ -64,12 +64,12 @@ alls AS (SELECT query_id, position, round(sum(score), 9) AS score FROM (SELECT *
 bm AS (SELECT query_id, position, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position) AS rank FROM alls QUALIFY rank <= {DEPTH})"""
 
 
+@once("ranking")
 def lexical(spark: SparkSession, sf: str, limit: int = DEPTH) -> DataFrame:
-    """query_id, position, rank, score, and the chunk's place: doc_id, start, end, tokens."""
+    """query_id, position, score, rank of the chunks that each item finds."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     found = chunk_frame(spark, sf)
-    top = retrieval.bm25_top(found.select("position", "chunk").withColumn("chunk_id", F.col("position")), items, limit).drop("chunk_id")
-    return top
+    return retrieval.bm25_top(found.select("position", "terms").withColumn("chunk_id", F.col("position")), items, limit).drop("chunk_id")
 
 
 @query(f"WITH {CHUNKS_SQL}, {BM25_SQL} SELECT query_id, position, rank, round(score, 5) AS score FROM bm")
@@ -109,6 +109,7 @@ def context_pack(spark: SparkSession, sf: str) -> DataFrame:
 COVER_SQL = "cover AS (SELECT g.question, c.position AS chunk, g.unit FROM chunk c JOIN gold g ON g.doc_id = c.doc_id AND c.s <= g.u_start AND c.e >= g.u_end)"
 
 
+@once("cover")
 def cover_frame(spark: SparkSession, sf: str) -> DataFrame:
     found = chunk_frame(spark, sf).select("doc_id", F.col("position").alias("chunk"), "start", "end")
     return spans.covered_units(found, gold_frame(spark, sf))
@@ -169,7 +170,7 @@ def token_precision_at_3(spark: SparkSession, sf: str) -> DataFrame:
     # A chunk that several queries found is cut into tokens once; the spans are relative to the chunk.
     cut = explode_spans(hits.select("position", "chunk").dropDuplicates(["position"]), token_spans, "position", "chunk").select("position", F.col("start").alias("ts"), F.col("end").alias("te"))
     t = hits.select(F.col("query_id").alias("question"), "position", "doc_id", "start").join(cut, "position")
-    t = t.select("question", "doc_id", "position", (F.col("start") + F.col("ts")).alias("ts"), (F.col("start") + F.col("te")).alias("te"))
+    t = written(t.select("question", "doc_id", "position", (F.col("start") + F.col("ts")).alias("ts"), (F.col("start") + F.col("te")).alias("te")), "tokens")
     gold = gold_frame(spark, sf).select("question", "doc_id", "u_start", "u_end")
     hit = t.join(gold, (t.question == gold.question) & (t.doc_id == gold.doc_id) & (F.col("ts") < F.col("u_end")) & (F.col("te") > F.col("u_start")), "left_semi")
     n = t.groupBy("question").agg(F.count("*").alias("n"))

@@ -15,9 +15,9 @@ from .ledger_queries import LEDGER_SQL, RESULT_SQL, ledger, results
 from .retrieval_queries import BM25_SQL, COVER_SQL, DENSE_SQL, cover_frame, dense, lexical
 
 
-@query("SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value FROM events WHERE event_type = 'click' AND len(json_keys(props)) > 0")
+@query("SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value FROM events WHERE len(json_keys(props)) > 0")
 def json_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").where("event_type = 'click'").withColumn("key", F.get(F.json_object_keys("props"), F.lit(0))).where("key is not null")
+    rows = table(spark, sf, "events").withColumn("key", F.get(F.json_object_keys("props"), F.lit(0))).where("key is not null")
     return rows.select("event_id", F.expr("get_json_object(props, concat('$.', key))").alias("first_value"))
 
 
@@ -93,13 +93,13 @@ def condition_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupingSets([["event_type", "source_group"], ["event_type"], []], "event_type", "source_group").agg(*aggregates).select("event_type", "source_group", "requests", "mean", "failed", "windows")
 
 
-@query(f"WITH {LEDGER_SQL}, s AS (SELECT DISTINCT source_group, w.win FROM (SELECT DISTINCT source_group FROM ledger), (SELECT DISTINCT win FROM ledger) w) SELECT s.source_group, s.win FROM s LEFT JOIN ledger l ON l.source_group = s.source_group AND l.win = s.win WHERE l.win IS NULL")
+@query(f"WITH {LEDGER_SQL}, s AS (SELECT source_group, unnest(range((SELECT min(win) FROM ledger), (SELECT max(win) + 1 FROM ledger))) AS win FROM (SELECT DISTINCT source_group FROM ledger)) SELECT s.source_group, s.win FROM s LEFT JOIN ledger l ON l.source_group = s.source_group AND l.win = s.win WHERE l.win IS NULL")
 def missing_slots(spark: SparkSession, sf: str) -> DataFrame:
-    """Scheduled (group, window) slots without a request: windows are a list in each group's row, one entry an hour."""
+    """Slots without a request: every group is scheduled in every hour from the first to the last of the ledger."""
     rows = ledger(spark, sf)
-    wins = rows.select("win").distinct()
-    plan = rows.select("source_group").distinct().join(F.broadcast(wins.agg(F.collect_list("win").alias("wins")))).select("source_group", F.explode("wins").alias("win"))
-    return plan.join(rows.select("source_group", "win"), ["source_group", "win"], "left_anti")
+    bounds = rows.agg(F.min("win").alias("first"), F.max("win").alias("last"))  # one row
+    plan = rows.select("source_group").distinct().join(F.broadcast(bounds)).select("source_group", F.explode(F.sequence("first", "last")).alias("win"))
+    return plan.join(rows.select("source_group", "win").distinct(), ["source_group", "win"], "left_anti")
 
 
 @query(f"WITH {LEDGER_SQL} SELECT user_id, count(*) AS statements, count(DISTINCT attempt) AS attempts, count(DISTINCT attempt) = 3 AS complete FROM ledger GROUP BY 1")
@@ -179,7 +179,7 @@ def visible_answers(spark: SparkSession, sf: str) -> DataFrame:
 
     odd, tag = F.col("turn") % 2 == 1, F.when(F.col("turn") % 5 == 0, "THINK").otherwise("think")
     answer = F.concat(F.when(odd, F.lit("plan</")).otherwise(F.concat(F.lit("<"), tag, F.lit(">plan</"))), tag, F.lit("> "), "text")
-    rows = table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", answer.alias("said"), F.when(odd, F.lit("assistant: <think>\n")).otherwise(F.lit("")).alias("prompt"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", answer.alias("said"), F.when(odd, F.lit("assistant: <think>\n")).otherwise(F.lit("")).alias("prompt"))
     return rows.mapInArrow(run, "conv_id long, turn long, answer string, reasoning string")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import chunking, spans, store
-from .base import CHUNKS_SQL, chunk_frame, query, table
+from .base import CHUNKS_SQL, chunk_frame, chunk_rows, query, table
 
 TOK = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
 
@@ -19,12 +19,12 @@ def manifest_kind_counts(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("kind").agg(F.count("*").alias("samples"), F.countDistinct("id").alias("ids"))
 
 
-@query("SELECT item_id, EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text)) AS answerable FROM benchmark b WHERE length(b.text) > 30")
+@query("SELECT item_id, coalesce(b.text, '') <> '' AND EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text)) AS answerable FROM benchmark b")
 def answerable_filter(spark: SparkSession, sf: str) -> DataFrame:
     from .base import gold_frame
 
     held = gold_frame(spark, sf).select(F.col("question").alias("item_id"), F.lit(True).alias("answerable")).distinct()
-    items = table(spark, sf, "benchmark").where(F.length("text") > 30).select("item_id")
+    items = table(spark, sf, "benchmark").select("item_id")
     return items.join(held, "item_id", "left").select("item_id", F.coalesce("answerable", F.lit(False)).alias("answerable"))
 
 
@@ -101,10 +101,17 @@ def turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
 PAIRS_SQL = "pairs AS (SELECT conv_id, turn, text AS reference, h AS hypothesis FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS h FROM conversations) WHERE h IS NOT NULL)"
 
 
-@query(f"WITH {PAIRS_SQL} SELECT conv_id, turn, round(levenshtein(r, h) / greatest(1, length(r)), 6) AS cer FROM (SELECT *, regexp_replace(reference, '[^ -~]', '', 'g') AS r, regexp_replace(hypothesis, '[^ -~]', '', 'g') AS h FROM pairs)")
+# DuckDB compares bytes, so each pair's letters beyond ASCII become control characters, of which 28 are free.
+CONTROLS = " || ".join(f"chr({i})" for i in (*range(1, 9), *range(14, 32), 11, 127))
+
+
+@query(
+    f"""WITH {PAIRS_SQL}, m AS (SELECT conv_id, turn, coalesce(reference, '') AS r, hypothesis AS h, array_to_string(list_distinct(regexp_extract_all(coalesce(reference, '') || hypothesis, '[^\\x00-\\x7F]')), '') AS odd FROM pairs),
+n AS (SELECT conv_id, turn, CASE WHEN odd = '' THEN r ELSE translate(r, odd, substr({CONTROLS}, 1, length(odd))) END AS r, CASE WHEN odd = '' THEN h ELSE translate(h, odd, substr({CONTROLS}, 1, length(odd))) END AS h FROM m)
+SELECT conv_id, turn, round(levenshtein(r, h) / greatest(1, length(r)), 6) AS cer FROM n"""
+)
 def cer_by_pair(spark: SparkSession, sf: str) -> DataFrame:
-    ascii_ = lambda c: F.regexp_replace(c, "[^ -~]", "")
-    cer = tx.character_error_rate(ascii_("reference"), ascii_("hypothesis"))
+    cer = tx.character_error_rate(F.coalesce("reference", F.lit("")), F.col("hypothesis"))
     return turn_pairs(spark, sf).select("conv_id", "turn", F.round(cer, 6).alias("cer"))
 
 
@@ -155,7 +162,7 @@ def page_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, s AS start, e AS \"end\", tokens, count(*) OVER (PARTITION BY doc_id) AS total_chunks, doc_id || ':' || s || '-' || e || ':' || substr(sha256(chunk), 1, 12) AS chunk_id FROM chunk")
 def token_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunk_frame(spark, sf).select("doc_id", "chunk_index", "start", "end", "tokens", "total_chunks", "chunk_id")
+    return chunk_rows(spark, sf).select("doc_id", "chunk_index", "start", "end", "tokens", "total_chunks", "chunk_id")
 
 
 # Sentence bodies, and runs of marks and line ends that belong to none, cover a text, so that running lengths are offsets. A

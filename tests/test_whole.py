@@ -52,7 +52,7 @@ def test_edits_of_whole_texts(spark, sf_dir):
         assert ops[k].substitutions + ops[k].deletions + ops[k].insertions == n
         assert len(a) - ops[k].deletions + ops[k].insertions == len(b)
     for k in [k for k, p in pairs.items() if min(map(len, p)) > 200][:8]:
-        r, h = (re.sub("[^ -~]", "", x) for x in pairs[k])
+        r, h = pairs[k]
         assert cer[k].cer == pytest.approx(distance(r, h)[0] / max(1, len(r)), abs=1e-6)
 
 
@@ -112,7 +112,8 @@ def test_sentences_of_all_documents(spark, sf_dir):
 
 def test_missing_slots_of_all_hours(spark, sf_dir):
     seen = {(f"g{r.user_id % 20}", int((r.ts - r.ts.replace(year=1970, month=1, day=1, hour=0, minute=0, second=0, microsecond=0)).total_seconds() // 3600)) for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts").collect()}
-    want = {(g, w) for g in {g for g, _ in seen} for w in {w for _, w in seen}} - seen
+    hours = {w for _, w in seen}
+    want = {(g, w) for g in {g for g, _ in seen} for w in range(min(hours), max(hours) + 1)} - seen
     got = [tuple(r) for r in base.QUERIES["missing_slots"](spark, sf_dir).collect()]
     assert len(got) == len(set(got)) and set(got) == want and {w % 24 for _, w in want} != {0}
 
