@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,18 +16,25 @@ from .retrieval import VECTOR_ROWS, rank
 SAMPLE_ROWS, ROUNDS = 4_096, 12
 
 
-def fit(vectors: DataFrame, lists: int, seed: int = 42) -> np.ndarray:
-    """Centroids (unit vectors) of spherical k-means on the SAMPLE_ROWS vectors of smallest seeded hash.
+def sample(vectors: DataFrame, seed: int = 42) -> np.ndarray:
+    """The SAMPLE_ROWS vectors of smallest seeded hash, as unit vectors: a bound, so that fits run on the driver.
 
-    The fit is bounded, so it runs on the driver; every vector is indexed. Reruns agree.
+    Of several lengths the most frequent one counts; vectors of others are in no list.
     """
     whole = vectors.where(F.col("embedding").isNotNull() & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c)))
     rows = whole.select("vec_id", "embedding", F.xxhash64(F.lit(seed), "vec_id").alias("h")).orderBy("h", "vec_id").limit(SAMPLE_ROWS).collect()
-    x = np.array([r.embedding for r in rows], np.float64).reshape(len(rows), -1)
+    sizes = Counter(len(r.embedding) for r in rows)
+    d = max(sizes, key=lambda n: (sizes[n], n), default=1)
+    x = np.array([r.embedding for r in rows if len(r.embedding) == d], np.float64).reshape(-1, d)
     x = x[np.linalg.norm(x, axis=1) > 0] if len(rows) else x
+    return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else np.zeros((0, 1))
+
+
+def fit(vectors: DataFrame, lists: int, seed: int = 42) -> np.ndarray:
+    """Centroids (unit vectors) of spherical k-means on the sample; every vector is indexed. Reruns agree."""
+    x = sample(vectors, seed)
     if not len(x):
-        return np.zeros((0, 1))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+        return x
     made = np.random.default_rng(seed)
     # Each next centre is drawn among vectors by their distance to the nearest one so far.
     centres = x[made.integers(len(x))][None]
@@ -44,6 +52,26 @@ def fit(vectors: DataFrame, lists: int, seed: int = 42) -> np.ndarray:
     return centres
 
 
+def probes_for(vectors: DataFrame, centroids: np.ndarray, limit: int, recall: float, queries: int = 256, seed: int = 42) -> int:
+    """The fewest lists to probe for a mean recall of `recall` at `limit`, measured on the sample: its first vectors ask.
+
+    Neighbours in a sample are further away than in the whole table, so the measure errs on the safe side. Clustered vectors
+    need few lists; vectors that lie evenly in all directions need most of them, and cosine_top serves them better.
+    """
+    x = sample(vectors, seed)
+    if not len(x) or not len(centroids):
+        return 1
+    asked = x[:queries]
+    scores = asked @ x.T
+    scores[np.arange(len(asked)), np.arange(len(asked))] = np.inf  # a query finds itself first, as in search
+    top = np.argsort(-scores, axis=1, kind="stable")[:, :limit]
+    places = np.argsort(np.argsort(-(asked @ centroids.T), axis=1, kind="stable"), axis=1)  # of each list for each query
+    own = (x @ centroids.T).argmax(axis=1)
+    needed = np.take_along_axis(places, own[top], axis=1)  # lists to probe, less one, for each neighbour
+    found = np.array([(needed < p).mean() for p in range(1, len(centroids) + 1)])
+    return int(np.flatnonzero(found >= recall)[0]) + 1
+
+
 def assign(vectors: DataFrame, key: str, centroids: np.ndarray, probes: int) -> DataFrame:
     """key, list, embedding (unit): each vector in its `probes` nearest lists. Zero, null and other-sized vectors are in none."""
 

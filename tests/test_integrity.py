@@ -29,6 +29,10 @@ def test_all_lists_are_exact(spark, monkeypatch):
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and max(abs(got[k][1] - want[k][1]) for k in got) < 1e-8
     some = ann.recall(ann.search(frame, asked, centres, 5, 2), retrieval.cosine_top(frame, asked, 5)).agg(F.avg("recall")).first()[0]
     assert 0.3 < some <= 1
+    # Tight clusters need few lists for most neighbours, even directions need many.
+    near = np.repeat(np.eye(6), 40, axis=0) + 0.01 * rng.normal(size=(240, 6))
+    tight = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(near)], "vec_id long, embedding array<double>")
+    assert ann.probes_for(tight, ann.fit(tight, 6), 5, 0.95) == 1 < ann.probes_for(frame, centres, 5, 0.95)
     assert len(ann.fit(frame.limit(0), 4)) == 0 and ann.search(frame.limit(0), asked.limit(0), ann.fit(frame.limit(0), 4), 5, 2).count() == 0
 
 
