@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,19 +11,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-#: Bounds of the training sample: about so many documents a language, and symbols of text in its automaton.
-SAMPLE_DOCS, SAMPLE_SYMBOLS = 150, 20_000
-#: Letters that have a symbol of their own; the others share one.
-LETTERS = 60
-#: Symbols: 0 between words, 1 any other letter, then LETTERS letters, then padding.
-SYMBOLS, PAD = LETTERS + 3, LETTERS + 2
-#: A text is parsed in blocks of so many symbols, all blocks side by side; the end of a block ends a phrase.
-BLOCK = 512
+#: Bounds of the training sample: about so many documents a language, characters of each, and symbols of text in its automaton.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 150, 80_000, 20_000
+#: Fewer texts than this are parsed one by one; more of them a symbol of each at a time.
+FEW = 48
 
+_letters: list[np.ndarray] = []
 
-def _clean(text: str) -> str:
-    """Lower case with every run of non-letters as one space."""
-    return "".join(c if c.isalpha() else " " for c in text.lower())
+
+def cleaned(text: str) -> bytes:
+    """Lower case, every run of anything but letters as one space, as UTF-8: the symbols of a parse are its bytes."""
+    if not _letters:
+        _letters.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
+    x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters[0][x]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    keep[:1] = True
+    return np.where(letter, x, np.uint32(32))[keep].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
 
 
 def automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -57,127 +61,129 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
     return step
 
 
-class Model:
-    """The automata of all languages as one table of transitions: row, then symbol, gives the next row.
+class Language:
+    """The suffix automaton of one language's text, as a table: state times the number of symbols, plus symbol, gives the next state.
 
-    Each language starts with a dead row, then its start state. Padding stays where it is.
+    The alphabet is the bytes of the text, whatever their number; symbol 0 stands for every other byte. State 0 is dead, 1 is
+    the start, and both count in steps of the number of symbols.
     """
 
-    def __init__(self, languages: tuple[str, ...], texts: tuple[str, ...], alphabet: str):
-        self.languages = languages
-        points = np.ones(0x110000, np.uint8)
-        letters = [i for i in range(0x110000) if not chr(i).isalpha()]
-        points[letters] = 0
-        points[[ord(c) for c in alphabet]] = np.arange(2, 2 + len(alphabet))
-        self.points = points
-        rows, starts, self.bits = [], [], []
-        for text in texts:
-            symbols = self.symbols(text)
-            states = automaton(symbols.tolist())
-            base = sum(len(r) for r in rows)
-            table = np.full((len(states) + 1, SYMBOLS), base, np.int32)
-            for i, out in enumerate(states):
-                for s, to in out.items():
-                    table[i + 1, s] = base + 1 + to
-            table[:, PAD] = base + np.arange(len(states) + 1)
-            rows.append(table)
-            starts.append(base + 1)
-            self.bits.append(np.log2(max(2, len(symbols))))
-        # Rows count in steps of SYMBOLS, so that adding a symbol gives the place of the next row.
-        self.next = np.concatenate(rows or [np.zeros((0, SYMBOLS), np.int32)]).ravel() * np.int32(SYMBOLS)
-        self.start = np.asarray(starts, np.int32) * SYMBOLS
-        self.dead = self.start - SYMBOLS
-
-    def symbols(self, text: str) -> np.ndarray:
-        x = self.points[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-        gap = x == 0
-        keep = ~gap
-        keep[1:] |= gap[1:] & ~gap[:-1]
-        return x[keep]
-
-    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text's greedy parse by each language: [text, language]."""
-        sizes = np.array([len(t) for t in texts])
-        blocks = -(-sizes // BLOCK)
-        lanes = np.full((int(blocks.sum()), BLOCK), PAD, np.uint8)
-        flat, at = lanes.reshape(-1), 0
-        for text, n in zip(texts, blocks.tolist(), strict=True):
-            flat[at : at + len(text)] = text
-            at += n * BLOCK
-        state = np.repeat(self.start[:, None], len(lanes), axis=1)
-        found = np.ones(state.shape, np.int32)
-        start, dead = self.start[:, None], self.dead[:, None]
-        columns = np.ascontiguousarray(lanes.T).astype(np.int32)
-        for column in columns:
-            went = self.next.take(state + column)
-            over = went == dead
-            found += over
-            # A phrase ended: the symbol starts the next one, or is one by itself if the language lacks it.
-            again = self.next.take(start + column)
-            state = np.where(over, np.where(again == dead, start, again), went)
-        out = np.zeros((len(texts), len(self.languages)))
-        full = np.flatnonzero(blocks)
-        if len(full):
-            out[full] = np.add.reduceat(found, np.concatenate(([0], np.cumsum(blocks[full])[:-1])), axis=1).T
+    def __init__(self, text: bytes):
+        used = np.unique(np.frombuffer(text, np.uint8))
+        self.symbol = np.zeros(256, np.int32)
+        self.symbol[used] = np.arange(1, len(used) + 1)
+        self.width = len(used) + 1
+        states = automaton(self.symbol[np.frombuffer(text, np.uint8)].tolist())
+        table = np.zeros((len(states) + 1, self.width), np.int32)
+        for i, out in enumerate(states):
+            for s, to in out.items():
+                table[i + 1, s] = to + 1
+        self.next = (table * self.width).ravel()
+        self.bits = np.log2(max(2, len(text)))
+
+
+class Model:
+    """The automata of all languages, and the greedy parse of texts by each of them."""
+
+    def __init__(self, languages: tuple[str, ...], texts: tuple[bytes, ...]):
+        self.languages, self.each = languages, [Language(t) for t in texts]
+
+    def phrases(self, texts: list[bytes]) -> np.ndarray:
+        """[text, language]: phrases of each whole text's parse into longest matches; a byte that the language lacks is one by itself."""
+        out = np.zeros((len(texts), len(self.each)), np.int64)
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        sizes = np.array([len(texts[i]) for i in order])
+        raw = np.frombuffer(b"".join(texts[i] for i in order), np.uint8)
+        first = np.cumsum(sizes) - sizes
+        for k, own in enumerate(self.each):
+            out[order, k] = self._parse(own, raw, first, sizes)
         return out
 
+    @staticmethod
+    def _parse(own: Language, raw: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Phrases of texts that are in order of their length, the longest first."""
+        step, start = own.next, own.width
+        found = np.zeros(len(sizes), np.int64)
+        state = np.full(len(sizes), start, np.int32)
+        symbols = own.symbol[raw]
+        # Texts of which the first FEW still have a symbol here go on together.
+        together = int(sizes[FEW - 1]) if len(sizes) >= FEW else 0
+        alive = np.searchsorted(-sizes, -np.arange(1, together + 1), "right") if together else []
+        for t, n in enumerate(alive.tolist() if together else ()):
+            column = symbols[first[:n] + t]
+            went = step.take(state[:n] + column)
+            over = np.flatnonzero(went == 0)
+            if len(over):
+                # The open phrase ends; the symbol opens the next one, or is one if the language lacks it.
+                found[over] += state[over] != start
+                again = step.take(start + column[over])
+                found[over] += again == 0
+                went[over] = np.where(again == 0, start, again)
+            state[:n] = went
+        jump = memoryview(step)
+        for i in np.flatnonzero(sizes > together).tolist():
+            at, phrases = int(state[i]), 0
+            for s in symbols[first[i] + together : first[i] + sizes[i]].tolist():
+                to = jump[at + s]
+                if not to:
+                    phrases += at != start
+                    to = jump[start + s]
+                    if not to:
+                        phrases += 1
+                        to = start
+                at = to
+            state[i] = at
+            found[i] += phrases
+        return found + (state != start)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        symbols = [self.symbols(t or "") for t in texts]
-        letters = np.array([bool((s > 0).any()) for s in symbols])
         best, score = ["und"] * len(texts), np.zeros(len(texts))
-        if not self.languages:
+        spelled = [cleaned(t or "") for t in texts]
+        known = [i for i, t in enumerate(spelled) if t.strip()]
+        if not self.languages or not known:
             return best, score
-        bits = np.zeros((len(texts), len(self.languages)))
-        first = 0
-        while first < len(texts):  # about 2^21 symbols at a time
-            last, n = first, 0
-            while last < len(texts) and (last == first or n + len(symbols[last]) <= 1 << 21):
-                n += len(symbols[last])
-                last += 1
-            bits[first:last] = self.phrases(symbols[first:last]) * np.array(self.bits)
-            first = last
+        bits = self.phrases([spelled[i] for i in known]) * np.array([x.bits for x in self.each])
         order = np.argsort(bits, axis=1, kind="stable")
-        for i in np.flatnonzero(letters).tolist():
-            best[i] = self.languages[order[i, 0]]
-            low, next_ = bits[i, order[i, 0]], bits[i, order[i, 1]] if len(self.languages) > 1 else np.inf
-            score[i] = 1.0 if np.isinf(next_) else next_ / (low + next_) if low + next_ else 0.5
+        for row, i in enumerate(known):
+            best[i] = self.languages[order[row, 0]]
+            low, next_ = bits[row, order[row, 0]], bits[row, order[row, 1]] if len(self.languages) > 1 else np.inf
+            score[i] = 1.0 if np.isinf(next_) else next_ / (low + next_)
         return best, score
 
 
 @lru_cache(maxsize=2)
-def _model(languages: tuple[str, ...], texts: tuple[str, ...], alphabet: str) -> Model:
-    return Model(languages, texts, alphabet)
+def _model(languages: tuple[str, ...], texts: tuple[bytes, ...]) -> Model:
+    return Model(languages, texts)
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[tuple[str, ...], tuple[str, ...], str]:
-    """Languages, a bounded text of each and the alphabet, from rows with text and lang.
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[tuple[str, ...], tuple[bytes, ...]]:
+    """Languages and a bounded text of each, from rows with text and lang.
 
-    The sample takes a row by the hash of its key at the rate that gives about SAMPLE_DOCS rows a language, in
-    order of that hash until SAMPLE_SYMBOLS symbols are there. Languages are in order of their names.
+    The sample takes a row by the hash of its key at the rate that gives about SAMPLE_DOCS rows a language, SAMPLE_CHARS
+    characters of each, in order of that hash until SAMPLE_SYMBOLS symbols are there: what the driver gets is bounded by the
+    number of languages. Languages are in order of their names.
     """
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("lang"), F.col(key)).alias("h"))
-    counts = rows.groupBy("lang").count().where("count > 0")
+    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.substring(text, 1, SAMPLE_CHARS).alias("text"), F.xxhash64(F.lit("lang"), F.col(key)).alias("h"))
+    counts = rows.groupBy("lang").count()
     draw = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(F.broadcast(counts), "lang").where(draw * F.col("count") < 2 * SAMPLE_DOCS).select("lang", "text", "h")
-    texts: dict[str, str] = {}
+    sample = rows.join(counts, "lang").where(draw * F.col("count") < 2 * SAMPLE_DOCS).select("lang", "text", "h")
+    texts: dict[str, bytes] = {}
     for row in sorted(sample.collect(), key=lambda r: (r.lang, r.h, r.text)):
-        had = texts.get(row.lang, "")
+        had = texts.get(row.lang, b"")
         if len(had) < SAMPLE_SYMBOLS:
-            texts[row.lang] = had + " ".join(_clean(row.text).split()) + " "
+            texts[row.lang] = had + cleaned(row.text).strip() + b" "
     texts = {k: v[:SAMPLE_SYMBOLS] for k, v in texts.items() if v.strip()}
-    used = Counter(c for v in texts.values() for c in v if c.isalpha())
-    alphabet = "".join(c for c, _ in sorted(used.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])
     names = tuple(sorted(texts))
-    return names, tuple(texts[n] for n in names), alphabet
+    return names, tuple(texts[n] for n in names)
 
 
-def identify(docs: DataFrame, model: tuple[tuple[str, ...], tuple[str, ...], str], text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: tuple[tuple[str, ...], tuple[bytes, ...]], text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Add lang_pred and score (0 to 1) to every row of docs, from its whole text alone.
 
     carry: the columns of docs to return; all of them if None.
 
-    The language with the fewest phrases, each at the logarithm of its training text, wins; ties go to the smaller
-    name. score is the runner-up's cost over the sum of both: 0.5 at a tie. Null text or text without a letter: 'und'
+    A text is parsed from its first to its last byte into the longest phrases that occur in a language's text. The language
+    with the fewest phrases, each at the logarithm of its training text, wins; ties go to the smaller name. score is the runner-up's cost over the sum of both: 0.5 at a tie. Null text or text without a letter: 'und'
     and 0. Repeated rows stay; columns of docs with these names are replaced.
     """
     added = ("lang_pred", "score")

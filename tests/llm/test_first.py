@@ -198,24 +198,35 @@ def test_rules(spark, sf_dir):
 # language
 
 
-def test_language_parse():
+@pytest.mark.parametrize("few", [1, 4, 48])
+def test_language_parse(monkeypatch, few):
+    """Whole texts of several thousand symbols, against longest matches by search in the text."""
+    monkeypatch.setattr(language, "FEW", few)
     rng = random.Random(2)
-    text = "".join(rng.choice("ab ") for _ in range(300))
-    model = language.Model(("x",), (text,), "ab")
-    train = model.symbols(text).tolist()
-    inside = {tuple(train[i:j]) for i in range(len(train)) for j in range(i + 1, min(len(train), i + 60) + 1)}
-    for _ in range(50):
-        s = model.symbols("".join(rng.choice("abc ") for _ in range(rng.randrange(1, 120))))
-        phrases = 1
-        # Greedy longest matches; a symbol that the language lacks is a phrase that ends with the one before it.
-        state: tuple = ()
-        for x in s.tolist():
-            if state + (x,) in inside:
-                state += (x,)
-            else:
-                phrases += 1
-                state = (x,) if (x,) in inside else ()
-        assert model.phrases([s])[0, 0] == (phrases if len(s) else 0)
+    made = ["".join(rng.choice("ab é日") for _ in range(400)).encode(), b"ab " * 50, "".join(rng.choice("abcdefgh ") for _ in range(900)).encode()]
+    model = language.Model(("x", "y", "z"), tuple(made))
+    texts = ["".join(rng.choice("abcé日x ") for _ in range(n)).encode() for n in (*range(1, 60), 400, 700, 700, 3000, 6000)] + [made[0], made[1][:3000] * 40, b"q" * 3000, b" "]
+    got = model.phrases(texts)
+    for i, t in enumerate(texts):
+        for k, train in enumerate(made):
+            phrases = at = 0
+            while at < len(t):
+                end = at + 1
+                while end <= len(t) and t[at:end] in train:
+                    end += 1
+                phrases, at = phrases + 1, max(at + 1, end - 1)
+            assert got[i, k] == phrases, (i, k)
+
+
+def test_language_symbols():
+    assert language.cleaned("Ab, 1c\n\nÉ-日!") == "ab c é 日 ".encode() and language.cleaned("") == b"" and language.cleaned("1 2").strip() == b""
+    # Letters of any number: no alphabet is cut, and none is shared between languages.
+    texts = {"a": "".join(chr(0x4E00 + i) for i in range(3000)), "b": "".join(chr(0x5E00 + i) for i in range(3000))}
+    model = language.Model(tuple(texts), tuple(language.cleaned(t) for t in texts.values()))
+    assert model.predict([texts["a"][100:160], texts["b"][2000:2100] * 3, None, "", "?", "123"])[0] == ["a", "b", "und", "und", "und", "und"]
+    # Repeated rows agree, and a tie goes to the smaller name.
+    best, score = language.Model(("u", "v"), (b"abc", b"abc")).predict(["abcabc", "abcabc", "abcabc"])
+    assert best == ["u"] * 3 and score.tolist() == [0.5] * 3
 
 
 def test_language(spark, sf_dir):
