@@ -35,7 +35,8 @@ p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijkl
 e AS (SELECT * FROM (VALUES ('net', '/', 'block', true), ('example.net', '/en/', 'allow', true), ('example.com', '/de/', 'block', true), ('org', '/fr/', 'allow', true)) v(e_host, e_path, verdict, is_rule)
   UNION ALL SELECT f || '.' || d, '', 'block', false FROM (SELECT unnest(['casino-win', 'free-bets', 'cheap-pills', 'adult-x', 'ads-track', 'spam-farm']) AS f), (SELECT unnest(['example.com', 'example.net', 'example.org']) AS d)),
 f AS (SELECT page_id, is_rule, e_host || e_path AS entry, verdict, row_number() OVER (PARTITION BY page_id, is_rule ORDER BY length(e_host || e_path) DESC, e_host || e_path) AS r
-  FROM p JOIN e ON (host = e_host OR ends_with(host, '.' || e_host)) AND starts_with(path, e_path))
+  FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(host), '^.*@', ''), ':[0-9]*$', ''), '\.+$', '') AS plain FROM p) p
+  JOIN e ON CASE WHEN is_rule THEN host = e_host OR ends_with(host, '.' || e_host) ELSE plain = e_host OR ends_with(plain, '.' || e_host) END AND starts_with(path, e_path))
 SELECT p.page_id, host, path, a.entry AS rule, coalesce(a.verdict, b.verdict, 'allow') AS verdict
 FROM p LEFT JOIN (SELECT * FROM f WHERE is_rule AND r = 1) a ON a.page_id = p.page_id LEFT JOIN (SELECT * FROM f WHERE NOT is_rule AND r = 1) b ON b.page_id = p.page_id"""
 

@@ -95,7 +95,7 @@ SPAM_DOMAINS = ("example.com", "example.net", "example.org")
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    ruled = urls.filter_urls(pages, spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string"))
+    ruled = urls.filter_urls(pages, spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string"), as_listed=True)
     ruled = ruled.select("page_id", "host", "path", F.col("entry").alias("rule"), F.col("verdict").alias("ruled"), "url")
     # An empty path fits bare hosts too.
     spam = [(f"{family}.{domain}", "", "block") for family in SPAM_FAMILIES for domain in SPAM_DOMAINS]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A block is one 64-bit word. 2^17 words are 1 MB in the plan: the filter never grows beyond, it only passes more.
+#: A block is one 64-bit word, of four entries on average. Up to 2^17 words (1 MB) are part of the plan; more are a table.
 MAX_WORDS = 1 << 17
 #: Up to so many listed URLs the exact join broadcasts them; beyond, it is a shuffled join that AQE splits where skewed.
 BROADCAST_ROWS = 100_000
@@ -22,6 +22,14 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, _UPPER, _LOWER), F.element_at(F.split(tail, "[?#]", 2), 1)
 
 
+def canonical(host: Column, path: Column) -> tuple[Column, Column]:
+    """Host and path as they are compared: percent escapes decoded where they are valid, A-Z of the host lowered, no user
+    information, port or dots at the end of the host."""
+    decoded = lambda c: F.coalesce(F.try_url_decode(F.regexp_replace(c, r"\+", "%2B")), c)
+    plain = F.regexp_replace(F.regexp_replace(decoded(host), r"(?s)^.*@", ""), r":[0-9]*$", "")
+    return F.translate(F.regexp_replace(plain, r"\.+$", ""), _UPPER, _LOWER), decoded(path)
+
+
 def _hashes(key: Column, n_words: int) -> tuple[Column, Column]:
     """The block of a key, and the word in which its four bits are set."""
     h = F.xxhash64(key)
@@ -42,7 +50,7 @@ def build_filter(listed: DataFrame, key: str, n_words: int) -> list[int]:
     return words
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", as_listed: bool = False) -> DataFrame:
     """Judge every row of pages by the longest listed entry that fits it.
 
     listed has host, path, verdict; an entry fits its host and all subdomains where the url's path starts with its
@@ -50,6 +58,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFr
     Null or malformed urls have an empty host and path and fit nothing unless an empty host is listed. Repeated rows
     stay. Equal entries listed twice with different verdicts: 'block' wins. Of entries of equal length the smaller
     string wins. Columns of pages named host, path, entry or verdict are replaced.
+    Entries and urls are compared in canonical form (see canonical), or letter by letter with as_listed; host, path and entry
+    are given as they stand.
     Candidates are all host suffixes with the path's prefixes of listed lengths; the Bloom filter passes possible
     ones, the exact join drops its false positives.
     """
@@ -57,36 +67,48 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFr
         listed.select(F.col("host").alias("e_host"), F.col("path").alias("e_path"), F.col("verdict").alias("e_verdict"))
         .where("e_host is not null and e_path is not null")
         .groupBy("e_host", "e_path").agg(F.max("e_verdict").alias("e_verdict"))
-        .withColumn("e_key", F.concat_ws("\u0000", "e_host", "e_path"))
     )
+    form = (lambda h, p: (h, p)) if as_listed else canonical
+    e_host, e_path = form(F.col("e_host"), F.col("e_path"))
+    listed = listed.select("*", F.concat_ws("\u0000", e_host, e_path).alias("e_key"), F.length(e_path).alias("e_length"))
     # Lengths of listed paths: bounded by the longest url, not by the number of rows.
-    stats = listed.agg(F.count("*").alias("n"), F.collect_set(F.length("e_path")).alias("lengths")).first()
+    stats = listed.agg(F.count("*").alias("n"), F.collect_set("e_length").alias("lengths")).first()
     n_words = 64
-    while n_words < MAX_WORDS and n_words * 4 < stats.n:
+    while n_words * 4 < stats.n:
         n_words *= 2
-    words = F.expr(f"from_json('{build_filter(listed, 'e_key', n_words)}', 'array<bigint>')")
     host, path = host_path(F.col(url))
     pages = pages.drop(*[c for c in ("host", "path", "entry", "verdict") if c in pages.columns]).withColumn("host", host).withColumn("path", path)
+    m_host, m_path = form(F.col("host"), F.col("path"))
+    pages = pages.withColumn("__host", m_host).withColumn("__path", m_path)
     lengths = F.array(*[F.lit(n) for n in sorted(stats.lengths)]) if stats.lengths else F.array().cast("array<int>")
-    labels = F.split("host", r"\.")
+    labels = F.split("__host", r"\.")
     hosts = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
     prefixes = F.transform(
-        F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)
+        F.filter(lengths, lambda n: n <= F.length("__path")), lambda n: F.substring(F.col("__path"), F.lit(1), n)
     )
     keys = F.flatten(F.transform(hosts, lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit("\u0000"), p))))
 
-    def possible(key: Column) -> Column:
-        block, mask = _hashes(key, n_words)
-        return F.element_at(words, block + 1).bitwiseAND(mask) == mask
+    # Each distinct host and path is judged once, so copies of one url cost nothing twice.
+    distinct = pages.select("__host", "__path").distinct()
+    if n_words <= MAX_WORDS:
+        words = F.expr(f"from_json('{build_filter(listed, 'e_key', n_words)}', 'array<bigint>')")
+
+        def possible(key: Column) -> Column:
+            block, mask = _hashes(key, n_words)
+            return F.element_at(words, block + 1).bitwiseAND(mask) == mask
 
-    # Each distinct (host, path) is judged once, so copies of one url cost nothing twice.
-    distinct = pages.select("host", "path").distinct()
-    hits = distinct.select("host", "path", F.explode(F.filter(keys, possible)).alias("e_key"))
+        hits = distinct.select("__host", "__path", F.explode(F.filter(keys, possible)).alias("e_key"))
+    else:
+        # A filter too large for the plan stays a table of blocks, and candidates meet theirs.
+        block, mask = _hashes(F.col("e_key"), n_words)
+        blocks = listed.select(block.alias("__b"), mask.alias("__w")).groupBy("__b").agg(F.bit_or("__w").alias("__w"))
+        asked = distinct.select("__host", "__path", F.explode(keys).alias("e_key")).withColumn("__b", block).withColumn("__m", mask)
+        hits = asked.join(blocks, "__b").where(F.col("__w").bitwiseAND(F.col("__m")) == F.col("__m")).select("__host", "__path", "e_key")
     exact = hits.join(F.broadcast(listed) if stats.n <= BROADCAST_ROWS else listed, "e_key")
-    best = exact.groupBy("host", "path").agg(
-        F.min(F.struct(-(F.length("e_host") + F.length("e_path")), F.concat("e_host", "e_path").alias("entry"), "e_verdict")).alias("m")
-    ).select("host", "path", F.col("m.entry").alias("entry"), F.col("m.e_verdict").alias("verdict"))
-    out = pages.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
-    return out.select(*[c for c in pages.columns if c not in ("host", "path")], "host", "path", "entry", "verdict")
+    best = exact.groupBy("__host", "__path").agg(
+        F.min(F.struct(-(F.length("e_host") + F.length("e_path")), F.concat("e_host", "e_path").alias("entry"), F.when(F.col("e_verdict") == "block", 0).otherwise(1).alias("o"), "e_verdict")).alias("m")
+    ).select("__host", "__path", F.col("m.entry").alias("entry"), F.col("m.e_verdict").alias("verdict"))
+    out = pages.join(best, ["__host", "__path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
+    return out.select(*[c for c in pages.columns if c not in ("host", "path", "__host", "__path")], "host", "path", "entry", "verdict")

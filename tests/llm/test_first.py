@@ -34,20 +34,37 @@ def judge(url, listed):
     return host, path, *((min(fits)[1], min(fits)[2]) if fits else (None, "allow"))
 
 
-@pytest.mark.parametrize("many", [0, 3000])
-def test_urls(spark, many):
+@pytest.mark.parametrize(("many", "words"), [(0, 1 << 17), (3000, 1 << 17), (3000, 64)])
+def test_urls(spark, many, words, monkeypatch):
+    monkeypatch.setattr(urls, "MAX_WORDS", words)
     rng = random.Random(1)
     listed = list(queries.URL_RULES) + [(f"h{i}.example.com", f"/{i % 7}", "block") for i in range(many)]
     given = [None, "", "no scheme", "http://", "http://NET", "http://a.NET/x?y", "ftp://example.net/en/", "http://xexample.net/en/", "http://example.net?/en/", "http://É.org/fr/#", "a://b://net/", "http://example.com/de", "http://example.com/de/"]
     given += [f"http://{rng.choice(['', 'a.', 'b.c.'])}{rng.choice(['net', 'org', 'example.com', 'example.net', f'h{rng.randrange(4000)}.example.com'])}{rng.choice(['', '/', '/en/1', '/de/2?x', '/3/4', '?/fr/'])}" for _ in range(400)]
     pages = spark.createDataFrame([(i, u, "old") for i, u in enumerate(given)], "page_id long, url string, host string")
-    got = urls.filter_urls(pages, spark.createDataFrame(listed, "host string, path string, verdict string"))
+    got = urls.filter_urls(pages, spark.createDataFrame(listed, "host string, path string, verdict string"), as_listed=True)
     assert got.columns == ["page_id", "url", "host", "path", "entry", "verdict"]
     for r in got.collect():
         assert (r.host, r.path, r.entry, r.verdict) == judge(r.url, listed), r.url
     assert got.count() == len(given)
 
 
+def test_urls_in_canonical_form(spark):
+    """Ports, user information, trailing dots, escapes and case do not hide a listed host; the columns stay as they stand."""
+    listed = spark.createDataFrame([("Bad.example.com", "", "block"), ("x.org", "/a b/", "block"), ("ok.x.org", "/a b/", "allow")], "host string, path string, verdict string")
+    same = ["bad.example.com", "bad.example.com:8080", "user@bad.example.com", "u:p@bad.example.com:1", "bad.example.com.", "m.BAD.example.com..", "%62ad.example.com", "b%61d.example.com:", "a@b@bad.example.com"]
+    other = ["bad.example.com.evil", "xbad.example.com", "bad.example.com:8x", "bad.example.com%zz", ""]
+    long = "http://bad.example.com:80/" + "p" * 5000
+    given = [f"http://{h}/x?q" for h in same + other] + ["http://x.org/a%20b/c", "http://x.org/a+b/c", "http://ok.x.org:1/a b/", long, long, long]
+    pages = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
+    got = {r.page_id: r for r in urls.filter_urls(pages, listed).collect()}
+    verdicts = [got[i].verdict for i in range(len(given))]
+    assert verdicts == ["block"] * len(same) + ["allow"] * len(other) + ["block", "allow", "allow", "block", "block", "block"]
+    assert got[1].host == "bad.example.com:8080" and got[1].entry == "Bad.example.com" and got[len(same + other)].path == "/a%20b/c"
+    exact = urls.filter_urls(pages, listed, as_listed=True).collect()
+    assert {r.page_id for r in exact if r.verdict == "block"} == set()
+
+
 def test_urls_empty(spark):
     none = spark.createDataFrame([], "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://net/")], "page_id long, url string")
