@@ -36,6 +36,18 @@ def unit_recall(ranking: DataFrame, covered: DataFrame, units: DataFrame, k: int
     return total.join(hit, "question", "left").select("question", (F.coalesce("hit", F.lit(0)) / F.col("units")).alias("recall"))
 
 
+def pool_recall(pool: DataFrame, covered: DataFrame, units: DataFrame) -> DataFrame:
+    """question, pool, units, found, recall, first_rank: distinct units that any chunk of a question's whole pool covers.
+
+    Questions without evidence or without a pool have no row; one whose pool covers nothing has recall 0 and no rank.
+    """
+    total = units.groupBy("question").agg(F.countDistinct("unit").alias("units"))
+    size = pool.groupBy("question").agg(F.count("*").alias("pool"))
+    hit = pool.join(covered, ["question", "chunk"]).groupBy("question").agg(F.countDistinct("unit").alias("hit"), F.min("rank").alias("first_rank"))
+    rows = total.join(size, "question").join(hit, "question", "left")
+    return rows.select("question", "pool", "units", F.coalesce("hit", F.lit(0)).alias("found"), (F.coalesce("hit", F.lit(0)) / F.col("units")).alias("recall"), "first_rank")
+
+
 def alpha_dcg(ranking: DataFrame, covered: DataFrame, k: int, alpha: float = 0.5) -> DataFrame:
     """question, alpha_dcg at k: a unit seen before in the ranking counts (1 - alpha) for each time."""
     seen = Window.partitionBy("question", "unit").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)

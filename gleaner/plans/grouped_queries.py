@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import chunking, matching, metrics
 from .base import micros, query, table
+from .document_queries import order_tables
 from .retrieval_queries import cover_frame, ranking_frame
 
 
@@ -32,15 +33,31 @@ def structure_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.explode_spans(table(spark, sf, "documents"), lambda t: chunking.structure_windows(t, 64, 16))
 
 
-@query()
-def html_table_cells(spark: SparkSession, sf: str) -> DataFrame:
+def table_cells(pages: DataFrame) -> DataFrame:
+    """page_id, table_no, row_no, column_no, rowspan, colspan, header, cell of all tables in page_id, html."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(k, *c) for k, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for c in matching.html_cells(h or "")]
             kinds = [pa.int64(), *[pa.int32()] * 5, pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["page_id", "table_no", "row_no", "column_no", "rowspan", "colspan", "header", "cell"])
 
-    return table(spark, sf, "pages").select("page_id", "html").mapInArrow(run, "page_id long, table_no int, row_no int, column_no int, rowspan int, colspan int, header boolean, cell string")
+    return pages.select("page_id", "html").mapInArrow(run, "page_id long, table_no int, row_no int, column_no int, rowspan int, colspan int, header boolean, cell string")
+
+
+@query()
+def html_table_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of all tables in pages, and in the tables that orders make, the broken ones too."""
+    orders = order_tables(spark, sf).select((-1 - F.col("l_orderkey")).alias("page_id"), "html")
+    return table_cells(table(spark, sf, "pages").select("page_id", "html").unionByName(orders))
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INT) AS row_no, CAST(l_linenumber % 3 + 1 AS INT) AS w, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 7 NOT IN (1, 2, 3))
+SELECT l_orderkey AS page_id, 0 AS table_no, row_no, 0 AS column_no, 1 AS rowspan, w AS colspan, true AS header, 'p' || l_partkey AS cell FROM r UNION ALL SELECT l_orderkey, 0, row_no, w, 1, 1, false, 's & ' || l_suppkey FROM r"""
+)
+def order_table_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return table_cells(order_tables(spark, sf).where(~(F.col("l_orderkey") % 7).isin(1, 2, 3)).select(F.col("l_orderkey").alias("page_id"), "html"))
 
 
 @query()

@@ -234,9 +234,12 @@ def near_duplicate_leakage(spark: SparkSession, sf: str) -> DataFrame:
     return both.where(F.col("c") >= 0.85 * F.col("u")).select("a", "b", F.round(F.col("c") / F.col("u"), 6).alias("jaccard"))
 
 
-@query("SELECT text AS id, count(*) AS n FROM benchmark GROUP BY 1 HAVING count(*) > 1 OR trim(text) = ''")
+@query("SELECT sha256(text) AS id, count(*) AS n FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark) WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1 OR trim(text) = ''")
 def sample_id_uniqueness(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").groupBy(F.col("text").alias("id")).agg(F.count("*").alias("n")).where((F.col("n") > 1) | (F.btrim("id") == ""))
+    """Texts as sample ids: those that documents and items repeat, and blank ones."""
+    ids = table(spark, sf, "documents").select("text").unionByName(table(spark, sf, "benchmark").select("text")).where("text is not null")
+    # The hash is grouped, so whole texts are not exchanged.
+    return ids.groupBy(F.sha2("text", 256).alias("id")).agg(F.count("*").alias("n"), F.max(F.btrim("text") == "").alias("blank")).where("n > 1 or blank").drop("blank")
 
 
 @query("WITH s AS (SELECT conv_id, unnest(range(0, (SELECT max(turn) + 1 FROM conversations))) AS turn FROM (SELECT DISTINCT conv_id FROM conversations)) SELECT s.conv_id, s.turn, coalesce(c.role, 'missing_outcome') AS outcome FROM s LEFT JOIN conversations c ON c.conv_id = s.conv_id AND c.turn = s.turn")
@@ -247,9 +250,14 @@ def schedule_completion(spark: SparkSession, sf: str) -> DataFrame:
     return plan.join(rows, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("role", F.lit("missing_outcome")).alias("outcome"))
 
 
-@query("SELECT conv_id, turn, 'alternation' AS rule FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) WHERE role = p UNION ALL SELECT conv_id, min(turn), 'first_turn' FROM conversations GROUP BY 1 HAVING min(turn) <> 0 UNION ALL SELECT conv_id, max(turn), 'gap' FROM conversations GROUP BY 1 HAVING max(turn) - min(turn) + 1 <> count(*)")
+@query(
+    """WITH c AS (SELECT conv_id, turn, CASE WHEN (3 * conv_id + turn) % 11 = 5 THEN 'user' ELSE role END AS role FROM conversations WHERE (conv_id + turn) % 7 <> 3)
+SELECT conv_id, turn, 'alternation' AS rule FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM c) WHERE role = p UNION ALL SELECT conv_id, min(turn), 'first_turn' FROM c GROUP BY 1 HAVING min(turn) <> 0 UNION ALL SELECT conv_id, max(turn), 'gap' FROM c GROUP BY 1 HAVING max(turn) - min(turn) + 1 <> count(*)"""
+)
 def sequence_violations(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "conversations")
+    """Conversations from which turns are taken and in which roles are changed."""
+    role = F.when((3 * F.col("conv_id") + F.col("turn")) % 11 == 5, "user").otherwise(F.col("role"))
+    rows = table(spark, sf, "conversations").where((F.col("conv_id") + F.col("turn")) % 7 != 3).withColumn("role", role)
     before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
     same = rows.withColumn("p", before).where("role = p").select("conv_id", "turn", F.lit("alternation").alias("rule"))
     per = rows.groupBy("conv_id").agg(F.min("turn").alias("a"), F.max("turn").alias("b"), F.count("*").alias("n"))

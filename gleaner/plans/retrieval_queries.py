@@ -145,6 +145,15 @@ def unit_recall_at_5(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.unit_recall(ranking_frame(spark, sf), cover_frame(spark, sf), gold_frame(spark, sf), 5).select("question", F.round("recall", 6).alias("recall"))
 
 
+@query(
+    f"WITH {CHUNKS_SQL}, {GOLD_SQL}, {COVER_SQL}, {BM25_SQL}, h AS (SELECT question, min(rank) AS first_rank, count(DISTINCT unit) AS hit FROM cover JOIN bm ON query_id = question AND position = chunk GROUP BY 1), n AS (SELECT question, count(DISTINCT unit) AS units FROM gold GROUP BY 1),"
+    f" p AS (SELECT query_id AS question, count(*) AS pool FROM bm GROUP BY 1) SELECT n.question, pool, units, coalesce(hit, 0) AS found, round(coalesce(hit, 0) / units, 6) AS recall, first_rank FROM n JOIN p ON p.question = n.question LEFT JOIN h ON h.question = n.question"
+)
+def pool_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """What the first stage's whole pool holds of each question's evidence: the most that reordering can reach."""
+    return metrics.pool_recall(ranking_frame(spark, sf), cover_frame(spark, sf), gold_frame(spark, sf)).withColumn("recall", F.round("recall", 6))
+
+
 @query(f"WITH {CHUNKS_SQL}, {GOLD_SQL}, {COVER_SQL}, {BM25_SQL}, s AS (SELECT question, rank, row_number() OVER (PARTITION BY question, unit ORDER BY rank) - 1 AS seen FROM cover JOIN bm ON query_id = question AND position = chunk WHERE rank <= 5) SELECT query_id AS question, round(coalesce(sum(pow(0.5, seen) / log2(s.rank + 1)), 0), 6) AS alpha_dcg FROM (SELECT DISTINCT query_id FROM bm) LEFT JOIN s ON question = query_id GROUP BY 1")
 def alpha_dcg_at_5(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.alpha_dcg(ranking_frame(spark, sf), cover_frame(spark, sf), 5).select("question", F.round("alpha_dcg", 6).alias("alpha_dcg"))

@@ -108,10 +108,21 @@ def attempt_completeness(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("user_id", "statements", F.size("a").cast("long").alias("attempts"), (F.col("a") == F.array(*[F.lit(i).cast("long") for i in range(3)])).alias("complete"))
 
 
-@query("SELECT conv_id, turn FROM (SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) WHERE turn <= p OR trim(text) = ''")
+@query(
+    """WITH c AS (SELECT conv_id, turn AS start, turn + CASE WHEN (conv_id + turn) % 5 = 1 THEN 2 WHEN (conv_id + turn) % 13 = 4 THEN 0 ELSE 1 END AS stop, CASE WHEN (2 * conv_id + turn) % 9 = 4 THEN ' ' ELSE text END AS text FROM conversations),
+w AS (SELECT *, max(stop) OVER (PARTITION BY conv_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c)
+SELECT conv_id, start, 'empty span' AS problem FROM w WHERE stop <= start UNION ALL SELECT conv_id, start, 'overlap' FROM w WHERE start < reach UNION ALL SELECT conv_id, start, 'no text' FROM w WHERE trim(text) = ''"""
+)
 def segment_violations(spark: SparkSession, sf: str) -> DataFrame:
-    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, sf, "conversations").withColumn("p", before).where((F.col("turn") <= F.col("p")) | (F.btrim("text") == "")).select("conv_id", "turn")
+    """Turns as segments of time, of which some are empty, reach into the next or have no text."""
+    c, t = F.col("conv_id"), F.col("turn")
+    stop = t + F.when((c + t) % 5 == 1, 2).when((c + t) % 13 == 4, 0).otherwise(1)
+    rows = table(spark, sf, "conversations").select("conv_id", t.alias("start"), stop.alias("stop"), F.when((2 * c + t) % 9 == 4, " ").otherwise(F.col("text")).alias("text"))
+    reach = F.max("stop").over(Window.partitionBy("conv_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("reach", reach)
+    rules = {"empty span": F.col("stop") <= F.col("start"), "overlap": F.col("start") < F.col("reach"), "no text": F.btrim("text") == ""}
+    found = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
+    return rows.select("conv_id", "start", F.explode(found).alias("problem"))
 
 
 @query("SELECT p_brand AS metric, CASE WHEN p_brand IN (SELECT p_brand FROM part WHERE p_size > 48) THEN 'required' ELSE 'descriptive' END AS direction FROM (SELECT DISTINCT p_brand FROM part)")
