@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics, resampling, stats
+from ..sources.scratch import written
 from .base import micros, query, table
 
 #: An error event is a failed request; a login was not executed; the others succeeded with a latency in `value`.
@@ -207,20 +208,32 @@ def exact_leakage(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").groupBy(print_.alias("print")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-@query(r"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents), s AS (SELECT DISTINCT doc_id, t[i:i+4] AS g FROM (SELECT doc_id, t, unnest(range(1, len(t) - 3)) AS i FROM w)), k AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL) SELECT a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM j JOIN k x ON x.doc_id = a JOIN k y ON y.doc_id = b WHERE c >= 0.85 * (x.n + y.n - c)")
+@query(
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents), g AS (SELECT DISTINCT doc_id, t[i:i+4] AS g FROM (SELECT doc_id, t, unnest(range(1, len(t) - 3)) AS i FROM w)),
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY l) AS rep FROM (SELECT doc_id, list_sort(list(array_to_string(g, ' '))) AS l FROM g GROUP BY 1)),
+s AS (SELECT g.* FROM g JOIN c ON c.doc_id = g.doc_id WHERE c.doc_id = c.rep), k AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM j JOIN k x ON x.doc_id = a JOIN k y ON y.doc_id = b WHERE c >= 0.85 * (x.n + y.n - c) UNION ALL SELECT rep, doc_id, 1.0 FROM c WHERE doc_id <> rep"""
+)
 def near_duplicate_leakage(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of documents whose sets of five-token shingles have a Jaccard similarity of 0.85 or more.
+    """Near duplicates: pairs of documents whose sets of five-token shingles have a Jaccard similarity of 0.85 or more.
 
-    Prefix filter: in a fixed order of shingles, by frequency, such a pair shares one of the first 15 % of each set,
-    so only these rare ones meet in a join; the candidates are then compared whole.
+    Documents with equal sets are a class: its smallest stands for it in pairs with other classes, and each of the others has
+    one row with it (similarity 1), so that m copies are m - 1 rows. Prefix filter: in a fixed order of shingles, by
+    frequency, a pair shares one of the first 15 % of each set, so only these rare ones meet in a join; the candidates
+    are then compared whole. Sets are made once and written.
     """
     from ..functions.text import tokens
 
     sets = table(spark, sf, "documents").select("doc_id", tokens(F.col("text")).alias("t")).where(F.size("t") >= 5)
     grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("t") - 5)), lambda i: F.xxhash64(F.array_join(F.slice("t", i + 1, 5), " "))))
-    sets = sets.select("doc_id", grams.alias("s")).withColumn("n", F.size("s"))
-    # explode() would make the optimiser filter by the size of s, with all of the tokeniser inside that filter.
-    each = sets.select("doc_id", "n", F.explode_outer("s").alias("g"))
+    sets = written(sets.select("doc_id", F.sort_array(grams).alias("s")), "shingles").withColumn("n", F.size("s"))
+    alike = ["n", "p1", "p2"]
+    named = sets.select("doc_id", "n", F.xxhash64("s").alias("p1"), F.xxhash64(F.lit(1), "s").alias("p2"))
+    classes = named.groupBy(*alike).agg(F.min("doc_id").alias("rep"))
+    copies = named.join(classes, alike).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
+    sets = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    each = sets.select("doc_id", "n", F.explode("s").alias("g"))
     often = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     # Shingles of one document only cannot be shared: they need no row, only their place at the front of the order.
     shared = each.join(often, "g")
@@ -231,7 +244,7 @@ def near_duplicate_leakage(spark: SparkSession, sf: str) -> DataFrame:
     pairs = a.join(b, "g").where("a < b").select("a", "b").distinct()
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(x, "a").join(y, "b").withColumn("c", F.size(F.array_intersect("sa", "sb"))).withColumn("u", F.size("sa") + F.size("sb") - F.col("c"))
-    return both.where(F.col("c") >= 0.85 * F.col("u")).select("a", "b", F.round(F.col("c") / F.col("u"), 6).alias("jaccard"))
+    return both.where(F.col("c") >= 0.85 * F.col("u")).select("a", "b", F.round(F.col("c") / F.col("u"), 6).alias("jaccard")).unionByName(copies)
 
 
 @query("SELECT sha256(text) AS id, count(*) AS n FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark) WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1 OR trim(text) = ''")
