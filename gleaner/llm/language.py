@@ -164,9 +164,11 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     number of languages. Languages are in order of their names.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.substring(text, 1, SAMPLE_CHARS).alias("text"), F.xxhash64(F.lit("lang"), F.col(key)).alias("h"))
-    counts = rows.groupBy("lang").count()
+    # Texts stay where they are: languages and hashes alone meet the counts, and some 2 * SAMPLE_DOCS a language come back.
+    narrow = rows.select("lang", "h")
     draw = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(counts, "lang").where(draw * F.col("count") < 2 * SAMPLE_DOCS).select("lang", "text", "h")
+    chosen = narrow.join(narrow.groupBy("lang").count(), "lang").where(draw * F.col("count") < 2 * SAMPLE_DOCS).select("lang", "h").distinct()
+    sample = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "text", "h")
     texts: dict[str, bytes] = {}
     for row in sorted(sample.collect(), key=lambda r: (r.lang, r.h, r.text)):
         had = texts.get(row.lang, b"")
