@@ -90,6 +90,43 @@ def percentiles(value: str, *points: float) -> list[Column]:
     return [F.percentile(value, F.lit(p)).alias(f"p{round(p * 100)}") for p in points]
 
 
+#: Distinct values of a range, about.
+RANGE_VALUES = 50_000
+
+
+def exact_percentiles(rows: DataFrame, by: list[str], value: str, *points: float) -> DataFrame:
+    """by..., n, p50, p95, ...: exact percentiles with linear interpolation of groups of any size, with bounded state.
+
+    Equal values are counted first. Groups of many distinct values are cut into ranges by approximate percentiles, which
+    deal the work and change no result; running totals over ranges tell which of them hold the wanted ranks, and
+    only those are ordered. Null values do not count; groups without values, or with a null key, have no row.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    most = counted.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    ranges = max(1, -(-most // RANGE_VALUES))
+    if ranges > 1:
+        edges = counted.groupBy(*by).agg(F.percentile_approx("__v", [i / ranges for i in range(1, ranges)]).alias("__e"))
+        counted = counted.join(edges, by).withColumn("__range", F.size(F.filter("__e", lambda e: e < F.col("__v")))).drop("__e")
+    else:
+        counted = counted.withColumn("__range", F.lit(0))
+    group = Window.partitionBy(*by)
+    each = counted.groupBy(*by, "__range").agg(F.sum("__c").alias("__k"))  # as many rows a group as it has ranges
+    each = each.withColumn("n", F.sum("__k").over(group)).withColumn("__ahead", F.sum("__k").over(group.orderBy("__range")) - F.col("__k"))
+    place = lambda p: (F.col("n") - 1) * F.lit(float(p))
+    low, high = [F.floor(place(p)) for p in points], [F.ceil(place(p)) for p in points]
+    holds = lambda rank: (rank >= F.col("__ahead")) & (rank < F.col("__ahead") + F.col("__k"))
+    any_ = F.lit(False)
+    for rank in (*low, *high):
+        any_ = any_ | holds(rank)
+    some = counted.join(each.where(any_), [*by, "__range"])
+    upto = F.sum("__c").over(Window.partitionBy(*by, "__range").orderBy("__v"))
+    some = some.withColumn("__end", F.col("__ahead") + upto).withColumn("__start", F.col("__end") - F.col("__c"))
+    at = lambda rank: F.max(F.when((rank >= F.col("__start")) & (rank < F.col("__end")), F.col("__v")))
+    found = some.groupBy(*by, "n").agg(*[x for i, (a, b) in enumerate(zip(low, high, strict=True)) for x in (at(a).alias(f"__a{i}"), at(b).alias(f"__b{i}"))])
+    name = lambda p: f"p{round(100 * p)}"
+    return found.select(*by, "n", *[(F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * (place(p) - F.floor(place(p)))).alias(name(p)) for i, p in enumerate(points)])
+
+
 def iou(a: list[str], b: list[str]) -> Column:
     """Intersection over union of boxes x1, y1, x2, y2; 0 if the union is empty."""
     wide = F.greatest(F.lit(0.0), F.least(a[2], b[2]) - F.greatest(a[0], b[0]))

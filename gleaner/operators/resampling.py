@@ -52,7 +52,7 @@ def source_draws(n: np.ndarray, sources: int, block: int, seed: int, group: int)
 
 def _blocks(units: DataFrame, by: list[str], source: str) -> DataFrame:
     """units (by..., source, stratum, ...; one row a source) with group, block, and the sizes of all blocks of the stratum."""
-    keyed = units.withColumn("__group", F.xxhash64(*by, "stratum"))
+    keyed = units.withColumn("__group", F.xxhash64(*by, "__stratum"))
     sizes = keyed.groupBy("__group").agg(F.count("*").alias("n"))
     # The smallest power of two that gives blocks of at most BLOCK_SOURCES on average.
     sizes = sizes.select("__group", F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / BLOCK_SOURCES)))).cast("int").alias("blocks"))
@@ -78,9 +78,9 @@ def _over_blocks(units: DataFrame, by: list[str], source: str, work: Callable, s
 def _units(rows: DataFrame, by: list[str], source: str, stratum: str | None, sums: list[Column]) -> DataFrame:
     """One row a source, with its stratum; a source in several strata is an error, as in any stratified draw."""
     label = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("all")
-    one = rows.where(F.col(source).isNotNull()).groupBy(*by, source).agg(F.min(label).alias("stratum"), F.max(label).alias("__other"), *sums)
+    one = rows.where(F.col(source).isNotNull()).groupBy(*by, source).agg(F.min(label).alias("__stratum"), F.max(label).alias("__other"), *sums)
     spans = F.raise_error(F.lit("a source cannot span separately resampled strata"))
-    return one.withColumn("stratum", F.when(F.col("stratum") == F.col("__other"), F.col("stratum")).otherwise(spans)).drop("__other")
+    return one.withColumn("__stratum", F.when(F.col("__stratum") == F.col("__other"), F.col("__stratum")).otherwise(spans)).drop("__other")
 
 
 def _reasons(estimate: Column, least: int | None, contributing: Column, defined: Column) -> Column:
@@ -96,9 +96,9 @@ def _constant(rows: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
 
 def bootstrap_ratios(
     rows: DataFrame, source: str, metrics: Mapping[str, tuple[Column, Column]], by: list[str], stratum: str | None = None, resamples: int = 10_000, seed: int = 42,
-    confidence: float = 0.95, least: int | None | Mapping[str, int | None] = 2,
+    confidence: float = 0.95, least: int | None | Mapping[str, int | None] = 2, named: str = "metric",
 ) -> DataFrame:
-    """by..., metric, estimate, low, high, sources, contributing, defined, reason: intervals of ratios of sums over drawn sources.
+    """by..., metric (named), estimate, low, high, sources, contributing, defined, reason: intervals of ratios of sums over drawn sources.
 
     metrics: name -> (numerator, denominator), summed over the rows of the drawn sources, copies counted each time; null
     counts as nothing. A mean of documents is (value, 1 where there is a value). A source contributes to a metric if its
@@ -133,7 +133,7 @@ def bootstrap_ratios(
         need = least.get(name) if isinstance(least, Mapping) else least
         why = _reasons(F.col(f"estimate{i}"), need, F.col(f"contributing{i}"), F.col(f"defined{i}"))
         held = lambda c, why=why: F.when(why.isNull(), F.col(c))
-        out.append(F.struct(F.lit(name).alias("metric"), F.col(f"estimate{i}").alias("estimate"), held(f"low{i}").alias("low"), held(f"high{i}").alias("high"), F.col("sources"), F.col(f"contributing{i}").alias("contributing"), F.col(f"defined{i}").alias("defined"), why.alias("reason")))
+        out.append(F.struct(F.lit(name).alias(named), F.col(f"estimate{i}").alias("estimate"), held(f"low{i}").alias("low"), held(f"high{i}").alias("high"), F.col("sources"), F.col(f"contributing{i}").alias("contributing"), F.col(f"defined{i}").alias("defined"), why.alias("reason")))
     return both.select(*by, F.explode(F.array(*out)).alias("m")).select(*by, "m.*")
 
 

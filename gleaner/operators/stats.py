@@ -16,7 +16,7 @@ def bootstrap_mean(rows: DataFrame, value: str, group: str, by: list[str], resam
     """
     counted = F.sum(F.when(F.col(value).isNotNull(), F.col(size))) if size else F.lit(1.0)
     inner = rows.groupBy(*by, group).agg(F.avg(value).alias("m"), counted.alias("z")).where("m is not null")
-    found = bootstrap_ratios(inner, group, {"mean": (F.col("m") * F.col("z"), F.col("z"))}, by, None, resamples, seed, confidence, least_groups)
+    found = bootstrap_ratios(inner, group, {"mean": (F.col("m") * F.col("z"), F.col("z"))}, by, None, resamples, seed, confidence, least_groups, "__metric")
     return found.select(*by, "estimate", "low", "high", F.col("sources").alias("groups"), "reason")
 
 

@@ -24,15 +24,16 @@ def ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {LEDGER_SQL} SELECT source_group, round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.95), 6) AS p95, round(avg(latency), 6) AS mean, count(latency) AS n FROM ledger GROUP BY 1")
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    p50, p95 = metrics.percentiles("latency", 0.5, 0.95)
-    rows = ledger(spark, sf).groupBy("source_group").agg(p50, p95, F.avg("latency").alias("mean"), F.count("latency").alias("n"))
-    return rows.select("source_group", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "mean")], "n")
+    rows = ledger(spark, sf)
+    means = rows.groupBy("source_group").agg(F.avg("latency").alias("mean"), F.count("latency").alias("n"))
+    found = means.join(metrics.exact_percentiles(rows, ["source_group"], "latency", 0.5, 0.95).drop("n"), "source_group", "left")
+    return found.select("source_group", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "mean")], "n")
 
 
 @query(f"WITH {LEDGER_SQL}, m AS (SELECT source_group, user_id, quantile_cont(latency, 0.5) AS m FROM ledger GROUP BY ALL) SELECT source_group, round(quantile_cont(m, 0.5), 6) AS p50, round(quantile_cont(m, 0.95), 6) AS p95 FROM m GROUP BY 1")
 def median_then_p95(spark: SparkSession, sf: str) -> DataFrame:
-    inner = ledger(spark, sf).groupBy("source_group", "user_id").agg(F.percentile("latency", F.lit(0.5)).alias("m"))
-    rows = inner.groupBy("source_group").agg(*metrics.percentiles("m", 0.5, 0.95))
+    inner = metrics.exact_percentiles(ledger(spark, sf), ["source_group", "user_id"], "latency", 0.5)
+    rows = metrics.exact_percentiles(inner, ["source_group"], "p50", 0.5, 0.95)
     return rows.select("source_group", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 

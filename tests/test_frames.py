@@ -65,3 +65,18 @@ def test_cosine_grid(spark, monkeypatch, blocks):
         assert got == want
         reference = retrieval.tie_reference(frame, asked if filtered else asked.drop("label"), 5).collect()
         assert {r.query_id: (r.effective, r.strict, r.boundary) for r in reference} == ties
+
+
+@pytest.mark.parametrize("most", [50_000, 7])
+def test_exact_percentiles(spark, monkeypatch, most):
+    from gleaner.operators import metrics
+
+    monkeypatch.setattr(metrics, "RANGE_VALUES", most)
+    rng = random.Random(7)
+    rows = [("a", rng.gauss(0, 5)) for _ in range(201)] + [("b", float(rng.randrange(4))) for _ in range(100)] + [("c", 3.0)] + [("d", None)] * 3 + [(None, 1.0), (None, 2.0)]
+    rows += [("hot", 1.0)] * 300 + [("hot", float(i)) for i in range(20)]
+    got = {r.k: r for r in metrics.exact_percentiles(spark.createDataFrame(rows, "k string, v double").repartition(3), ["k"], "v", 0.0, 0.25, 0.5, 0.95, 1.0).collect() if r.k}
+    for k in ("a", "b", "c", "hot"):
+        v = [x for g, x in rows if g == k]
+        assert [got[k][f"p{p}"] for p in (0, 25, 50, 95, 100)] == pytest.approx(np.quantile(v, [0, 0.25, 0.5, 0.95, 1]).tolist()) and got[k].n == len(v)
+    assert set(got) == {"a", "b", "c", "hot"}
