@@ -150,7 +150,8 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     """Fit on at most SAMPLE_ROWS labelled rows: those of the smallest hash of the key. Null labels are left out.
 
     Tasks make the features, sparse rows; one task fits on those of the sample, whose size is bounded. Rows of equal
-    key are cut by their statistics. The driver gets the weights only.
+    key are cut by their statistics. The driver gets the weights only. Labels of one kind alone give every text one score,
+    near that label; no label gives 0.5. Rows without key take part; a text whose key is null is in no fold.
     """
     rows = labelled.where(F.col(label).isNotNull()).withColumn("h", F.xxhash64(F.lit("quality"), F.col(key)))
     rows = rows.select("h", F.col(label).cast("int").alias("y"), F.col(text).alias("text"), F.col(chars).cast("double").alias("c") if chars in labelled.columns else F.lit(0.0).alias("c"))
