@@ -15,6 +15,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 150, 80_000, 20_000
 #: Fewer texts than this are parsed one by one; more of them a symbol of each at a time.
 FEW = 48
+#: Languages whose counts are broadcast; more of them meet the rows in a join.
+BROADCAST_LANGUAGES = 10_000
 
 _letters: list[np.ndarray] = []
 
@@ -167,7 +169,10 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     # Texts stay where they are: languages and hashes alone meet the counts, and some 2 * SAMPLE_DOCS a language come back.
     narrow = rows.select("lang", "h")
     draw = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
-    chosen = narrow.join(narrow.groupBy("lang").count(), "lang").where(draw * F.col("count") < 2 * SAMPLE_DOCS).select("lang", "h").distinct()
+    counts = narrow.groupBy("lang").count()
+    # A hot language is no key of an exchange as long as the languages are few.
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_LANGUAGES else counts
+    chosen = narrow.join(counts, "lang").where(draw * F.col("count") < 2 * SAMPLE_DOCS).select("lang", "h").distinct()
     sample = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "text", "h")
     texts: dict[str, bytes] = {}
     for row in sorted(sample.collect(), key=lambda r: (r.lang, r.h, r.text)):
