@@ -61,6 +61,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def element_tokens(kind: Column, text: Column, latex: Column, cells: Column) -> Column:
+    """Tokens of an element by its kind: words and single marks for code and formulas (their LaTeX, if there is any), prose for the
+    rest; a table is its cells, joined, if it has any."""
+    body = F.when((kind == "table") & cells.isNotNull(), F.array_join(cells, " ")).when(kind == "formula", F.coalesce(F.nullif(latex, F.lit("")), text)).otherwise(text)
+    plain = F.regexp_replace(body, r"(?U)\s+", " ")
+    return F.when(kind.isin("code", "formula"), F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0))).otherwise(prose_tokens(body))
+
+
 def lines(text: Column) -> Column:
     """Normalised lines that are not empty, in order."""
     return F.filter(F.transform(F.split(unify_newlines(text), "\n"), prose), lambda x: x != "")
