@@ -123,3 +123,25 @@ def paired_operational(left: DataFrame, right: DataFrame, schedule: DataFrame, p
 def ranked_items(rows: DataFrame, by: list[str], order: list[str], item: str) -> DataFrame:
     """by..., rank, item in order from 1."""
     return rows.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("rank"), F.col(item).alias("item"))
+
+
+def workload_problems(vectors: DataFrame, queries: DataFrame, dimension: int) -> DataFrame:
+    """kind (record or query), id, problem of a vector workload, before anything is searched.
+
+    vectors: id, vector; queries: id, vector, target (the record that a query was made from, or null). Vectors need the
+    dimension, finite entries and a length above 0; ids must be there and be unique within their kind; targets must be
+    records. One row for each id and problem; all rules but the last two are one pass without an exchange.
+    """
+    both = vectors.select(F.lit("record").alias("kind"), "id", "vector").unionByName(queries.select(F.lit("query").alias("kind"), "id", "vector"))
+    v = F.col("vector")
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    finite = sure(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    rules = {
+        "no id": F.col("id").isNull(), "no vector": v.isNull(), "dimension": sure(F.size(v) != dimension) & v.isNotNull(), "not finite": v.isNotNull() & ~finite,
+        "zero vector": finite & (F.size(v) > 0) & sure(F.forall(v, lambda x: x == 0)),
+    }
+    broken = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
+    rows = both.select("kind", "id", F.explode(broken).alias("problem")).distinct()
+    repeated = both.where("id IS NOT NULL").groupBy("kind", "id").count().where("count > 1")
+    lost = queries.where("target IS NOT NULL").join(vectors.select(F.col("id").alias("target")), "target", "left_anti")
+    return rows.unionByName(_said(repeated, ["kind", "id"], "repeated id")).unionByName(_said(lost.withColumn("kind", F.lit("query")), ["kind", "id"], "unknown target"))

@@ -114,3 +114,19 @@ def ann_topk(spark: SparkSession, sf: str) -> DataFrame:
     vectors, asked = asked_vectors(spark, sf)
     centroids = ann.fit(vectors, max(8, min(4_096, int(vectors.count() ** 0.5))))
     return ann.search(vectors, asked, centroids, DEPTH, ann.probes_for(vectors, centroids, DEPTH, 0.95))
+
+
+@query(
+    """SELECT 'record' AS kind, vec_id AS id, 'dimension' AS problem FROM embeddings WHERE vec_id % 17 = 3 UNION ALL SELECT 'record', vec_id, 'not finite' FROM embeddings WHERE vec_id % 17 <> 3 AND vec_id % 19 = 4
+UNION ALL SELECT 'record', vec_id, 'zero vector' FROM embeddings WHERE vec_id % 17 <> 3 AND vec_id % 19 <> 4 AND vec_id % 23 = 5 UNION ALL SELECT 'record', vec_id, 'repeated id' FROM embeddings WHERE vec_id % 29 = 6
+UNION ALL SELECT 'query', vec_id, 'no vector' FROM embeddings WHERE vec_id % 25 = 0 AND vec_id % 3 = 1 UNION ALL SELECT 'query', vec_id, 'unknown target' FROM embeddings WHERE vec_id % 25 = 0 AND vec_id % 4 = 1"""
+)
+def workload_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings of which some are cut, hold NaN, are zero or come twice; every 25th asks for itself, some without vector or for nothing."""
+    i, e = F.col("vec_id"), F.col("embedding").cast("array<double>")
+    bad = F.concat(F.array(F.lit(float("nan"))), F.slice(e, 2, F.size(e)))
+    vector = F.when(i % 17 == 3, F.slice(e, 1, F.size(e) - 1)).when(i % 19 == 4, bad).when(i % 23 == 5, F.transform(e, lambda x: F.lit(0.0))).otherwise(e)
+    rows = table(spark, sf, "embeddings")
+    records = rows.select(i.alias("id"), vector.alias("vector"))
+    asked = rows.where(i % 25 == 0).select(i.alias("id"), F.when(i % 3 != 1, e).alias("vector"), F.when(i % 4 == 1, -i - 1).otherwise(i).alias("target"))
+    return ledgers.workload_problems(records.unionByName(records.where("id % 29 = 6")), asked, 64)

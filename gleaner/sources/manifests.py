@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,23 +24,51 @@ def checksum(samples: list) -> str:
     return hashlib.sha256(canonical_json(samples).encode()).hexdigest()
 
 
-def read_manifest(spark: SparkSession, path: str, splits: tuple[str, ...] | None = None) -> tuple[dict, DataFrame]:
-    """Header and samples of a manifest (one JSON file), both checked: fields, unique ids, checksum, split."""
-    whole = json.loads(spark.read.text(path, wholetext=True).first()[0])
+def _problem(whole: object, splits: tuple[str, ...] | None) -> str | None:
+    """What is wrong with a parsed manifest; null if nothing is."""
+    if not isinstance(whole, dict):
+        return "the manifest is no object"
     if missing := [f for f in HEADER if f not in whole]:
-        raise ValueError(f"manifest without {', '.join(missing)}")
+        return f"manifest without {', '.join(missing)}"
     if unknown := sorted(set(whole) - set(HEADER)):
-        raise ValueError(f"manifest with unknown {', '.join(unknown)}")
-    samples = whole.pop("samples")
-    ids = [s.get("id") for s in samples]
-    if not samples or not all(isinstance(i, str) and i for i in ids) or len(set(ids)) < len(ids):
-        raise ValueError("samples need unique ids")
+        return f"manifest with unknown {', '.join(unknown)}"
+    samples = whole["samples"]
+    ids = [s.get("id") if isinstance(s, dict) else None for s in samples] if isinstance(samples, list) else []
+    if not ids or not all(isinstance(i, str) and i for i in ids) or len(set(ids)) < len(ids):
+        return "samples need unique ids"
     if checksum(samples) != whole["checksum"]:
-        raise ValueError("the checksum does not match the samples")
+        return "the checksum does not match the samples"
     if splits is not None and whole["split"] not in splits:
-        raise ValueError(f"split {whole['split']!r} is not allowed here")
-    rows = spark.createDataFrame([(json.dumps(s),) for s in samples], "value string")
-    return whole, rows.select(F.from_json("value", SAMPLE).alias("s")).select("s.*")
+        return f"split {whole['split']!r} is not allowed here"
+    return None
+
+
+def read_manifest(spark: SparkSession, path: str, splits: tuple[str, ...] | None = None) -> tuple[dict, DataFrame]:
+    """Header and samples of a manifest (one JSON file), both checked: fields, unique ids, checksum, split.
+
+    The file is parsed and checked in a task, since a checksum is over the whole of it; the driver sees the header or the
+    first problem (a ValueError), and samples go on as rows of a declared schema.
+    """
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                try:
+                    whole = json.loads(text)
+                except ValueError:
+                    whole = None
+                problem = _problem(whole, splits)
+                rows = [] if problem else [json.dumps(s) for s in whole["samples"]]
+                header = None if problem else json.dumps({k: v for k, v in whole.items() if k != "samples"})
+                first = ["header", problem, header]
+                kinds = [["sample"] * len(rows), [None] * len(rows), rows]
+                yield pa.RecordBatch.from_arrays([pa.array([x, *more], pa.string()) for x, more in zip(first, kinds, strict=True)], ["part", "problem", "value"])
+
+    parsed = spark.read.text(path, wholetext=True).mapInArrow(parse, "part string, problem string, value string")
+    header = parsed.where("part = 'header'").first()
+    if header is None or header.problem:
+        raise ValueError(header.problem if header else "the manifest is empty")
+    return json.loads(header.value), parsed.where("part = 'sample'").select(F.from_json("value", SAMPLE).alias("s")).select("s.*")
 
 
 def seal_manifest(spark: SparkSession, header: dict, samples: list, path: str) -> None:

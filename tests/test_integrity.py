@@ -52,3 +52,14 @@ def test_paired_ledgers(spark):
     got = {r.condition: r for r in ledgers.paired_operational(spark.createDataFrame(left, kind), spark.createDataFrame(right, kind), plan).collect()}
     assert (got["x"].complete, got["x"].error_rate, got["x"].p50, got["x"].scheduled) == (True, -0.2, 2.0 - 3.0, 5)
     assert {c: (r.reason, r.p50) for c, r in got.items() if c != "x"} == {"y": ("missing", None), "z": (None, 0.0), "empty": ("missing", None), "w": ("not scheduled", None)}
+
+
+def test_workload_problems(spark):
+    nan, inf = float("nan"), float("inf")
+    v = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [nan, 0.0]), (4, [1.0, None]), (5, [inf, 1.0]), (6, [1.0]), (7, []), (8, None), (None, [1.0, 1.0]), (9, [1.0, 2.0]), (9, [1.0, 2.0])]
+    q = [(1, [1.0, 0.0], 1), (2, [0.0, 0.0], 77), (3, [1.0, 1.0], None), (3, None, 9)]
+    got = ledgers.workload_problems(spark.createDataFrame(v, "id long, vector array<double>"), spark.createDataFrame(q, "id long, vector array<double>, target long"), 2)
+    want = {("record", 2, "zero vector"), ("record", 3, "not finite"), ("record", 4, "not finite"), ("record", 5, "not finite"), ("record", 6, "dimension"), ("record", 7, "dimension"), ("record", 8, "no vector"), ("record", None, "no id"), ("record", 9, "repeated id")}
+    want |= {("query", 2, "zero vector"), ("query", 2, "unknown target"), ("query", 3, "repeated id"), ("query", 3, "no vector")}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
