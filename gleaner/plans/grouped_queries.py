@@ -133,13 +133,17 @@ def stitched_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def keyframes(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames by the hybrid policy. A change of scene is picked whatever stands before it, so each starts a stretch of its
+    own: a task holds one stretch of a user, not the whole history."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["t", "event_id"])
         picked = matching.keyframes(rows.t.tolist(), rows.value.tolist(), 3600.0, 95.0, "hybrid")
         return rows.iloc[picked][["user_id", "event_id"]]
 
     rows = table(spark, sf, "events").select("user_id", "event_id", "value", (micros("ts") / 1_000_000.0).alias("t"))
-    return rows.groupBy("user_id").applyInPandas(run, "user_id long, event_id long")
+    scenes = F.count_if(F.col("value") >= 95.0).over(Window.partitionBy("user_id").orderBy("t", "event_id"))
+    return rows.withColumn("stretch", scenes).groupBy("user_id", "stretch").applyInPandas(run, "user_id long, event_id long")
 
 
 @query()

@@ -169,3 +169,16 @@ def test_bootstrap_resamples(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(ledger_queries.stats, "bootstrap_mean", lambda *a, **k: asked.update(k))
     base.QUERIES["bootstrap_interval"](spark, sf_dir)
     assert asked["resamples"] == 10_000
+
+
+def test_keyframes_of_whole_histories(spark, sf_dir):
+    from gleaner.operators import matching
+
+    by_user = {}
+    for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "value", "ts").collect():
+        by_user.setdefault(r.user_id, []).append((r.ts.timestamp(), r.event_id, r.value))
+    want = set()
+    for user, rows in by_user.items():
+        rows.sort()
+        want |= {(user, rows[i][1]) for i in matching.keyframes([r[0] for r in rows], [r[2] for r in rows], 3600.0, 95.0, "hybrid")}
+    assert {tuple(r) for r in base.QUERIES["keyframes"](spark, sf_dir).collect()} == want
