@@ -164,3 +164,23 @@ def page_attribution(references: DataFrame, predictions: DataFrame, matches: Dat
     found = predictions.select(by, F.col("element").alias("prediction"), F.col("page").alias("p_page"))
     rows = expected.join(matches.select(by, "reference", "prediction"), [by, "reference"], "left").join(found, [by, "prediction"], "left")
     return rows.groupBy(by).agg(F.count("*").alias("expected"), F.count_if(F.col("page") == F.col("p_page")).alias("attributed"))
+
+
+def kind_scores(references: DataFrame, predictions: DataFrame, matches: DataFrame, by: str) -> DataFrame:
+    """by, kind, expected, found, matched, precision, recall, f1, content_f1: detection and content of elements by kind.
+
+    references and predictions: by, element, kind, tokens (an array); matches: by, reference, prediction, of one kind each and
+    at most one of a reference and of a prediction. Content is the mean over references of the F1 of token bags, 0 where a
+    reference has no match and 1 where both are empty; null without references. Rates are 0 wherever their denominator is.
+    """
+    known = matches.join(references.select(by, F.col("element").alias("reference"), "kind"), [by, "reference"])
+    bag = lambda df, side: df.select(by, F.col("element").alias(side), F.explode("tokens").alias("t")).groupBy(by, side, "t").agg(F.count("*").alias(f"n_{side}"))
+    shared = known.join(bag(references, "reference"), [by, "reference"]).join(bag(predictions, "prediction"), [by, "prediction", "t"])
+    shared = shared.groupBy(by, "reference").agg(F.sum(F.least("n_reference", "n_prediction")).alias("common"))
+    size = lambda df, side: df.select(by, F.col("element").alias(side), F.size("tokens").alias(f"s_{side}"))
+    pairs = known.join(size(references, "reference"), [by, "reference"]).join(size(predictions, "prediction"), [by, "prediction"]).join(shared, [by, "reference"], "left")
+    scored = pairs.groupBy(by, "kind").agg(F.count("*").alias("matched"), F.sum(tx.bag_f1(F.coalesce("common", F.lit(0)), F.col("s_prediction"), F.col("s_reference"))).alias("content"))
+    count = lambda df, name: df.groupBy(by, "kind").agg(F.count("*").alias(name))
+    rows = count(references, "expected").join(count(predictions, "found"), [by, "kind"], "full").join(scored, [by, "kind"], "left").fillna(0, ["expected", "found", "matched", "content"])
+    precision, recall, f1 = tx.precision_recall_f1(F.col("matched"), F.col("found") - F.col("matched"), F.col("expected") - F.col("matched"))
+    return rows.select(by, "kind", "expected", "found", "matched", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), (F.col("content") / F.nullif(F.col("expected"), F.lit(0))).alias("content_f1"))

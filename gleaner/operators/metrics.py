@@ -90,6 +90,27 @@ def percentiles(value: str, *points: float) -> list[Column]:
     return [F.percentile(value, F.lit(p)).alias(f"p{round(p * 100)}") for p in points]
 
 
+def descriptor(rows: DataFrame, expected: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by..., status, complete, eligible, contributing, unavailable, mean, p95 of a measure against what was scheduled.
+
+    expected: by..., expected, the number of observations that should be there; rows: those that are, null where nothing was
+    measured. scored if all are there, inapplicable if none is due, unavailable if none is there, else incomplete. Mean
+    and percentile are those of what there is, whatever the status.
+    """
+    known = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("__k"), F.avg(value).alias("mean"))
+    tail = exact_percentiles(rows, by, value, 0.95).drop("n")
+    out = expected.join(known, by, "left").join(tail, by, "left").withColumn("__k", F.coalesce("__k", F.lit(0)))
+    due, k = F.col("expected"), F.col("__k")
+    state = F.when((due > 0) & (k == due), SCORED).when(due == 0, INAPPLICABLE).when(k == 0, UNAVAILABLE).otherwise(INCOMPLETE)
+    return out.select(*by, state.alias("status"), ((due > 0) & (k == due)).alias("complete"), due.alias("eligible"), k.alias("contributing"), (due - k).alias("unavailable"), "mean", "p95")
+
+
+def violation_rate(hits: DataFrame, by: list[str], violates: Column) -> DataFrame:
+    """by..., hits, violations, rate: the share of hits that a filter should have kept out; null where there are no hits."""
+    rows = hits.groupBy(*by).agg(F.count("*").alias("hits"), F.count_if(violates).alias("violations"))
+    return rows.withColumn("rate", F.col("violations") / F.nullif(F.col("hits"), F.lit(0)))
+
+
 #: Distinct values of a range, about.
 RANGE_VALUES = 50_000
 

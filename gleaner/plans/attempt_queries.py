@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import attempts
-from .base import query, table
+from ..operators import attempts, metrics
+from .base import DEPTH, query, table
 from .document_queries import TREE_SQL, tree
 from .ledger_queries import LEDGER_SQL, ledger
+from .retrieval_queries import DENSE_SQL, dense
 from .text_queries import PROSE
 
 
@@ -96,3 +97,27 @@ def element_tokens(spark: SparkSession, sf: str) -> DataFrame:
     k = tx.element_tokens(kind, F.concat("text", F.lit(" x_1+=f(y);")), latex, cells)
     rows = table(spark, sf, "conversations").select("conv_id", "turn", kind.alias("kind"), k.alias("k"))
     return rows.select("conv_id", "turn", "kind", F.size("k").alias("n"), F.md5(F.array_join("k", "|")).alias("digest"))
+
+
+@query(
+    f"""WITH {LEDGER_SQL}, v AS (SELECT source_group, event_type, CASE WHEN event_id % 97 <> 0 THEN latency END AS latency, event_type <> 'login' AS due FROM ledger),
+g AS (SELECT source_group, event_type, count(*) FILTER (due) AS e, count(latency) AS k, avg(latency) AS m, quantile_cont(latency, 0.95) AS p FROM v GROUP BY 1, 2)
+SELECT source_group, event_type, CASE WHEN e = 0 THEN 'inapplicable' WHEN k = e THEN 'scored' WHEN k = 0 THEN 'unavailable' ELSE 'incomplete' END AS status, e > 0 AND k = e AS complete, e AS eligible, k AS contributing, e - k AS unavailable, round(m, 6) AS mean, round(p, 6) AS p95 FROM g"""
+)
+def latency_descriptors(spark: SparkSession, sf: str) -> DataFrame:
+    """Latency by group and kind of event: logins have none, errors lost theirs, some others were not measured."""
+    by = ["source_group", "event_type"]
+    rows = ledger(spark, sf).withColumn("latency", F.when(F.col("event_id") % 97 != 0, F.col("latency")))
+    expected = rows.groupBy(*by).agg(F.count_if(F.col("event_type") != "login").alias("expected"))
+    found = metrics.descriptor(rows, expected, by, "latency")
+    return found.withColumn("mean", F.round("mean", 6)).withColumn("p95", F.round("p95", 6))
+
+
+@query(
+    f"WITH {DENSE_SQL}, h AS (SELECT q.label, d.query_id, e.label AS found FROM dense d JOIN q ON q.query_id = d.query_id JOIN embeddings e ON e.vec_id = d.vec_id WHERE d.rank <= {DEPTH}) SELECT label, count(*) AS hits, count(*) FILTER (found IS DISTINCT FROM label) AS violations, round(count(*) FILTER (found IS DISTINCT FROM label) / count(*), 6) AS rate FROM h GROUP BY 1"
+)
+def filter_violation_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits of a search that did not filter by label, as violations of that filter, by the label asked for."""
+    labels = table(spark, sf, "embeddings").select("vec_id", "label")
+    hits = dense(spark, sf).join(labels.withColumnRenamed("label", "found"), "vec_id").join(labels.withColumnRenamed("vec_id", "query_id"), "query_id")
+    return metrics.violation_rate(hits, ["label"], ~F.col("found").eqNullSafe(F.col("label"))).withColumn("rate", F.round("rate", 6))

@@ -9,6 +9,7 @@ from ..functions import structured
 from ..functions import text as tx
 from ..operators import documents
 from .base import query, table
+from .text_queries import PROSE
 
 MINIMAL = "regexp_replace(regexp_replace(regexp_replace(nfc_normalize({0}), '\\r\\n?', chr(10), 'g'), '[­]', '', 'g'), '^\\s+|\\s+$', '', 'g')"
 FULL = (
@@ -232,3 +233,26 @@ def order_tables(spark: SparkSession, sf: str) -> DataFrame:
 def table_structures(spark: SparkSession, sf: str) -> DataFrame:
     rows = order_tables(spark, sf)
     return rows.select("l_orderkey", F.md5(F.array_join(structured.table_structure(F.col("html")), ",")).alias("events"))
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'formula' ELSE 'text' END AS kind, list_filter(string_split({PROSE.format("text")}, ' '), lambda x: x <> '') AS k FROM conversations),
+p AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 1 THEN 'figure' ELSE kind END AS kind, CASE WHEN turn % 2 = 0 THEN list_slice(k, 1, len(k) // 2) ELSE k END AS k FROM t WHERE (conv_id + turn) % 5 <> 2),
+m AS (SELECT t.conv_id, t.turn, t.kind, t.k AS a, p.k AS b FROM t JOIN p ON p.conv_id = t.conv_id AND p.turn = t.turn AND p.kind = t.kind WHERE t.turn % 7 <> 6),
+f AS (SELECT conv_id, kind, count(*) AS matched, sum(CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE 2.0 * len(b) / (len(a) + len(b)) END) AS content FROM m GROUP BY 1, 2),
+r AS (SELECT conv_id, kind, count(*) AS expected FROM t GROUP BY 1, 2), q AS (SELECT conv_id, kind, count(*) AS found FROM p GROUP BY 1, 2),
+j AS (SELECT coalesce(r.conv_id, q.conv_id) AS conv_id, coalesce(r.kind, q.kind) AS kind, coalesce(expected, 0) AS expected, coalesce(found, 0) AS found FROM r FULL JOIN q ON q.conv_id = r.conv_id AND q.kind = r.kind)
+SELECT j.conv_id, j.kind, expected, found, coalesce(matched, 0) AS matched, round(coalesce(matched / nullif(found, 0), 0), 6) AS precision, round(coalesce(matched / nullif(expected, 0), 0), 6) AS recall,
+  round(coalesce(2.0 * matched / nullif(expected + found, 0), 0), 6) AS f1, round(coalesce(content, 0) / nullif(expected, 0), 6) AS content_f1 FROM j LEFT JOIN f ON f.conv_id = j.conv_id AND f.kind = j.kind"""
+)
+def structured_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as elements of three kinds; predictions lack some, mistake the kind in a quarter of the conversations and halve every other text."""
+    c, t = F.col("conv_id"), F.col("turn")
+    kind = F.element_at(F.array(*map(F.lit, ("table", "formula", "text"))), (t % 3 + 1).cast("int"))
+    references = table(spark, sf, "conversations").select("conv_id", t.alias("element"), kind.alias("kind"), tx.prose_tokens(F.col("text")).alias("tokens"))
+    e = F.col("element")
+    half = F.slice("tokens", F.lit(1), F.floor(F.size("tokens") / 2).cast("int"))
+    predictions = references.where((c + e) % 5 != 2).select("conv_id", "element", F.when(c % 4 == 1, "figure").otherwise(F.col("kind")).alias("kind"), F.when(e % 2 == 0, half).otherwise(F.col("tokens")).alias("tokens"))
+    matches = predictions.where((c % 4 != 1) & (e % 7 != 6)).select("conv_id", e.alias("reference"), e.alias("prediction"))
+    out = documents.kind_scores(references, predictions, matches, "conv_id")
+    return out.select("conv_id", "kind", "expected", "found", "matched", *[F.round(x, 6).alias(x) for x in ("precision", "recall", "f1", "content_f1")])

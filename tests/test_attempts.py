@@ -57,3 +57,24 @@ def test_element_tokens(spark):
     df = spark.createDataFrame(rows, "k string, t string, l string, c array<string>")
     got = [r[0] for r in df.select(tx.element_tokens(F.col("k"), F.col("t"), F.col("l"), F.col("c"))).collect()]
     assert got[1:6] == [["f", "(", "x", ")", "+", "=", "y1"], ["a", "^", "2"], ["t", "u"], ["one", "two", "3"], ["x", "y"]] and got[0][:2] == ["a", "b"] and not got[6]
+
+
+def test_descriptor_and_violations(spark):
+    from gleaner.operators import metrics
+
+    rows = spark.createDataFrame([("full", 1.0), ("full", 3.0), ("gap", 2.0), ("gap", None), ("none", None)], "k string, v double")
+    due = spark.createDataFrame([("full", 2), ("gap", 2), ("none", 1), ("not due", 0), ("unseen", 4)], "k string, expected long")
+    got = {r.k: tuple(r)[1:] for r in metrics.descriptor(rows, due, ["k"], "v").collect()}
+    assert got == {"full": ("scored", True, 2, 2, 0, 2.0, 2.9), "gap": ("incomplete", False, 2, 1, 1, 2.0, 2.0), "none": ("unavailable", False, 1, 0, 1, None, None), "not due": ("inapplicable", False, 0, 0, 0, None, None), "unseen": ("unavailable", False, 4, 0, 4, None, None)}
+    hits = spark.createDataFrame([("a", 1), ("a", 2), ("b", None)], "k string, f int")
+    assert {r.k: (r.hits, r.violations, r.rate) for r in metrics.violation_rate(hits, ["k"], ~F.col("f").eqNullSafe(F.lit(1))).collect()} == {"a": (2, 1, 0.5), "b": (1, 1, 1.0)}
+
+
+def test_kind_scores(spark):
+    from gleaner.operators import documents
+
+    r = spark.createDataFrame([(1, 1, "table", ["a", "b", "b"]), (1, 2, "table", ["c"]), (1, 3, "formula", []), (2, 1, "table", ["x"])], "d int, element int, kind string, tokens array<string>")
+    p = spark.createDataFrame([(1, 7, "table", ["b", "b", "z"]), (1, 8, "formula", []), (1, 9, "figure", ["q"])], "d int, element int, kind string, tokens array<string>")
+    m = spark.createDataFrame([(1, 1, 7), (1, 3, 8)], "d int, reference int, prediction int")
+    got = {(x.d, x.kind): (x.expected, x.found, x.matched, round(x.f1, 6), x.content_f1) for x in documents.kind_scores(r, p, m, "d").collect()}
+    assert got == {(1, "table"): (2, 1, 1, 0.666667, pytest.approx(1 / 3)), (1, "formula"): (1, 1, 1, 1.0, 1.0), (1, "figure"): (0, 1, 0, 0.0, None), (2, "table"): (1, 0, 0, 0.0, 0.0)}
