@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +92,34 @@ def percentiles(value: str, *points: float) -> list[Column]:
     return [F.percentile(value, F.lit(p)).alias(f"p{round(p * 100)}") for p in points]
 
 
+def sliced_aggregate(rows: DataFrame, slices: dict[str, Column], group: str, metric: str, value: str, weight: str | None = None) -> DataFrame:
+    """slice, metric, observations, groups, macro, pooled, p50, p95: a ledger's metrics overall and by slice.
+
+    A row counts in the slice 'overall' and under 'name:value' for each of slices (name -> column) that is not null for it; a
+    column of arrays puts it into several. macro is the mean over groups of the mean within each, pooled the mean over
+    observations, weighted if a weight is named; percentiles are over observations. Rows without a value count nowhere.
+    """
+    known = rows.where(F.col(value).isNotNull())
+    kinds = {name: known.select(c.alias("c")).schema["c"].dataType.typeName() for name, c in slices.items()}
+    each = [F.transform(c if kinds[name] == "array" else F.array(c), _label(name)) for name, c in slices.items()]
+    named = F.array_distinct(F.concat(F.array(F.lit("overall")), *[F.filter(F.coalesce(e, F.array().cast("array<string>")), lambda x: x.isNotNull()) for e in each]))
+    out = known.withColumn("slice", F.explode(named))
+    by = ["slice", F.col(metric).alias("metric")]
+    size = F.col(weight) if weight else F.lit(1.0)
+    inner = out.groupBy(*by, group).agg(F.avg(value).alias("m"), F.count("*").alias("n"), F.sum(F.col(value) * size).alias("top"), F.sum(size).alias("bottom"))
+    found = inner.groupBy("slice", "metric").agg(F.sum("n").alias("observations"), F.count("*").alias("groups"), F.avg("m").alias("macro"), (F.sum("top") / F.nullif(F.sum("bottom"), F.lit(0))).alias("pooled"))
+    tails = exact_percentiles(out.select("slice", F.col(metric).alias("metric"), F.col(value).alias("v")), ["slice", "metric"], "v", 0.5, 0.95).drop("n")
+    return found.join(tails, ["slice", "metric"])
+
+
+def _label(name: str) -> Callable[[Column], Column]:
+    return lambda x: _labelled(name, x)
+
+
+def _labelled(name: str, value: Column) -> Column:
+    return F.when(value.isNotNull(), F.concat_ws(":", F.lit(name), value.cast("string")))
+
+
 def descriptor(rows: DataFrame, expected: DataFrame, by: list[str], value: str) -> DataFrame:
     """by..., status, complete, eligible, contributing, unavailable, mean, p95 of a measure against what was scheduled.
 

@@ -121,3 +121,22 @@ def filter_violation_rates(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "embeddings").select("vec_id", "label")
     hits = dense(spark, sf).join(labels.withColumnRenamed("label", "found"), "vec_id").join(labels.withColumnRenamed("vec_id", "query_id"), "query_id")
     return metrics.violation_rate(hits, ["label"], ~F.col("found").eqNullSafe(F.col("label"))).withColumn("rate", F.round("rate", 6))
+
+
+@query(
+    f"""WITH {LEDGER_SQL}, v AS (SELECT user_id, event_id, attempt, event_type, 'latency' AS metric, latency AS value FROM ledger UNION ALL SELECT user_id, event_id, attempt, event_type, 'error', CASE status WHEN 'failed' THEN 1.0 WHEN 'success' THEN 0.0 END FROM ledger),
+s AS (SELECT *, unnest(list_distinct(list_filter(['overall', 'attempt:' || attempt, CASE WHEN event_type <> 'login' THEN 'kind:' || event_type END, 'third:' || event_id % 3, 'third:' || user_id % 3], lambda x: x IS NOT NULL))) AS slice FROM v WHERE value IS NOT NULL),
+i AS (SELECT slice, metric, user_id, avg(value) AS m FROM s GROUP BY ALL), a AS (SELECT slice, metric, count(*) AS "groups", avg(m) AS macro FROM i GROUP BY 1, 2)
+SELECT s.slice, s.metric, count(*) AS observations, any_value(a."groups") AS "groups", round(any_value(a.macro), 6) AS macro, round(sum(value * (1 + event_id % 4)) / sum(1 + event_id % 4), 6) AS pooled, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95
+FROM s JOIN a ON a.slice = s.slice AND a.metric = s.metric GROUP BY 1, 2"""
+)
+def sliced_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Latency and errors overall, by attempt, by kind of event and by two thirds that a row may both belong to."""
+    s = F.col("status")
+    rows = ledger(spark, sf)
+    error = F.when(s == "failed", 1.0).when(s == "success", 0.0)
+    cells = rows.select("user_id", "event_id", "attempt", "event_type", F.explode(F.array(F.struct(F.lit("latency").alias("metric"), F.col("latency").cast("double").alias("value")), F.struct(F.lit("error").alias("metric"), error.alias("value")))).alias("c"))
+    cells = cells.select("user_id", "event_id", "attempt", "event_type", "c.*", (1 + F.col("event_id") % 4).cast("double").alias("weight"))
+    slices = {"attempt": F.col("attempt"), "kind": F.when(F.col("event_type") != "login", F.col("event_type")), "third": F.array(F.col("event_id") % 3, F.col("user_id") % 3)}
+    out = metrics.sliced_aggregate(cells, slices, "user_id", "metric", "value", "weight")
+    return out.select("slice", "metric", "observations", "groups", *[F.round(x, 6).alias(x) for x in ("macro", "pooled", "p50", "p95")])

@@ -78,3 +78,15 @@ def test_kind_scores(spark):
     m = spark.createDataFrame([(1, 1, 7), (1, 3, 8)], "d int, reference int, prediction int")
     got = {(x.d, x.kind): (x.expected, x.found, x.matched, round(x.f1, 6), x.content_f1) for x in documents.kind_scores(r, p, m, "d").collect()}
     assert got == {(1, "table"): (2, 1, 1, 0.666667, pytest.approx(1 / 3)), (1, "formula"): (1, 1, 1, 1.0, 1.0), (1, "figure"): (0, 1, 0, 0.0, None), (2, "table"): (1, 0, 0, 0.0, 0.0)}
+
+
+def test_sliced_aggregate(spark):
+    from gleaner.operators import metrics
+
+    rows = [("d1", "m", 1.0, 1.0, "x", ["p", "q"]), ("d1", "m", 3.0, 3.0, None, ["p", None]), ("d2", "m", 8.0, 1.0, "x", None), ("d2", "m", None, 1.0, "x", ["p"]), ("d3", "k", 5.0, 0.0, "y", [])]
+    df = spark.createDataFrame(rows, "d string, metric string, v double, w double, s string, g array<string>")
+    got = {(r.slice, r.metric): (r.observations, r.groups, r.macro, r.pooled, r.p50) for r in metrics.sliced_aggregate(df, {"s": F.col("s"), "g": F.col("g")}, "d", "metric", "v", "w").collect()}
+    assert got == {
+        ("overall", "m"): (3, 2, 5.0, 18 / 5, 3.0), ("s:x", "m"): (2, 2, 4.5, 4.5, 4.5), ("g:p", "m"): (2, 1, 2.0, 2.5, 2.0), ("g:q", "m"): (1, 1, 1.0, 1.0, 1.0),
+        ("overall", "k"): (1, 1, 5.0, None, 5.0), ("s:y", "k"): (1, 1, 5.0, None, 5.0),
+    }
