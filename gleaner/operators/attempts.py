@@ -86,3 +86,37 @@ def question_statistics(cells: DataFrame, rates: list[str], by: str = "question"
     )
     value = F.when(~F.col("metric").isin(*rates) | (F.col("gaps") == 0), F.col("mean"))
     return rows.select(by, "metric", value.alias("value"), "eligible", "contributing", "unavailable", "claim_free", (F.col("gaps") == 0).alias("complete"))
+
+
+#: The answer that states no facts, a fixed value.
+REFUSAL = "The provided evidence is insufficient to answer the question."
+
+
+def label_problems(claims: DataFrame, responses: DataFrame, by: str = "response") -> DataFrame:
+    """by, id, problem of a judge's labels: a row for each claim and rule that it breaks.
+
+    claims: by, id, text, spans (array of start, end), supported, cited_supported, correct, and the arrays support_sources,
+    cited_sources, verification_sources and gold_matches; responses: by, answer, and the arrays blocks, citations, material
+    and gold of what it may name. Ids and texts (in any case) are unique within a response; spans lie in the answer;
+    sources are what the label may draw on, each named once; a positive label names a source; support by what is cited
+    is support; gold matches are required facts, each named once, of correct claims; a refusal claims nothing.
+    """
+    rows = claims.join(responses, by)
+    text = F.lower("text")
+    twice = lambda c: F.count(c).over(Window.partitionBy(by, c)) > 1
+    rows = rows.withColumn("__text", text).withColumn("__again", twice("id")).withColumn("__same", twice("__text"))
+    blank = lambda c: F.coalesce(F.btrim(F.col(c)) == "", F.lit(True))
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    strange = lambda named, known: (F.size(F.array_except(named, known)) > 0) | (F.size(F.array_distinct(named)) < F.size(named))
+    support, cited, checked, gold = (listed(c) for c in ("support_sources", "cited_sources", "verification_sources", "gold_matches"))
+    spans = F.col("spans")
+    outside = F.exists(spans, lambda x: (x["start"] < 0) | (x["end"] <= x["start"]) | (x["end"] > F.length("answer")))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rules = {
+        "no id or text": blank("id") | blank("text"), "repeated claim": F.col("__again") | F.col("__same"), "no spans": F.coalesce(F.size(spans) < 1, F.lit(True)), "span outside the answer": F.coalesce(outside, F.lit(False)),
+        "unknown support": strange(support, listed("blocks")), "unknown cited support": strange(cited, F.array_intersect(listed("blocks"), listed("citations"))), "unknown verification": strange(checked, listed("material")),
+        "positive without source": (yes("supported") & (F.size(support) == 0)) | (yes("correct") & (F.size(checked) == 0)) | (yes("cited_supported") & (F.size(cited) == 0)),
+        "cited support alone": yes("cited_supported") & ~yes("supported"), "gold match": (F.size(gold) > 0) & (strange(gold, listed("gold")) | ~yes("correct")), "claim of a refusal": F.coalesce(F.col("answer") == REFUSAL, F.lit(False)),
+    }
+    broken = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
+    return rows.select(by, "id", F.explode(broken).alias("problem"))

@@ -140,3 +140,30 @@ def sliced_metrics(spark: SparkSession, sf: str) -> DataFrame:
     slices = {"attempt": F.col("attempt"), "kind": F.when(F.col("event_type") != "login", F.col("event_type")), "third": F.array(F.col("event_id") % 3, F.col("user_id") % 3)}
     out = metrics.sliced_aggregate(cells, slices, "user_id", "metric", "value", "weight")
     return out.select("slice", "metric", "observations", "groups", *[F.round(x, 6).alias(x) for x in ("macro", "pooled", "p50", "p95")])
+
+
+@query(
+    """WITH c AS (SELECT conv_id AS response, 'c' || turn AS id, turn, (conv_id + 3 * turn) % 13 AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT response, CASE WHEN k = 1 THEN '' ELSE id END AS id, 'no id or text' AS problem FROM c WHERE k = 1 UNION ALL SELECT response, id, 'no spans' FROM c WHERE k = 2 UNION ALL SELECT response, id, 'span outside the answer' FROM c WHERE k = 3 AND response % 9 <> 4
+UNION ALL SELECT response, id, 'unknown support' FROM c WHERE k = 4 UNION ALL SELECT response, id, 'unknown cited support' FROM c WHERE k = 5 UNION ALL SELECT response, id, 'unknown verification' FROM c WHERE k = 6
+UNION ALL SELECT response, id, 'positive without source' FROM c WHERE k = 7 UNION ALL SELECT response, id, 'cited support alone' FROM c WHERE k = 8 UNION ALL SELECT response, id, 'gold match' FROM c WHERE k IN (9, 10)
+UNION ALL SELECT response, CASE WHEN k = 1 THEN '' ELSE id END, 'claim of a refusal' FROM c WHERE response % 9 = 4"""
+)
+def label_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as claims of their conversation's answer, by kinds of which most break a rule; every ninth answer is the refusal."""
+    k = F.pmod(F.col("conv_id") + 3 * F.col("turn"), F.lit(13))
+    named = F.concat(F.lit("c"), F.col("turn").cast("string"))
+    strings = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    of = lambda kind, odd, usual: F.when(k == kind, odd).otherwise(usual)
+    rows = table(spark, sf, "conversations")
+    span = lambda a, b: F.array(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")))
+    claims = rows.select(
+        F.col("conv_id").alias("response"), F.when(k == 1, "").otherwise(named).alias("id"), F.concat_ws(" ", named, "text").alias("text"),
+        F.when(k == 2, F.filter(span(0, 1), lambda x: F.lit(False))).when(k == 3, span(2, 60)).otherwise(span(0, 20)).alias("spans"),
+        of(8, F.lit(False), F.lit(True)).alias("supported"), (k != 7).alias("cited_supported"), of(10, F.lit(False), F.lit(True)).alias("correct"),
+        F.when(k == 4, strings("b1", "b9")).when(k == 7, strings()).otherwise(strings("b1", "b2")).alias("support_sources"), of(5, strings("b2"), strings("b1")).alias("cited_sources"),
+        of(6, strings("m1", "m1"), strings("m1")).alias("verification_sources"), F.when(k == 9, strings("g1", "g7")).when(k == 10, strings("g1")).otherwise(strings()).alias("gold_matches"),
+    )
+    answer = F.when(F.col("conv_id") % 9 == 4, attempts.REFUSAL).otherwise(F.lit("an answer of just forty letters, or so it"))
+    responses = rows.select("conv_id").distinct().select(F.col("conv_id").alias("response"), answer.alias("answer"), strings("b1", "b2").alias("blocks"), strings("b1", "b9").alias("citations"), strings("m1", "m2").alias("material"), strings("g1", "g2").alias("gold"))
+    return attempts.label_problems(claims, responses)

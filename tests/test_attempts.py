@@ -90,3 +90,12 @@ def test_sliced_aggregate(spark):
         ("overall", "m"): (3, 2, 5.0, 18 / 5, 3.0), ("s:x", "m"): (2, 2, 4.5, 4.5, 4.5), ("g:p", "m"): (2, 1, 2.0, 2.5, 2.0), ("g:q", "m"): (1, 1, 1.0, 1.0, 1.0),
         ("overall", "k"): (1, 1, 5.0, None, 5.0), ("s:y", "k"): (1, 1, 5.0, None, 5.0),
     }
+
+
+def test_label_problems(spark):
+    claim = "response int, id string, text string, spans array<struct<start: int, end: int>>, supported boolean, cited_supported boolean, correct boolean, support_sources array<string>, cited_sources array<string>, verification_sources array<string>, gold_matches array<string>"
+    fine = ([(0, 3)], True, False, True, ["b"], [], ["m"], ["g"])
+    rows = [(1, "a", "One", *fine), (1, "b", "ONE", *fine), (1, "c", "two", *fine), (1, "c", "three", *fine), (1, None, "four", *fine), (1, "e", "five", None, None, None, None, None, None, None, None), (2, "a", "One", *fine), (3, "a", "x", *fine), (1, "z", "six", [(0, 3), (3, 3)], True, False, True, ["b", "b"], [], ["m"], [])]
+    responses = spark.createDataFrame([(1, "abcdef", ["b"], ["b"], ["m"], ["g"]), (2, "abcdef", ["b"], [], ["m"], ["g"]), (3, attempts.REFUSAL, ["b"], [], ["m"], ["g"])], "response int, answer string, blocks array<string>, citations array<string>, material array<string>, gold array<string>")
+    got = sorted((r.response, r.id or "", r.problem) for r in attempts.label_problems(spark.createDataFrame(rows, claim).repartition(3), responses).collect())
+    assert got == sorted([(1, "a", "repeated claim"), (1, "b", "repeated claim"), (1, "c", "repeated claim"), (1, "c", "repeated claim"), (1, "", "no id or text"), (1, "e", "no spans"), (3, "a", "claim of a refusal"), (1, "z", "span outside the answer"), (1, "z", "unknown support")])
