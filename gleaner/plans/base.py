@@ -64,6 +64,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table below this for each core is dealt out anew, as it often lies in one row group and would be one task.
+SMALL_BYTES = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it is small; larger tables have splits enough and stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_BYTES else df
+
+
 #: Chunk size and overlap in tokens, ranking depth and cut-offs of the retrieval queries.
 SIZE, OVERLAP, DEPTH = 64, 16, 20
 
@@ -73,7 +84,7 @@ def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The position holds the document in its upper and the index in its lower 32 bits; a doc_id beyond 31 bits is an error.
     """
-    found = chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), SIZE, OVERLAP)
+    found = chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), SIZE, OVERLAP)
     return found.withColumn("position", F.col("doc_id") * (1 << 32) + F.col("chunk_index"))
 
 
@@ -105,7 +116,7 @@ def micros(ts: str) -> Column:
 def gold_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence: the first place of each benchmark item in each document that holds it: question, doc_id, unit, u_start, u_end."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), F.col("text").alias("item"))
-    found = first_places(table(spark, sf_dir, "documents"), items, "question", "item")
+    found = first_places(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), items, "question", "item")
     return found.select("question", "doc_id", F.concat("question", F.lit(":"), "doc_id").alias("unit"), "u_start", "u_end")
 
 

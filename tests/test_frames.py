@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from gleaner.operators import chunking, retrieval
-from gleaner.plans import base
+from gleaner.plans import base, retrieval_queries, scoring_queries  # noqa: F401
 
 LEXICAL = ["bm25_topk", "context_pack", "covered_units", "ndcg_at_5", "unit_recall_at_5", "alpha_dcg_at_5", "evidence_matches", "retrieved_tokens", "token_precision_at_3", "document_macro", "context_blocks", "rerank_permutation"]
 
