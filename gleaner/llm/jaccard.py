@@ -1,13 +1,14 @@
 """N-gram Jaccard join in metric space: pivots, their regions, triangle-inequality windows, exact joins of regions.
 
 1. Every text becomes the set of its distinct shingles (64-bit hashes); equal sets are one point from here on.
-2. A point can only have a neighbour if at least 3/4 of its shingles occur in another point. Tasks send packed blocks
-   of 32-bit keys, and points with fewer shared shingles leave; the survivors are counted once more among themselves.
+2. A point can only have a neighbour if half of the smaller half of its shingle hashes occur in another point's half.
+   Tasks send packed blocks of 32-bit keys, and points with fewer shared shingles leave; of the survivors, whole sets are
+   counted among themselves, and 3/4 must be shared.
 3. Cells: two linked points share one of the n/4 + 1 smallest hashes of each. The most central point of a cell (the
    one with the largest share of shared shingles) is its pivot; all points that share a cell with a pivot form its
    region. Every linked pair meets in a region.
-4. Distances to the pivot are exact. Points within the radius of the pivot are linked to it, which joins them with one
-   link each. What else may be linked has a point outside the radius, and distances to the pivot that differ by at
+4. Regions of up to LEAF points are joined whole, exactly. In larger ones distances to the pivot are exact. Points
+   within the radius of the pivot are linked to it, which joins them with one link each. What else may be linked has a point outside the radius, and distances to the pivot that differ by at
    most the radius: regions are cut into sub-regions by distance (and salted to a bounded size), and only sub-regions
    within that window are joined, exactly.
 5. Links give components by iterated minima with pointer jumping.
@@ -16,6 +17,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ WORDS, PERCENT = 5, 75
 RADIUS = 1 - PERCENT / 100
 #: Sub-regions: about so many points at most, and steps of the distance to the pivot.
 LEAF, STEP = 1024, 1 / 16
-#: Survivors up to this many are broadcast as (key, point) rows to pick their texts; beyond, the texts are shuffled.
+#: So many survivors are broadcast as (key, point) rows to pick their texts; more take several passes, as texts are not shuffled.
 BROADCAST_ROWS = 300_000
 
 _ODD = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -152,6 +154,17 @@ def _pack(values: np.ndarray, bounds: np.ndarray, names: np.ndarray, parts: int)
         yield int(cut[a] // 2), 0 if cut[a] % 2 == 0 else 2, key[places[a] : places[b]].tobytes(), who[a:b].tobytes(), b"", n[a:b].tobytes()
 
 
+def halves(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smaller half of each set's hashes (rounded up). The halves of a linked pair share a quarter of either set at least.
+
+    Of the c common hashes of sets of n and m at most n - c lie behind the end of n's half, and m - c behind m's; c is at
+    least 3/4 of the larger one.
+    """
+    half = (np.diff(bounds) + 1) // 2
+    ends = np.cumsum(half)
+    return values[np.repeat(bounds[:-1] - ends + half, half) + np.arange(int(half.sum()))], np.append(0, ends)
+
+
 def _emit(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["part", "kind", "keys", "names", "sizes", "counts"])
@@ -226,23 +239,27 @@ def _count_shared(buckets: int):
     return run
 
 
-def _pick_survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    x = _merged([np.frombuffer(c, _COUNT) for batch in batches for c in batch.column(1).to_pylist()])
-    shared = np.where(x["local"] == _NONE, 0, x["local"]).astype(np.int64) + x["found"]
-    keep = shared * 100 >= x["n"].astype(np.int64) * PERCENT
-    x, shared = x[keep], shared[keep]
-    yield pa.RecordBatch.from_arrays([pa.array(x["point"]), pa.array(x["n"].astype(np.int64)), pa.array(np.minimum(shared, x["n"]) / np.maximum(x["n"], 1))], ["point", "n", "central"])
+def _pick_survivors(halved: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = _merged([np.frombuffer(c, _COUNT) for batch in batches for c in batch.column(1).to_pylist()])
+        shared = np.where(x["local"] == _NONE, 0, x["local"]).astype(np.int64) + x["found"]
+        n = x["n"].astype(np.int64)
+        keep = shared * 4 >= 2 * n - 1 if halved else shared * 100 >= n * PERCENT  # a half of n or n - 1/2 of a whole
+        x, shared = x[keep], shared[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(x["point"]), pa.array(x["n"].astype(np.int64)), pa.array(np.minimum(shared, x["n"]) / np.maximum(x["n"], 1))], ["point", "n", "central"])
+
+    return run
 
 
-def _survivors(blocks: DataFrame) -> DataFrame:
-    """Points of which 3/4 of the shingles occur in another point: point, n, central (share of shared shingles).
+def _survivors(blocks: DataFrame, halved: bool = False) -> DataFrame:
+    """Points of which 3/4 of the shingles (halved: a quarter, within the halves) occur in another point: point, n, central.
 
     The count never falls short: of the runs that hold a point each gives local + found at least.
     """
     parts = shuffle_parts(blocks.sparkSession)
     buckets = max(1, parts // 8)  # of points: a block of counts is some hundred rows at any size
     found = blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_count_shared(buckets), "bucket int, counts binary")
-    return found.repartition(buckets, "bucket").mapInArrow(_pick_survivors, "point long, n long, central double")
+    return found.repartition(buckets, "bucket").mapInArrow(_pick_survivors(halved), "point long, n long, central double")
 
 
 def _text_blocks(docs: DataFrame, text: str) -> DataFrame:
@@ -251,7 +268,7 @@ def _text_blocks(docs: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, values, bounds, names in _sets_of(batch, 0):
-                yield _emit(list(_pack(values, bounds, names, parts)))
+                yield _emit(list(_pack(*halves(values, bounds), names, parts)))
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, _BLOCK)
 
@@ -374,15 +391,21 @@ def links(sets: DataFrame) -> DataFrame:
     cells = materialise(_cells(sets), "jaccard-cells")
     elected = cells.groupBy("cell").agg(F.max(F.struct("central", "point")).alias("best"), F.count("*").alias("n")).where("n > 1")
     elected = elected.select("cell", F.col("best.point").alias("pivot"))
-    regions = cells.join(elected, "cell").where("point <> pivot").select("pivot", "point").distinct()
+    regions = materialise(cells.join(elected, "cell").where("point <> pivot").select("pivot", "point").distinct(), "jaccard-regions")
+    discard(cells)
     own = sets.select("point", "members")
-    near = regions.join(own, "point").join(own.select(F.col("point").alias("pivot"), F.col("members").alias("p_members")), "pivot")
+    # A region that fits into one sub-region is joined whole with its pivot, so that each of its points is sent once.
+    sized = regions.groupBy("pivot").agg(F.count("*").alias("members"))
+    small, large = sized.where(F.col("members") < LEAF).select("pivot"), sized.where(F.col("members") >= LEAF).select("pivot")
+    whole = regions.join(small, "pivot").unionByName(small.select("pivot", F.col("pivot").alias("point")))
+    whole = whole.select(F.col("pivot").alias("pair"), F.lit(0).alias("side"), "point").join(own, "point")
+    whole = materialise(whole.groupBy("pair").applyInArrow(_join_leaves, "a long, b long").distinct(), "jaccard-whole")
+    near = regions.join(large, "pivot").join(own, "point").join(own.select(F.col("point").alias("pivot"), F.col("members").alias("p_members")), "pivot")
     near = near.select("pivot", "point", "p_members", "members").mapInArrow(_intersect, "pivot long, point long, n_pivot long, n_point long, common long")
     union = F.col("n_pivot") + F.col("n_point") - F.col("common")
     near = near.select("pivot", "point", (F.col("common") * 100 >= union * PERCENT).alias("core"), (1 - F.col("common") / union).alias("d"))
-    near = materialise(near, "jaccard-regions")
-    discard(cells)
-    stars = near.where("core").select(F.col("pivot").alias("a"), F.col("point").alias("b"))
+    near = materialise(near, "jaccard-near")
+    stars = near.where("core").select(F.col("pivot").alias("a"), F.col("point").alias("b")).unionByName(whole)
     # What is left: pairs of different components with a point outside the radius, within the window of distances.
     labels = components(stars)
     roots = labels.select("point", F.col("root").alias("r"))
@@ -392,7 +415,7 @@ def links(sets: DataFrame) -> DataFrame:
     active = active.join(roots, "point", "left").select("pivot", "point", "core", F.floor(F.col("d") / STEP).cast("int").alias("ring"), F.coalesce("r", "point").alias("root"))
     active = materialise(active, "jaccard-active")
     several = active.groupBy("pivot").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("members")).where("r1 <> r2").select("pivot", "members")
-    # A region that fits into one sub-region is joined whole, so that each of its points is sent once.
+    # What is left of a region may fit into one sub-region.
     large = F.col("members") > LEAF
     parted = active.join(several, "pivot").withColumn("core", F.col("core") & large).withColumn("ring", F.when(large, F.col("ring")).otherwise(0))
     rings = parted.groupBy("pivot", "core", "ring").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("salts"))
@@ -412,7 +435,7 @@ def links(sets: DataFrame) -> DataFrame:
     met = sides.join(parted, ["pivot", "sub"]).select("pair", "side", "point").join(own, "point")
     rest = met.groupBy("pair").applyInArrow(_join_leaves, "a long, b long")
     found = materialise(stars.unionByName(rest).distinct(), "jaccard-links")
-    for spent in (near, active, labels, parted):
+    for spent in (regions, whole, near, active, labels, parted):
         discard(spent)
     return found
 
@@ -452,19 +475,23 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[
     """
     rows = materialise(measure(docs, key, text, carry), "jaccard-rows")
     first = rows.where("point is not null").groupBy("point").agg(F.min("key").alias("key"))
-    kept = materialise(_survivors(_text_blocks(docs, text)), "jaccard-kept")
+    kept = materialise(_survivors(_text_blocks(docs, text), halved=True), "jaccard-kept")
     release(docs.sparkSession)
     wanted = materialise(kept.join(first, "point").select("key", "point"), "jaccard-wanted")
     discard(kept)
-    few = wanted.count() <= BROADCAST_ROWS
+    passes = max(1, -(-wanted.count() // BROADCAST_ROWS))
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    wanted_keys = wanted.select(F.col("key").alias("first"), "point")
-    texts = texts.join(F.broadcast(wanted_keys) if few else wanted_keys, F.col("key").eqNullSafe(F.col("first")))
-    met = materialise(_members(texts, "text").dropDuplicates(["point"]), "jaccard-sets")
+    parts = []
+    for i in range(passes):
+        some = wanted.where(F.pmod(F.xxhash64("point"), F.lit(passes)) == i).select(F.col("key").alias("first"), "point")
+        picked = texts.join(F.broadcast(some), F.col("key").eqNullSafe(F.col("first")))
+        parts.append(materialise(_members(picked, "text").dropDuplicates(["point"]), "jaccard-sets"))
+    met = reduce(DataFrame.unionByName, parts)
     discard(wanted)
     again = _survivors(_set_blocks(met))
     sets = materialise(met.join(again, "point").select("point", "members", "central"), "jaccard-sets")
-    discard(met)
+    for part in parts:
+        discard(part)
     found = links(sets)
     discard(sets)
     roots = components(found)

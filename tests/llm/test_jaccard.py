@@ -111,3 +111,32 @@ def test_shared_count_never_short():
     for i, s in enumerate(sets):
         true = sum(any(v in t for j, t in enumerate(sets) if names[j] != names[i]) for v in s)
         assert got[names[i]]["local"] + got[names[i]]["found"] >= true and got[names[i]]["n"] == len(s)
+
+
+def test_halves_share_a_quarter_and_are_all_that_is_sent(spark):
+    """The halves of linked sets share a quarter of either set; the first exchange holds no key beyond the halves."""
+    rng = np.random.default_rng(6)
+    linked = 0
+    for _ in range(400):
+        base = np.unique(rng.integers(0, 1 << 40, int(rng.integers(1, 60))).astype(np.uint64))
+        other = np.union1d(base[rng.random(len(base)) < rng.uniform(0.8, 1)], rng.integers(0, 1 << 40, int(rng.integers(0, 8))).astype(np.uint64))
+        common = len(np.intersect1d(base, other))
+        if common * 100 < jaccard.PERCENT * (len(base) + len(other) - common):
+            continue
+        linked += 1
+        values, bounds = jaccard.halves(np.concatenate((base, other)), np.array([0, len(base), len(base) + len(other)]))
+        both = len(np.intersect1d(values[: bounds[1]], values[bounds[1] :]))
+        assert all(both * 4 >= n for n in (len(base), len(other))) and bounds[1] == (len(base) + 1) // 2
+    assert linked > 100
+    texts = [" ".join(f"w{i}x{j}" for j in range(104)) for i in range(20)]
+    blocks = jaccard._text_blocks(spark.createDataFrame([(t,) for t in texts], "text string"), "text").where("kind <> 1").collect()
+    assert sum(len(b.keys) // 4 for b in blocks) == 20 * 50
+
+
+def test_survivors_in_several_passes_and_small_regions(spark, monkeypatch):
+    """More survivors than one broadcast may hold give the same components, without an exchange of texts."""
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 3)
+    words = [[f"{c}{i}" for i in range(60)] for c in "abcd"]
+    rows = [(10 * g + j, " ".join([*w, *(["z"] * j)])) for g, w in enumerate(words) for j in range(3)]
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {d: d // 10 * 10 for d, _ in rows}
