@@ -80,3 +80,29 @@ def test_exact_percentiles(spark, monkeypatch, most):
         v = [x for g, x in rows if g == k]
         assert [got[k][f"p{p}"] for p in (0, 25, 50, 95, 100)] == pytest.approx(np.quantile(v, [0, 0.25, 0.5, 0.95, 1]).tolist()) and got[k].n == len(v)
     assert set(got) == {"a", "b", "c", "hot"}
+
+
+@pytest.mark.parametrize("blocks", [(16_384, 2_048, 1_024, 2_048), (9, 5, 2, 3)])
+def test_bm25_in_blocks(spark, monkeypatch, blocks):
+    """Rankings against a plain loop, also where idf falls below 0; pairs of a query and a chunk are not exchanged."""
+    for name, value in zip(("VECTOR_ROWS", "SMALL_ROWS", "QUERY_ROWS", "CHUNK_ROWS"), blocks, strict=True):
+        monkeypatch.setattr(retrieval, name, value)
+    rng = random.Random(3)
+    chunks = [(3 * i, rng.choices(["a", "b", "c", "d", "e", "f"], [9, 9, 3, 2, 1, 1], k=rng.randrange(0, 9))) for i in range(40)]
+    queries = [(1, "a b b"), (2, "f e"), (3, ""), (4, "zz"), (5, "c d a"), (6, "e")]
+    n, mean = len(chunks), sum(len(t) for _, t in chunks) / len(chunks)
+    df = {w: sum(w in t for _, t in chunks) for w in "abcdef"}
+    raw = {w: np.log(n - k + 0.5) - np.log(k + 0.5) for w, k in df.items()}
+    idf = {w: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, x in raw.items()}
+    heads, want = {p for p, _ in sorted(chunks)[:4]}, []
+    for q, text in queries:
+        scores = []
+        for p, t in chunks:
+            words = [w for w in text.split() if w in t]
+            s = sum(idf[w] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in words)
+            scores += [(-round(s, 9), p)] if words or p in heads else []
+        want += [(q, p, place + 1, pytest.approx(-s, abs=1e-8)) for place, (s, p) in enumerate(sorted(scores)[:4])]
+    frame = spark.createDataFrame(chunks, "position long, terms array<string>").repartition(3).withColumn("chunk_id", retrieval.F.col("position"))
+    found = retrieval.bm25_top(frame, spark.createDataFrame(queries, "query_id long, query string"), 4)
+    assert sorted((r.query_id, r.position, r["rank"], r.score) for r in found.collect()) == sorted(want, key=lambda w: w[:2])
+    assert not re.search(r"hashpartitioning\(query_id[^,)]*, (chunk_id|position)", found._jdf.queryExecution().executedPlan().toString())
