@@ -89,3 +89,19 @@ def test_paired_interval_counts_groups_by_size(spark):
     assert got.low == 0 and got.high == 1 and got == stats.paired_interval(df.repartition(3), "c", "s", "v", "g", resamples=200).first()
     alone = stats.paired_interval(df.where("g = 0"), "c", "s", "v", "g", resamples=50).first()
     assert (alone.low, alone.high, alone.reason) == (None, None, "insufficient_independent_sources")
+
+
+def test_interval_union_as_its_sql_on_odd_rows(spark, tmp_path):
+    """Missing quantities, which Spark sorts first and SQL last, and equal spans that end before they start."""
+    import duckdb
+
+    from gleaner.plans import base, text_queries  # noqa: F401
+
+    rng = random.Random(8)
+    rows = [(k, rng.choice([None, 1, 2, 3, 3]), rng.choice([None, 1, 2, 4]), rng.choice([None, -40.0, -40.0, -3.0, 0.0, 10.0, 30.0])) for k in range(60) for _ in range(6)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_suppkey long, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    key = lambda r: [(x is None, x or 0) for x in r]
+    got = [(r.k, r.start, r.end) for r in base.QUERIES["interval_union"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=key) == sorted(con.execute(f"SELECT k, start, \"end\" FROM ({base.SQL['interval_union']})").fetchall(), key=key)
