@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
+from ..sources.scratch import written
+
 #: Sources of a block, about; resamples that a task draws at a time; rows with draws that a task holds at a time, about.
 BLOCK_SOURCES, STEP, GROUP_ROWS = 2048, 256, 512
+#: Ranges that are looked into are broadcast up to this number.
+ASKED_ROWS = 100_000
 
 
 def _generator(*key: int) -> np.random.Generator:
@@ -170,13 +175,15 @@ def resampled_percentiles(rows: DataFrame, drawn: DataFrame, source: str, value:
 
     Order statistics under weights, without a group in one task: values are cut into ranges by approximate percentiles
     (which deal the work and change no result). A range adds up the draws of its values; running totals over ranges tell
-    which range holds the wanted ranks of a resample, and that range looks them up.
+    which range holds the wanted ranks of a resample, and that range looks them up. Weights of single values are sent for
+    ranges that are looked into, of the others only their totals. drawn is read several times: hand in a written table.
     """
     known = rows.where(F.col(value).isNotNull() & F.col(source).isNotNull()).groupBy(*by, source, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__m"))
     most = known.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     ranges = max(1, -(-most // GROUP_ROWS))
     if ranges > 1:
-        edges = known.groupBy(*by).agg(F.percentile_approx("__v", [i / ranges for i in range(1, ranges)]).alias("__edges"))
+        # Written, as the ranges are made twice and must be the same ones.
+        edges = written(known.groupBy(*by).agg(F.percentile_approx("__v", [i / ranges for i in range(1, ranges)]).alias("__edges")), "edges")
         known = known.join(edges, by).withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col("__v")))).drop("__edges")
     else:
         known = known.withColumn("__range", F.lit(0))
@@ -196,11 +203,14 @@ def resampled_percentiles(rows: DataFrame, drawn: DataFrame, source: str, value:
         v, w = _summed(t.column("__v").to_numpy(), [counts_of(c).astype(np.int64) * m for c, m in zip(t.column("counts").to_pylist(), times, strict=True)])
         return pa.table([*keys_of(t, len(v)), pa.array(np.full(len(v), t.column("__range")[0].as_py()), pa.int32()), pa.array(v), pa.array([zlib.compress(x.tobytes(), 1) for x in w], pa.binary())], names=kept.names)
 
-    parts = weighted.groupBy(*by, "__range", "__part").applyInArrow(add, kept)
+    def add_up(t: pa.Table) -> pa.Table:
+        n = sum(counts_of(c).astype(np.int64) * m for c, m in zip(t.column("counts").to_pylist(), t.column("__m").to_pylist(), strict=True))
+        return pa.table([*keys_of(t, 1), pa.array([t.column("__range")[0].as_py()], pa.int32()), pa.array([zlib.compress(n.tobytes(), 1)], pa.binary())], names=total.names)
+
     total = StructType([*key_fields, StructField("__range", IntegerType()), StructField("total", BinaryType())])
 
     def totals(t: pa.Table) -> pa.Table:
-        n = sum(counts_of(w, np.int64) for w in t.column("weights").to_pylist())
+        n = sum(counts_of(w, np.int64) for w in t.column("total").to_pylist())
         return pa.table([*keys_of(t, 1), pa.array([t.column("__range")[0].as_py()], pa.int32()), pa.array([zlib.compress(n.tobytes(), 1)], pa.binary())], names=total.names)
 
     wanted = StructType([*key_fields, StructField("__range", IntegerType()), StructField("asked", BinaryType())])
@@ -227,7 +237,12 @@ def resampled_percentiles(rows: DataFrame, drawn: DataFrame, source: str, value:
         some = [i for i, f in enumerate(found) if f]
         return pa.table([*keys_of(t, len(some)), t.column("__range").combine_chunks().take(pa.array(some, pa.int64())).cast(pa.int32()), pa.array([np.concatenate(found[i]).tobytes() for i in some], pa.binary())], names=wanted.names)
 
-    requests = parts.groupBy(*by, "__range").applyInArrow(totals, total).groupBy(*by).applyInArrow(ask, wanted)
+    # Parts send one row of totals each; their values follow only for ranges in which a resample looks something up.
+    sums = weighted.groupBy(*by, "__range", "__part").applyInArrow(add_up, total)
+    requests = written(sums.groupBy(*by, "__range").applyInArrow(totals, total).groupBy(*by).applyInArrow(ask, wanted), "requests")
+    looked = reduce(lambda x, y: x & y, [salted[c].eqNullSafe(requests[c]) for c in (*by, "__range")])
+    few = salted.join(F.broadcast(requests.select(*by, "__range")) if requests.count() <= ASKED_ROWS else requests.select(*by, "__range"), looked, "left_semi")
+    parts = few.join(drawn, [*by, source]).select(*by, "__range", "__part", "__v", "__m", "counts").groupBy(*by, "__range", "__part").applyInArrow(add, kept)
     answer = StructType([*key_fields, StructField("p", IntegerType()), StructField("b", IntegerType()), StructField("low", DoubleType()), StructField("high", DoubleType()), StructField("part", DoubleType())])
 
     def look_up(held: pa.Table, asked: pa.Table) -> pa.Table:
@@ -276,7 +291,8 @@ def bootstrap_percentiles(
     withhold an interval are those of bootstrap_ratios.
     """
     rows, keys = _constant(rows, by)
-    found = resampled_percentiles(rows, draws(rows, source, keys, stratum, resamples, seed), source, value, keys, percentiles)
+    drawn = written(draws(rows, source, keys, stratum, resamples, seed), "draws")
+    found = resampled_percentiles(rows, drawn, source, value, keys, percentiles)
     return _interval_rows(found, _estimates(rows, keys, source, (value,), percentiles), by, keys, confidence, least)
 
 
@@ -289,7 +305,7 @@ def paired_percentiles(
     A resample is defined if both sides have a value in it.
     """
     rows, keys = _constant(rows, by)
-    drawn = draws(rows, source, keys, stratum, resamples, seed)
+    drawn = written(draws(rows, source, keys, stratum, resamples, seed), "draws")
     a, b = (resampled_percentiles(rows, drawn, source, c, keys, percentiles) for c in (baseline, candidate))
     found = a.withColumnRenamed("q", "__x").join(b, [*keys, "percentile", "b"]).withColumn("q", F.col("q") - F.col("__x"))
     return _interval_rows(found, _estimates(rows, keys, source, (baseline, candidate), percentiles), by, keys, confidence, least)

@@ -108,3 +108,18 @@ def test_source_in_two_strata_and_no_rows(spark):
     assert rs.bootstrap_percentiles(frame.limit(0), "source", "v", []).count() == 0
     got = rs.bootstrap_ratios(frame, "source", metrics, [], None, 10, least=1).first()
     assert (got.estimate, got.low, got.high, got.sources) == (1.5, 1.5, 1.5, 1)
+
+
+def test_draws_are_made_once_and_values_sent_where_looked_up(spark, monkeypatch):
+    """Both sides of a pair read one table of draws; weights of values meet the ranges that are asked for."""
+    tags, keep = [], rs.written
+
+    def seen(df, tag):
+        tags.append(tag)
+        return keep(df, tag)
+
+    monkeypatch.setattr(rs, "written", seen)
+    rows = spark.createDataFrame([(f"u{i % 9}", float(i), float(i * i)) for i in range(60)], "u string, x double, y double")
+    found = rs.paired_percentiles(rows, "u", "x", "y", [], (0.5,), resamples=50)
+    assert tags == ["draws", "requests", "requests"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 2 and found.count() == 1
