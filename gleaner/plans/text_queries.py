@@ -205,7 +205,7 @@ def span_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {CHUNKS_SQL} SELECT count(*) AS chunks, count(*) FILTER (s < 0 OR e > length(d.text) OR s >= e) AS out_of_range, count(*) FILTER (len(regexp_extract_all(chunk, '[\\p{{L}}\\p{{N}}_]+')) <> tokens) AS miscounted, count(*) - count(DISTINCT position) AS repeated, (SELECT count(*) FROM documents x WHERE x.doc_id NOT IN (SELECT doc_id FROM chunk)) AS omitted FROM chunk c JOIN documents d USING (doc_id)")
 def chunk_integrity(spark: SparkSession, sf: str) -> DataFrame:
-    c, docs = chunk_frame(spark, sf), table(spark, sf, "documents")
+    c, docs = chunk_frame(spark, sf, texts=True), table(spark, sf, "documents")
     rows = c.join(docs.select("doc_id", F.length("text").alias("n")), "doc_id")
     recount = F.size(F.regexp_extract_all("chunk", F.lit(tx.TOKEN), F.lit(0)))
     found = rows.agg(F.count("*").alias("chunks"), F.count_if((F.col("start") < 0) | (F.col("end") > F.col("n")) | (F.col("start") >= F.col("end"))).alias("out_of_range"), F.count_if(recount != F.col("tokens")).alias("miscounted"), (F.count("*") - F.countDistinct("position")).alias("repeated"))

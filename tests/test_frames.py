@@ -106,3 +106,21 @@ def test_bm25_in_blocks(spark, monkeypatch, blocks):
     found = retrieval.bm25_top(frame, spark.createDataFrame(queries, "query_id long, query string"), 4)
     assert sorted((r.query_id, r.position, r["rank"], r.score) for r in found.collect()) == sorted(want, key=lambda w: w[:2])
     assert not re.search(r"hashpartitioning\(query_id[^,)]*, (chunk_id|position)", found._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("terms", [1 << 20, 5])
+def test_bm25_exchanges_no_chunks(spark, monkeypatch, terms):
+    """Chunks are scored where they are read, in as many passes as the queries' terms take; blocks and passes change no row."""
+    rng = random.Random(4)
+    chunks = [(i, rng.choices("abcdefgh", k=rng.randrange(0, 9))) for i in range(300)]
+    queries = [(i, " ".join(rng.choices("abcdefghz", k=3))) for i in range(12)]
+    frame = spark.createDataFrame(chunks, "position long, terms array<string>").repartition(4).withColumn("chunk_id", retrieval.F.col("position"))
+    asked = spark.createDataFrame(queries, "query_id long, query string")
+    want = sorted(map(tuple, retrieval.bm25_top(frame, asked, 7).collect()))
+    for name, value in (("PASS_TERMS", terms), ("QUERY_ROWS", 5), ("CHUNK_ROWS", 11)):
+        monkeypatch.setattr(retrieval, name, value)
+    found = retrieval.bm25_top(frame, asked, 7)
+    assert sorted(map(tuple, found.collect())) == want and len(want) == 12 * 7
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and not re.search(r"Exchange hashpartitioning\(_*cell", plan)
+    assert retrieval.bm25_top(frame, asked.limit(0), 7).count() == 0 and retrieval.bm25_top(frame.limit(0), asked, 7).count() == 0
