@@ -35,7 +35,9 @@ LENGTH, K = 50, 24
 WINDOW = LENGTH - K + 1
 CONTEXT = WINDOW - 1 + LENGTH
 #: Bytes of suffix tuples that a queue holds before it writes a sorted run to the task's own disk.
-QUEUE_BYTES = 32 << 20
+QUEUE_BYTES = 16 << 20
+#: Suffix tuples that are induced at a time, about: each of them gives up to WINDOW hits.
+INDUCED = 1 << 15
 
 # Suffix tuple: anchor, bytes of its windows (zeros elsewhere), first and last window (bytes before the anchor),
 # smallest document, and the run and place it came from.
@@ -371,6 +373,17 @@ def _contexts(parts: int):
     return run
 
 
+def _pieces(x: np.ndarray) -> Iterator[np.ndarray]:
+    """Sorted tuples in pieces of about INDUCED; none cuts an anchor's tuples in two."""
+    first, _ = _runs(x["anchor"])
+    a = 0
+    while a < len(x):
+        i = int(np.searchsorted(first, a + INDUCED))
+        b = int(first[i]) if i < len(first) else len(x)
+        yield x[a:b]
+        a = b
+
+
 def _sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """part, data -> run, hits: what each run needs to know of its tuples."""
     queue = TupleQueue()
@@ -378,7 +391,7 @@ def _sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in batch.column(1).to_pylist():
             queue.push(unpack(data))
     kind = np.dtype([("id", "<u4"), ("o", "u1"), ("doc", "<i8")])
-    for x in queue.pop():
+    for x in (piece for block in queue.pop() for piece in _pieces(block)):
         t, o, doc = induce(x)
         run = x["run"][t]
         hits = np.zeros(len(t), kind)
@@ -489,7 +502,8 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list
     k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # Some texts at a time: they are held as strings, as bytes and as what is left.
+        for batch in (b.slice(first, last - first) for b in batches for first, last in slices(text_buffers(b.column(k))[1])):
             out = []
             for t, copy, spans in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist(), batch.column(k + 2).to_pylist(), strict=True):
                 raw = t.encode()

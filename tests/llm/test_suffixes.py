@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gleaner.llm import queries, suffixes
@@ -90,3 +92,25 @@ def test_query(spark, sf_dir):
     want = [(k, n, gone, s, hashlib.sha256(left).hexdigest()) for k, n, gone, s, left in brute(rows)]
     got = queries.QUERIES["op3_suffixes"](spark, sf_dir)
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == want
+
+
+def test_a_shard_is_induced_in_pieces():
+    """Memory of a shard full of repeats follows the pieces, not the hits of all its tuples; the hits are the same."""
+    n, rng = 150_000, np.random.default_rng(3)
+    x = np.zeros(n, suffixes.TUPLE)
+    x["ctx"] = np.repeat(rng.integers(0, 256, (n // 2, suffixes.CONTEXT), np.uint8), 2, axis=0)
+    x["hi"], x["doc"], x["id"] = suffixes.WINDOW - 1, np.arange(n) % 2, np.arange(n)
+    batches = [pa.RecordBatch.from_arrays([pa.array([0]), pa.array([suffixes.pack(part)], pa.binary())], ["part", "data"]) for part in np.array_split(x, 10)]
+    kind = np.dtype([("id", "<u4"), ("o", "u1"), ("doc", "<i8")])
+    tracemalloc.start()
+    hits, ids = 0, set()
+    for batch in suffixes._sort_shard(iter(batches)):
+        for data in batch.column(1).to_pylist():
+            h = np.frombuffer(data, kind)
+            hits += len(h)
+            ids |= set(np.unique(h["id"]).tolist())
+            assert not h["doc"].any()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert hits == n // 2 * suffixes.WINDOW and ids == set(range(1, n, 2))
+    assert peak < 120, peak
