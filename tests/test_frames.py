@@ -124,3 +124,20 @@ def test_bm25_exchanges_no_chunks(spark, monkeypatch, terms):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CoGroup" not in plan and not re.search(r"Exchange hashpartitioning\(_*cell", plan)
     assert retrieval.bm25_top(frame, asked.limit(0), 7).count() == 0 and retrieval.bm25_top(frame.limit(0), asked, 7).count() == 0
+
+
+@pytest.mark.parametrize("name", ["reranked", "rerank_permutation", "token_precision_at_3"])
+def test_no_frame_holds_all_chunk_texts(spark, sf_dir, name, monkeypatch):
+    """Texts of found chunks are cut from their documents; the frame of all chunks is one, without texts."""
+    seen, keep = [], base.written
+    monkeypatch.setattr(base, "written", lambda df, tag: seen.append((tag, df.columns)) or keep(df, tag))
+    base.QUERIES[name](spark, sf_dir)
+    assert [tag for tag, _ in seen].count("chunks") == 1
+    assert not any("chunk" in columns for _, columns in seen)
+
+
+def test_hit_texts(spark, sf_dir):
+    hits = base.chunk_frame(spark, sf_dir, texts=True).where("position % 3 = 0").select("position", "doc_id", "start", "end", "chunk")
+    want = dict(hits.select("position", "chunk").collect())
+    got = retrieval_queries.hit_texts(spark, sf_dir, hits.drop("chunk").union(hits.drop("chunk"))).collect()
+    assert len(got) == len(want) > 50 and dict(got) == want
