@@ -4,7 +4,8 @@ Sources of a stratum are drawn with replacement, as many as it has. They are dea
 resample's draws fall into a block comes from halving the blocks, each half getting a binomial share that a generator
 keyed by (seed, stratum, half) gives. So every task knows its block's share without seeing the others, shares add up
 exactly, and a lost task draws the same again. Within its block a task draws a multinomial. All metrics of a source,
-and both sides of a pair, see the same draw.
+and both sides of a pair, see the same draw. Ratios only need the sums of what is drawn: sources of a large stratum that
+agree in all their sums are one row there, drawn by its number of sources, which has the same distribution.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from ..sources.scratch import written
 
 #: Sources of a block, about; resamples that a task draws at a time; rows with draws that a task holds at a time, about.
 BLOCK_SOURCES, STEP, GROUP_ROWS = 2048, 256, 512
+#: Strata of more sources have equal ones drawn as one row; draws that are summed at a time; what a binomial costs in draws.
+LARGE_SOURCES, STEP_DRAWS, BINOMIAL_DRAWS = 1 << 16, 1 << 18, 8
 #: Ranges that are looked into are broadcast up to this number.
 ASKED_ROWS = 100_000
 
@@ -55,6 +58,41 @@ def source_draws(n: np.ndarray, sources: int, block: int, seed: int, group: int)
         yield np.bincount(row * sources + made.integers(0, sources, len(row)), minlength=len(some) * sources).reshape(-1, sources)
 
 
+def drawn_sums(n: np.ndarray, values: np.ndarray, times: np.ndarray, block: int, seed: int, group: int) -> np.ndarray:
+    """[resample, column] sums of values [row, column] over the n draws of a block; a row stands for as many sources as `times` says.
+
+    Where each row is one source, the draws are those of source_draws. Where rows are few for the draws, a multinomial
+    over the rows takes their place.
+    """
+    made, out = _generator(seed, group, block), np.zeros((len(n), values.shape[1]))
+    sources = int(times.sum())
+    if len(times) * BINOMIAL_DRAWS < sources:
+        for a in range(0, len(n), STEP):
+            out[a : a + STEP] = made.multinomial(n[a : a + STEP], times / sources) @ values
+        return out
+    each = [np.ascontiguousarray(c) for c in np.repeat(values, times, axis=0).T]
+    upto = np.cumsum(n)
+    a = 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + STEP_DRAWS, "right")))
+        some = np.flatnonzero(n[a:b]) + a
+        if len(some):
+            drawn = made.integers(0, sources, int(n[a:b].sum()))
+            first = np.cumsum(n[some]) - n[some]
+            for i, c in enumerate(each):
+                out[some, i] = np.add.reduceat(c.take(drawn, mode="clip"), first)
+        a = b
+    return out
+
+
+def _alike(units: DataFrame, keys: list[str], source: str, columns: list[str]) -> DataFrame:
+    """units with their number of sources, __m; those of a large stratum that agree in all columns are one row, of the smallest source."""
+    keyed = units.withColumn("__group", F.xxhash64(*keys, "__stratum"))
+    known = keyed.join(keyed.groupBy("__group").agg((F.count("*") > LARGE_SOURCES).alias("__large")), "__group")
+    own = F.when(~F.col("__large"), F.col(source)).alias("__own")
+    return known.groupBy(*keys, "__stratum", *columns, own).agg(F.min(source).alias(source), F.count("*").alias("__m")).drop("__own")
+
+
 def _blocks(units: DataFrame, by: list[str], source: str) -> DataFrame:
     """units (by..., source, stratum, ...; one row a source) with group, block, and the sizes of all blocks of the stratum."""
     keyed = units.withColumn("__group", F.xxhash64(*by, "__stratum"))
@@ -67,7 +105,7 @@ def _blocks(units: DataFrame, by: list[str], source: str) -> DataFrame:
 def _over_blocks(units: DataFrame, by: list[str], source: str, work: Callable, schema: StructType) -> DataFrame:
     """work(rows of a block, block sizes of its stratum) for each block."""
     dealt = _blocks(units, by, source)
-    counts = dealt.groupBy("__group", "__block", "blocks").agg(F.count("*").alias("k"))
+    counts = dealt.groupBy("__group", "__block", "blocks").agg((F.sum("__m") if "__m" in units.columns else F.count("*")).alias("k"))
     all_sizes = counts.groupBy("__group").agg(F.collect_list(F.struct("__block", "k")).alias("sizes"), F.max("blocks").alias("n_blocks"))
     known = counts.join(all_sizes, "__group").select(F.col("__group").alias("__group2"), F.col("__block").alias("__block2"), "sizes", "n_blocks")
 
@@ -77,6 +115,9 @@ def _over_blocks(units: DataFrame, by: list[str], source: str, work: Callable, s
             sizes[x["__block"]] = x["k"]
         return work(rows.sort_by([(source, "ascending")]), sizes)
 
+    # A fixed number of partitions: few bytes of sources make much work, and by their bytes they would be put into one task.
+    n = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), units.sparkSession.sparkContext.defaultParallelism)
+    dealt, known = dealt.repartition(n, "__group", "__block"), known.repartition(n, "__group2", "__block2")
     return dealt.groupBy("__group", "__block").cogroup(known.groupBy("__group2", "__block2")).applyInArrow(run, schema)
 
 
@@ -114,7 +155,8 @@ def bootstrap_ratios(
     rows, keys = _constant(rows, by)
     names = list(metrics)
     sums = [F.coalesce(F.sum(c.cast("double")), F.lit(0.0)).alias(f"__{part}{i}") for i, pair in enumerate(metrics.values()) for part, c in zip("nd", pair, strict=True)]
-    units = _units(rows, keys, source, stratum, sums)
+    # Written, as sources are looked at several times: for sizes, draws and estimates.
+    units = written(_units(rows, keys, source, stratum, sums), "units")
     columns = [f"__{part}{i}" for i in range(len(names)) for part in "nd"]
     kinds = [units.schema[c] for c in keys]
     schema = StructType([*kinds, StructField("__b", IntegerType()), *(StructField(c, DoubleType()) for c in columns)])
@@ -122,12 +164,11 @@ def bootstrap_ratios(
     def work(block: pa.Table, sizes: np.ndarray) -> pa.Table:
         at, group = block.column("__block")[0].as_py(), block.column("__group")[0].as_py()
         values = np.stack([block.column(c).to_numpy() for c in columns], axis=1)
-        n = block_draws(sizes, at, resamples, seed, group)
-        found = np.concatenate([counts @ values for counts in source_draws(n, block.num_rows, at, seed, group)])
+        found = drawn_sums(block_draws(sizes, at, resamples, seed, group), values, block.column("__m").to_numpy(), at, seed, group)
         same = [block.column(c).combine_chunks().take(pa.array(np.zeros(resamples, np.int64))) for c in keys]
         return pa.table([*same, pa.array(np.arange(resamples), pa.int32()), *(pa.array(found[:, i]) for i in range(len(columns)))], names=schema.names)
 
-    drawn = _over_blocks(units, keys, source, work, schema).groupBy(*keys, "__b").agg(*[F.sum(c).alias(c) for c in columns])
+    drawn = _over_blocks(_alike(units, keys, source, columns), keys, source, work, schema).groupBy(*keys, "__b").agg(*[F.sum(c).alias(c) for c in columns])
     tail = (1 - confidence) / 2
     ratio = lambda i: F.col(f"__n{i}") / F.nullif(F.col(f"__d{i}"), F.lit(0.0))
     bounds = drawn.groupBy(*keys).agg(*[x for i in range(len(names)) for x in (F.percentile(ratio(i), F.lit(tail)).alias(f"low{i}"), F.percentile(ratio(i), F.lit(1 - tail)).alias(f"high{i}"), F.count(ratio(i)).alias(f"defined{i}"))])

@@ -26,10 +26,12 @@ def paired_interval(rows: DataFrame, candidate: str, sample: str, value: str, gr
     Groups of samples are drawn with replacement and count by their number of paired samples. A sample belongs to the
     group of its left row; candidates are few, a row of the result for each pair of them.
     """
-    known = rows.where(F.col(value).isNotNull())
-    a = known.select(F.col(candidate).alias("left"), sample, F.col(group).alias("g"), F.col(value).alias("x"))
-    b = known.select(F.col(candidate).alias("right"), sample, F.col(value).alias("y"))
-    pairs = a.join(b, sample).where(F.col("left") < F.col("right")).select("left", "right", "g", (F.col("x") - F.col("y")).alias("d"), F.lit(1.0).alias("one"))
+    # A sample's rows, one a candidate, are brought together once; a self-join would make and exchange them twice.
+    known = rows.where(F.col(value).isNotNull() & F.col(sample).isNotNull())
+    each = known.groupBy(sample).agg(F.collect_list(F.struct(F.col(candidate).alias("c"), F.col(group).alias("g"), F.col(value).alias("v"))).alias("r"))
+    pair = lambda x, y: F.struct(x["c"].alias("left"), y["c"].alias("right"), x["g"].alias("g"), (x["v"] - y["v"]).alias("d"))
+    pairs = F.flatten(F.transform("r", lambda x: F.transform(F.filter("r", lambda y: x["c"] < y["c"]), lambda y: pair(x, y))))
+    pairs = each.where(F.size("r") > 1).select(F.explode(pairs).alias("p")).select("p.*", F.lit(1.0).alias("one"))
     return bootstrap_mean(pairs, "d", "g", ["left", "right"], resamples, seed, confidence, least_groups, size="one")
 
 

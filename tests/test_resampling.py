@@ -123,3 +123,40 @@ def test_draws_are_made_once_and_values_sent_where_looked_up(spark, monkeypatch)
     found = rs.paired_percentiles(rows, "u", "x", "y", [], (0.5,), resamples=50)
     assert tags == ["draws", "requests", "requests"]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 2 and found.count() == 1
+
+
+def test_drawn_sums_are_those_of_the_draws():
+    """With a row a source the sums are those of source_draws; rows that stand for many sources have the moments of the draws."""
+    values, n = np.random.default_rng(1).normal(size=(40, 2)), rs.block_draws(np.array([40, 3]), 0, 700, 5, 9)
+    want = np.concatenate([c @ values for c in rs.source_draws(n, 40, 3, 5, 9)])
+    assert np.allclose(rs.drawn_sums(n, values, np.ones(40, int), 3, 5, 9), want)
+    assert not rs.drawn_sums(n * 0, values, np.ones(40, int), 3, 5, 9).any()
+    for times in (np.array([300, 500, 200]), np.array([3, 5, 2])):
+        n, v, p = np.full(4000, times.sum()), np.array([[1.0, 0.0], [0.0, 1.0], [5.0, 0.0]]), times / times.sum()
+        found = rs.drawn_sums(n, v, times, 0, 5, 9)
+        assert np.allclose(found.mean(axis=0), n[0] * (p @ v), rtol=0.02)
+        assert np.allclose(found.var(axis=0), n[0] * (p @ v**2 - (p @ v) ** 2), rtol=0.15)
+
+
+def test_equal_sources_of_large_strata_are_one_row(spark, monkeypatch):
+    rows = [(f"s{i}", "a", float(i % 3)) for i in range(600)] + [(f"s{i}", "b", float(i % 3)) for i in range(20)]
+    frame = spark.createDataFrame(rows, "source string, kind string, v double").repartition(3)
+    mean = {"mean": (F.col("v"), F.lit(1.0))}
+    before = {r.kind: r for r in rs.bootstrap_ratios(frame, "source", mean, ["kind"], None, 3000).collect()}
+    seen, keep = [], rs._over_blocks
+    monkeypatch.setattr(rs, "_over_blocks", lambda units, *more: seen.append(units) or keep(units, *more))
+    monkeypatch.setattr(rs, "LARGE_SOURCES", 100)
+    after = {r.kind: r for r in rs.bootstrap_ratios(frame, "source", mean, ["kind"], None, 3000).collect()}
+    assert sorted((r.kind, r["__m"]) for r in seen[0].collect()) == [("a", 200)] * 3 + [("b", 1)] * 20
+    assert after["b"] == before["b"] and after["a"].sources == 600 and after["a"].estimate == pytest.approx(1)
+    assert [after["a"].low, after["a"].high] == pytest.approx([before["a"].low, before["a"].high], abs=0.01)
+
+
+def test_paired_interval_brings_samples_together_once(spark):
+    from gleaner.operators import stats
+
+    rows = [("x", 1, 5.0, "g"), ("y", 1, 3.0, "h"), ("z", 1, 1.0, "g"), ("x", 2, 1.0, "h"), ("y", 2, None, "h"), ("x", None, 1.0, "g"), ("y", None, 1.0, "g"), ("y", 3, 2.0, None), ("z", 3, 1.0, None)]
+    frame = spark.createDataFrame(rows, "c string, s long, v double, g string")
+    found = stats.paired_interval(frame, "c", "s", "v", "g", resamples=20)
+    assert {(r.left, r.right): (r.estimate, r.groups) for r in found.collect()} == {("x", "y"): (2, 1), ("x", "z"): (4, 1), ("y", "z"): (2, 1)}
+    assert "SortMergeJoin [s" not in found._jdf.queryExecution().executedPlan().toString()
