@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import ann, ledgers
-from .base import DEPTH, query, table
+from .base import DEPTH, once, query, table
 from .retrieval_queries import asked_vectors
 
 # Line items make the pool of an order, in order of their numbers. Orders of nine kinds, by key, hold a fault in the observed pool.
@@ -17,13 +17,21 @@ o AS (SELECT p.k, CASE WHEN p.k % 10 = 1 AND n >= 2 AND rank <= 2 THEN 3 - rank
   FROM p JOIN n ON n.k = p.k WHERE NOT (p.k % 10 = 2 AND rank = n) AND p.k % 10 <> 6)"""
 
 
-def pools(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The pools as they should be and as they were observed."""
+@once("pools")
+def pool_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """question, rank, item of the pools as they should be, with each pool's size n and its first item."""
     lines = table(spark, sf, "lineitem").withColumn("item", F.col("l_partkey") * 100 + F.col("l_suppkey"))
     whole = ledgers.ranked_items(lines, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "item").withColumnRenamed("l_orderkey", "question")
-    counts = whole.groupBy("question").agg(F.count("*").alias("n"), F.max(F.when(F.col("rank") == 1, F.col("item"))).alias("first"))
+    pool = Window.partitionBy("question")
+    return whole.withColumn("n", F.count("*").over(pool)).withColumn("first", F.max(F.when(F.col("rank") == 1, F.col("item"))).over(pool))
+
+
+def pools(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The pools as they should be and as they were observed. Lines are exchanged once, for the table that both are read from."""
+    rows = pool_rows(spark, sf)
     kind, rank = F.col("question") % 10, F.col("rank")
-    seen = whole.join(counts, "question").where(~((kind == 2) & (rank == F.col("n"))) & (kind != 6))
+    whole = rows.select("question", "rank", "item")
+    seen = rows.where(F.col("question").isNotNull() & ~((kind == 2) & (rank == F.col("n"))) & (kind != 6))
     moved = F.when((kind == 1) & (F.col("n") >= 2) & (rank <= 2), 3 - rank).when(kind == 3, rank + 1).otherwise(rank)
     other = F.when((kind == 4) & (rank == 1), -1).when((kind == 5) & (rank == 2), F.col("first")).otherwise(F.col("item"))
     return whole, seen.select("question", moved.alias("rank"), other.alias("item"))

@@ -1,6 +1,7 @@
 """Approximate search against exact search, fingerprints and paired ledgers on small cases."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import ann, ledgers, retrieval
@@ -63,3 +64,15 @@ def test_workload_problems(spark):
     want |= {("query", 2, "zero vector"), ("query", 2, "unknown target"), ("query", 3, "repeated id"), ("query", 3, "no vector")}
     rows = [tuple(r) for r in got.collect()]
     assert set(rows) == want and len(rows) == len(want)
+
+
+@pytest.mark.parametrize("name", ["pool_violations", "pool_differences", "ranking_problems"])
+def test_lines_of_pools_are_ranked_once(spark, sf_dir, name, monkeypatch):
+    """Pools are read from one written table, so lines are scanned and exchanged once."""
+    from gleaner.plans import base
+
+    plans, keep = [], base.written
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(base, "written", lambda df, tag: plans.append(plan(df)) or keep(df, tag))
+    plans.append(plan(base.QUERIES[name](spark, sf_dir)))
+    assert sum(p.count("lineitem.parquet") for p in plans) == 1
