@@ -4,9 +4,9 @@
 2. A point can only have a neighbour if half of the smaller half of its shingle hashes occur in another point's half.
    Tasks send packed blocks of 32-bit keys, and points with fewer shared shingles leave; of the survivors, whole sets are
    counted among themselves, and 3/4 must be shared.
-3. Cells: two linked points share one of the n/4 + 1 smallest hashes of each. The most central point of a cell (the
-   one with the largest share of shared shingles) is its pivot; all points that share a cell with a pivot form its
-   region. Every linked pair meets in a region.
+3. Cells: two linked points share one of the n/4 + 1 smallest hashes of each. A cell is cut where sizes leave a gap that
+   no link spans. The most central point of a cut cell (the one with the largest share of shared shingles) is its
+   pivot; all points that share a cut cell with a pivot form its region. Every linked pair meets in a region.
 4. Regions of up to LEAF points are joined whole, exactly. In larger ones distances to the pivot are exact. Points
    within the radius of the pivot are linked to it, which joins them with one link each. What else may be linked has a point outside the radius, and distances to the pivot that differ by at
    most the radius: regions are cut into sub-regions by distance (and salted to a bounded size), and only sub-regions
@@ -21,7 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -33,7 +33,10 @@ RADIUS = 1 - PERCENT / 100
 #: Sub-regions: about so many points at most, and steps of the distance to the pivot.
 LEAF, STEP = 1024, 1 / 16
 #: So many survivors are broadcast as (key, point) rows to pick their texts; more take several passes, as texts are not shuffled.
+#: So many (pair, point) rows at most are sent to the sets as well; with more, the sets are exchanged.
 BROADCAST_ROWS = 300_000
+#: Size classes of a factor of 4/3 and a rounding error; sizes of linked sets differ by 4/3 at most, so by one class.
+CLASS = np.log(100 / PERCENT) * (1 + 1e-9)
 
 _ODD = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -301,16 +304,42 @@ def _members(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _cells(sets: DataFrame) -> DataFrame:
-    """cell, point, central: a row for each of the n/4 + 1 smallest hashes of a point."""
+    """cell, point, central, sized: a row for each of the n/4 + 1 smallest hashes of a point; sized is its size class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             each = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
             cut = [s[: int(len(s) * (100 - PERCENT) // 100) + 1] for s in each]
             n = [len(c) for c in cut]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cut) if cut else np.zeros(0, np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.repeat(batch.column(2).to_numpy(), n))], ["cell", "point", "central"])
+            sized = size_class(np.array([len(s) for s in each], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cut) if cut else np.zeros(0, np.int64)), *(pa.array(np.repeat(c, n)) for c in (batch.column(0).to_numpy(), batch.column(2).to_numpy(), sized))], ["cell", "point", "central", "sized"])
 
-    return sets.select("point", "members", "central").mapInArrow(run, "cell long, point long, central double")
+    return sets.select("point", "members", "central").mapInArrow(run, "cell long, point long, central double, sized int")
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    """Classes of sizes such that two sets can only link if their classes differ by one at most."""
+    return np.floor(np.log(np.maximum(n, 1)) / CLASS).astype(np.int32)
+
+
+def _regions(sets: DataFrame) -> DataFrame:
+    """pivot, point: the points, but for the pivot, that share a cut cell with a pivot."""
+    cells = materialise(_cells(sets), "jaccard-cells")
+    # A row for each class of a cell, whatever the number of its points; where a class is missing, the cell is cut.
+    classes = cells.groupBy("cell", "sized").agg(F.max(F.struct("central", "point")).alias("best"), F.count("*").alias("n"))
+    place = Window.partitionBy("cell").orderBy("sized")
+    classes = classes.withColumn("gap", (F.col("sized") - F.lag("sized").over(place) > 1).cast("int")).withColumn("run", F.coalesce(F.sum("gap").over(place), F.lit(0)))
+    run = Window.partitionBy("cell", "run")
+    elected = classes.select("cell", "sized", F.max("best").over(run)["point"].alias("pivot"), F.sum("n").over(run).alias("n")).where("n > 1").drop("n")
+    regions = materialise(cells.join(elected, ["cell", "sized"]).where("point <> pivot").select("pivot", "point").distinct(), "jaccard-regions")
+    discard(cells)
+    return regions
+
+
+def _with_members(ids: DataFrame, own: DataFrame) -> DataFrame:
+    """ids (point and more) with the members of their points: sent to where the sets lie if they are few, else both are exchanged."""
+    ids = materialise(ids, "jaccard-ids")
+    return own.join(F.broadcast(ids), "point") if ids.count() <= BROADCAST_ROWS else own.join(ids, "point")
 
 
 def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,19 +417,16 @@ def _join_leaves(table: pa.Table) -> pa.Table:
 
 def links(sets: DataFrame) -> DataFrame:
     """Links (a, b) between points that give the same components as all links. sets: point, members, central."""
-    cells = materialise(_cells(sets), "jaccard-cells")
-    elected = cells.groupBy("cell").agg(F.max(F.struct("central", "point")).alias("best"), F.count("*").alias("n")).where("n > 1")
-    elected = elected.select("cell", F.col("best.point").alias("pivot"))
-    regions = materialise(cells.join(elected, "cell").where("point <> pivot").select("pivot", "point").distinct(), "jaccard-regions")
-    discard(cells)
+    regions = _regions(sets)
     own = sets.select("point", "members")
     # A region that fits into one sub-region is joined whole with its pivot, so that each of its points is sent once.
     sized = regions.groupBy("pivot").agg(F.count("*").alias("members"))
     small, large = sized.where(F.col("members") < LEAF).select("pivot"), sized.where(F.col("members") >= LEAF).select("pivot")
     whole = regions.join(small, "pivot").unionByName(small.select("pivot", F.col("pivot").alias("point")))
-    whole = whole.select(F.col("pivot").alias("pair"), F.lit(0).alias("side"), "point").join(own, "point")
+    whole = _with_members(whole.select(F.col("pivot").alias("pair"), F.lit(0).alias("side"), "point"), own).select("pair", "side", "point", "members")
     whole = materialise(whole.groupBy("pair").applyInArrow(_join_leaves, "a long, b long").distinct(), "jaccard-whole")
-    near = regions.join(large, "pivot").join(own, "point").join(own.select(F.col("point").alias("pivot"), F.col("members").alias("p_members")), "pivot")
+    of_pivots = _with_members(large.select(F.col("pivot").alias("point")), own).select(F.col("point").alias("pivot"), F.col("members").alias("p_members"))
+    near = _with_members(regions.join(large, "pivot"), own).join(of_pivots, "pivot")
     near = near.select("pivot", "point", "p_members", "members").mapInArrow(_intersect, "pivot long, point long, n_pivot long, n_point long, common long")
     union = F.col("n_pivot") + F.col("n_point") - F.col("common")
     near = near.select("pivot", "point", (F.col("common") * 100 >= union * PERCENT).alias("core"), (1 - F.col("common") / union).alias("d"))
@@ -432,7 +458,7 @@ def links(sets: DataFrame) -> DataFrame:
     pairs = pairs.where(~joined).select("pivot", "sub", "sub2")
     sides = pairs.select("pivot", "sub", F.xxhash64("pivot", "sub", "sub2").alias("pair"), F.lit(0).alias("side"))
     sides = sides.unionByName(pairs.where(F.col("sub") != F.col("sub2")).select("pivot", F.col("sub2").alias("sub"), F.xxhash64("pivot", "sub", "sub2").alias("pair"), F.lit(1).alias("side")))
-    met = sides.join(parted, ["pivot", "sub"]).select("pair", "side", "point").join(own, "point")
+    met = _with_members(sides.join(parted, ["pivot", "sub"]).select("pair", "side", "point"), own).select("pair", "side", "point", "members")
     rest = met.groupBy("pair").applyInArrow(_join_leaves, "a long, b long")
     found = materialise(stars.unionByName(rest).distinct(), "jaccard-links")
     for spent in (regions, whole, near, active, labels, parted):
@@ -485,15 +511,24 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[
     for i in range(passes):
         some = wanted.where(F.pmod(F.xxhash64("point"), F.lit(passes)) == i).select(F.col("key").alias("first"), "point")
         picked = texts.join(F.broadcast(some), F.col("key").eqNullSafe(F.col("first")))
-        parts.append(materialise(_members(picked, "text").dropDuplicates(["point"]), "jaccard-sets"))
-    met = reduce(DataFrame.unionByName, parts)
+        part = materialise(_members(picked, "text"), "jaccard-sets")
+        if part.count() > some.count():  # a key of several rows with one text
+            parts.append(materialise(part.dropDuplicates(["point"]), "jaccard-sets"))
+            discard(part)
+        else:
+            parts.append(part)
     discard(wanted)
-    again = _survivors(_set_blocks(met))
-    sets = materialise(met.join(again, "point").select("point", "members", "central"), "jaccard-sets")
-    for part in parts:
+    again = materialise(_survivors(_set_blocks(reduce(DataFrame.unionByName, parts))), "jaccard-kept")
+    left = []
+    for i, part in enumerate(parts):  # a pass has no more survivors than could be broadcast before
+        some = again.where(F.pmod(F.xxhash64("point"), F.lit(passes)) == i).select("point", "central")
+        left.append(materialise(part.join(F.broadcast(some), "point").select("point", "members", "central"), "jaccard-sets"))
         discard(part)
+    discard(again)
+    sets = reduce(DataFrame.unionByName, left)
     found = links(sets)
-    discard(sets)
+    for part in left:
+        discard(part)
     roots = components(found)
     discard(found)
     groups = first.join(roots, "point", "left").select("point", "key", F.coalesce("root", "point").alias("group_id"))

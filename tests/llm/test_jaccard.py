@@ -140,3 +140,30 @@ def test_survivors_in_several_passes_and_small_regions(spark, monkeypatch):
     rows = [(10 * g + j, " ".join([*w, *(["z"] * j)])) for g, w in enumerate(words) for j in range(3)]
     got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == {d: d // 10 * 10 for d, _ in rows}
+
+
+def test_sets_stay_and_cells_are_cut(spark, monkeypatch):
+    """Few sets are written where their texts lie, without an exchange; a text and one of twice its size share no region."""
+    seen = {}
+
+    def watched(df, tag, f=jaccard.materialise):
+        seen.setdefault(tag, []).append(df._jdf.queryExecution().executedPlan().toString())
+        out = f(df, tag)
+        if tag == "jaccard-regions":
+            seen["pairs"] = {frozenset(r) for r in out.collect()}
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", watched)
+    long, short = [f"a{i}" for i in range(200)], [f"a{i}" for i in range(80)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long, "z"])), (3, " ".join(short)), (4, " ".join([*short, "z"])), (4, " ".join([*short, "z"]))]
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3}
+    assert len(seen["pairs"]) == 2  # long with long, short with short
+    # The pass itself, what is left of it without the row that came twice, and the survivors of the second count.
+    first, _, last = seen["jaccard-sets"]
+    assert "Exchange hashpartitioning" not in first + last
+
+
+def test_linked_sizes_are_at_most_a_class_apart():
+    n = np.arange(1, 20_000)
+    assert (np.abs(jaccard.size_class(n) - jaccard.size_class(n * 4 // 3)) <= 1).all()
