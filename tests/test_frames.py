@@ -29,6 +29,29 @@ def test_documents_are_read_and_cut_once(spark, sf_dir, name, monkeypatch):
     assert scans <= 2 and python <= (3 if name in ("token_precision_at_3", "rerank_permutation") else 2), (scans, python)
 
 
+def test_chunk_terms_and_tables_of_several_files(spark, tmp_path, monkeypatch):
+    """Terms are written as one string and come back as they were; a table of several files is cut without an exchange."""
+    texts = ["Ab c_d  e\u0301 \u0130x " * 40, "one", "...", "", None, "\u65e5\u672c x\u00dfy"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+
+    def kept(df, tag, f=base.written):
+        seen.append((dict(df.dtypes), df._jdf.queryExecution().executedPlan().toString()))
+        return f(df, tag)
+
+    monkeypatch.setattr(base, "written", kept)
+    token = base._FRAMES.set({})
+    try:
+        got = {r.position: r.terms for r in base.chunk_frame(spark, str(tmp_path)).collect()}
+    finally:
+        base._FRAMES.reset(token)
+    want = {r.position: r.terms for r in base.chunk_rows(spark, str(tmp_path)).withColumn("terms", base.tokens(base.F.col("chunk"))).collect()}
+    assert got == want and len(got) > 3
+    ((kinds, plan),) = seen
+    assert "terms" not in kinds and kinds["words"] == "string" and "Exchange" not in plan
+
+
 def test_first_places(spark, monkeypatch):
     rng = random.Random(1)
     texts = ["".join(rng.choices("ab é日", k=rng.randrange(0, 60))) for _ in range(80)] + ["", None]
