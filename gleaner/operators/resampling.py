@@ -13,21 +13,27 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..sources.scratch import written
 
-#: Sources of a block, about; resamples that a task draws at a time; rows with draws that a task holds at a time, about.
+#: Sources of a block, about; resamples that a task draws at a time; values of a narrow range, about.
 BLOCK_SOURCES, STEP, GROUP_ROWS = 2048, 256, 512
 #: Strata of more sources have equal ones drawn as one row; draws that are summed at a time; what a binomial costs in draws.
 LARGE_SOURCES, STEP_DRAWS, BINOMIAL_DRAWS = 1 << 16, 1 << 18, 8
-#: Ranges that are looked into are broadcast up to this number.
-ASKED_ROWS = 100_000
+#: Ranges that are looked into are broadcast up to this number, and lists of their ends up to that one.
+ASKED_ROWS, EDGE_ROWS = 100_000, 2_000
+#: Narrow ranges on each side of a percentile; weights that are looked up in a range, at most, where it can be cut.
+NARROW, WIDE = 16, 1 << 24
+#: Blocks of a team, at most; teams that a stratum has before they grow.
+TEAM_BLOCKS, TEAMS = 16, 32
 
 
 def _generator(*key: int) -> np.random.Generator:
@@ -202,64 +208,117 @@ def counts_of(packed: bytes, kind: type = np.uint32) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed), kind)
 
 
-def _summed(values: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values, rising, and the sums of their weights (64 bits)."""
-    distinct, place = np.unique(values, return_inverse=True)
-    sums = np.zeros((len(distinct), len(weights[0])), np.int64)
-    for i, w in zip(place.tolist(), weights, strict=True):
-        sums[i] += w
-    return distinct, sums
+def blocks_of(rows: DataFrame, source: str, by: list[str], stratum: str | None = None) -> DataFrame:
+    """by..., __group, __block, __blocks, __sources (rising), __sizes (of all blocks of the stratum): a row a block.
 
+    With a seed this is all that a task needs to make the counts of `draws` anew, so that these need not be kept or sent.
+    """
+    units = _units(rows, by, source, stratum, [])
+    schema = StructType([*(units.schema[c] for c in by), StructField("__group", LongType()), StructField("__block", IntegerType()), StructField("__blocks", IntegerType()), StructField("__sources", ArrayType(units.schema[source].dataType)), StructField("__sizes", BinaryType())])
+
+    def work(block: pa.Table, sizes: np.ndarray) -> pa.Table:
+        held = block.column(source).combine_chunks()
+        lists = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)
+        one = block.slice(0, 1)
+        return pa.table([*(one.column(c) for c in (*by, "__group", "__block")), pa.array([len(sizes)], pa.int32()), lists, pa.array([zlib.compress(sizes.tobytes(), 1)], pa.binary())], names=schema.names)
+
+    return _over_blocks(units, by, source, work, schema)
+
+
+def _team() -> Column:
+    """Blocks whose sums are added up before they are sent: some of a stratum that has many."""
+    return F.floor(F.col("__block") / F.greatest(F.lit(1), F.least(F.lit(TEAM_BLOCKS), F.floor(F.col("__blocks") / TEAMS)))).cast("int")
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers that are not negative, as narrow as the largest allows."""
+    return zlib.compress(np.ascontiguousarray(numbers, np.min_scalar_type(int(numbers.max(initial=0)))).tobytes(), 1)
 
-def resampled_percentiles(rows: DataFrame, drawn: DataFrame, source: str, value: str, by: list[str], percentiles: tuple[float, ...]) -> DataFrame:
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    plain = zlib.decompress(packed)
+    return np.frombuffer(plain, f"<u{len(plain) // n}").astype(np.int64)
+
+
+def _shares(n: int, percentiles: tuple[float, ...]) -> list[float]:
+    """Where ranges of n values end, as shares: narrow ones in line about each percentile, beyond them twice as wide each time."""
+    step = max(GROUP_ROWS, n**0.5 / 4) / n
+    away = [i * step for i in range(NARROW + 1)]
+    while away[-1] < 1:
+        away.append(2 * away[-1])
+    return sorted({p + side * x for p in percentiles for x in away for side in (-1, 1) if 0 < p + side * x < 1})
+
+
+def resampled_percentiles(
+    rows: DataFrame, blocks: DataFrame, source: str, value: str, by: list[str], percentiles: tuple[float, ...], stratum: str | None = None, resamples: int = 10_000, seed: int = 42,
+) -> DataFrame:
     """by..., percentile, b, q: percentiles (linear between order statistics) of the values of each resample's drawn sources.
 
-    Order statistics under weights, without a group in one task: values are cut into ranges by approximate percentiles
-    (which deal the work and change no result). A range adds up the draws of its values; running totals over ranges tell
-    which range holds the wanted ranks of a resample, and that range looks them up. Weights of single values are sent for
-    ranges that are looked into, of the others only their totals. drawn is read several times: hand in a written table.
+    b = resamples is the sample itself, each source once. Order statistics under weights, without a group in one task and
+    without counts being sent: values are cut into ranges (which deal the work and change no result), and go to the blocks
+    of their sources. A block makes its draws and adds up what they weigh in each range; sums over blocks tell which range
+    holds the wanted ranks of a resample. A block then makes its draws again, and sends the weights of single values of a
+    range for those resamples that look into it. Ranges in which too much is looked up are cut finer first.
+    blocks: of blocks_of, read several times: hand in a written table.
     """
-    known = rows.where(F.col(value).isNotNull() & F.col(source).isNotNull()).groupBy(*by, source, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__m"))
+    label = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("all")
+    known = rows.where(F.col(value).isNotNull() & F.col(source).isNotNull()).select(*by, F.col(source).alias("__s"), F.col(value).cast("double").alias("__v"), F.xxhash64(*by, label).alias("__group"))
     most = known.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    ranges = max(1, -(-most // GROUP_ROWS))
-    if ranges > 1:
-        # Written, as the ranges are made twice and must be the same ones.
-        edges = written(known.groupBy(*by).agg(F.percentile_approx("__v", [i / ranges for i in range(1, ranges)]).alias("__edges")), "edges")
-        known = known.join(edges, by).withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col("__v")))).drop("__edges")
-    else:
-        known = known.withColumn("__range", F.lit(0))
-    # A range with very frequent values is added up in parts first.
-    sizes = known.groupBy(*by, "__range").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("__parts"))
-    salted = known.join(sizes, [*by, "__range"]).withColumn("__part", F.pmod(F.xxhash64(source), F.col("__parts")))
-    weighted = salted.join(drawn, [*by, source]).select(*by, "__range", "__part", "__v", "__m", "counts")
+    groups = blocks.groupBy("__group").agg(F.max("__blocks").alias("__blocks"))
+    known = known.join(F.broadcast(groups) if groups.count() <= ASKED_ROWS else groups, "__group")
+    known = known.withColumn("__block", F.pmod(F.xxhash64(F.lit("block"), "__s"), F.col("__blocks")).cast("int")).withColumn("__team", _team()).drop("__blocks")
+    dealt = blocks.withColumn("__team", _team())
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    home = ["__group", "__team"]
     key_fields = [rows.schema[c] for c in by]
 
     def keys_of(t: pa.Table, n: int) -> list[pa.Array]:
         return [t.column(c).combine_chunks().take(pa.array(np.zeros(n, np.int64))) for c in by]
 
-    kept = StructType([*key_fields, StructField("__range", IntegerType()), StructField("__v", DoubleType()), StructField("weights", BinaryType())])
-
-    def add(t: pa.Table) -> pa.Table:
-        times = t.column("__m").to_pylist()
-        v, w = _summed(t.column("__v").to_numpy(), [counts_of(c).astype(np.int64) * m for c, m in zip(t.column("counts").to_pylist(), times, strict=True)])
-        return pa.table([*keys_of(t, len(v)), pa.array(np.full(len(v), t.column("__range")[0].as_py()), pa.int32()), pa.array(v), pa.array([zlib.compress(x.tobytes(), 1) for x in w], pa.binary())], names=kept.names)
-
-    def add_up(t: pa.Table) -> pa.Table:
-        n = sum(counts_of(c).astype(np.int64) * m for c, m in zip(t.column("counts").to_pylist(), t.column("__m").to_pylist(), strict=True))
-        return pa.table([*keys_of(t, 1), pa.array([t.column("__range")[0].as_py()], pa.int32()), pa.array([zlib.compress(n.tobytes(), 1)], pa.binary())], names=total.names)
-
-    total = StructType([*key_fields, StructField("__range", IntegerType()), StructField("total", BinaryType())])
+    def drawn(held: pa.Table, t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, int, Iterator[np.ndarray]]]:
+        """Of each block: its rows of held, the places of their sources, the number of sources, and counts [resample, source], all ones at the end."""
+        mine = held.column("__block").to_numpy()
+        for i in np.flatnonzero(~pc.is_null(t.column("__block")).to_numpy()).tolist():
+            at, sources = t.column("__block")[i].as_py(), t.column("__sources")[i].values
+            some = np.flatnonzero(mine == at)
+            if len(some):
+                places = pc.index_in(held.column("__s").combine_chunks().take(pa.array(some)), value_set=sources).to_numpy()
+                group = t.column("__group")[i].as_py()
+                of = block_draws(np.frombuffer(zlib.decompress(t.column("__sizes")[i].as_py()), np.int64), at, resamples, seed, group)
+                yield some, places, len(sources), chain(source_draws(of, len(sources), at, seed, group), [np.ones((1, len(sources)), np.int64)])
+
+    def together(values: DataFrame, also: DataFrame, work: Callable, schema: StructType) -> DataFrame:
+        """work(values of a team by block and source, their number in __m; the team's rows of also) for each team."""
+        columns = [c for c in ("__block", "__s", "__range", "__v") if c in values.columns]
+        counted = values.repartition(n, *home).groupBy(*home, *columns).agg(F.count("*").alias("__m"))
+        return counted.groupBy(*home).cogroup(also.repartition(n, *home).groupBy(*home)).applyInArrow(work, schema)
+
+    total = StructType([*key_fields, StructField("__range", IntegerType()), StructField("__n", LongType()), StructField("total", BinaryType())])
+
+    def add_up(held: pa.Table, t: pa.Table) -> pa.Table:
+        ranges, at = np.unique(held.column("__range").to_numpy(), return_inverse=True)
+        times, sums = held.column("__m").to_numpy(), np.zeros((len(ranges), resamples + 1), np.int64)
+        for some, places, sources, counts in drawn(held, t):
+            weights = np.zeros((sources, len(ranges)))
+            np.add.at(weights, (places, at[some]), times[some])
+            kind = np.float32 if weights.max() * sources * 64 < 1 << 24 else np.float64  # sums stay exact
+            weights, a = weights.astype(kind), 0
+            for c in counts:
+                sums[:, a : a + len(c)] += (c.astype(kind) @ weights).T.astype(np.int64)
+                a += len(c)
+        values = np.bincount(at, times, len(ranges)).astype(np.int64)
+        return pa.table([*keys_of(t, len(ranges)), pa.array(ranges, pa.int32()), pa.array(values), pa.array([_packed(x) for x in sums], pa.binary())], names=total.names)
 
     def totals(t: pa.Table) -> pa.Table:
-        n = sum(counts_of(w, np.int64) for w in t.column("total").to_pylist())
-        return pa.table([*keys_of(t, 1), pa.array([t.column("__range")[0].as_py()], pa.int32()), pa.array([zlib.compress(n.tobytes(), 1)], pa.binary())], names=total.names)
+        of = sum(_unpacked(w, resamples + 1) for w in t.column("total").to_pylist())
+        return pa.table([*keys_of(t, 1), pa.array([t.column("__range")[0].as_py()], pa.int32()), pa.array([pc.sum(t.column("__n")).as_py()]), pa.array([_packed(of)], pa.binary())], names=total.names)
 
-    wanted = StructType([*key_fields, StructField("__range", IntegerType()), StructField("asked", BinaryType())])
+    wanted = StructType([*key_fields, StructField("__range", IntegerType()), StructField("__n", LongType()), StructField("asked", BinaryType()), StructField("who", BinaryType())])
     request = np.dtype([("p", "<i4"), ("b", "<i4"), ("high", "?"), ("rank", "<i8"), ("part", "<f8")])
 
     def ask(t: pa.Table) -> pa.Table:
         t = t.sort_by([("__range", "ascending")])
-        each = np.stack([counts_of(x, np.int64) for x in t.column("total").to_pylist()])
+        each = np.stack([_unpacked(x, resamples + 1) for x in t.column("total").to_pylist()])
         upto = np.cumsum(each, axis=0)
         found: list[list[np.ndarray]] = [[] for _ in range(len(each))]
         b = np.flatnonzero(upto[-1] > 0)
@@ -276,24 +335,79 @@ def resampled_percentiles(rows: DataFrame, drawn: DataFrame, source: str, value:
                     asked["rank"] = rank[mine] - (upto[r, b[mine]] - each[r, b[mine]])
                     found[r].append(asked)
         some = [i for i, f in enumerate(found) if f]
-        return pa.table([*keys_of(t, len(some)), t.column("__range").combine_chunks().take(pa.array(some, pa.int64())).cast(pa.int32()), pa.array([np.concatenate(found[i]).tobytes() for i in some], pa.binary())], names=wanted.names)
-
-    # Parts send one row of totals each; their values follow only for ranges in which a resample looks something up.
-    sums = weighted.groupBy(*by, "__range", "__part").applyInArrow(add_up, total)
-    requests = written(sums.groupBy(*by, "__range").applyInArrow(totals, total).groupBy(*by).applyInArrow(ask, wanted), "requests")
-    looked = reduce(lambda x, y: x & y, [salted[c].eqNullSafe(requests[c]) for c in (*by, "__range")])
-    few = salted.join(F.broadcast(requests.select(*by, "__range")) if requests.count() <= ASKED_ROWS else requests.select(*by, "__range"), looked, "left_semi")
-    parts = few.join(drawn, [*by, source]).select(*by, "__range", "__part", "__v", "__m", "counts").groupBy(*by, "__range", "__part").applyInArrow(add, kept)
+        kept, asked = t.take(pa.array(some, pa.int64())), [np.concatenate(found[i]) for i in some]
+        who = [zlib.compress(np.unique(x["b"]).tobytes(), 1) for x in asked]
+        return pa.table([*keys_of(t, len(some)), kept.column("__range").cast(pa.int32()), kept.column("__n"), pa.array([x.tobytes() for x in asked], pa.binary()), pa.array(who, pa.binary())], names=wanted.names)
+
+    def placed(edges: DataFrame | None) -> DataFrame:
+        if edges is None:
+            return known.withColumn("__range", F.lit(0))
+        few = F.broadcast(edges) if edges.count() <= EDGE_ROWS else edges
+        return known.join(few, by).withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col("__v")))).drop("__edges")
+
+    # Written, as the ranges are made twice and must be the same ones.
+    edges = written(known.groupBy(*by).agg(F.array_distinct(F.percentile_approx("__v", _shares(most, percentiles), 100_000)).alias("__edges")), "edges") if most > GROUP_ROWS else None
+    while True:
+        cut = placed(edges)
+        sums = together(cut.drop("__v"), dealt, add_up, total)
+        requests = written(sums.groupBy(*by, "__range").applyInArrow(totals, total).groupBy(*by).applyInArrow(ask, wanted), "requests")
+        wide = requests.where((F.col("__n") > 4 * GROUP_ROWS) & (F.col("__n") * F.length("asked") > WIDE * request.itemsize)).select(*by, "__range")
+        if edges is None or wide.isEmpty():
+            break
+        more = cut.join(wide, [*by, "__range"]).groupBy(*by, "__range").agg(F.percentile_approx("__v", [i / 16 for i in range(1, 17)]).alias("__more")).groupBy(*by).agg(F.flatten(F.collect_list("__more")).alias("__more"))
+        finer = written(edges.join(more, by, "left").select(*by, F.sort_array(F.array_union("__edges", F.coalesce("__more", F.array().cast("array<double>")))).alias("__edges")), "edges")
+        if finer.agg(F.sum(F.size("__edges"))).first() == edges.agg(F.sum(F.size("__edges"))).first():
+            break  # each of the wide ranges is one value
+        edges = finer
+
+    looked = reduce(lambda x, y: x & y, [cut[c].eqNullSafe(requests[c]) for c in (*by, "__range")])
+    asked_ranges = requests.select(*by, "__range")
+    few = cut.join(F.broadcast(asked_ranges) if requests.count() <= ASKED_ROWS else asked_ranges, looked, "left_semi")
+    same = reduce(lambda x, y: x & y, [requests[c].eqNullSafe(F.col(f"t.{c}")) for c in by])
+    asking = requests.join(dealt.select(*by, *home).distinct().alias("t"), same).select(*[requests[c] for c in by], *home, "__range", "who")
+    kept = StructType([*key_fields, StructField("__range", IntegerType()), StructField("values", BinaryType()), StructField("weights", BinaryType())])
+
+    def single(held: pa.Table, t: pa.Table) -> pa.Table:
+        ranges, at = np.unique(held.column("__range").to_numpy(), return_inverse=True)
+        asks = {r: np.frombuffer(zlib.decompress(w), np.int32) for r, w in zip(t.column("__range").to_pylist(), t.column("who").to_pylist(), strict=True) if w is not None}
+        v, times, place_of = held.column("__v").to_numpy(), held.column("__m").to_numpy(), np.zeros(held.num_rows, np.int64)
+        values = []
+        for i in range(len(ranges)):
+            distinct, place_of[at == i] = np.unique(v[at == i], return_inverse=True)
+            values.append(distinct)
+        who = [asks[r] for r in ranges.tolist()]
+        weights = [np.zeros((len(x), len(w)), np.int64) for x, w in zip(values, who, strict=True)]
+        for some, places, _, counts in drawn(held, t):
+            parts = [(i, mine, place_of[some[mine]], len(np.unique(place_of[some[mine]])) == len(mine)) for i in range(len(ranges)) if len(mine := np.flatnonzero(at[some] == i))]
+            a = 0
+            for c in counts:
+                for i, mine, rows_, apart in parts:
+                    x, y = np.searchsorted(who[i], [a, a + len(c)])
+                    if x < y:
+                        add = (c[who[i][x:y] - a][:, places[mine]] * times[some[mine]]).T
+                        if apart:
+                            weights[i][rows_, x:y] += add
+                        else:
+                            np.add.at(weights[i][:, x:y], rows_, add)
+                a += len(c)
+        return pa.table([*keys_of(t, len(ranges)), pa.array(ranges, pa.int32()), pa.array([x.tobytes() for x in values], pa.binary()), pa.array([_packed(w) for w in weights], pa.binary())], names=kept.names)
+
+    parts = together(few, dealt.unionByName(asking, allowMissingColumns=True), single, kept)
     answer = StructType([*key_fields, StructField("p", IntegerType()), StructField("b", IntegerType()), StructField("low", DoubleType()), StructField("high", DoubleType()), StructField("part", DoubleType())])
 
     def look_up(held: pa.Table, asked: pa.Table) -> pa.Table:
         r = np.concatenate([np.frombuffer(x, request) for x in asked.column("asked").to_pylist()]) if asked.num_rows else np.zeros(0, request)
         got = np.zeros(len(r))
         if len(r):
-            v, w = _summed(held.column("__v").to_numpy(), [counts_of(x, np.int64) for x in held.column("weights").to_pylist()])
+            who, each = np.unique(r["b"]), [np.frombuffer(x) for x in held.column("values").to_pylist()]
+            v = np.unique(np.concatenate(each))
+            w = np.zeros((len(v), len(who)), np.int64)
+            for x, y in zip(each, held.column("weights").to_pylist(), strict=True):
+                w[np.searchsorted(v, x)] += _unpacked(y, len(x) * len(who)).reshape(len(x), len(who))
+            np.cumsum(w, axis=0, out=w)
             for a in range(0, len(r), STEP):
                 some = r[a : a + STEP]
-                got[a : a + STEP] = v[(np.cumsum(w[:, some["b"]], axis=0) <= some["rank"]).sum(axis=0)]
+                got[a : a + STEP] = v[(w[:, np.searchsorted(who, some["b"])] <= some["rank"]).sum(axis=0)]
         side = lambda high: pa.array(got, mask=r["high"] != high)
         return pa.table([*keys_of(held, len(r)), pa.array(r["p"]), pa.array(r["b"]), side(False), side(True), pa.array(r["part"])], names=answer.names)
 
@@ -303,23 +417,21 @@ def resampled_percentiles(rows: DataFrame, drawn: DataFrame, source: str, value:
     return one.select(*by, share.alias("percentile"), "b", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("q"))
 
 
-def _interval_rows(found: DataFrame, whole: DataFrame, by: list[str], keys: list[str], confidence: float, least: int | None) -> DataFrame:
+def _interval_rows(found: DataFrame, whole: DataFrame, by: list[str], keys: list[str], resamples: int, confidence: float, least: int | None) -> DataFrame:
     tail = (1 - confidence) / 2
-    bounds = found.groupBy(*keys, "percentile").agg(F.percentile("q", F.lit(tail)).alias("low"), F.percentile("q", F.lit(1 - tail)).alias("high"), F.count("q").alias("defined"))
+    of = F.when(F.col("b") < resamples, F.col("q"))
+    bounds = found.groupBy(*keys, "percentile").agg(F.percentile(of, F.lit(tail)).alias("low"), F.percentile(of, F.lit(1 - tail)).alias("high"), F.count(of).alias("defined"), F.max(F.when(F.col("b") == resamples, F.col("q"))).alias("estimate"))
     both = whole.join(bounds, [*keys, "percentile"], "left")
     why = _reasons(F.col("estimate"), least, F.col("contributing"), F.col("defined"))
     return both.select(*by, "percentile", "estimate", F.when(why.isNull(), F.col("low")).alias("low"), F.when(why.isNull(), F.col("high")).alias("high"), "sources", "contributing", F.coalesce("defined", F.lit(0)).cast(LongType()).alias("defined"), why.alias("reason"))
 
 
-def _estimates(rows: DataFrame, keys: list[str], source: str, values: tuple[str, ...], percentiles: tuple[float, ...]) -> DataFrame:
-    """keys..., percentile, estimate (of the last value less the first, if there are two), sources, contributing."""
-    exact = lambda c, p: F.percentile(F.col(c).cast("double"), F.lit(p))
-    shares = [F.struct(F.lit(p).alias("percentile"), (exact(values[-1], p) - exact(values[0], p) if len(values) > 1 else exact(values[0], p)).alias("estimate")) for p in percentiles]
-    has = F.col(values[0]).isNotNull()
-    for v in values[1:]:
-        has = has & F.col(v).isNotNull()
-    counts = [F.countDistinct(source).alias("sources"), F.countDistinct(F.when(has, F.col(source))).alias("contributing")]
-    return rows.where(F.col(source).isNotNull()).groupBy(*keys).agg(F.array(*shares).alias("s"), *counts).select(*keys, F.explode("s").alias("s"), "sources", "contributing").select(*keys, "s.*", "sources", "contributing")
+def _contributing(rows: DataFrame, keys: list[str], source: str, values: tuple[str, ...], percentiles: tuple[float, ...]) -> DataFrame:
+    """keys..., percentile, sources, contributing (sources that have a row with all values)."""
+    has = reduce(lambda x, y: x & y, [F.col(v).isNotNull() for v in values])
+    each = rows.where(F.col(source).isNotNull()).groupBy(*keys, source).agg(F.max(has).alias("__has"))
+    counts = each.groupBy(*keys).agg(F.count("*").alias("sources"), F.count_if("__has").alias("contributing"))
+    return counts.select(*keys, F.explode(F.array(*map(F.lit, percentiles))).alias("percentile"), "sources", "contributing")
 
 
 def bootstrap_percentiles(
@@ -332,9 +444,9 @@ def bootstrap_percentiles(
     withhold an interval are those of bootstrap_ratios.
     """
     rows, keys = _constant(rows, by)
-    drawn = written(draws(rows, source, keys, stratum, resamples, seed), "draws")
-    found = resampled_percentiles(rows, drawn, source, value, keys, percentiles)
-    return _interval_rows(found, _estimates(rows, keys, source, (value,), percentiles), by, keys, confidence, least)
+    drawn = written(blocks_of(rows, source, keys, stratum), "draws")
+    found = resampled_percentiles(rows, drawn, source, value, keys, percentiles, stratum, resamples, seed)
+    return _interval_rows(found, _contributing(rows, keys, source, (value,), percentiles), by, keys, resamples, confidence, least)
 
 
 def paired_percentiles(
@@ -346,7 +458,7 @@ def paired_percentiles(
     A resample is defined if both sides have a value in it.
     """
     rows, keys = _constant(rows, by)
-    drawn = written(draws(rows, source, keys, stratum, resamples, seed), "draws")
-    a, b = (resampled_percentiles(rows, drawn, source, c, keys, percentiles) for c in (baseline, candidate))
+    drawn = written(blocks_of(rows, source, keys, stratum), "draws")
+    a, b = (resampled_percentiles(rows, drawn, source, c, keys, percentiles, stratum, resamples, seed) for c in (baseline, candidate))
     found = a.withColumnRenamed("q", "__x").join(b, [*keys, "percentile", "b"]).withColumn("q", F.col("q") - F.col("__x"))
-    return _interval_rows(found, _estimates(rows, keys, source, (baseline, candidate), percentiles), by, keys, confidence, least)
+    return _interval_rows(found, _contributing(rows, keys, source, (baseline, candidate), percentiles), by, keys, resamples, confidence, least)

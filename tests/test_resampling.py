@@ -160,3 +160,28 @@ def test_paired_interval_brings_samples_together_once(spark):
     found = stats.paired_interval(frame, "c", "s", "v", "g", resamples=20)
     assert {(r.left, r.right): (r.estimate, r.groups) for r in found.collect()} == {("x", "y"): (2, 1), ("x", "z"): (4, 1), ("y", "z"): (2, 1)}
     assert "SortMergeJoin [s" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_percentiles_send_no_counts_and_cut_wide_ranges(spark, monkeypatch):
+    """The table of draws is a row a block, whatever the resamples; values of few sources, whose ranks move far, are cut finer."""
+    monkeypatch.setattr(rs, "GROUP_ROWS", 20)
+    for name, least in (("WIDE", 500), ("NARROW", 2)):
+        monkeypatch.setattr(rs, name, least, raising=False)
+    seen, keep = [], rs.written
+
+    def kept(df, tag):
+        seen.append((tag, keep(df, tag)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(rs, "written", kept)
+    rng = random.Random(2)
+    rows = [(f"s{i % 12}", (i % 12) * 5 + round(rng.expovariate(0.1), 2 if i % 3 else 0)) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "source string, v double").repartition(3)
+    drawn = {r.source: rs.counts_of(r.counts) for r in rs.draws(frame.withColumn("__all", F.lit(0)), "source", ["__all"], None, 200).collect()}
+    values = {s: np.array([v for x, v in rows if x == s]) for s in drawn}
+    for r in rs.bootstrap_percentiles(frame, "source", "v", [], (0.5, 0.95), resamples=200).collect():
+        each = [np.quantile(np.concatenate([np.repeat(values[s], drawn[s][b]) for s in values]), r.percentile) for b in range(200)]
+        assert (r.low, r.high) == pytest.approx(tuple(bounds(each))) and r.estimate == pytest.approx(np.quantile([v for _, v in rows], r.percentile)) and r.defined == 200
+    tables = dict(seen)
+    assert "counts" not in tables["draws"].columns and tables["draws"].count() == 1
+    assert [t for t, _ in seen].count("edges") > 1
