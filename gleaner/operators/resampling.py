@@ -208,6 +208,13 @@ def counts_of(packed: bytes, kind: type = np.uint32) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed), kind)
 
 
+def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", few: bool = False) -> DataFrame:
+    """left with the rows of right that are alike in all of on, missing keys too; right is broadcast if it is few."""
+    other = right.withColumnsRenamed({c: f"__on_{c}" for c in on})
+    alike = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on])
+    return left.join(F.broadcast(other) if few else other, alike, how).drop(*(f"__on_{c}" for c in on))
+
+
 def blocks_of(rows: DataFrame, source: str, by: list[str], stratum: str | None = None) -> DataFrame:
     """by..., __group, __block, __blocks, __sources (rising), __sizes (of all blocks of the stratum): a row a block.
 
@@ -342,8 +349,7 @@ def resampled_percentiles(
     def placed(edges: DataFrame | None) -> DataFrame:
         if edges is None:
             return known.withColumn("__range", F.lit(0))
-        few = F.broadcast(edges) if edges.count() <= EDGE_ROWS else edges
-        return known.join(few, by).withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col("__v")))).drop("__edges")
+        return _join(known, edges, by, few=edges.count() <= EDGE_ROWS).withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col("__v")))).drop("__edges")
 
     # Written, as the ranges are made twice and must be the same ones.
     edges = written(known.groupBy(*by).agg(F.array_distinct(F.percentile_approx("__v", _shares(most, percentiles), 100_000)).alias("__edges")), "edges") if most > GROUP_ROWS else None
@@ -354,8 +360,8 @@ def resampled_percentiles(
         wide = requests.where((F.col("__n") > 4 * GROUP_ROWS) & (F.col("__n") * F.length("asked") > WIDE * request.itemsize)).select(*by, "__range")
         if edges is None or wide.isEmpty():
             break
-        more = cut.join(wide, [*by, "__range"]).groupBy(*by, "__range").agg(F.percentile_approx("__v", [i / 16 for i in range(1, 17)]).alias("__more")).groupBy(*by).agg(F.flatten(F.collect_list("__more")).alias("__more"))
-        finer = written(edges.join(more, by, "left").select(*by, F.sort_array(F.array_union("__edges", F.coalesce("__more", F.array().cast("array<double>")))).alias("__edges")), "edges")
+        more = _join(cut, wide, [*by, "__range"]).groupBy(*by, "__range").agg(F.percentile_approx("__v", [i / 16 for i in range(1, 17)]).alias("__more")).groupBy(*by).agg(F.flatten(F.collect_list("__more")).alias("__more"))
+        finer = written(_join(edges, more, by, "left").select(*by, F.sort_array(F.array_union("__edges", F.coalesce("__more", F.array().cast("array<double>")))).alias("__edges")), "edges")
         if finer.agg(F.sum(F.size("__edges"))).first() == edges.agg(F.sum(F.size("__edges"))).first():
             break  # each of the wide ranges is one value
         edges = finer
@@ -421,7 +427,7 @@ def _interval_rows(found: DataFrame, whole: DataFrame, by: list[str], keys: list
     tail = (1 - confidence) / 2
     of = F.when(F.col("b") < resamples, F.col("q"))
     bounds = found.groupBy(*keys, "percentile").agg(F.percentile(of, F.lit(tail)).alias("low"), F.percentile(of, F.lit(1 - tail)).alias("high"), F.count(of).alias("defined"), F.max(F.when(F.col("b") == resamples, F.col("q"))).alias("estimate"))
-    both = whole.join(bounds, [*keys, "percentile"], "left")
+    both = _join(whole, bounds, [*keys, "percentile"], "left")
     why = _reasons(F.col("estimate"), least, F.col("contributing"), F.col("defined"))
     return both.select(*by, "percentile", "estimate", F.when(why.isNull(), F.col("low")).alias("low"), F.when(why.isNull(), F.col("high")).alias("high"), "sources", "contributing", F.coalesce("defined", F.lit(0)).cast(LongType()).alias("defined"), why.alias("reason"))
 
@@ -460,5 +466,5 @@ def paired_percentiles(
     rows, keys = _constant(rows, by)
     drawn = written(blocks_of(rows, source, keys, stratum), "draws")
     a, b = (resampled_percentiles(rows, drawn, source, c, keys, percentiles, stratum, resamples, seed) for c in (baseline, candidate))
-    found = a.withColumnRenamed("q", "__x").join(b, [*keys, "percentile", "b"]).withColumn("q", F.col("q") - F.col("__x"))
+    found = _join(a.withColumnRenamed("q", "__x"), b, [*keys, "percentile", "b"]).withColumn("q", F.col("q") - F.col("__x"))
     return _interval_rows(found, _contributing(rows, keys, source, (baseline, candidate), percentiles), by, keys, resamples, confidence, least)

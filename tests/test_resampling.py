@@ -192,3 +192,10 @@ def test_paired_query_reads_its_ledger_once(spark, sf_dir):
 
     found = paired_percentile_intervals(spark, sf_dir)
     assert not any("events" in f for f in found.inputFiles()) and found.count() == 2
+
+
+def test_percentiles_of_a_missing_key(spark):
+    frame = spark.createDataFrame([(f"s{i}", None if i % 2 else "a", float(i // 2)) for i in range(40)], "source string, kind string, v double")
+    one, two = rs.bootstrap_percentiles(frame, "source", "v", ["kind"], (0.5,), resamples=50), rs.paired_percentiles(frame, "source", "v", "v", ["kind"], (0.5,), resamples=50)
+    assert [(r.estimate, r.defined, r.reason) for r in one.collect()] == [(9.5, 50, None)] * 2
+    assert [(r.estimate, r.low, r.high, r.reason) for r in two.collect()] == [(0, 0, 0, None)] * 2
